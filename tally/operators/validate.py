@@ -8,7 +8,7 @@ looks like a header (arity is checked first).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parse import asset_date, ledger_date, signed_amount, unsigned_price
@@ -27,7 +27,7 @@ def type_ledger(raw: DataFrame, run_date=None) -> DataFrame:
     """F1-F3 + C1/C2 + W1. ``yyyymm_id`` = records in file - position, with
     the header counted, as the source numbering does."""
     bad_arity = F.col(CORRUPT).isNotNull()
-    header = ~bad_arity & (F.col("calc_flag") == F.lit(LEDGER_HEADER_MARK))
+    header = ~bad_arity & (_txt("calc_flag") == F.lit(LEDGER_HEADER_MARK))
     date = ledger_date(_txt("raw_date"))
     price = unsigned_price(_txt("raw_price"))
     reject = (F.when(bad_arity, F.lit("arity"))
@@ -58,7 +58,7 @@ ASSET_AMOUNTS = [("raw_total", "total_amount"), ("raw_cash", "cash_deposit_crypt
 def type_asset(raw: DataFrame) -> DataFrame:
     """F1, F2, F4 + C3-C5."""
     bad_arity = F.col(CORRUPT).isNotNull()
-    header = ~bad_arity & (F.col("raw_date") == F.lit(ASSET_HEADER_MARK))
+    header = ~bad_arity & (_txt("raw_date") == F.lit(ASSET_HEADER_MARK))
     date = asset_date(_txt("raw_date"))
     amounts = [signed_amount(_txt(src)).alias(dst) for src, dst in ASSET_AMOUNTS]
     reject = F.when(bad_arity, F.lit("arity")).when(header, F.lit(None)).when(date.isNull(), F.lit("date"))

@@ -99,10 +99,11 @@ def import_ledger(spark: SparkSession, store: LedgerStore, paths, *, job_label:
 
 
 def import_assets(spark: SparkSession, store: LedgerStore, paths, *, job_label: str | None = None,
-                  dry_run: bool = False, policy: str = "abort", encoding: str = "utf8",
-                  raw: DataFrame | None = None) -> ImportResult:
+                  run_date=None, dry_run: bool = False, policy: str = "abort", encoding: str = "utf8",
+                  collation: str | None = None, raw: DataFrame | None = None) -> ImportResult:
     """Same flow keyed by date; first row of a file wins (no reversal);
-    history only when a row was inserted (M6)."""
+    history only when a row was inserted (M6). ``run_date`` and
+    ``collation`` are accepted for a uniform call and unused (no text key)."""
     scanned = raw if raw is not None else scan_asset_csv(spark, paths, encoding)
     typed = _stage(validate.type_asset(scanned))
     rows, report = validate.apply_policy(typed, policy)
