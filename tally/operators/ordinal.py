@@ -56,6 +56,21 @@ def global_ordinal(df: DataFrame, order: list[Column], name: str = "ordinal",
             .drop("_pid", "_local", "_off"))
 
 
+# Tables at most this long may be numbered by one task.
+SMALL_TABLE_ROWS = 100_000
+
+
+def small_ordinal(df: DataFrame, order: list[Column], name: str, bound: int | None,
+                  num_partitions: int | None = None) -> DataFrame:
+    """``global_ordinal`` for a table whose row count is proven small by
+    ``bound`` (e.g. one row per input file of a run, known from the file
+    listing): a single-task ``row_number()`` over at most SMALL_TABLE_ROWS
+    rows. Without such a bound, the distributed path is taken."""
+    if bound is None or bound > SMALL_TABLE_ROWS:
+        return global_ordinal(df, order, name, num_partitions)
+    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)) - 1)
+
+
 def rank_within(df: DataFrame, group: list[str], order: list[Column],
                 pos: str = "pos", size: str | None = None,
                 num_partitions: int | None = None) -> DataFrame:

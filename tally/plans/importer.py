@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dedup, validate
-from ..operators.ordinal import global_ordinal
+from ..operators.ordinal import small_ordinal
 from ..session import checkpoint_dir
 from ..sources.csv_scan import scan_asset_csv, scan_ledger_csv
 from ..sources.store import LedgerStore
@@ -46,19 +46,25 @@ def _stage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _date_window(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Restrict stored keys to the days of the incoming rows. ``detail`` is
-    partitioned by date, so the bounds prune whole folders at planning time;
-    the bounds come from the staged rows (one tiny aggregate)."""
+def _date_window(existing: DataFrame, incoming: DataFrame, partitioned: bool = False) -> DataFrame:
+    """Restrict stored keys to the date range of the incoming rows. For the
+    month-partitioned ``detail`` the same bounds on ``ym`` prune whole
+    folders at planning time; the bounds come from the staged rows (one tiny
+    aggregate)."""
     lo, hi = incoming.agg(F.min("date"), F.max("date")).first()
     if lo is None:
         return existing.limit(0)
-    return existing.filter(F.col("date").between(F.lit(lo), F.lit(hi)))
+    cond = F.col("date").between(F.lit(lo), F.lit(hi))
+    if partitioned:
+        cond = cond & F.col("ym").between(lo.year * 100 + lo.month, hi.year * 100 + hi.month)
+    return existing.filter(cond)
 
 
-def _history_rows(store: LedgerStore, delta: DataFrame, job_label: str | None) -> DataFrame:
+def _history_rows(store: LedgerStore, delta: DataFrame, job_label: str | None,
+                  n_files: int | None) -> DataFrame:
+    """One row per file of the run (so ``n_files`` bounds it)."""
     base = store.read("import_history").agg(F.coalesce(F.max("id"), F.lit(0)).alias("_base"))
-    ordered = global_ordinal(delta, [F.col("file_rank")], "_o")
+    ordered = small_ordinal(delta, [F.col("file_rank")], "_o", n_files)
     return (ordered.crossJoin(F.broadcast(base))
             .select((F.col("_base") + F.col("_o") + 1).cast("long").alias("id"),
                     F.lit(job_label).cast("string").alias("job_label"),
@@ -74,25 +80,25 @@ def import_ledger(spark: SparkSession, store: LedgerStore, paths, *, job_label:
                   raw: DataFrame | None = None) -> ImportResult:
     """M11. ``raw`` may carry an already positioned scan (streaming)."""
     scanned = raw if raw is not None else scan_ledger_csv(spark, paths, encoding)
+    n_files = len(paths) if paths else None
     typed = _stage(validate.type_ledger(scanned, run_date))
     rows, report = validate.apply_policy(typed, policy)
     key = dedup.LEDGER_KEY
     rows = dedup.keyed(rows, key, collation)
-    stored = dedup.keyed(store.read("detail").select(*key), key, collation)
-    stored = _date_window(stored, rows)
+    stored = _date_window(store.read("detail").select(*key, "ym"), rows, partitioned=True).select(*key)
+    stored = dedup.keyed(stored, key, collation)
     inserted = dedup.import_plan(rows, stored, key, reverse_rows=True, dry_run=dry_run)
     duplicates = dedup.duplicate_rows(rows, stored, key)
     if not dry_run:
         base = store.read("detail").agg(F.coalesce(F.max("id"), F.lit(0)).alias("_base"))
-        inserted = _stage(dedup.assign_ids(inserted.crossJoin(F.broadcast(base)), F.col("_base"))
-                          .drop("_base"))
+        # assign_ids stages its ordered rows; what follows is cheap to rerun
+        inserted = dedup.assign_ids(inserted.crossJoin(F.broadcast(base)), F.col("_base")).drop("_base")
         store.append("detail", inserted.withColumn("created_at", F.current_timestamp())
                      .withColumn("updated_at", F.current_timestamp()))
     counts = dedup.file_counts(rows, inserted)
     delta = dedup.ledger_history_delta(counts, store.read("import_history"))
-    history = _history_rows(store, delta, job_label)
+    history = _history_rows(store, delta, job_label, n_files)
     if not dry_run:
-        history = _stage(history)
         store.append("import_history", history)
     _raise_if_aborted(report, policy)
     return ImportResult(inserted, duplicates, counts, history, report, validate.rejects(typed))
@@ -105,6 +111,7 @@ def import_assets(spark: SparkSession, store: LedgerStore, paths, *, job_label:
     history only when a row was inserted (M6). ``run_date`` and
     ``collation`` are accepted for a uniform call and unused (no text key)."""
     scanned = raw if raw is not None else scan_asset_csv(spark, paths, encoding)
+    n_files = len(paths) if paths else None
     typed = _stage(validate.type_asset(scanned))
     rows, report = validate.apply_policy(typed, policy)
     key = dedup.ASSET_KEY
@@ -113,14 +120,13 @@ def import_assets(spark: SparkSession, store: LedgerStore, paths, *, job_label:
     duplicates = dedup.duplicate_rows(rows, stored, key)
     if not dry_run:
         base = store.read("asset_history").agg(F.coalesce(F.max("id"), F.lit(0)).alias("_base"))
-        inserted = _stage(dedup.assign_ids(inserted.crossJoin(F.broadcast(base)), F.col("_base"),
-                                           reverse_rows=False).drop("_base"))
+        inserted = dedup.assign_ids(inserted.crossJoin(F.broadcast(base)), F.col("_base"),
+                                    reverse_rows=False).drop("_base")
         store.append("asset_history", inserted.withColumn("created_at", F.current_timestamp())
                      .withColumn("updated_at", F.current_timestamp()))
     counts = dedup.file_counts(rows, inserted)
-    history = _history_rows(store, dedup.asset_history_delta(counts), job_label)
+    history = _history_rows(store, dedup.asset_history_delta(counts), job_label, n_files)
     if not dry_run:
-        history = _stage(history)
         store.append("import_history", history)
     _raise_if_aborted(report, policy)
     return ImportResult(inserted, duplicates, counts, history, report, validate.rejects(typed))

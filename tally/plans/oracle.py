@@ -292,3 +292,28 @@ FROM (SELECT o_orderkey,
                   ELSE 'dummy.csv' END AS file_name
       FROM orders)""",
 }
+
+
+ORACLE_SQL.update({
+    "import_files_e2e": """
+WITH t AS (
+  SELECT CAST(o_orderdate AS DATE) AS date, o_orderpriority || ' ' || o_orderstatus AS name,
+         CAST(floor(o_totalprice / 1000) * 1000 AS BIGINT) AS price, o_orderkey,
+         o_orderpriority AS p, strftime(o_orderdate, '%Y') AS yr
+  FROM orders),
+f AS (
+  SELECT *, row_number() OVER (PARTITION BY p, yr ORDER BY o_orderkey) AS row_idx,
+         count(*) OVER (PARTITION BY p, yr) + 1 AS n
+  FROM t),
+s AS (SELECT *, row_number() OVER (PARTITION BY date, name, price ORDER BY row_idx DESC) AS rn FROM f)
+SELECT date, name, price, CAST(n - row_idx AS INTEGER) AS yyyymm_id, CAST(o_orderkey AS VARCHAR) AS source_id
+FROM s WHERE rn = 1""",
+    "stream_import": """
+SELECT DISTINCT CAST(ts AS DATE) AS date, event_type AS name, CAST(floor(value) AS BIGINT) AS price
+FROM events""",
+    "stream_latest": f"""
+WITH {_HISTORY}
+SELECT job_label, max(id) AS run_id, arg_max(parsed_entry_num, id) AS parsed_entry_num,
+       arg_max(new_entry_num, id) AS new_entry_num
+FROM h GROUP BY job_label""",
+})

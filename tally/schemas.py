@@ -40,6 +40,7 @@ DETAIL = T.StructType([
     T.StructField("src_file", T.StringType(), True),
     T.StructField("created_at", T.TimestampType(), True),
     T.StructField("updated_at", T.TimestampType(), True),
+    T.StructField("ym", T.IntegerType(), True),   # partition: yyyyMM of date
 ])
 
 DETAIL_STATUS = T.StructType([

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import ASSET_CSV, CORRUPT, LEDGER_CSV
-from ..operators.ordinal import global_ordinal
+from ..operators.ordinal import small_ordinal
 
 # Accepted charset names (fixed values): case-insensitive.
 ENCODINGS = {"utf8": "UTF-8", "sjis": "Shift_JIS"}
@@ -86,8 +86,9 @@ def position_rows(raw: DataFrame, n_files: int | None = None,
         F.coalesce(F.sum("_n").over(per_file.rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("_off"),
         F.sum("_n").over(Window.partitionBy("src_path")).alias("n_file_rows"))
-    files = global_ordinal(splits.select("src_file", "src_path").distinct(),
-                           [F.col("src_file"), F.col("src_path")], "file_rank")
+    # one row per file: numbered in one task when the listing bounds it
+    files = small_ordinal(splits.select("src_file", "src_path").distinct(),
+                          [F.col("src_file"), F.col("src_path")], "file_rank", n_files)
     splits = splits.join(files, ["src_file", "src_path"])
     if n_files is not None and n_files <= max_broadcast_splits:
         splits = F.broadcast(splits)

@@ -3,8 +3,9 @@
 Plain parquet has no UPDATE/MERGE/DELETE, so state is kept as facts and
 events (see ``operators.status``):
 
-* ``detail``         ledger rows, partitioned by ``date`` so the dedup probe
-                     reads only the days of an incoming drop;
+* ``detail``         ledger rows, partitioned by month (``ym`` = yyyyMM of
+                     ``date``) so the dedup probe reads only the months of an
+                     incoming drop;
 * ``detail_status``  check / forward / reset events keyed by detail id;
 * ``extract_rule``   small versioned snapshots ``v=<n>/``;
 * ``import_history``, ``asset_history``, ``outbox``  append-only.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 
 TABLES = {
-    "detail": (schemas.DETAIL, ["date"]),
+    "detail": (schemas.DETAIL, ["ym"]),
     "detail_status": (schemas.DETAIL_STATUS, []),
     "import_history": (schemas.IMPORT_HISTORY, []),
     "asset_history": (schemas.ASSET_HISTORY, []),
@@ -31,6 +32,11 @@ TABLES = {
 }
 
 
+def month_key(date_col):
+    """yyyyMM as an int: the partition value of a date."""
+    return (F.year(date_col) * 100 + F.month(date_col)).cast("int")
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     jpath = jvm.org.apache.hadoop.fs.Path(path)
@@ -70,6 +76,8 @@ class LedgerStore:
 
     def append(self, name: str, df: DataFrame) -> None:
         schema, parts = TABLES[name]
+        if "ym" in parts and "ym" not in df.columns:
+            df = df.withColumn("ym", month_key(F.col("date")))
         out = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
         w = out.write.mode("append")
         if parts:
