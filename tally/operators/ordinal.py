@@ -7,7 +7,7 @@ work instead:
 1. range-partition on the full ordering key and sort inside each partition,
    so a hot group is cut across many tasks;
 2. stamp each row with (partition id, record number in the partition) and
-   write the result once to the shared checkpoint folder. The rows of a
+   write the result once (parquet) to the shared checkpoint folder. The rows of a
    shuffle arrive in no fixed order, so a second evaluation could sample
    other range bounds; the written copy makes both uses below agree, and a
    lost executor re-reads it instead of recomputing the shuffle;
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import stage
 
 _LOCAL_MASK = (1 << 33) - 1  # monotonically_increasing_id keeps the record number in the low 33 bits
 
@@ -39,8 +39,7 @@ def _stamped(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     s = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
          .withColumn("_pid", F.spark_partition_id())
          .withColumn("_local", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOCAL_MASK))))
-    checkpoint_dir(df.sparkSession)
-    return s.checkpoint(eager=True)
+    return stage(s, "ordinal")
 
 
 def global_ordinal(df: DataFrame, order: list[Column], name: str = "ordinal",

@@ -45,6 +45,19 @@ def page(df: DataFrame, limit: int = DEFAULT_PAGE_SIZE, offset: int = 0,
     return ordered.offset(offset).limit(limit) if offset else ordered.limit(limit)
 
 
+def detail_page(detail: DataFrame, events: DataFrame, limit: int = DEFAULT_PAGE_SIZE,
+                offset: int = 0) -> DataFrame:
+    """T1 + F9 over the stored tables: the page is cut from ``detail`` first
+    (per-task top-k), then only the status events of those ids are read.
+    The page ids are at most offset+limit rows, so they are broadcast."""
+    from .status import current_status
+    rows = page(detail, limit, offset)
+    ids = F.broadcast(rows.select(F.col("id").alias("detail_id")))
+    st = current_status(events.join(ids, "detail_id", "left_semi"))
+    joined = rows.join(F.broadcast(st.drop("op")), rows["id"] == st["detail_id"], "left").drop("detail_id")
+    return detail_view(joined).orderBy(F.col("id").desc())
+
+
 def page_offset(page_no: int, per_page: int) -> int:
     """Page p (1-based) -> offset (p-1)*per_page."""
     return (max(page_no, 1) - 1) * per_page

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.parse import compact_date, to_json_record
 from ..operators import rules as R
 from ..operators import status as S
-from ..session import checkpoint_dir
+from ..session import stage
 from ..sources.store import LedgerStore
 
 # Fixed value: the outbound record's origin tag (configurable).
@@ -59,8 +59,7 @@ def classify_pending(spark: SparkSession, store: LedgerStore, *, run_date=None,
     seq = S.next_seq(events).first()[0]
     pend = S.pending(store.read("detail"), events)
     classified = R.classify(pend, store.rules(), row_id="id", strategy=strategy, on_invalid=on_invalid)
-    checkpoint_dir(spark)
-    classified = classified.checkpoint(eager=True)
+    classified = stage(classified, "classified")
     at = run_date if run_date is not None else F.current_date()
     out = outbox_records(classified, seq, source_tag)
     ev = S.judge_events(classified, at, seq)

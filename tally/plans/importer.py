@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..operators import dedup, validate
 from ..operators.ordinal import small_ordinal
-from ..session import checkpoint_dir
+from ..session import stage
 from ..sources.csv_scan import scan_asset_csv, scan_ledger_csv
 from ..sources.store import LedgerStore
 
@@ -42,8 +42,7 @@ class ImportResult:
 
 
 def _stage(df: DataFrame) -> DataFrame:
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return stage(df, "import")
 
 
 def _date_window(existing: DataFrame, incoming: DataFrame, partitioned: bool = False) -> DataFrame:

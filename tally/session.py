@@ -70,3 +70,13 @@ def staging_path(spark: SparkSession, name: str) -> str:
     base = checkpoint_dir(spark)
     import uuid
     return os.path.join(base, "staging", f"{name}-{uuid.uuid4().hex}")
+
+
+def stage(df, name: str = "stage"):
+    """Write ``df`` once as parquet under the shared checkpoint folder and
+    read it back: lineage is cut, a lost executor re-reads the files instead
+    of recomputing, and later reads prune columns."""
+    spark = df.sparkSession
+    path = staging_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
