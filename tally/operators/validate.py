@@ -102,6 +102,29 @@ def apply_policy(typed: DataFrame, policy: str = "abort") -> tuple[DataFrame, Da
     return rows, report
 
 
+def abort_cut(typed: DataFrame) -> int | None:
+    """M9 ``abort``: the rank of the first file with a bad row (None = all
+    good). One scalar from the per-file report."""
+    return (typed.filter(F.col("reject").isNotNull())
+            .agg(F.min("file_rank")).first()[0])
+
+
+def accepted(typed: DataFrame, policy: str, cut: int | None) -> tuple[DataFrame, DataFrame]:
+    """M9 with the cut already known: (accepted data rows, report)."""
+    report = file_report(typed)
+    if policy == "abort":
+        keep = F.lit(True) if cut is None else F.col("file_rank") < F.lit(cut)
+        report = report.withColumn("imported", keep)
+        rows = typed.filter(keep)
+    elif policy == "quarantine":
+        report = report.withColumn("imported", F.col("rejected_rows") == 0)
+        bad = report.filter(~F.col("imported")).select("src_path")
+        rows = typed.join(bad, "src_path", "left_anti")
+    else:
+        raise ValueError(f"unknown policy {policy!r}")
+    return rows.filter(~F.col("is_header") & F.col("reject").isNull()).drop("is_header", "reject"), report
+
+
 def rejects(typed: DataFrame) -> DataFrame:
     """The rejected records themselves (quarantine output)."""
     return typed.filter(F.col("reject").isNotNull())

@@ -3,20 +3,21 @@
 One DataFrame job per table for all files of the run (the source probes the
 database once per row). Flow for the ledger:
 
-    scan (S3) -> type + positions (F1-F3, C1, C2, W1) -> stage (checkpoint)
+    scan (S3) -> stage raw records -> positions + types (F1-F3, C1, C2, W1)
     -> policy (M9) -> first processed per key (A6)
-    -> |> stored keys of the same days (J1) -> ids (K5) -> append (K1)
+    -> |> stored keys of the same months (J1) -> stage -> ids (K5) -> append (K1)
     -> per-file counts (A2, A3) -> conditional history (M5) -> append (K2)
 
-The staged rows are the run's own input, written once to the shared
-checkpoint folder: every later branch reads them instead of re-parsing CSV,
-and a lost executor recomputes from the staged copy, not from the drop.
+Staged tables are written once (parquet) to the shared checkpoint folder:
+the CSV is parsed once, later branches read the columnar copy, and a lost
+executor re-reads it instead of recomputing from the drop.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +46,21 @@ def _stage(df: DataFrame) -> DataFrame:
     return stage(df, "import")
 
 
+_T0 = [0.0]
+
+
+def _lap(msg: str) -> None:
+    """Step timing on stderr when TALLY_PROFILE is set."""
+    import os
+    import sys
+    import time
+    if os.environ.get("TALLY_PROFILE"):
+        now = time.time()
+        if _T0[0]:
+            print(f"[tally] {msg}: {now - _T0[0]:.2f}s", file=sys.stderr, flush=True)
+        _T0[0] = now
+
+
 def _date_window(existing: DataFrame, incoming: DataFrame, partitioned: bool = False) -> DataFrame:
     """Restrict stored keys to the date range of the incoming rows. For the
     month-partitioned ``detail`` the same bounds on ``ym`` prune whole
@@ -78,28 +94,40 @@ def import_ledger(spark: SparkSession, store: LedgerStore, paths, *, job_label:
                   encoding: str = "utf8", collation: str | None = None,
                   raw: DataFrame | None = None) -> ImportResult:
     """M11. ``raw`` may carry an already positioned scan (streaming)."""
+    _T0[0] = 0.0
+    _lap("start")
     scanned = raw if raw is not None else scan_ledger_csv(spark, paths, encoding)
+    _lap("scan staged")
     n_files = len(paths) if paths else None
-    typed = _stage(validate.type_ledger(scanned, run_date))
-    rows, report = validate.apply_policy(typed, policy)
+    # typed rows are used by several actions; their lineage starts at the
+    # staged scan, so a recomputation after a lost block gives the same rows
+    typed = validate.type_ledger(scanned, run_date).persist(StorageLevel.MEMORY_AND_DISK)
+    cut = validate.abort_cut(typed) if policy == "abort" else None
+    rows, report = validate.accepted(typed, policy, cut)
     key = dedup.LEDGER_KEY
     rows = dedup.keyed(rows, key, collation)
     stored = _date_window(store.read("detail").select(*key, "ym"), rows, partitioned=True).select(*key)
     stored = dedup.keyed(stored, key, collation)
+    _lap("date window")
     inserted = dedup.import_plan(rows, stored, key, reverse_rows=True, dry_run=dry_run)
     duplicates = dedup.duplicate_rows(rows, stored, key)
     if not dry_run:
         base = store.read("detail").agg(F.coalesce(F.max("id"), F.lit(0)).alias("_base"))
         # assign_ids stages its ordered rows; what follows is cheap to rerun
+        inserted = _stage(inserted)
+        _lap("dedup + anti join staged")
         inserted = dedup.assign_ids(inserted.crossJoin(F.broadcast(base)), F.col("_base")).drop("_base")
+        _lap("ids staged")
         store.append("detail", inserted.withColumn("created_at", F.current_timestamp())
                      .withColumn("updated_at", F.current_timestamp()))
+        _lap("detail appended")
     counts = dedup.file_counts(rows, inserted)
     delta = dedup.ledger_history_delta(counts, store.read("import_history"))
     history = _history_rows(store, delta, job_label, n_files)
     if not dry_run:
         store.append("import_history", history)
-    _raise_if_aborted(report, policy)
+    _lap("history appended")
+    _finish(typed, cut, policy)
     return ImportResult(inserted, duplicates, counts, history, report, validate.rejects(typed))
 
 
@@ -111,15 +139,16 @@ def import_assets(spark: SparkSession, store: LedgerStore, paths, *, job_label:
     ``collation`` are accepted for a uniform call and unused (no text key)."""
     scanned = raw if raw is not None else scan_asset_csv(spark, paths, encoding)
     n_files = len(paths) if paths else None
-    typed = _stage(validate.type_asset(scanned))
-    rows, report = validate.apply_policy(typed, policy)
+    typed = validate.type_asset(scanned).persist(StorageLevel.MEMORY_AND_DISK)
+    cut = validate.abort_cut(typed) if policy == "abort" else None
+    rows, report = validate.accepted(typed, policy, cut)
     key = dedup.ASSET_KEY
     stored = _date_window(store.read("asset_history").select(*key), rows)
     inserted = dedup.import_plan(rows, stored, key, reverse_rows=False, dry_run=dry_run)
     duplicates = dedup.duplicate_rows(rows, stored, key)
     if not dry_run:
         base = store.read("asset_history").agg(F.coalesce(F.max("id"), F.lit(0)).alias("_base"))
-        inserted = dedup.assign_ids(inserted.crossJoin(F.broadcast(base)), F.col("_base"),
+        inserted = dedup.assign_ids(_stage(inserted).crossJoin(F.broadcast(base)), F.col("_base"),
                                     reverse_rows=False).drop("_base")
         store.append("asset_history", inserted.withColumn("created_at", F.current_timestamp())
                      .withColumn("updated_at", F.current_timestamp()))
@@ -127,16 +156,19 @@ def import_assets(spark: SparkSession, store: LedgerStore, paths, *, job_label:
     history = _history_rows(store, dedup.asset_history_delta(counts), job_label, n_files)
     if not dry_run:
         store.append("import_history", history)
-    _raise_if_aborted(report, policy)
+    _finish(typed, cut, policy)
     return ImportResult(inserted, duplicates, counts, history, report, validate.rejects(typed))
 
 
-def _raise_if_aborted(report: DataFrame, policy: str) -> None:
-    if policy != "abort":
-        return
-    bad = report.filter(~F.col("imported")).orderBy("file_rank").select("src_file").limit(1).collect()
-    if bad:
-        raise ImportAborted(f"file {bad[0][0]} has invalid rows; it and later files were not imported")
+def _finish(typed: DataFrame, cut: int | None, policy: str) -> None:
+    """Release the cached rows (the returned frames recompute from the staged
+    scan) and raise when the abort policy cut the run short."""
+    name = None
+    if policy == "abort" and cut is not None:
+        name = typed.filter(F.col("file_rank") == cut).select("src_file").first()[0]
+    typed.unpersist()
+    if name is not None:
+        raise ImportAborted(f"file {name} has invalid rows; it and later files were not imported")
 
 
 def import_drop(spark: SparkSession, store: LedgerStore, folder: str, **kw) -> dict[str, ImportResult]:

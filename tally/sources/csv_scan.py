@@ -98,18 +98,26 @@ def position_rows(raw: DataFrame, n_files: int | None = None,
 
 
 def scan_positioned(spark: SparkSession, paths: list[str] | str, schema,
-                    encoding: str = "utf8",
+                    encoding: str = "utf8", staged: bool = True,
                     max_broadcast_splits: int = MAX_BROADCAST_SPLITS) -> DataFrame:
+    """Scan + positions. With ``staged`` the raw records and their read-order
+    stamp are written once (parquet, shared checkpoint folder): the CSV is
+    parsed exactly once, the per-split counts and every later branch read the
+    columnar copy, and the stamp can no longer change under a re-execution."""
     raw = read_raw(spark, paths, schema, encoding)
     # multiLine CSV is never split, so splits == files, already listed for planning
-    return position_rows(raw, len(raw.inputFiles()), max_broadcast_splits)
+    n_files = len(raw.inputFiles())
+    if staged:
+        from ..session import stage
+        raw = stage(raw, "scan")
+    return position_rows(raw, n_files, max_broadcast_splits)
 
 
-def scan_ledger_csv(spark: SparkSession, paths, encoding: str = "utf8") -> DataFrame:
+def scan_ledger_csv(spark: SparkSession, paths, encoding: str = "utf8", staged: bool = True) -> DataFrame:
     """S3: 10 positional string columns + ``_corrupt`` + positions."""
-    return scan_positioned(spark, paths, LEDGER_CSV, encoding)
+    return scan_positioned(spark, paths, LEDGER_CSV, encoding, staged)
 
 
-def scan_asset_csv(spark: SparkSession, paths, encoding: str = "utf8") -> DataFrame:
+def scan_asset_csv(spark: SparkSession, paths, encoding: str = "utf8", staged: bool = True) -> DataFrame:
     """7 positional string columns + ``_corrupt`` + positions."""
-    return scan_positioned(spark, paths, ASSET_CSV, encoding)
+    return scan_positioned(spark, paths, ASSET_CSV, encoding, staged)
