@@ -45,6 +45,33 @@ def pending(detail: DataFrame, events: DataFrame) -> DataFrame:
     return detail.join(judged, "id", "left_anti")
 
 
+def pending_since(detail: DataFrame, events: DataFrame, hwm: int | None,
+                  max_broadcast_ids: int = 1_000_000) -> DataFrame:
+    """S7 without reading all of ``detail``: a classification batch judges
+    every row of its snapshot, so after the last batch (high-water mark
+    ``hwm`` = largest id it saw) a row is pending iff its id is above the mark
+    (a range filter that reaches the parquet row-group statistics) or its
+    latest event is a reset. Reset ids are few (manual operations); they
+    are broadcast when their counted number is below ``max_broadcast_ids``,
+    joined with a shuffle otherwise. ``hwm`` None = no batch yet: exact
+    anti-join form."""
+    if hwm is None:
+        return pending(detail, events)
+    resets = events.filter(F.col("op") == RESET).select("detail_id").distinct()
+    cand = events.join(resets, "detail_id", "left_semi")
+    reopened = (current_status(cand).filter(F.col("op") == RESET)
+                .select(F.col("detail_id").alias("id")).filter(F.col("id") <= F.lit(hwm)))
+    n = reopened.count()
+    side = F.broadcast(reopened) if n <= max_broadcast_ids else reopened
+    # rows above the mark judged by a batch that died before writing its mark
+    late = (current_status(events.filter(F.col("detail_id") > F.lit(hwm)))
+            .filter(F.col("op").isin(CHECK, FORWARD)).select(F.col("detail_id").alias("id")))
+    fresh = detail.filter(F.col("id") > F.lit(hwm)).join(late, "id", "left_anti")
+    if n == 0:
+        return fresh
+    return fresh.unionByName(detail.filter(F.col("id") <= F.lit(hwm)).join(side, "id", "left_semi"))
+
+
 def status_label(check_col="maw_check_date", regist_col="maw_regist_date"):
     """pending / judged / forwarded from the two nullable dates."""
     c, r = F.col(check_col), F.col(regist_col)

@@ -51,13 +51,27 @@ def detail_page(detail: DataFrame, events: DataFrame, limit: int = DEFAULT_PAGE_
     (per-task top-k), then only the status events of those ids are read.
     The page ids are at most offset+limit rows, so they are broadcast."""
     from .status import current_status
-    rows = page(detail, limit, offset)
+    rows = page(_newest(detail, limit + offset), limit, offset)
     ids = F.broadcast(rows.select(F.col("id").alias("detail_id")))
     st = current_status(events.join(ids, "detail_id", "left_semi"))
     joined = rows.join(F.broadcast(st.drop("op")), rows["id"] == st["detail_id"], "left").drop("detail_id")
     return detail_view(joined).orderBy(F.col("id").desc())
 
 
+def _newest(detail: DataFrame, need: int) -> DataFrame:
+    """Ids are dense and ascend with insertion, so the newest ``need`` rows
+    sit in the id range (max - need, max]. Reading that range lets the
+    filter reach the parquet row-group statistics instead of scanning the
+    table; when the range holds fewer rows (gaps), the whole table is used."""
+    if need <= 0:
+        return detail
+    top = detail.agg(F.max("id")).first()[0]  # from footers (aggregate pushdown)
+    if top is None:
+        return detail
+    cand = detail.filter(F.col("id") > F.lit(top - need))
+    return cand if cand.count() >= need else detail
+
+
 def page_offset(page_no: int, per_page: int) -> int:
     """Page p (1-based) -> offset (p-1)*per_page."""
     return (max(page_no, 1) - 1) * per_page

@@ -2,9 +2,14 @@
 
 Order of writes makes a retry exactly-once at table level: the batch number
 ``seq`` is derived from the status table, the outbox is written first and
-anti-joined on (detail_id, seq), then the status events. A run that died
-between the two writes re-derives the same ``seq`` and skips the outbox rows
-it already wrote.
+anti-joined on (detail_id, seq), then the status events, then the batch's
+high-water mark. A run that died between the writes re-derives the same
+``seq`` and skips the outbox rows it already wrote; without its mark the
+next run falls back to the previous mark, which only widens the scan.
+
+Pending rows come from the last high-water mark (``status.pending_since``):
+ids above it, plus rows whose latest event is a reset. One writer at a time
+is assumed (imports and classifications do not overlap).
 """
 
 from __future__ import annotations
@@ -57,7 +62,13 @@ def classify_pending(spark: SparkSession, store: LedgerStore, *, run_date=None,
                      on_invalid: str = "abort", source_tag: str = DEFAULT_SOURCE_TAG) -> ClassifyResult:
     events = store.read("detail_status")
     seq = S.next_seq(events).first()[0]
-    pend = S.pending(store.read("detail"), events)
+    runs = store.read("classify_run")
+    hwm = runs.agg(F.max_by("hwm", "seq")).first()[0] if store.exists("classify_run") else None
+    detail = store.read("detail")
+    snap_max = detail.agg(F.max("id")).first()[0]  # the snapshot this batch judges
+    if snap_max is not None:
+        detail = detail.filter(F.col("id") <= F.lit(snap_max))
+    pend = S.pending_since(detail, events, hwm)
     classified = R.classify(pend, store.rules(), row_id="id", strategy=strategy, on_invalid=on_invalid)
     classified = stage(classified, "classified")
     at = run_date if run_date is not None else F.current_date()
@@ -65,9 +76,16 @@ def classify_pending(spark: SparkSession, store: LedgerStore, *, run_date=None,
     ev = S.judge_events(classified, at, seq)
     if dry_run:
         return ClassifyResult(classified, out, ev, seq)
-    written = out.join(store.read("outbox").select("detail_id", "seq"), ["detail_id", "seq"], "left_anti")
-    store.append("outbox", written)
+    # only a retry of this very batch can collide: read the outbox at seq only
+    prior = store.read("outbox").filter(F.col("seq") == F.lit(seq)).select("detail_id", "seq")
+    store.append("outbox", out.join(prior, ["detail_id", "seq"], "left_anti"))
     store.append("detail_status", ev)
+    counts = classified.agg(F.count(F.lit(1)).alias("judged"),
+                            F.count("category_id").alias("forwarded"))
+    store.append("classify_run", counts.select(
+        F.lit(seq).cast("long").alias("seq"),
+        F.lit(snap_max if snap_max is not None else hwm).cast("long").alias("hwm"),
+        "judged", "forwarded", F.lit(at).cast("date").alias("at")))
     return ClassifyResult(classified, out, ev, seq)
 
 

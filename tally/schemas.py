@@ -83,6 +83,15 @@ ASSET_HISTORY = T.StructType([
     T.StructField("updated_at", T.TimestampType(), True),
 ])
 
+# one row per classification batch: everything with id <= hwm was judged
+CLASSIFY_RUN = T.StructType([
+    T.StructField("seq", T.LongType(), False),
+    T.StructField("hwm", T.LongType(), True),
+    T.StructField("judged", T.LongType(), True),
+    T.StructField("forwarded", T.LongType(), True),
+    T.StructField("at", T.DateType(), True),
+])
+
 OUTBOX = T.StructType([
     T.StructField("detail_id", T.LongType(), False),
     T.StructField("seq", T.LongType(), False),

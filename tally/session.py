@@ -17,6 +17,8 @@ ENGINE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # MAX(id) / MAX(seq) of the append-only tables from parquet footers
+    "spark.sql.parquet.aggregatePushdown": "true",
 }
 
 

@@ -8,7 +8,8 @@ events (see ``operators.status``):
                      incoming drop;
 * ``detail_status``  check / forward / reset events keyed by detail id;
 * ``extract_rule``   small versioned snapshots ``v=<n>/``;
-* ``import_history``, ``asset_history``, ``outbox``  append-only.
+* ``import_history``, ``asset_history``, ``outbox``, ``classify_run``
+                     append-only.
 
 Every write is one Spark job per table; a failed job leaves no partial
 snapshot behind because readers list only committed files.
@@ -29,6 +30,7 @@ TABLES = {
     "import_history": (schemas.IMPORT_HISTORY, []),
     "asset_history": (schemas.ASSET_HISTORY, []),
     "outbox": (schemas.OUTBOX, []),
+    "classify_run": (schemas.CLASSIFY_RUN, []),
 }
 
 
