@@ -317,3 +317,31 @@ SELECT job_label, max(id) AS run_id, arg_max(parsed_entry_num, id) AS parsed_ent
        arg_max(new_entry_num, id) AS new_entry_num
 FROM h GROUP BY job_label""",
 })
+
+
+ORACLE_SQL.update({
+    "classify_pending_run": """
+WITH types AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS r
+               FROM (SELECT DISTINCT event_type FROM events)),
+rules AS (SELECT r + 1 AS rid, substr(event_type, 2, 3) AS v, CAST(r + 100 AS BIGINT) AS c
+          FROM types WHERE r % 2 = 0),
+p AS (SELECT event_id + 1 AS detail_id, CAST(ts AS DATE) AS date, event_type AS name,
+             CAST(floor(value) AS BIGINT) AS price, format('seg{}', user_id % 7) AS m_category
+      FROM events WHERE event_type <> 'error'),
+c AS (SELECT p.*, coalesce((SELECT arg_min(c, rid) FROM rules WHERE contains(p.name, v)),
+                           CASE WHEN m_category = 'seg3' THEN CAST(300 AS BIGINT) END) AS category_id
+      FROM p)
+SELECT detail_id, CAST(2 AS BIGINT) AS seq, category_id, strftime(date, '%Y%m%d') AS datetime, price,
+       name AS memo
+FROM c WHERE category_id IS NOT NULL""",
+    "import_assets_e2e": """
+WITH a AS (
+  SELECT CAST(o_orderdate AS DATE) AS date, CAST(sum(floor(o_totalprice)) AS BIGINT) AS total_amount,
+         count(*) AS points
+  FROM orders GROUP BY 1)
+SELECT date, total_amount, CAST(floor(total_amount / 2) AS BIGINT) AS cash_deposit_crypto,
+       CAST(0 AS BIGINT) AS stocks, CAST(total_amount - floor(total_amount / 2) AS BIGINT) AS investment_trusts,
+       CAST(points AS BIGINT) AS points,
+       (SELECT count(DISTINCT year(o_orderdate)) FROM orders) AS history_rows
+FROM a""",
+})
