@@ -75,11 +75,12 @@ def _exact_match(rows: DataFrame, dictionary: DataFrame, field: str, out: str) -
 
 
 def _contains_array(rows: DataFrame, dictionary: DataFrame, field: str, out: str) -> DataFrame:
+    # a scalar subquery: evaluated once, shipped to every task as a value
     arr = (dictionary.filter((F.col("field_name") == field) & ~F.col("exact"))
-           .agg(F.sort_array(F.collect_list(F.struct(F.col("rule_id"), F.col("value"), F.col("category_id"))))
-                .alias(f"_rs_{out}")))  # exactly one row, even with no rules
+           .agg(F.sort_array(F.collect_list(F.struct(F.col("rule_id"), F.col("value"), F.col("category_id")))))
+           .scalar())  # exactly one row, even with no rules
     hits = F.filter(F.col(f"_rs_{out}"), lambda r: F.contains(F.col(field), r["value"]))
-    return (rows.crossJoin(F.broadcast(arr))
+    return (rows.withColumn(f"_rs_{out}", arr)
             .withColumn(out, F.try_element_at(hits, F.lit(1))["category_id"])
             .drop(f"_rs_{out}"))
 
@@ -88,28 +89,31 @@ def _contains_join(rows: DataFrame, dictionary: DataFrame, field: str, out: str,
     part = (dictionary.filter((F.col("field_name") == field) & ~F.col("exact"))
             .select(F.col("rule_id"), F.col("value"), F.col("category_id"),
                     F.length("value").alias("_len")))
-    # empty value matches every row: the lowest such id is one scalar row
-    empty = part.filter(F.col("_len") == 0).agg(
-        F.min_by(F.col("category_id"), F.col("rule_id")).alias("_ec"),
-        F.min("rule_id").alias("_eid"))
+    # empty value matches every row: the lowest such rule is one scalar
+    empty = part.filter(F.col("_len") == 0)
+    e_cat = empty.agg(F.min_by(F.col("category_id"), F.col("rule_id"))).scalar()
+    e_id = empty.agg(F.min("rule_id")).scalar()
     nonempty = part.filter(F.col("_len") > 0)
-    lengths = nonempty.select("_len").distinct()  # at most the longest rule value
-    text = F.col(field)
-    cand = (rows.select(F.col(row_id).alias("_rid"), text.alias("_t"))
-            .join(F.broadcast(lengths), F.length("_t") >= F.col("_len"))
+    # distinct rule lengths: at most the longest rule value, one scalar array
+    lengths = nonempty.agg(F.sort_array(F.collect_set("_len"))).scalar()
+    cand = (rows.select(F.col(row_id).alias("_rid"), F.col(field).alias("_t"))
+            .withColumn("_lens", lengths)
+            .select("_rid", "_t", F.explode("_lens").alias("_len"))
+            .filter(F.length("_t") >= F.col("_len"))
             .withColumn("_i", F.explode(F.sequence(F.lit(1), F.length("_t") - F.col("_len") + 1)))
             .select("_rid", "_len", F.expr("substring(_t, _i, _len)").alias("value")))
     hits = (cand.join(nonempty, ["_len", "value"])
             .groupBy("_rid").agg(F.min_by(F.struct("rule_id", "category_id"), F.col("rule_id")).alias("_h")))
+    # keep the lower id of a substring hit and an empty-value rule
     best = (hits.select("_rid", F.col("_h.rule_id").alias("_hid"), F.col("_h.category_id").alias("_hc"))
-            .crossJoin(F.broadcast(empty))  # keep the lower id of a substring hit and an empty rule
+            .withColumn("_eid", e_id).withColumn("_ec", e_cat)
             .select(F.col("_rid"),
                     F.when(F.col("_eid").isNotNull() & (F.col("_eid") < F.col("_hid")), F.col("_ec"))
                     .otherwise(F.col("_hc")).alias(out)))
     return (rows.join(best, rows[row_id] == best["_rid"], "left").drop("_rid")
-            .crossJoin(F.broadcast(empty))
+            .withColumn("_ec", e_cat)
             .withColumn(out, F.coalesce(F.col(out), F.col("_ec")))
-            .drop("_ec", "_eid"))
+            .drop("_ec"))
 
 
 def classify(rows: DataFrame, rules: DataFrame, row_id: str = "id",

@@ -112,13 +112,12 @@ def add_rules(rules: DataFrame, requests: DataFrame, order_col: str | None = Non
     order when omitted); duplicates are allowed. Returns the new snapshot
     (old rows + added)."""
     from .ordinal import global_ordinal
-    base = rules.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_base"))
+    base = rules.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
     if order_col is None:
         requests = requests.withColumn("_req_idx", F.monotonically_increasing_id())
         order_col = "_req_idx"
     added = (global_ordinal(requests, [F.col(order_col)], "_o")
-             .crossJoin(F.broadcast(base))
-             .select((F.col("_base") + F.col("_o") + 1).cast("long").alias("id"),
+             .select((base + F.col("_o") + 1).cast("long").alias("id"),
                      F.col("fieldName").alias("field_name"),
                      F.col("value"),
                      F.col("exactMatch").cast("int").alias("exact_match"),

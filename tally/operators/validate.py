@@ -82,19 +82,16 @@ def apply_policy(typed: DataFrame, policy: str = "abort") -> tuple[DataFrame, Da
 
     ``abort``: one bad row rejects its file and every later file; earlier
     files are still imported. ``quarantine``: only the bad files are held back.
-    The cut-off rank is a one-row aggregate, joined lazily (no collect)."""
+    The cut-off rank is a scalar subquery (no collect, no join)."""
     if policy not in ("abort", "quarantine"):
         raise ValueError(f"unknown policy {policy!r}")
     report = file_report(typed)
     bad = report.filter(F.col("rejected_rows") > 0)
     if policy == "abort":
-        cut = bad.agg(F.min("file_rank").alias("_cut"))  # exactly one row
-        report = (report.crossJoin(F.broadcast(cut))
-                  .withColumn("imported", F.col("_cut").isNull() | (F.col("file_rank") < F.col("_cut")))
-                  .drop("_cut"))
-        rows = (typed.crossJoin(F.broadcast(cut))
-                .filter(F.col("_cut").isNull() | (F.col("file_rank") < F.col("_cut")))
-                .drop("_cut"))
+        cut = bad.agg(F.min("file_rank")).scalar()  # one value, evaluated once
+        keep = cut.isNull() | (F.col("file_rank") < cut)
+        report = report.withColumn("imported", keep)
+        rows = typed.filter(keep)
     else:
         report = report.withColumn("imported", F.col("rejected_rows") == 0)
         rows = typed.join(bad.select("src_path"), "src_path", "left_anti")

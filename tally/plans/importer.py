@@ -78,10 +78,10 @@ def _date_window(existing: DataFrame, incoming: DataFrame, partitioned: bool = F
 def _history_rows(store: LedgerStore, delta: DataFrame, job_label: str | None,
                   n_files: int | None) -> DataFrame:
     """One row per file of the run (so ``n_files`` bounds it)."""
-    base = store.read("import_history").agg(F.coalesce(F.max("id"), F.lit(0)).alias("_base"))
+    base = store.read("import_history").agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
     ordered = small_ordinal(delta, [F.col("file_rank")], "_o", n_files)
-    return (ordered.crossJoin(F.broadcast(base))
-            .select((F.col("_base") + F.col("_o") + 1).cast("long").alias("id"),
+    return (ordered
+            .select((base + F.col("_o") + 1).cast("long").alias("id"),
                     F.lit(job_label).cast("string").alias("job_label"),
                     F.col("parsed_entry_num").cast("long"), F.col("new_entry_num").cast("long"),
                     F.col("src_file"),
@@ -112,11 +112,11 @@ def import_ledger(spark: SparkSession, store: LedgerStore, paths, *, job_label:
     inserted = dedup.import_plan(rows, stored, key, reverse_rows=True, dry_run=dry_run)
     duplicates = dedup.duplicate_rows(rows, stored, key)
     if not dry_run:
-        base = store.read("detail").agg(F.coalesce(F.max("id"), F.lit(0)).alias("_base"))
+        base = store.read("detail").agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
         # assign_ids stages its ordered rows; what follows is cheap to rerun
         inserted = _stage(inserted)
         _lap("dedup + anti join staged")
-        inserted = dedup.assign_ids(inserted.crossJoin(F.broadcast(base)), F.col("_base")).drop("_base")
+        inserted = dedup.assign_ids(inserted, base)
         _lap("ids staged")
         store.append("detail", inserted.withColumn("created_at", F.current_timestamp())
                      .withColumn("updated_at", F.current_timestamp()))
@@ -147,9 +147,8 @@ def import_assets(spark: SparkSession, store: LedgerStore, paths, *, job_label:
     inserted = dedup.import_plan(rows, stored, key, reverse_rows=False, dry_run=dry_run)
     duplicates = dedup.duplicate_rows(rows, stored, key)
     if not dry_run:
-        base = store.read("asset_history").agg(F.coalesce(F.max("id"), F.lit(0)).alias("_base"))
-        inserted = dedup.assign_ids(_stage(inserted).crossJoin(F.broadcast(base)), F.col("_base"),
-                                    reverse_rows=False).drop("_base")
+        base = store.read("asset_history").agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+        inserted = dedup.assign_ids(_stage(inserted), base, reverse_rows=False)
         store.append("asset_history", inserted.withColumn("created_at", F.current_timestamp())
                      .withColumn("updated_at", F.current_timestamp()))
     counts = dedup.file_counts(rows, inserted)

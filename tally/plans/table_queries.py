@@ -262,9 +262,8 @@ def q_history_delta(spark, sf_dir):
 def q_assign_ids(spark, sf_dir):
     existing, incoming = _events_split(spark, sf_dir)
     new = dedup.import_plan(incoming, existing, dedup.LEDGER_KEY)
-    base = existing.agg(F.max("event_id").alias("_base"))
-    return (dedup.assign_ids(new.crossJoin(F.broadcast(base)), F.col("_base"))
-            .select("event_id", "id"))
+    base = existing.agg(F.max("event_id")).scalar()
+    return dedup.assign_ids(new, base).select("event_id", "id")
 
 
 def q_asset_new_dates(spark, sf_dir):
@@ -644,10 +643,10 @@ def q_import_assets_e2e(spark, sf_dir):
     import_assets(spark, store, paths, job_label="assets")
     newest = sorted(paths)[-1]
     import_assets(spark, store, [newest], job_label="assets")  # all dates known: no insert, no history
-    hist = store.read("import_history").agg(F.count(F.lit(1)).alias("history_rows"))
-    return (store.read("asset_history").crossJoin(hist)
-            .select("date", "total_amount", "cash_deposit_crypto", "stocks", "investment_trusts",
-                    "points", "history_rows"))
+    hist = store.read("import_history").agg(F.count(F.lit(1))).scalar()
+    return store.read("asset_history").select(
+        "date", "total_amount", "cash_deposit_crypto", "stocks", "investment_trusts", "points",
+        hist.alias("history_rows"))
 
 
 QUERIES.update({
