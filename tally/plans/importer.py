@@ -114,8 +114,7 @@ def import_ledger(spark: SparkSession, store: LedgerStore, paths, *, job_label:
     if not dry_run:
         base = store.read("detail").agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
         # assign_ids stages its ordered rows; what follows is cheap to rerun
-        inserted = _stage(inserted)
-        _lap("dedup + anti join staged")
+        # assign_ids writes the ordered rows once; no separate staging before it
         inserted = dedup.assign_ids(inserted, base)
         _lap("ids staged")
         store.append("detail", inserted.withColumn("created_at", F.current_timestamp())

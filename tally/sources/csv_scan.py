@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import ASSET_CSV, CORRUPT, LEDGER_CSV
-from ..operators.ordinal import small_ordinal
+from ..operators.ordinal import SMALL_TABLE_ROWS, global_ordinal
 
 # Accepted charset names (fixed values): case-insensitive.
 ENCODINGS = {"utf8": "UTF-8", "sjis": "Shift_JIS"}
@@ -79,17 +79,22 @@ def position_rows(raw: DataFrame, n_files: int | None = None,
     splits = (raw.select("src_path", "src_file", "_block", "_mid")
               .groupBy("src_path", "src_file", "_block")
               .agg(F.min("_mid").alias("_base"), F.count(F.lit(1)).alias("_n")))
-    # one row per split; a file has few splits, so this window is small
     per_file = Window.partitionBy("src_path").orderBy("_block")
-    splits = splits.select(
-        "src_path", "src_file", "_block", "_base",
-        F.coalesce(F.sum("_n").over(per_file.rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_off"),
-        F.sum("_n").over(Window.partitionBy("src_path")).alias("n_file_rows"))
-    # one row per file: numbered in one task when the listing bounds it
-    files = small_ordinal(splits.select("src_file", "src_path").distinct(),
-                          [F.col("src_file"), F.col("src_path")], "file_rank", n_files)
-    splits = splits.join(files, ["src_file", "src_path"])
+    prefix = F.coalesce(F.sum("_n").over(per_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("_n").over(Window.partitionBy("src_path"))
+    if n_files is not None and n_files <= SMALL_TABLE_ROWS:
+        # one row per split, bounded by the listing: number the files in one
+        # task; the per-file windows then need no further exchange
+        rank = F.dense_rank().over(Window.orderBy("src_file", "src_path")) - 1
+        splits = (splits.withColumn("file_rank", rank)
+                  .select("src_path", "src_file", "_block", "_base", "file_rank",
+                          prefix.alias("_off"), total.alias("n_file_rows")))
+    else:
+        splits = splits.select("src_path", "src_file", "_block", "_base",
+                               prefix.alias("_off"), total.alias("n_file_rows"))
+        files = global_ordinal(splits.select("src_file", "src_path").distinct(),
+                               [F.col("src_file"), F.col("src_path")], "file_rank")
+        splits = splits.join(files, ["src_file", "src_path"])
     if n_files is not None and n_files <= max_broadcast_splits:
         splits = F.broadcast(splits)
     return (raw.join(splits, ["src_path", "src_file", "_block"])
@@ -98,12 +103,14 @@ def position_rows(raw: DataFrame, n_files: int | None = None,
 
 
 def scan_positioned(spark: SparkSession, paths: list[str] | str, schema,
-                    encoding: str = "utf8", staged: bool = True,
+                    encoding: str = "utf8", staged: bool = False,
                     max_broadcast_splits: int = MAX_BROADCAST_SPLITS) -> DataFrame:
-    """Scan + positions. With ``staged`` the raw records and their read-order
-    stamp are written once (parquet, shared checkpoint folder): the CSV is
-    parsed exactly once, the per-split counts and every later branch read the
-    columnar copy, and the stamp can no longer change under a re-execution."""
+    """Scan + positions. The read-order stamp is the same in every scan of
+    unchanged files (same splits, same record order), so by default the CSV
+    is parsed twice (per-split counts, then rows), which measured cheaper than
+    a written copy. With ``staged`` the raw records and their stamp are
+    written once (parquet, shared checkpoint folder) instead, for drops whose
+    files may change while the job runs."""
     raw = read_raw(spark, paths, schema, encoding)
     # multiLine CSV is never split, so splits == files, already listed for planning
     n_files = len(raw.inputFiles())
@@ -113,11 +120,11 @@ def scan_positioned(spark: SparkSession, paths: list[str] | str, schema,
     return position_rows(raw, n_files, max_broadcast_splits)
 
 
-def scan_ledger_csv(spark: SparkSession, paths, encoding: str = "utf8", staged: bool = True) -> DataFrame:
+def scan_ledger_csv(spark: SparkSession, paths, encoding: str = "utf8", staged: bool = False) -> DataFrame:
     """S3: 10 positional string columns + ``_corrupt`` + positions."""
     return scan_positioned(spark, paths, LEDGER_CSV, encoding, staged)
 
 
-def scan_asset_csv(spark: SparkSession, paths, encoding: str = "utf8", staged: bool = True) -> DataFrame:
+def scan_asset_csv(spark: SparkSession, paths, encoding: str = "utf8", staged: bool = False) -> DataFrame:
     """7 positional string columns + ``_corrupt`` + positions."""
     return scan_positioned(spark, paths, ASSET_CSV, encoding, staged)
