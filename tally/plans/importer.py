@@ -182,3 +182,24 @@ def import_drop(spark: SparkSession, store: LedgerStore, folder: str, **kw) -> d
         fn = import_ledger if kind == "ledger" else import_assets
         out[kind] = fn(spark, store, paths, **kw)
     return out
+
+
+
+def import_prefix(spark: SparkSession, store: LedgerStore, prefix: str, **kw) -> dict[str, ImportResult]:
+    """S6 + S1 + S2: every ``.csv`` object under ``prefix`` (recursively),
+    taken as if landed in one folder by basename: on a basename collision
+    the last key in key order wins. Then routing and import as in
+    ``import_drop``."""
+    from ..sources.manifest import flatten_by_basename, list_csv, route
+    from ..sources.store import qualify
+    keys = list_csv(spark, prefix, recursive=True).select(F.col("path").alias("key"))
+    survivors = flatten_by_basename(keys, qualify(spark, prefix) + "/")
+    routed = route(survivors.withColumnRenamed("key", "path"), name_col="basename")
+    out = {}
+    for kind in ("ledger", "asset"):
+        # the file list is the run's manifest (one row per file)
+        paths = [r.path for r in routed.filter(F.col("kind") == kind).select("path").collect()]
+        if paths:
+            fn = import_ledger if kind == "ledger" else import_assets
+            out[kind] = fn(spark, store, paths, **kw)
+    return out

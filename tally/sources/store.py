@@ -45,6 +45,12 @@ def _fs(spark: SparkSession, path: str):
     return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jpath
 
 
+def qualify(spark: SparkSession, path: str) -> str:
+    """Fully qualified form of ``path`` (scheme included), as listings give it."""
+    fs, p = _fs(spark, path)
+    return str(fs.makeQualified(p).toString()).rstrip("/")
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     fs, p = _fs(spark, path)
     return bool(fs.exists(p))

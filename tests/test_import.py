@@ -205,3 +205,24 @@ def test_collation_key_option(spark, workdir):
     assert import_ledger(spark, store, [p2], dry_run=True).inserted.count() == 1
     res = import_ledger(spark, store, [p2], dry_run=True, collation="UNICODE_CI_AI_RTRIM")
     assert res.inserted.count() == 0
+
+
+def test_bom_header_is_recognised(spark, workdir):
+    p = write(f"{workdir}/cf.csv", "﻿" + CF)
+    rows = typed_rows(spark, [p]).orderBy("row_idx").collect()
+    assert rows[0].is_header and [r.yyyymm_id for r in rows[1:]] == [3, 2, 1]
+    assert all(r.reject is None for r in rows)
+
+
+def test_import_prefix_flattens_by_basename(spark, workdir):
+    from tally.plans.importer import import_prefix
+    store = LedgerStore(spark, f"{workdir}/store")
+    root = f"{workdir}/bucket/cfo"
+    write(f"{root}/2025/01/cf.csv", ",2024/07/19,OLD,-1,i,l,m,,,\n")
+    write(f"{root}/sub/cf.csv", ",2024/07/19,NEW,-1,i,l,m,,,\n")      # same basename, later key: wins
+    write(f"{root}/sub/asset_history.csv", "2025-08-02,1,1,0,1,1,x\n")
+    write(f"{root}/dummy.csv", "x\n")
+    out = import_prefix(spark, store, root + "/", job_label="s3")
+    assert set(out) == {"ledger", "asset"}
+    assert [d.name for d in store.read("detail").collect()] == ["NEW"]
+    assert store.read("asset_history").count() == 1
