@@ -72,8 +72,10 @@ def _newest(detail: DataFrame, need: int) -> DataFrame:
     return cand if cand.count() >= need else detail
 
 
-def page_offset(page_no: int, per_page: int) -> int:
-    """Page p (1-based) -> offset (p-1)*per_page."""
+def page_offset(page_no: int, per_page: int, total_pages: int | None = None) -> int:
+    """Page p (1-based, clamped to [1, total_pages]) -> offset (p-1)*per_page."""
+    if total_pages is not None:
+        page_no = min(page_no, max(total_pages, 1))
     return (max(page_no, 1) - 1) * per_page
 
 

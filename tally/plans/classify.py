@@ -89,6 +89,17 @@ def classify_pending(spark: SparkSession, store: LedgerStore, *, run_date=None,
     return ClassifyResult(classified, out, ev, seq)
 
 
+RESET_OPERATION = "reset"  # fixed value: the only operation a detail accepts
+
+
+def patch_details(spark: SparkSession, store: LedgerStore, ids: DataFrame, operation: str,
+                  run_date=None) -> int:
+    """M2 entry point: only the ``reset`` operation is defined."""
+    if operation != RESET_OPERATION:
+        raise ValueError(f"not defined operation: {operation!r}")
+    return reset_details(spark, store, ids, run_date)
+
+
 def reset_details(spark: SparkSession, store: LedgerStore, ids: DataFrame, run_date=None) -> int:
     """M2: reset a DataFrame of ids to pending. Returns the batch number."""
     events = store.read("detail_status")

@@ -91,12 +91,12 @@ def _history_rows(store: LedgerStore, delta: DataFrame, job_label: str | None,
 
 def import_ledger(spark: SparkSession, store: LedgerStore, paths, *, job_label: str | None = None,
                   run_date=None, dry_run: bool = False, policy: str = "abort",
-                  encoding: str = "utf8", collation: str | None = None,
+                  encoding: str = "utf8", collation: str | None = None, multiline: bool = True,
                   raw: DataFrame | None = None) -> ImportResult:
     """M11. ``raw`` may carry an already positioned scan (streaming)."""
     _T0[0] = 0.0
     _lap("start")
-    scanned = raw if raw is not None else scan_ledger_csv(spark, paths, encoding)
+    scanned = raw if raw is not None else scan_ledger_csv(spark, paths, encoding, multiline=multiline)
     _lap("scan staged")
     n_files = len(paths) if paths else None
     # typed rows are used by several actions; their lineage starts at the
@@ -132,11 +132,12 @@ def import_ledger(spark: SparkSession, store: LedgerStore, paths, *, job_label:
 
 def import_assets(spark: SparkSession, store: LedgerStore, paths, *, job_label: str | None = None,
                   run_date=None, dry_run: bool = False, policy: str = "abort", encoding: str = "utf8",
-                  collation: str | None = None, raw: DataFrame | None = None) -> ImportResult:
+                  collation: str | None = None, multiline: bool = True,
+                  raw: DataFrame | None = None) -> ImportResult:
     """Same flow keyed by date; first row of a file wins (no reversal);
     history only when a row was inserted (M6). ``run_date`` and
     ``collation`` are accepted for a uniform call and unused (no text key)."""
-    scanned = raw if raw is not None else scan_asset_csv(spark, paths, encoding)
+    scanned = raw if raw is not None else scan_asset_csv(spark, paths, encoding, multiline=multiline)
     n_files = len(paths) if paths else None
     typed = validate.type_asset(scanned).persist(StorageLevel.MEMORY_AND_DISK)
     cut = validate.abort_cut(typed) if policy == "abort" else None

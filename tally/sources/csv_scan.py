@@ -41,13 +41,13 @@ def resolve_encoding(name: str | None) -> str:
     return ENCODINGS[key]
 
 
-def _reader(spark: SparkSession, schema, encoding: str):
+def _reader(spark: SparkSession, schema, encoding: str, multiline: bool = True):
     charset = resolve_encoding(encoding)
     if charset != "UTF-8":
         # Spark 4 refuses legacy charsets unless this is on
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     return (spark.read.schema(schema)
-            .option("multiLine", "true")
+            .option("multiLine", "true" if multiline else "false")
             .option("quote", '"').option("escape", '"')
             .option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", CORRUPT)
@@ -55,10 +55,15 @@ def _reader(spark: SparkSession, schema, encoding: str):
 
 
 def read_raw(spark: SparkSession, paths: list[str] | str, schema,
-             encoding: str = "utf8") -> DataFrame:
-    """The bare scan: positional strings + ``_corrupt`` + file metadata."""
+             encoding: str = "utf8", multiline: bool = True) -> DataFrame:
+    """The bare scan: positional strings + ``_corrupt`` + file metadata.
+
+    ``multiline`` (default) follows RFC-4180 quoted newlines; Spark then reads
+    each file in one task. For drops without quoted newlines,
+    ``multiline=False`` lets Spark split a large file into blocks read by
+    many tasks; positions stay exact through the per-split offsets."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    return with_file_meta(_reader(spark, schema, encoding).csv(paths))
+    return with_file_meta(_reader(spark, schema, encoding, multiline).csv(paths))
 
 
 def with_file_meta(df: DataFrame) -> DataFrame:
@@ -71,7 +76,8 @@ def with_file_meta(df: DataFrame) -> DataFrame:
 
 
 def position_rows(raw: DataFrame, n_files: int | None = None,
-                  max_broadcast_splits: int = MAX_BROADCAST_SPLITS) -> DataFrame:
+                  max_broadcast_splits: int = MAX_BROADCAST_SPLITS,
+                  splits_bounded: bool = True) -> DataFrame:
     """Add file_rank, row_idx, n_file_rows to a scan of ``with_file_meta``.
 
     ``n_files`` (from the file listing) bounds the per-split table; without
@@ -95,7 +101,7 @@ def position_rows(raw: DataFrame, n_files: int | None = None,
         files = global_ordinal(splits.select("src_file", "src_path").distinct(),
                                [F.col("src_file"), F.col("src_path")], "file_rank")
         splits = splits.join(files, ["src_file", "src_path"])
-    if n_files is not None and n_files <= max_broadcast_splits:
+    if splits_bounded and n_files is not None and n_files <= max_broadcast_splits:
         splits = F.broadcast(splits)
     return (raw.join(splits, ["src_path", "src_file", "_block"])
             .withColumn("row_idx", F.col("_off") + F.col("_mid") - F.col("_base"))
@@ -103,7 +109,7 @@ def position_rows(raw: DataFrame, n_files: int | None = None,
 
 
 def scan_positioned(spark: SparkSession, paths: list[str] | str, schema,
-                    encoding: str = "utf8", staged: bool = False,
+                    encoding: str = "utf8", staged: bool = False, multiline: bool = True,
                     max_broadcast_splits: int = MAX_BROADCAST_SPLITS) -> DataFrame:
     """Scan + positions. The read-order stamp is the same in every scan of
     unchanged files (same splits, same record order), so by default the CSV
@@ -111,20 +117,23 @@ def scan_positioned(spark: SparkSession, paths: list[str] | str, schema,
     a written copy. With ``staged`` the raw records and their stamp are
     written once (parquet, shared checkpoint folder) instead, for drops whose
     files may change while the job runs."""
-    raw = read_raw(spark, paths, schema, encoding)
-    # multiLine CSV is never split, so splits == files, already listed for planning
-    n_files = len(raw.inputFiles())
+    raw = read_raw(spark, paths, schema, encoding, multiline)
+    n_files = len(raw.inputFiles())  # already listed for planning
     if staged:
         from ..session import stage
         raw = stage(raw, "scan")
-    return position_rows(raw, n_files, max_broadcast_splits)
+    # multiLine CSV is never split, so splits == files and the listing bounds
+    # the per-split table; split files leave its size to AQE
+    return position_rows(raw, n_files, max_broadcast_splits, splits_bounded=multiline)
 
 
-def scan_ledger_csv(spark: SparkSession, paths, encoding: str = "utf8", staged: bool = False) -> DataFrame:
+def scan_ledger_csv(spark: SparkSession, paths, encoding: str = "utf8", staged: bool = False,
+                    multiline: bool = True) -> DataFrame:
     """S3: 10 positional string columns + ``_corrupt`` + positions."""
-    return scan_positioned(spark, paths, LEDGER_CSV, encoding, staged)
+    return scan_positioned(spark, paths, LEDGER_CSV, encoding, staged, multiline)
 
 
-def scan_asset_csv(spark: SparkSession, paths, encoding: str = "utf8", staged: bool = False) -> DataFrame:
+def scan_asset_csv(spark: SparkSession, paths, encoding: str = "utf8", staged: bool = False,
+                   multiline: bool = True) -> DataFrame:
     """7 positional string columns + ``_corrupt`` + positions."""
-    return scan_positioned(spark, paths, ASSET_CSV, encoding, staged)
+    return scan_positioned(spark, paths, ASSET_CSV, encoding, staged, multiline)

@@ -146,3 +146,12 @@ def test_rule_edits(spark):
     assert sorted(r.id for r in left.collect()) == [1, 3, 4, 5, 6]
     assert views.rule_lookup(left, 3).first().fieldName == "m_category"
     assert views.rule_lookup(left, 2).count() == 0
+
+
+def test_patch_operation_and_page_clamp(spark, workdir):
+    from tally.plans.classify import patch_details
+    store = _seed(spark, workdir)
+    with pytest.raises(ValueError):
+        patch_details(spark, store, spark.createDataFrame([(1,)], "id long"), "delete")
+    assert patch_details(spark, store, spark.createDataFrame([(1,)], "id long"), "reset") == 1
+    assert views.page_offset(9, 20, total_pages=3) == 40 and views.page_offset(0, 20) == 0
