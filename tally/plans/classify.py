@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.parse import compact_date, to_json_record
 from ..operators import rules as R
 from ..operators import status as S
-from ..session import stage
+from ..session import lap, stage
 from ..sources.store import LedgerStore
 
 # Fixed value: the outbound record's origin tag (configurable).
@@ -60,6 +60,7 @@ def outbox_json(outbox: DataFrame) -> DataFrame:
 def classify_pending(spark: SparkSession, store: LedgerStore, *, run_date=None,
                      dry_run: bool = False, strategy: str = "auto",
                      on_invalid: str = "abort", source_tag: str = DEFAULT_SOURCE_TAG) -> ClassifyResult:
+    lap(None)
     events = store.read("detail_status")
     seq = S.next_seq(events).first()[0]
     runs = store.read("classify_run")
@@ -69,8 +70,10 @@ def classify_pending(spark: SparkSession, store: LedgerStore, *, run_date=None,
     if snap_max is not None:
         detail = detail.filter(F.col("id") <= F.lit(snap_max))
     pend = S.pending_since(detail, events, hwm)
+    lap("seq, mark, snapshot")
     classified = R.classify(pend, store.rules(), row_id="id", strategy=strategy, on_invalid=on_invalid)
     classified = stage(classified, "classified")
+    lap("classified staged")
     at = run_date if run_date is not None else F.current_date()
     out = outbox_records(classified, seq, source_tag)
     ev = S.judge_events(classified, at, seq)
@@ -79,13 +82,16 @@ def classify_pending(spark: SparkSession, store: LedgerStore, *, run_date=None,
     # only a retry of this very batch can collide: read the outbox at seq only
     prior = store.read("outbox").filter(F.col("seq") == F.lit(seq)).select("detail_id", "seq")
     store.append("outbox", out.join(prior, ["detail_id", "seq"], "left_anti"))
+    lap("outbox appended")
     store.append("detail_status", ev)
+    lap("status appended")
     counts = classified.agg(F.count(F.lit(1)).alias("judged"),
                             F.count("category_id").alias("forwarded"))
     store.append("classify_run", counts.select(
         F.lit(seq).cast("long").alias("seq"),
         F.lit(snap_max if snap_max is not None else hwm).cast("long").alias("hwm"),
         "judged", "forwarded", F.lit(at).cast("date").alias("at")))
+    lap("mark appended")
     return ClassifyResult(classified, out, ev, seq)
 
 

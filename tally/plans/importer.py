@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..operators import dedup, validate
 from ..operators.ordinal import small_ordinal
-from ..session import stage
+from ..session import lap, stage
 from ..sources.csv_scan import scan_asset_csv, scan_ledger_csv
 from ..sources.store import LedgerStore
 
@@ -46,21 +46,6 @@ def _stage(df: DataFrame) -> DataFrame:
     return stage(df, "import")
 
 
-_T0 = [0.0]
-
-
-def _lap(msg: str) -> None:
-    """Step timing on stderr when TALLY_PROFILE is set."""
-    import os
-    import sys
-    import time
-    if os.environ.get("TALLY_PROFILE"):
-        now = time.time()
-        if _T0[0]:
-            print(f"[tally] {msg}: {now - _T0[0]:.2f}s", file=sys.stderr, flush=True)
-        _T0[0] = now
-
-
 def _date_window(existing: DataFrame, incoming: DataFrame, partitioned: bool = False) -> DataFrame:
     """Restrict stored keys to the date range of the incoming rows. For the
     month-partitioned ``detail`` the same bounds on ``ym`` prune whole
@@ -75,13 +60,19 @@ def _date_window(existing: DataFrame, incoming: DataFrame, partitioned: bool = F
     return existing.filter(cond)
 
 
+def _max_id(store: LedgerStore, table: str) -> int:
+    """Largest stored id, read once (parquet footers) so that the returned
+    frames keep their ids after the append."""
+    return store.read(table).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+
+
 def _history_rows(store: LedgerStore, delta: DataFrame, job_label: str | None,
                   n_files: int | None) -> DataFrame:
     """One row per file of the run (so ``n_files`` bounds it)."""
-    base = store.read("import_history").agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    base = _max_id(store, "import_history")
     ordered = small_ordinal(delta, [F.col("file_rank")], "_o", n_files)
     return (ordered
-            .select((base + F.col("_o") + 1).cast("long").alias("id"),
+            .select((F.lit(base) + F.col("_o") + 1).cast("long").alias("id"),
                     F.lit(job_label).cast("string").alias("job_label"),
                     F.col("parsed_entry_num").cast("long"), F.col("new_entry_num").cast("long"),
                     F.col("src_file"),
@@ -94,10 +85,9 @@ def import_ledger(spark: SparkSession, store: LedgerStore, paths, *, job_label:
                   encoding: str = "utf8", collation: str | None = None, multiline: bool = True,
                   raw: DataFrame | None = None) -> ImportResult:
     """M11. ``raw`` may carry an already positioned scan (streaming)."""
-    _T0[0] = 0.0
-    _lap("start")
+    lap(None)
     scanned = raw if raw is not None else scan_ledger_csv(spark, paths, encoding, multiline=multiline)
-    _lap("scan staged")
+    lap("scan staged")
     n_files = len(paths) if paths else None
     # typed rows are used by several actions; their lineage starts at the
     # staged scan, so a recomputation after a lost block gives the same rows
@@ -108,24 +98,24 @@ def import_ledger(spark: SparkSession, store: LedgerStore, paths, *, job_label:
     rows = dedup.keyed(rows, key, collation)
     stored = _date_window(store.read("detail").select(*key, "ym"), rows, partitioned=True).select(*key)
     stored = dedup.keyed(stored, key, collation)
-    _lap("date window")
+    lap("date window")
     inserted = dedup.import_plan(rows, stored, key, reverse_rows=True, dry_run=dry_run)
     duplicates = dedup.duplicate_rows(rows, stored, key)
     if not dry_run:
-        base = store.read("detail").agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+        base = _max_id(store, "detail")
         # assign_ids stages its ordered rows; what follows is cheap to rerun
         # assign_ids writes the ordered rows once; no separate staging before it
         inserted = dedup.assign_ids(inserted, base)
-        _lap("ids staged")
+        lap("ids staged")
         store.append("detail", inserted.withColumn("created_at", F.current_timestamp())
                      .withColumn("updated_at", F.current_timestamp()))
-        _lap("detail appended")
+        lap("detail appended")
     counts = dedup.file_counts(rows, inserted)
     delta = dedup.ledger_history_delta(counts, store.read("import_history"))
     history = _history_rows(store, delta, job_label, n_files)
     if not dry_run:
         store.append("import_history", history)
-    _lap("history appended")
+    lap("history appended")
     _finish(typed, cut, policy)
     return ImportResult(inserted, duplicates, counts, history, report, validate.rejects(typed))
 
@@ -147,7 +137,7 @@ def import_assets(spark: SparkSession, store: LedgerStore, paths, *, job_label:
     inserted = dedup.import_plan(rows, stored, key, reverse_rows=False, dry_run=dry_run)
     duplicates = dedup.duplicate_rows(rows, stored, key)
     if not dry_run:
-        base = store.read("asset_history").agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+        base = _max_id(store, "asset_history")
         inserted = dedup.assign_ids(_stage(inserted), base, reverse_rows=False)
         store.append("asset_history", inserted.withColumn("created_at", F.current_timestamp())
                      .withColumn("updated_at", F.current_timestamp()))

@@ -82,3 +82,18 @@ def stage(df, name: str = "stage"):
     path = staging_path(spark, name)
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+_T0 = [0.0]
+
+
+def lap(msg: str | None) -> None:
+    """Step timing on stderr when TALLY_PROFILE is set; ``None`` restarts."""
+    if not os.environ.get("TALLY_PROFILE"):
+        return
+    import sys
+    import time
+    now = time.time()
+    if msg is not None and _T0[0]:
+        print(f"[tally] {msg}: {now - _T0[0]:.2f}s", file=sys.stderr, flush=True)
+    _T0[0] = now

@@ -249,3 +249,12 @@ def test_split_files_keep_exact_positions(spark, workdir):
     for r in rows:
         f, i = r.name[1:].split("_")
         assert (r.file_rank, r.row_idx, r.n_file_rows, r.yyyymm_id) == (int(f), int(i), 3000 + int(f), 3000 + int(f) - int(i))
+
+
+def test_returned_ids_survive_the_append(spark, workdir):
+    store = LedgerStore(spark, f"{workdir}/store")
+    import_ledger(spark, store, [write(f"{workdir}/in1/cf.csv", CF_NO_HEADER)])
+    res = import_ledger(spark, store, [write(f"{workdir}/in2/cf.csv", ",2024/07/20,NEW,-9,i,l,m,,,\n")])
+    stored = {d.name: d.id for d in store.read("detail").collect()}
+    assert [(r.name, r.id) for r in res.inserted.collect()] == [("NEW", stored["NEW"])] and stored["NEW"] == 3
+    assert [r.id for r in res.history.collect()] == [2]
