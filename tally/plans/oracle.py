@@ -345,3 +345,34 @@ SELECT date, total_amount, CAST(floor(total_amount / 2) AS BIGINT) AS cash_depos
        (SELECT count(DISTINCT year(o_orderdate)) FROM orders) AS history_rows
 FROM a""",
 })
+
+
+_STATUS_EVENTS = """
+m AS (SELECT max(o_orderkey) // 2 AS hwm FROM orders),
+ev AS (
+  SELECT o_orderkey AS detail_id, CASE WHEN o_orderstatus = 'F' THEN 'forward' ELSE 'check' END AS op,
+         CAST(o_orderdate AS DATE) + 1 AS at_day, 1 AS seq
+  FROM orders, m WHERE o_orderkey <= hwm
+  UNION ALL
+  SELECT o_orderkey, 'reset', CAST(o_orderdate AS DATE) + 2, 2
+  FROM orders, m WHERE o_orderkey <= hwm AND o_orderpriority = '1-URGENT'
+  UNION ALL
+  SELECT o_orderkey, 'check', CAST(o_orderdate AS DATE) + 3, 3
+  FROM orders, m WHERE o_orderkey > hwm AND o_orderkey <= hwm + 100 AND o_orderstatus = 'F'),
+last AS (SELECT detail_id, arg_max(op, seq) AS op, arg_max(at_day, seq) AS at_day FROM ev GROUP BY detail_id)"""
+
+ORACLE_SQL.update({
+    "detail_status_view": f"""
+WITH {_STATUS_EVENTS}
+SELECT o.o_orderkey AS id,
+       CASE WHEN l.op IN ('check', 'forward') THEN l.at_day END AS maw_check_date,
+       CASE WHEN l.op = 'forward' THEN l.at_day END AS maw_regist_date,
+       CASE WHEN l.op IS NULL OR l.op = 'reset' THEN 'pending' WHEN l.op = 'check' THEN 'judged'
+            ELSE 'forwarded' END AS status
+FROM orders o LEFT JOIN last l ON l.detail_id = o.o_orderkey""",
+    "pending_incremental": f"""
+WITH {_STATUS_EVENTS}
+SELECT o.o_orderkey AS id, CAST(o.o_orderdate AS DATE) AS date, CAST(floor(o.o_totalprice) AS BIGINT) AS price
+FROM orders o LEFT JOIN last l ON l.detail_id = o.o_orderkey
+WHERE l.op IS NULL OR l.op = 'reset'""",
+})

@@ -653,3 +653,49 @@ QUERIES.update({
     "classify_pending_run": q_classify_pending_run,
     "import_assets_e2e": q_import_assets_e2e,
 })
+
+
+def _orders_status_events(spark, sf_dir, hwm: int) -> DataFrame:
+    """Batch 1 judged every order up to ``hwm`` (forward when status F,
+    check otherwise); batch 2 reset the urgent ones among them; batch 3
+    judged the F orders just above the mark but died before writing it."""
+    o = _t(spark, sf_dir, "orders")
+    d = F.date_add(F.to_date("o_orderdate"), 1)
+    first = o.filter(F.col("o_orderkey") <= hwm).select(
+        F.col("o_orderkey").alias("detail_id"),
+        F.when(F.col("o_orderstatus") == "F", F.lit("forward")).otherwise(F.lit("check")).alias("op"),
+        d.alias("at"), F.lit(1).cast("long").alias("seq"))
+    resets = o.filter((F.col("o_orderkey") <= hwm) & (F.col("o_orderpriority") == "1-URGENT")).select(
+        F.col("o_orderkey").alias("detail_id"), F.lit("reset").alias("op"),
+        F.date_add(d, 1).alias("at"), F.lit(2).cast("long").alias("seq"))
+    late = o.filter((F.col("o_orderkey") > hwm) & (F.col("o_orderkey") <= hwm + 100)
+                    & (F.col("o_orderstatus") == "F")).select(
+        F.col("o_orderkey").alias("detail_id"), F.lit("check").alias("op"),
+        F.date_add(d, 2).alias("at"), F.lit(3).cast("long").alias("seq"))
+    return first.unionByName(resets).unionByName(late)
+
+
+def _half_max_order(spark, sf_dir) -> int:
+    return int(_t(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0]) // 2
+
+
+def q_detail_status_view(spark, sf_dir):
+    """J6 + F12: stored rows joined to their latest status event."""
+    hwm = _half_max_order(spark, sf_dir)
+    detail = _orders_detail(spark, sf_dir).drop("maw_check_date", "maw_regist_date")
+    st = S.with_status(detail, _orders_status_events(spark, sf_dir, hwm))
+    return st.select("id", "maw_check_date", "maw_regist_date", S.status_label().alias("status"))
+
+
+def q_pending_incremental(spark, sf_dir):
+    """S7 from the last high-water mark (ids above it, minus late-judged ones,
+    plus reset rows): must equal the exact anti-join definition."""
+    hwm = _half_max_order(spark, sf_dir)
+    detail = _orders_detail(spark, sf_dir).drop("maw_check_date", "maw_regist_date")
+    return S.pending_since(detail, _orders_status_events(spark, sf_dir, hwm), hwm).select("id", "date", "price")
+
+
+QUERIES.update({
+    "detail_status_view": q_detail_status_view,
+    "pending_incremental": q_pending_incremental,
+})
