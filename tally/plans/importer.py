@@ -3,14 +3,14 @@
 One DataFrame job per table for all files of the run (the source probes the
 database once per row). Flow for the ledger:
 
-    scan (S3) -> stage raw records -> positions + types (F1-F3, C1, C2, W1)
+    scan (S3) -> positions + types (F1-F3, C1, C2, W1), cached for the run
     -> policy (M9) -> first processed per key (A6)
-    -> |> stored keys of the same months (J1) -> stage -> ids (K5) -> append (K1)
+    -> |> stored keys of the same months (J1) -> ids (K5, staged) -> append (K1)
     -> per-file counts (A2, A3) -> conditional history (M5) -> append (K2)
 
-Staged tables are written once (parquet) to the shared checkpoint folder:
-the CSV is parsed once, later branches read the columnar copy, and a lost
-executor re-reads it instead of recomputing from the drop.
+The ordered new rows are written once (parquet) to the shared checkpoint
+folder before ids are attached, so a lost executor re-reads them instead of
+recomputing the dedup with a different row order.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..operators import dedup, validate
 from ..operators.ordinal import small_ordinal
-from ..session import lap, stage
+from ..session import lap
 from ..sources.csv_scan import scan_asset_csv, scan_ledger_csv
 from ..sources.store import LedgerStore
 
@@ -42,15 +42,11 @@ class ImportResult:
     rejects: DataFrame         # the bad records themselves
 
 
-def _stage(df: DataFrame) -> DataFrame:
-    return stage(df, "import")
-
-
 def _date_window(existing: DataFrame, incoming: DataFrame, partitioned: bool = False) -> DataFrame:
     """Restrict stored keys to the date range of the incoming rows. For the
     month-partitioned ``detail`` the same bounds on ``ym`` prune whole
-    folders at planning time; the bounds come from the staged rows (one tiny
-    aggregate)."""
+    folders at planning time; the bounds come from the cached run rows (one
+    tiny aggregate)."""
     lo, hi = incoming.agg(F.min("date"), F.max("date")).first()
     if lo is None:
         return existing.limit(0)
@@ -87,10 +83,11 @@ def import_ledger(spark: SparkSession, store: LedgerStore, paths, *, job_label:
     """M11. ``raw`` may carry an already positioned scan (streaming)."""
     lap(None)
     scanned = raw if raw is not None else scan_ledger_csv(spark, paths, encoding, multiline=multiline)
-    lap("scan staged")
+    lap("scan planned")
     n_files = len(paths) if paths else None
     # typed rows are used by several actions; their lineage starts at the
-    # staged scan, so a recomputation after a lost block gives the same rows
+    # drop, whose read-order stamp is stable, so a lost block recomputes to
+    # the same rows
     typed = validate.type_ledger(scanned, run_date).persist(StorageLevel.MEMORY_AND_DISK)
     cut = validate.abort_cut(typed) if policy == "abort" else None
     rows, report = validate.accepted(typed, policy, cut)
@@ -138,7 +135,7 @@ def import_assets(spark: SparkSession, store: LedgerStore, paths, *, job_label:
     duplicates = dedup.duplicate_rows(rows, stored, key)
     if not dry_run:
         base = _max_id(store, "asset_history")
-        inserted = dedup.assign_ids(_stage(inserted), base, reverse_rows=False)
+        inserted = dedup.assign_ids(inserted, base, reverse_rows=False)
         store.append("asset_history", inserted.withColumn("created_at", F.current_timestamp())
                      .withColumn("updated_at", F.current_timestamp()))
     counts = dedup.file_counts(rows, inserted)

@@ -541,7 +541,7 @@ def q_stream_import(spark, sf_dir):
     _write_ledger_csv(text, landing, ["day"])
     store = LedgerStore(spark, staging_path(spark, "store"))
     q = stream_import(spark, store, landing, staging_path(spark, "stream-ckpt"), job_label="stream",
-                      run_date="2024-02-01", max_files=8)
+                      run_date="2024-02-01", max_files=12)
     q.awaitTermination()
     return store.read("detail").select("date", "name", "price")
 
