@@ -62,6 +62,24 @@ def _max_id(store: LedgerStore, table: str) -> int:
     return store.read(table).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
 
 
+def _number_and_append(store: LedgerStore, table: str, new: DataFrame, reverse_rows: bool) -> DataFrame:
+    """K5 + K1: ids after the stored maximum, then append. The new rows are
+    cached once: the emptiness check, the range sampling and the ordering
+    shuffle all read the cache, and an all-duplicate re-run (the steady
+    state of overlapping exports) stops after the check."""
+    new = new.persist(StorageLevel.MEMORY_AND_DISK)
+    if new.isEmpty():
+        lap("no new rows")
+        return new.withColumn("id", F.lit(None).cast("long"))
+    numbered = dedup.assign_ids(new, _max_id(store, table), reverse_rows=reverse_rows)
+    lap("ids staged")
+    store.append(table, numbered.withColumn("created_at", F.current_timestamp())
+                 .withColumn("updated_at", F.current_timestamp()))
+    lap(f"{table} appended")
+    new.unpersist()  # the numbered rows read the staged copy from here on
+    return numbered
+
+
 def _history_rows(store: LedgerStore, delta: DataFrame, job_label: str | None,
                   n_files: int | None) -> DataFrame:
     """One row per file of the run (so ``n_files`` bounds it)."""
@@ -99,14 +117,7 @@ def import_ledger(spark: SparkSession, store: LedgerStore, paths, *, job_label:
     inserted = dedup.import_plan(rows, stored, key, reverse_rows=True, dry_run=dry_run)
     duplicates = dedup.duplicate_rows(rows, stored, key)
     if not dry_run:
-        base = _max_id(store, "detail")
-        # assign_ids stages its ordered rows; what follows is cheap to rerun
-        # assign_ids writes the ordered rows once; no separate staging before it
-        inserted = dedup.assign_ids(inserted, base)
-        lap("ids staged")
-        store.append("detail", inserted.withColumn("created_at", F.current_timestamp())
-                     .withColumn("updated_at", F.current_timestamp()))
-        lap("detail appended")
+        inserted = _number_and_append(store, "detail", inserted, reverse_rows=True)
     counts = dedup.file_counts(rows, inserted)
     delta = dedup.ledger_history_delta(counts, store.read("import_history"))
     history = _history_rows(store, delta, job_label, n_files)
@@ -134,10 +145,7 @@ def import_assets(spark: SparkSession, store: LedgerStore, paths, *, job_label:
     inserted = dedup.import_plan(rows, stored, key, reverse_rows=False, dry_run=dry_run)
     duplicates = dedup.duplicate_rows(rows, stored, key)
     if not dry_run:
-        base = _max_id(store, "asset_history")
-        inserted = dedup.assign_ids(inserted, base, reverse_rows=False)
-        store.append("asset_history", inserted.withColumn("created_at", F.current_timestamp())
-                     .withColumn("updated_at", F.current_timestamp()))
+        inserted = _number_and_append(store, "asset_history", inserted, reverse_rows=False)
     counts = dedup.file_counts(rows, inserted)
     history = _history_rows(store, dedup.asset_history_delta(counts), job_label, n_files)
     if not dry_run:
@@ -147,8 +155,8 @@ def import_assets(spark: SparkSession, store: LedgerStore, paths, *, job_label:
 
 
 def _finish(typed: DataFrame, cut: int | None, policy: str) -> None:
-    """Release the cached rows (the returned frames recompute from the staged
-    scan) and raise when the abort policy cut the run short."""
+    """Release the cached rows (the returned frames recompute from the drop)
+    and raise when the abort policy cut the run short."""
     name = None
     if policy == "abort" and cut is not None:
         name = typed.filter(F.col("file_rank") == cut).select("src_file").first()[0]
