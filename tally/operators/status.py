@@ -46,29 +46,43 @@ def pending(detail: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def pending_since(detail: DataFrame, events: DataFrame, hwm: int | None,
-                  max_broadcast_ids: int = 1_000_000) -> DataFrame:
-    """S7 without reading all of ``detail``: a classification batch judges
-    every row of its snapshot, so after the last batch (high-water mark
-    ``hwm`` = largest id it saw) a row is pending iff its id is above the mark
-    (a range filter that reaches the parquet row-group statistics) or its
-    latest event is a reset. Reset ids are few (manual operations); they
-    are broadcast when their counted number is below ``max_broadcast_ids``,
-    joined with a shuffle otherwise. ``hwm`` None = no batch yet: exact
-    anti-join form."""
+                  mark_seq: int | None = None, max_broadcast_ids: int = 1_000_000) -> DataFrame:
+    """S7 without reading all of ``detail``. A classification batch judges
+    every row of its snapshot, so after the last recorded batch (high-water
+    mark ``hwm`` = largest id it saw, written by batch ``mark_seq``) a row is
+    pending iff
+
+    * its id is above the mark (a range filter that reaches the parquet
+      row-group statistics) and no later batch judged it (a batch that died
+      before writing its mark), or
+    * its latest event is a reset.
+
+    Both cases only involve events after the mark's batch: a reset written
+    before it was re-judged by it. With ``mark_seq`` only that suffix of the
+    status table is read (each batch's files carry one ``seq``, so older
+    files are skipped by their statistics). Reset ids are few (manual
+    operations); they are broadcast when their counted number is below
+    ``max_broadcast_ids``, joined with a shuffle otherwise. ``hwm`` None (no
+    batch yet) falls back to the exact anti-join form."""
     if hwm is None:
         return pending(detail, events)
-    resets = events.filter(F.col("op") == RESET).select("detail_id").distinct()
-    cand = events.join(resets, "detail_id", "left_semi")
-    reopened = (current_status(cand).filter(F.col("op") == RESET)
-                .select(F.col("detail_id").alias("id")).filter(F.col("id") <= F.lit(hwm)))
-    n = reopened.count()
-    side = F.broadcast(reopened) if n <= max_broadcast_ids else reopened
+    recent = events if mark_seq is None else events.filter(F.col("seq") > F.lit(mark_seq))
+    if mark_seq is None:
+        # no batch number: restrict to ids that ever had a reset
+        resets = recent.filter(F.col("op") == RESET).select("detail_id").distinct()
+        recent = recent.join(resets, "detail_id", "left_semi").unionByName(
+            recent.filter(F.col("detail_id") > F.lit(hwm)))
+    last = current_status(recent)
+    reopened = (last.filter((F.col("op") == RESET) & (F.col("detail_id") <= F.lit(hwm)))
+                .select(F.col("detail_id").alias("id")))
     # rows above the mark judged by a batch that died before writing its mark
-    late = (current_status(events.filter(F.col("detail_id") > F.lit(hwm)))
-            .filter(F.col("op").isin(CHECK, FORWARD)).select(F.col("detail_id").alias("id")))
+    late = (last.filter(F.col("op").isin(CHECK, FORWARD) & (F.col("detail_id") > F.lit(hwm)))
+            .select(F.col("detail_id").alias("id")))
     fresh = detail.filter(F.col("id") > F.lit(hwm)).join(late, "id", "left_anti")
+    n = reopened.count()
     if n == 0:
         return fresh
+    side = F.broadcast(reopened) if n <= max_broadcast_ids else reopened
     return fresh.unionByName(detail.filter(F.col("id") <= F.lit(hwm)).join(side, "id", "left_semi"))
 
 

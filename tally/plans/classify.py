@@ -37,6 +37,15 @@ class ClassifyResult:
     seq: int
 
 
+def next_batch(store: LedgerStore) -> int:
+    """Next batch number: above every status event and every recorded
+    classification batch (a batch that judged nothing writes no event but
+    still records its mark). Both maxima come from parquet footers."""
+    ev = S.next_seq(store.read("detail_status")).first()[0]
+    runs = store.read("classify_run").agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0] + 1
+    return max(ev, runs)
+
+
 def outbox_records(classified: DataFrame, seq, source_tag: str = DEFAULT_SOURCE_TAG) -> DataFrame:
     """K4: outbound record per selected row; ``type`` is never set (an empty
     string, as the record's zero value) and the memo carries the ledger name."""
@@ -62,14 +71,16 @@ def classify_pending(spark: SparkSession, store: LedgerStore, *, run_date=None,
                      on_invalid: str = "abort", source_tag: str = DEFAULT_SOURCE_TAG) -> ClassifyResult:
     lap(None)
     events = store.read("detail_status")
-    seq = S.next_seq(events).first()[0]
+    seq = next_batch(store)
     runs = store.read("classify_run")
-    hwm = runs.agg(F.max_by("hwm", "seq")).first()[0] if store.exists("classify_run") else None
+    mark = runs.agg(F.max_by(F.struct("hwm", "seq"), "seq").alias("m")).first()[0] \
+        if store.exists("classify_run") else None
+    hwm, mark_seq = (mark["hwm"], mark["seq"]) if mark is not None else (None, None)
     detail = store.read("detail")
     snap_max = detail.agg(F.max("id")).first()[0]  # the snapshot this batch judges
     if snap_max is not None:
         detail = detail.filter(F.col("id") <= F.lit(snap_max))
-    pend = S.pending_since(detail, events, hwm)
+    pend = S.pending_since(detail, events, hwm, mark_seq)
     lap("seq, mark, snapshot")
     classified = R.classify(pend, store.rules(), row_id="id", strategy=strategy, on_invalid=on_invalid)
     classified = stage(classified, "classified")
@@ -108,8 +119,7 @@ def patch_details(spark: SparkSession, store: LedgerStore, ids: DataFrame, opera
 
 def reset_details(spark: SparkSession, store: LedgerStore, ids: DataFrame, run_date=None) -> int:
     """M2: reset a DataFrame of ids to pending. Returns the batch number."""
-    events = store.read("detail_status")
-    seq = S.next_seq(events).first()[0]
+    seq = next_batch(store)
     at = run_date if run_date is not None else F.current_date()
     store.append("detail_status", S.reset_events(ids, at, seq))
     return seq

@@ -692,7 +692,8 @@ def q_pending_incremental(spark, sf_dir):
     plus reset rows): must equal the exact anti-join definition."""
     hwm = _half_max_order(spark, sf_dir)
     detail = _orders_detail(spark, sf_dir).drop("maw_check_date", "maw_regist_date")
-    return S.pending_since(detail, _orders_status_events(spark, sf_dir, hwm), hwm).select("id", "date", "price")
+    return (S.pending_since(detail, _orders_status_events(spark, sf_dir, hwm), hwm, mark_seq=1)
+            .select("id", "date", "price"))
 
 
 QUERIES.update({

@@ -35,6 +35,7 @@ def test_pending_since_equals_exact(spark):
     exact = ids(S.pending(detail, events))
     assert exact == [5] + list(range(26, 41))
     assert ids(S.pending_since(detail, events, 20)) == exact
+    assert ids(S.pending_since(detail, events, 20, mark_seq=1)) == exact
     assert ids(S.pending_since(detail, events, None)) == exact
 
 
