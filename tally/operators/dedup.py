@@ -48,25 +48,61 @@ def first_processed(rows: DataFrame, key: list[str], reverse_rows: bool = True)
             .select(*key, *[F.col(f"_r.{c}").alias(c) for c in rest]))
 
 
-def new_rows(incoming: DataFrame, existing: DataFrame, key: list[str]) -> DataFrame:
+# Largest incoming key set broadcast to probe the stored keys (rows; about
+# 10 MB of keys, shipped to every executor).
+MAX_BROADCAST_KEYS = 250_000
+
+
+def stored_hits(incoming: DataFrame, existing: DataFrame, key: list[str],
+                incoming_rows: int | None) -> DataFrame:
+    """Stored keys that an incoming row also has. With a counted incoming
+    size below MAX_BROADCAST_KEYS the incoming keys are broadcast and the
+    stored side is only scanned (map-side semi join, no shuffle of stored
+    data); the result has at most ``incoming_rows`` rows."""
+    keys = incoming.select(*key)
+    if incoming_rows is not None and incoming_rows <= MAX_BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    return existing.select(*key).join(keys, key, "left_semi")
+
+
+def new_rows(incoming: DataFrame, existing: DataFrame, key: list[str],
+             incoming_rows: int | None = None) -> DataFrame:
     """Incoming rows whose key is not in ``existing``. ``existing`` is
     pruned to the key columns (and should be pruned to the incoming date
-    range by the caller, see ``plans.importer``)."""
+    range by the caller, see ``plans.importer``). When ``incoming_rows``
+    bounds the incoming side, the stored side is probed against broadcast
+    incoming keys first and the (bounded) hits are broadcast back;
+    otherwise one shuffled anti join."""
+    if incoming_rows is not None and incoming_rows <= MAX_BROADCAST_KEYS:
+        hits = stored_hits(incoming, existing, key, incoming_rows)
+        return incoming.join(F.broadcast(hits), key, "left_anti")
     return incoming.join(existing.select(*key), key, "left_anti")
 
 
-def duplicate_rows(incoming: DataFrame, existing: DataFrame, key: list[str]) -> DataFrame:
+def duplicate_rows(incoming: DataFrame, existing: DataFrame, key: list[str],
+                   incoming_rows: int | None = None) -> DataFrame:
     """Incoming rows skipped because their key is already stored."""
+    if incoming_rows is not None and incoming_rows <= MAX_BROADCAST_KEYS:
+        hits = stored_hits(incoming, existing, key, incoming_rows)
+        return incoming.join(F.broadcast(hits), key, "left_semi")
     return incoming.join(existing.select(*key), key, "left_semi")
 
 
 def import_plan(incoming: DataFrame, existing: DataFrame, key: list[str],
-                reverse_rows: bool = True, dry_run: bool = False) -> DataFrame:
+                reverse_rows: bool = True, dry_run: bool = False,
+                incoming_rows: int | None = None) -> DataFrame:
     """A6 + J1 (or M7: J1 alone). Returns the rows that are (or would be)
-    inserted."""
+    inserted. ``incoming_rows``: counted size of ``incoming`` (see
+    ``new_rows``)."""
     if dry_run:
-        return new_rows(incoming, existing, key)
-    return new_rows(first_processed(incoming, key, reverse_rows), existing, key)
+        return new_rows(incoming, existing, key, incoming_rows)
+    survivors = first_processed(incoming, key, reverse_rows)
+    if incoming_rows is not None and incoming_rows <= MAX_BROADCAST_KEYS:
+        # probe with the keys of all incoming rows (a superset of the
+        # survivors' keys, and already computed) rather than the aggregate
+        hits = stored_hits(incoming, existing, key, incoming_rows)
+        return survivors.join(F.broadcast(hits), key, "left_anti")
+    return new_rows(survivors, existing, key)
 
 
 def file_counts(parsed: DataFrame, inserted: DataFrame,

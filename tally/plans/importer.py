@@ -113,9 +113,10 @@ def import_ledger(spark: SparkSession, store: LedgerStore, paths, *, job_label:
     rows = dedup.keyed(rows, key, collation)
     stored = _date_window(store.read("detail").select(*key, "ym"), rows, partitioned=True).select(*key)
     stored = dedup.keyed(stored, key, collation)
+    n_rows = rows.count()  # from the cached run rows: bounds the broadcast of incoming keys
     lap("date window")
-    inserted = dedup.import_plan(rows, stored, key, reverse_rows=True, dry_run=dry_run)
-    duplicates = dedup.duplicate_rows(rows, stored, key)
+    inserted = dedup.import_plan(rows, stored, key, reverse_rows=True, dry_run=dry_run, incoming_rows=n_rows)
+    duplicates = dedup.duplicate_rows(rows, stored, key, incoming_rows=n_rows)
     if not dry_run:
         inserted = _number_and_append(store, "detail", inserted, reverse_rows=True)
     counts = dedup.file_counts(rows, inserted)
@@ -142,8 +143,9 @@ def import_assets(spark: SparkSession, store: LedgerStore, paths, *, job_label:
     rows, report = validate.accepted(typed, policy, cut)
     key = dedup.ASSET_KEY
     stored = _date_window(store.read("asset_history").select(*key), rows)
-    inserted = dedup.import_plan(rows, stored, key, reverse_rows=False, dry_run=dry_run)
-    duplicates = dedup.duplicate_rows(rows, stored, key)
+    n_rows = rows.count()
+    inserted = dedup.import_plan(rows, stored, key, reverse_rows=False, dry_run=dry_run, incoming_rows=n_rows)
+    duplicates = dedup.duplicate_rows(rows, stored, key, incoming_rows=n_rows)
     if not dry_run:
         inserted = _number_and_append(store, "asset_history", inserted, reverse_rows=False)
     counts = dedup.file_counts(rows, inserted)
