@@ -11,6 +11,14 @@ from pyspark.sql import functions as F
 
 from ..schemas import RULE_REQUEST
 
+__all__ = [
+    "INT32_MAX", "INT32_MIN", "TRANSIT_FIN_INS", "TRANSIT_IN_MARK", "TRANSIT_OUT_MARK",
+    "TRANSIT_CATEGORY", "MONTH_END_SUFFIX", "ledger_date", "unsigned_price", "signed_amount",
+    "month_end_date", "iso_date", "asset_date", "is_transit", "contains", "compact_date", "day",
+    "basename", "exact_flag", "epoch_seconds", "display_stamp", "thousands", "to_json_record",
+    "parse_rule_request",
+]
+
 INT32_MAX = 2147483647
 INT32_MIN = -2147483648
 

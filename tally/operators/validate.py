@@ -77,28 +77,6 @@ def file_report(typed: DataFrame) -> DataFrame:
                  F.min(F.when(F.col("reject").isNotNull(), F.col("row_idx"))).alias("first_bad_row")))
 
 
-def apply_policy(typed: DataFrame, policy: str = "abort") -> tuple[DataFrame, DataFrame]:
-    """M9. Returns (accepted data rows, per-file report with ``imported``).
-
-    ``abort``: one bad row rejects its file and every later file; earlier
-    files are still imported. ``quarantine``: only the bad files are held back.
-    The cut-off rank is a scalar subquery (no collect, no join)."""
-    if policy not in ("abort", "quarantine"):
-        raise ValueError(f"unknown policy {policy!r}")
-    report = file_report(typed)
-    bad = report.filter(F.col("rejected_rows") > 0)
-    if policy == "abort":
-        cut = bad.agg(F.min("file_rank")).scalar()  # one value, evaluated once
-        keep = cut.isNull() | (F.col("file_rank") < cut)
-        report = report.withColumn("imported", keep)
-        rows = typed.filter(keep)
-    else:
-        report = report.withColumn("imported", F.col("rejected_rows") == 0)
-        rows = typed.join(bad.select("src_path"), "src_path", "left_anti")
-    rows = rows.filter(~F.col("is_header") & F.col("reject").isNull()).drop("is_header", "reject")
-    return rows, report
-
-
 def abort_cut(typed: DataFrame) -> int | None:
     """M9 ``abort``: the rank of the first file with a bad row (None = all
     good). One scalar from the per-file report."""
@@ -106,11 +84,20 @@ def abort_cut(typed: DataFrame) -> int | None:
             .agg(F.min("file_rank")).first()[0])
 
 
-def accepted(typed: DataFrame, policy: str, cut: int | None) -> tuple[DataFrame, DataFrame]:
-    """M9 with the cut already known: (accepted data rows, report)."""
+def accepted(typed: DataFrame, policy: str = "abort", cut=None) -> tuple[DataFrame, DataFrame]:
+    """M9. Returns (accepted data rows, per-file report with ``imported``).
+
+    ``abort``: one bad row rejects its file and every later file; earlier
+    files are still imported. ``quarantine``: only the bad files are held
+    back. ``cut`` is the abort rank when already known (an int, or None for
+    "all good"); when omitted it stays a scalar subquery (no collect, no
+    join)."""
     report = file_report(typed)
     if policy == "abort":
-        keep = F.lit(True) if cut is None else F.col("file_rank") < F.lit(cut)
+        if cut is None or isinstance(cut, int):
+            keep = F.lit(True) if cut is None else F.col("file_rank") < F.lit(cut)
+        else:
+            keep = cut.isNull() | (F.col("file_rank") < cut)
         report = report.withColumn("imported", keep)
         rows = typed.filter(keep)
     elif policy == "quarantine":
@@ -122,6 +109,15 @@ def accepted(typed: DataFrame, policy: str, cut: int | None) -> tuple[DataFrame,
     return rows.filter(~F.col("is_header") & F.col("reject").isNull()).drop("is_header", "reject"), report
 
 
+def apply_policy(typed: DataFrame, policy: str = "abort") -> tuple[DataFrame, DataFrame]:
+    """M9 without a known cut: the abort rank is a scalar subquery."""
+    if policy not in ("abort", "quarantine"):
+        raise ValueError(f"unknown policy {policy!r}")
+    cut = (typed.filter(F.col("reject").isNotNull()).agg(F.min("file_rank")).scalar()
+           if policy == "abort" else None)
+    return accepted(typed, policy, cut)
+
+
 def rejects(typed: DataFrame) -> DataFrame:
     """The rejected records themselves (quarantine output)."""
     return typed.filter(F.col("reject").isNotNull())
