@@ -87,6 +87,10 @@ class LedgerStore:
         if "ym" in parts and "ym" not in df.columns:
             df = df.withColumn("ym", month_key(F.col("date")))
         out = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+        if parts:
+            # each task gets a contiguous (partition, id) slice: few files per
+            # month, and a hot month is still cut across several tasks
+            out = out.repartitionByRange(*[F.col(p) for p in parts], F.col("id"))
         w = out.write.mode("append")
         if parts:
             w = w.partitionBy(*parts)
