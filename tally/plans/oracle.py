@@ -323,13 +323,16 @@ ORACLE_SQL.update({
     "classify_pending_run": """
 WITH types AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS r
                FROM (SELECT DISTINCT event_type FROM events)),
-rules AS (SELECT r + 1 AS rid, substr(event_type, 2, 3) AS v, CAST(r + 100 AS BIGINT) AS c
-          FROM types WHERE r % 2 = 0),
+rules AS (SELECT r + 1 AS rid, r % 2 = 0 AS on_name,
+                 CASE WHEN r % 2 = 0 THEN substr(event_type, 2, 3) ELSE format('seg{}', r) END AS v,
+                 CAST(CASE WHEN r % 2 = 0 THEN 100 ELSE 200 END + r AS BIGINT) AS c
+          FROM types),
 p AS (SELECT event_id + 1 AS detail_id, CAST(ts AS DATE) AS date, event_type AS name,
              CAST(floor(value) AS BIGINT) AS price, format('seg{}', user_id % 7) AS m_category
       FROM events WHERE event_type <> 'error'),
-c AS (SELECT p.*, coalesce((SELECT arg_min(c, rid) FROM rules WHERE contains(p.name, v)),
-                           CASE WHEN m_category = 'seg3' THEN CAST(300 AS BIGINT) END) AS category_id
+c AS (SELECT p.*, coalesce((SELECT arg_min(c, rid) FROM rules WHERE on_name AND contains(p.name, v)),
+                           (SELECT arg_max(c, rid) FROM rules WHERE NOT on_name AND v = p.m_category))
+                    AS category_id
       FROM p)
 SELECT detail_id, CAST(2 AS BIGINT) AS seq, category_id, strftime(date, '%Y%m%d') AS datetime, price,
        name AS memo

@@ -588,7 +588,8 @@ def _events_detail(spark, sf_dir) -> DataFrame:
 def q_classify_pending_run(spark, sf_dir):
     """M10 over a store: rows of ``error`` events were judged by batch 1;
     the rest are pending and get classified by rules derived from the event
-    types (substring rules for every other type) plus one m_category rule."""
+    types: a name substring rule for even ranks, an m_category exact rule
+    (segment ``seg<rank>``) for odd ranks."""
     from ..session import staging_path
     from ..sources.store import LedgerStore
     from .classify import classify_pending
@@ -600,13 +601,14 @@ def q_classify_pending_run(spark, sf_dir):
         F.lit(1).cast("long").alias("seq")))
     types = small_ordinal(_t(spark, sf_dir, "events").select("event_type").distinct(),
                           [F.col("event_type")], "r", None)
-    rules = types.filter(F.col("r") % 2 == 0).select(
-        (F.col("r") + 1).cast("long").alias("id"), F.lit("name").alias("field_name"),
-        F.substring("event_type", 2, 3).alias("value"), F.lit(0).alias("exact_match"),
-        (F.col("r") + 100).cast("long").alias("category_id"))
-    rules = rules.unionByName(spark.createDataFrame(
-        [(10_000, "m_category", "seg3", 1, 300)],
-        "id long, field_name string, value string, exact_match int, category_id long"))
+    even = F.col("r") % 2 == 0
+    rules = types.select(
+        (F.col("r") + 1).cast("long").alias("id"),
+        F.when(even, F.lit("name")).otherwise(F.lit("m_category")).alias("field_name"),
+        F.when(even, F.substring("event_type", 2, 3))
+        .otherwise(F.format_string("seg%d", F.col("r"))).alias("value"),
+        F.when(even, F.lit(0)).otherwise(F.lit(1)).alias("exact_match"),
+        (F.when(even, F.lit(100)).otherwise(F.lit(200)) + F.col("r")).cast("long").alias("category_id"))
     store.write_rules(rules.withColumn("created_at", F.current_timestamp())
                       .withColumn("updated_at", F.current_timestamp()))
     classify_pending(spark, store, run_date="2024-02-01")
