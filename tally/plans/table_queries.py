@@ -482,6 +482,7 @@ QUERIES = {
 # CSV files and streams derived from the tables
 # --------------------------------------------------------------------------
 
+# The ledger export's header row, in column order.
 LEDGER_HEADER = ["計算対象", "日付", "内容", "金額（円）", "保有金融機関", "大項目", "中項目", "メモ", "振替", "ID"]
 
 
@@ -615,6 +616,7 @@ def q_classify_pending_run(spark, sf_dir):
     return store.read("outbox").select("detail_id", "seq", "category_id", "datetime", "price", "memo")
 
 
+# The asset export's header row, in column order.
 ASSET_HEADER = ["日付", "合計", "預金・現金・暗号資産", "株式(現物)", "投資信託", "ポイント", "詳細"]
 
 
