@@ -167,21 +167,55 @@ def _finish(typed: DataFrame, cut: int | None, policy: str) -> None:
         raise ImportAborted(f"file {name} has invalid rows; it and later files were not imported")
 
 
-def import_drop(spark: SparkSession, store: LedgerStore, folder: str, **kw) -> dict[str, ImportResult]:
-    """S1 + S2 + U1: list ``folder``, route files by name and import each
-    kind with one job over all its files."""
-    from ..sources.manifest import list_csv, route
-    routed = route(list_csv(spark, folder))
+def _import_routed(spark: SparkSession, store: LedgerStore, by_kind: dict[str, list[str]],
+                   **kw) -> dict[str, ImportResult]:
+    """Import routed files of both kinds as one run. Under ``abort`` the
+    files are one sequence in name order, whatever their kind: the first
+    file with a bad row (ledger or asset) stops the run, and only files
+    named before it are imported. Each kind is scanned once; the typed check
+    and the import read the same cached scan."""
+    policy = kw.get("policy", "abort")
+    encoding, multiline = kw.get("encoding", "utf8"), kw.get("multiline", True)
+    kinds = [k for k in ("ledger", "asset") if by_kind.get(k)]
+    scans, cut = {}, None
+    if policy == "abort":
+        for kind in kinds:
+            scan = scan_ledger_csv if kind == "ledger" else scan_asset_csv
+            typer = validate.type_ledger if kind == "ledger" else validate.type_asset
+            scans[kind] = scan(spark, by_kind[kind], encoding, multiline=multiline) \
+                .persist(StorageLevel.MEMORY_AND_DISK)
+            bad = typer(scans[kind]).filter(F.col("reject").isNotNull()).agg(F.min("src_file")).first()[0]
+            if bad is not None and (cut is None or bad < cut):
+                cut = bad
     out = {}
-    for kind in ("ledger", "asset"):
-        paths = [r.path for r in routed.filter(F.col("kind") == kind).select("path").collect()]
-        if not paths:
-            continue
+    for kind in kinds:
         fn = import_ledger if kind == "ledger" else import_assets
-        out[kind] = fn(spark, store, paths, **kw)
+        paths = by_kind[kind]
+        if kind not in scans:
+            out[kind] = fn(spark, store, paths, **kw)
+            continue
+        raw = scans[kind]
+        if cut is not None:
+            paths = [p for p in paths if p.rsplit("/", 1)[-1] < cut]
+            raw = raw.filter(F.col("src_file") < F.lit(cut))  # ranks keep their order
+        if paths:
+            out[kind] = fn(spark, store, paths, raw=raw, **{k: v for k, v in kw.items() if k != "raw"})
+        scans[kind].unpersist()
+    if cut is not None:
+        raise ImportAborted(f"file {cut} has invalid rows; it and later files were not imported")
     return out
 
 
+def import_drop(spark: SparkSession, store: LedgerStore, folder: str, **kw) -> dict[str, ImportResult]:
+    """S1 + S2 + U1: list ``folder``, route files by name and import each
+    kind with one job over all its files (see ``_import_routed``)."""
+    from ..sources.manifest import list_csv, route
+    routed = route(list_csv(spark, folder))
+    # the file list is the run's manifest (one row per file)
+    by_kind = {kind: [r.path for r in routed.filter(F.col("kind") == kind).select("path").collect()]
+               for kind in ("ledger", "asset")}
+    return _import_routed(spark, store, by_kind, **kw)
+
 
 def import_prefix(spark: SparkSession, store: LedgerStore, prefix: str, **kw) -> dict[str, ImportResult]:
     """S6 + S1 + S2: every ``.csv`` object under ``prefix`` (recursively),
@@ -193,11 +227,6 @@ def import_prefix(spark: SparkSession, store: LedgerStore, prefix: str, **kw) ->
     keys = list_csv(spark, prefix, recursive=True).select(F.col("path").alias("key"))
     survivors = flatten_by_basename(keys, qualify(spark, prefix) + "/")
     routed = route(survivors.withColumnRenamed("key", "path"), name_col="basename")
-    out = {}
-    for kind in ("ledger", "asset"):
-        # the file list is the run's manifest (one row per file)
-        paths = [r.path for r in routed.filter(F.col("kind") == kind).select("path").collect()]
-        if paths:
-            fn = import_ledger if kind == "ledger" else import_assets
-            out[kind] = fn(spark, store, paths, **kw)
-    return out
+    by_kind = {kind: [r.path for r in routed.filter(F.col("kind") == kind).select("path").collect()]
+               for kind in ("ledger", "asset")}
+    return _import_routed(spark, store, by_kind, **kw)

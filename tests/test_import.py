@@ -258,3 +258,16 @@ def test_returned_ids_survive_the_append(spark, workdir):
     stored = {d.name: d.id for d in store.read("detail").collect()}
     assert [(r.name, r.id) for r in res.inserted.collect()] == [("NEW", stored["NEW"])] and stored["NEW"] == 3
     assert [r.id for r in res.history.collect()] == [2]
+
+
+def test_drop_abort_spans_kinds_in_name_order(spark, workdir):
+    """A bad asset file stops ledger files named after it, as one sequence."""
+    store = LedgerStore(spark, f"{workdir}/store")
+    d = f"{workdir}/drop"
+    write(f"{d}/a_cf.csv", CF_NO_HEADER)                                # before the bad file: imported
+    write(f"{d}/b_asset_history.csv", "2025-08-02,1,2\n")               # arity error
+    write(f"{d}/c_cf.csv", ",2024/07/10,LATE,-5,i,l,m,,,\n")           # after: not imported
+    with pytest.raises(ImportAborted):
+        import_drop(spark, store, d, job_label="j")
+    assert sorted(r.name for r in store.read("detail").collect()) == ["はま寿司", "ローソン"]
+    assert store.read("asset_history").count() == 0
