@@ -42,12 +42,24 @@ class ImportResult:
     rejects: DataFrame         # the bad records themselves
 
 
-def _date_window(existing: DataFrame, incoming: DataFrame, partitioned: bool = False) -> DataFrame:
+def _run_facts(typed: DataFrame, policy: str):
+    """One aggregate over the cached run rows: the abort cut (first file with
+    a bad row) and, over the good data rows, the date range and row count.
+    The range may include files after the cut, which only widens the probe."""
+    good = ~F.col("is_header") & F.col("reject").isNull()
+    r = typed.agg(F.min(F.when(F.col("reject").isNotNull(), F.col("file_rank"))).alias("cut"),
+                  F.min(F.when(good, F.col("date"))).alias("lo"),
+                  F.max(F.when(good, F.col("date"))).alias("hi"),
+                  F.count(F.when(good, 1)).alias("n")).first()
+    cut = r["cut"] if policy == "abort" else None
+    return cut, (r["lo"], r["hi"], r["n"])
+
+
+def _date_window(existing: DataFrame, bounds, partitioned: bool = False) -> DataFrame:
     """Restrict stored keys to the date range of the incoming rows. For the
     month-partitioned ``detail`` the same bounds on ``ym`` prune whole
-    folders at planning time; the bounds come from the cached run rows (one
-    tiny aggregate)."""
-    lo, hi = incoming.agg(F.min("date"), F.max("date")).first()
+    folders at planning time."""
+    lo, hi = bounds[0], bounds[1]
     if lo is None:
         return existing.limit(0)
     cond = F.col("date").between(F.lit(lo), F.lit(hi))
@@ -107,13 +119,13 @@ def import_ledger(spark: SparkSession, store: LedgerStore, paths, *, job_label:
     # drop, whose read-order stamp is stable, so a lost block recomputes to
     # the same rows
     typed = validate.type_ledger(scanned, run_date).persist(StorageLevel.MEMORY_AND_DISK)
-    cut = validate.abort_cut(typed) if policy == "abort" else None
+    cut, bounds = _run_facts(typed, policy)
     rows, report = validate.accepted(typed, policy, cut)
     key = dedup.LEDGER_KEY
     rows = dedup.keyed(rows, key, collation)
-    stored = _date_window(store.read("detail").select(*key, "ym"), rows, partitioned=True).select(*key)
+    stored = _date_window(store.read("detail").select(*key, "ym"), bounds, partitioned=True).select(*key)
     stored = dedup.keyed(stored, key, collation)
-    n_rows = rows.count()  # from the cached run rows: bounds the broadcast of incoming keys
+    n_rows = bounds[2]  # bounds the broadcast of incoming keys
     lap("date window")
     inserted = dedup.import_plan(rows, stored, key, reverse_rows=True, dry_run=dry_run, incoming_rows=n_rows)
     duplicates = dedup.duplicate_rows(rows, stored, key, incoming_rows=n_rows)
@@ -139,11 +151,11 @@ def import_assets(spark: SparkSession, store: LedgerStore, paths, *, job_label:
     scanned = raw if raw is not None else scan_asset_csv(spark, paths, encoding, multiline=multiline)
     n_files = len(paths) if paths else None
     typed = validate.type_asset(scanned).persist(StorageLevel.MEMORY_AND_DISK)
-    cut = validate.abort_cut(typed) if policy == "abort" else None
+    cut, bounds = _run_facts(typed, policy)
     rows, report = validate.accepted(typed, policy, cut)
     key = dedup.ASSET_KEY
-    stored = _date_window(store.read("asset_history").select(*key), rows)
-    n_rows = rows.count()
+    stored = _date_window(store.read("asset_history").select(*key), bounds)
+    n_rows = bounds[2]
     inserted = dedup.import_plan(rows, stored, key, reverse_rows=False, dry_run=dry_run, incoming_rows=n_rows)
     duplicates = dedup.duplicate_rows(rows, stored, key, incoming_rows=n_rows)
     if not dry_run:

@@ -122,5 +122,19 @@ class LedgerStore:
         out.write.mode("overwrite").parquet(f"{self.path('extract_rule')}/v={v}")
         return v
 
+    def register_views(self, prefix: str = "") -> list[str]:
+        """Temp views for ``spark.sql``: every table, the latest rule snapshot
+        as ``extract_rule``, and ``detail_current`` (rows with their two status
+        dates, the shape of the original ledger table)."""
+        from ..operators.status import with_status
+        names = []
+        for name in TABLES:
+            self.read(name).createOrReplaceTempView(prefix + name)
+            names.append(prefix + name)
+        self.rules().createOrReplaceTempView(prefix + "extract_rule")
+        with_status(self.read("detail"), self.read("detail_status")) \
+            .createOrReplaceTempView(prefix + "detail_current")
+        return names + [prefix + "extract_rule", prefix + "detail_current"]
+
     def exists(self, name: str) -> bool:
         return os.path.basename(name) in TABLES and self._committed(self.path(name))

@@ -155,3 +155,12 @@ def test_patch_operation_and_page_clamp(spark, workdir):
         patch_details(spark, store, spark.createDataFrame([(1,)], "id long"), "delete")
     assert patch_details(spark, store, spark.createDataFrame([(1,)], "id long"), "reset") == 1
     assert views.page_offset(9, 20, total_pages=3) == 40 and views.page_offset(0, 20) == 0
+
+
+def test_store_views_for_sql(spark, workdir):
+    store = _seed(spark, workdir)
+    classify_pending(spark, store, run_date="2024-07-21")
+    store.register_views(prefix="t_")
+    got = spark.sql("SELECT count(*) AS n, count(maw_regist_date) AS fwd FROM t_detail_current").first()
+    assert (got.n, got.fwd) == (3, 2)
+    assert spark.sql("SELECT count(*) FROM t_extract_rule").first()[0] == 4
