@@ -124,8 +124,7 @@ def classify(rows: DataFrame, rules: DataFrame, row_id: str = "id",
     ``rows`` needs ``name``, ``m_category``, ``fin_ins`` and a unique
     ``row_id``. ``rules`` has the extract_rule columns."""
     checked = check_rules(rules, on_invalid)
-    # small (one row per distinct rule) and read five times below
-    dictionary = rule_dictionary(checked).persist()
+    dictionary = rule_dictionary(checked)  # small: one row per distinct rule
     if strategy == "auto":
         n_partial = dictionary.filter(~F.col("exact")).count()  # small table
         strategy = "array" if n_partial <= max_array_rules else "join"

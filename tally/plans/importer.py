@@ -82,6 +82,7 @@ def _number_and_append(store: LedgerStore, table: str, new: DataFrame, reverse_r
     new = new.persist(StorageLevel.MEMORY_AND_DISK)
     if new.isEmpty():
         lap("no new rows")
+        new.unpersist()
         return new.withColumn("id", F.lit(None).cast("long"))
     numbered = dedup.assign_ids(new, _max_id(store, table), reverse_rows=reverse_rows)
     lap("ids staged")
@@ -200,19 +201,22 @@ def _import_routed(spark: SparkSession, store: LedgerStore, by_kind: dict[str, l
             if bad is not None and (cut is None or bad < cut):
                 cut = bad
     out = {}
-    for kind in kinds:
-        fn = import_ledger if kind == "ledger" else import_assets
-        paths = by_kind[kind]
-        if kind not in scans:
-            out[kind] = fn(spark, store, paths, **kw)
-            continue
-        raw = scans[kind]
-        if cut is not None:
-            paths = [p for p in paths if p.rsplit("/", 1)[-1] < cut]
-            raw = raw.filter(F.col("src_file") < F.lit(cut))  # ranks keep their order
-        if paths:
-            out[kind] = fn(spark, store, paths, raw=raw, **{k: v for k, v in kw.items() if k != "raw"})
-        scans[kind].unpersist()
+    try:
+        for kind in kinds:
+            fn = import_ledger if kind == "ledger" else import_assets
+            paths = by_kind[kind]
+            if kind not in scans:
+                out[kind] = fn(spark, store, paths, **kw)
+                continue
+            raw = scans[kind]
+            if cut is not None:
+                paths = [p for p in paths if p.rsplit("/", 1)[-1] < cut]
+                raw = raw.filter(F.col("src_file") < F.lit(cut))  # ranks keep their order
+            if paths:
+                out[kind] = fn(spark, store, paths, raw=raw, **{k: v for k, v in kw.items() if k != "raw"})
+    finally:
+        for scanned in scans.values():
+            scanned.unpersist()
     if cut is not None:
         raise ImportAborted(f"file {cut} has invalid rows; it and later files were not imported")
     return out
