@@ -38,9 +38,13 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
-def apply_engine_conf(spark: SparkSession) -> None:
-    """Set the runtime SQL settings on an existing session (idempotent)."""
+def apply_engine_conf(spark: SparkSession, time_zone: bool = True) -> None:
+    """Set the runtime SQL settings on an existing session (idempotent).
+    ``time_zone=False`` leaves the caller's session zone alone (only
+    ``current_date()`` defaults depend on it)."""
     for k, v in ENGINE_CONF.items():
+        if not time_zone and k == "spark.sql.session.timeZone":
+            continue
         try:
             if spark.conf.get(k, None) != v:
                 spark.conf.set(k, v)
