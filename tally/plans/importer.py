@@ -120,24 +120,28 @@ def import_ledger(spark: SparkSession, store: LedgerStore, paths, *, job_label:
     # drop, whose read-order stamp is stable, so a lost block recomputes to
     # the same rows
     typed = validate.type_ledger(scanned, run_date).persist(StorageLevel.MEMORY_AND_DISK)
-    cut, bounds = _run_facts(typed, policy)
-    rows, report = validate.accepted(typed, policy, cut)
-    key = dedup.LEDGER_KEY
-    rows = dedup.keyed(rows, key, collation)
-    stored = _date_window(store.read("detail").select(*key, "ym"), bounds, partitioned=True).select(*key)
-    stored = dedup.keyed(stored, key, collation)
-    n_rows = bounds[2]  # bounds the broadcast of incoming keys
-    lap("date window")
-    inserted = dedup.import_plan(rows, stored, key, reverse_rows=True, dry_run=dry_run, incoming_rows=n_rows)
-    duplicates = dedup.duplicate_rows(rows, stored, key, incoming_rows=n_rows)
-    if not dry_run:
-        inserted = _number_and_append(store, "detail", inserted, reverse_rows=True)
-    counts = dedup.file_counts(rows, inserted)
-    delta = dedup.ledger_history_delta(counts, store.read("import_history"))
-    history = _history_rows(store, delta, job_label, n_files)
-    if not dry_run:
-        store.append("import_history", history)
-    lap("history appended")
+    try:
+        cut, bounds = _run_facts(typed, policy)
+        rows, report = validate.accepted(typed, policy, cut)
+        key = dedup.LEDGER_KEY
+        rows = dedup.keyed(rows, key, collation)
+        stored = _date_window(store.read("detail").select(*key, "ym"), bounds, partitioned=True).select(*key)
+        stored = dedup.keyed(stored, key, collation)
+        n_rows = bounds[2]  # bounds the broadcast of incoming keys
+        lap("date window")
+        inserted = dedup.import_plan(rows, stored, key, reverse_rows=True, dry_run=dry_run, incoming_rows=n_rows)
+        duplicates = dedup.duplicate_rows(rows, stored, key, incoming_rows=n_rows)
+        if not dry_run:
+            inserted = _number_and_append(store, "detail", inserted, reverse_rows=True)
+        counts = dedup.file_counts(rows, inserted)
+        delta = dedup.ledger_history_delta(counts, store.read("import_history"))
+        history = _history_rows(store, delta, job_label, n_files)
+        if not dry_run:
+            store.append("import_history", history)
+        lap("history appended")
+    except BaseException:
+        typed.unpersist()  # released on failure too
+        raise
     _finish(typed, cut, policy)
     return ImportResult(inserted, duplicates, counts, history, report, validate.rejects(typed))
 
@@ -152,19 +156,23 @@ def import_assets(spark: SparkSession, store: LedgerStore, paths, *, job_label:
     scanned = raw if raw is not None else scan_asset_csv(spark, paths, encoding, multiline=multiline)
     n_files = len(paths) if paths else None
     typed = validate.type_asset(scanned).persist(StorageLevel.MEMORY_AND_DISK)
-    cut, bounds = _run_facts(typed, policy)
-    rows, report = validate.accepted(typed, policy, cut)
-    key = dedup.ASSET_KEY
-    stored = _date_window(store.read("asset_history").select(*key), bounds)
-    n_rows = bounds[2]
-    inserted = dedup.import_plan(rows, stored, key, reverse_rows=False, dry_run=dry_run, incoming_rows=n_rows)
-    duplicates = dedup.duplicate_rows(rows, stored, key, incoming_rows=n_rows)
-    if not dry_run:
-        inserted = _number_and_append(store, "asset_history", inserted, reverse_rows=False)
-    counts = dedup.file_counts(rows, inserted)
-    history = _history_rows(store, dedup.asset_history_delta(counts), job_label, n_files)
-    if not dry_run:
-        store.append("import_history", history)
+    try:
+        cut, bounds = _run_facts(typed, policy)
+        rows, report = validate.accepted(typed, policy, cut)
+        key = dedup.ASSET_KEY
+        stored = _date_window(store.read("asset_history").select(*key), bounds)
+        n_rows = bounds[2]
+        inserted = dedup.import_plan(rows, stored, key, reverse_rows=False, dry_run=dry_run, incoming_rows=n_rows)
+        duplicates = dedup.duplicate_rows(rows, stored, key, incoming_rows=n_rows)
+        if not dry_run:
+            inserted = _number_and_append(store, "asset_history", inserted, reverse_rows=False)
+        counts = dedup.file_counts(rows, inserted)
+        history = _history_rows(store, dedup.asset_history_delta(counts), job_label, n_files)
+        if not dry_run:
+            store.append("import_history", history)
+    except BaseException:
+        typed.unpersist()  # released on failure too
+        raise
     _finish(typed, cut, policy)
     return ImportResult(inserted, duplicates, counts, history, report, validate.rejects(typed))
 
