@@ -271,3 +271,11 @@ def test_drop_abort_spans_kinds_in_name_order(spark, workdir):
         import_drop(spark, store, d, job_label="j")
     assert sorted(r.name for r in store.read("detail").collect()) == ["はま寿司", "ローソン"]
     assert store.read("asset_history").count() == 0
+
+
+def test_staged_scan_equals_unstaged(spark, workdir):
+    p = write(f"{workdir}/cf.csv", CF)
+    cols = ["file_rank", "row_idx", "n_file_rows", "name", "raw_price"]
+    a = scan_ledger_csv(spark, [p]).select(*cols).orderBy("row_idx").collect()
+    b = scan_ledger_csv(spark, [p], staged=True).select(*cols).orderBy("row_idx").collect()
+    assert a == b and len(a) == 4

@@ -164,3 +164,14 @@ def test_store_views_for_sql(spark, workdir):
     got = spark.sql("SELECT count(*) AS n, count(maw_regist_date) AS fwd FROM t_detail_current").first()
     assert (got.n, got.fwd) == (3, 2)
     assert spark.sql("SELECT count(*) FROM t_extract_rule").first()[0] == 4
+
+
+def test_auto_switches_to_join_for_many_substring_rules(spark):
+    many = [(i, "name", f"w{i:04d}", 0, 1000 + i) for i in range(1, 701)]   # 700 substring rules
+    many += [(900_000, "name", "w00", 0, 7)]                                  # shorter, higher id
+    rules = rules_df(spark, many)
+    rows = rows_df(spark, [(1, "xx w0042 yy", "", ""), (2, "w0700", "", ""), (3, "none", "", ""),
+                           (4, "w00", "", "")])
+    auto = {r.id: r.category_id for r in R.classify(rows, rules).collect()}
+    arr = {r.id: r.category_id for r in R.classify(rows, rules, strategy="array").collect()}
+    assert auto == arr == {1: 1042, 2: 1700, 3: None, 4: 7}
