@@ -31,3 +31,17 @@ def test_gauges_follow_history(spark, workdir):
     stream_latest_runs(spark, store.path("import_history"), out, ckpt).awaitTermination()
     got = {r.job_label: (r.parsed_entry_num, r.new_entry_num) for r in spark.read.parquet(out).collect()}
     assert got == {"j1": (1, 1), "j2": (2, 1)}
+
+
+def test_mixed_drop_stream_routes_by_name(spark, workdir):
+    from tally.streaming.jobs import stream_drops
+    store = LedgerStore(spark, f"{workdir}/store")
+    landing, ckpt = f"{workdir}/landing", f"{workdir}/ckpt"
+    write(f"{landing}/run=1/cf.csv", ",2024/07/19,A,-1,i,l,m,,,\n")
+    write(f"{landing}/run=1/asset_history.csv", "2025-08-01,1,1,0,1,1,x\n")
+    write(f"{landing}/run=1/dummy.csv", "ignored\n")
+    stream_drops(spark, store, landing, ckpt, job_label="d").awaitTermination()
+    assert store.read("detail").count() == 1 and store.read("asset_history").count() == 1
+    write(f"{landing}/run=2/cf.csv", ",2024/07/19,A,-1,i,l,m,,,\n,2024/07/20,B,-2,i,l,m,,,\n")
+    stream_drops(spark, store, landing, ckpt, job_label="d").awaitTermination()
+    assert sorted(r.name for r in store.read("detail").collect()) == ["A", "B"]
