@@ -336,8 +336,11 @@ def q_apply_status(spark, sf_dir):
 
 
 def q_ledger_page(spark, sf_dir):
-    view = views.detail_view(_orders_detail(spark, sf_dir))
-    pg = views.page(view, limit=views.DEFAULT_PAGE_SIZE, offset=views.page_offset(3, views.DEFAULT_PAGE_SIZE))
+    """T1 + F9 + J6: page 3 of the stored rows, newest first, cut by id range
+    before the status events of just those ids are read."""
+    detail = _orders_detail(spark, sf_dir).drop("maw_check_date", "maw_regist_date")
+    pg = views.detail_page(detail, _orders_events(spark, sf_dir), limit=views.DEFAULT_PAGE_SIZE,
+                           offset=views.page_offset(3, views.DEFAULT_PAGE_SIZE))
     return views.detail_display(pg).select(
         "id", "useDate", "name", "price_text", "registDate", "importJudgeDate", "importDate", "status")
 
