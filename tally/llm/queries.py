@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_classes
 from .mixing import mixture
+from .packing import pack_documents
 from .sharding import shuffle_to_shards
 
 
@@ -32,10 +33,21 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_classes(_docs(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def tokenizer_path() -> str:
+    """Vocabulary file of the packing query and stage."""
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_docs(spark, sf_dir), tokenizer_path(), 4096)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_sharding": op3_sharding,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_packing": op9_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -1,0 +1,101 @@
+import random
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from tally.llm import packing
+from tally.llm.packing import best_fit_decreasing, lower_bound, pack_documents, sequences
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+WORDS = ["the", "Éa", "x" * 300, "é", "don't", " ", "a b", "<|endoftext|>", "q<|startoftext|>r", "\x1c", "12",
+         "́", "İ", "日本", "ﬁ", "🙂", "..", "ΣΑΣ"]
+
+
+def rows():
+    r = random.Random(1)
+    text = lambda n: "".join(r.choice(WORDS) + r.choice([" ", "\n", " \t ", "  "]) for _ in range(n))
+    out = [(i, text(r.choice([0, 1, 5, 30, 60]))) for i in range(120)]
+    return out + [(None, None), (None, ""), (3, "same"), (3, "same"), (500, "the " * 3000), (501, "no" * 5000)]
+
+
+def frame(spark, data):
+    return (spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+            .withColumn("id", F.lit("clash")).withColumn("uid", F.lit(1)).withColumn("piece", F.lit(9)))
+
+
+def test_ids_and_places(spark, monkeypatch):
+    tok, data, cap = Tokenizer.from_file(PATH), rows(), 64
+    monkeypatch.setattr(packing, "PART_ITEMS", 40)  # driver side: several partitions, so bins are exchanged
+    got = pack_documents(frame(spark, data), PATH, cap, with_ids=True)
+    seq = {r.sequence_id: r.ids for r in sequences(got).collect()}
+    got = got.collect()
+    want = []
+    for i, t in data:
+        ids = tok.encode(t or "", add_special_tokens=False).ids + [1]
+        for k, at in enumerate(range(0, len(ids), cap)):
+            part = np.array(ids[at:at + cap], dtype="<u4").tobytes()
+            want.append((str(i), k, at, len(part) // 4, zlib.crc32(part)))
+    assert sorted((str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length, bytes(r.ids)))
+    for s, own in bins.items():
+        at = 0
+        for offset, length, _ in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= cap and seq[s] == b"".join(x[2] for x in sorted(own))
+    bound = lower_bound(np.array([w[3] for w in want]), cap)
+    assert bound <= len(bins) <= bound + 2
+
+
+def test_blocks_and_small_cache(monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 16)
+    text = "one two\tthree " + "y" * 40 + "\nfour" + " " * 30 + "z"
+    assert [w for b in packing.blocks(text.encode()) for w in b.split()] == text.encode().split()
+    monkeypatch.setattr(packing, "CACHE_WORDS", 2)
+    tok, words = Tokenizer.from_file(PATH), packing.WordIds(PATH)
+    for ws in (["a", "b"], ["c", " "], ["a", "d", *WORDS]):
+        words.learn({w.encode() for w in ws})
+        for w in ws:
+            assert words[w.encode()] == np.array(tok.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+def optimum(sizes, cap):
+    best = [len(sizes)]
+
+    def go(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(sizes):
+            best[0] = len(bins)
+            return
+        for k in range(len(bins)):
+            if bins[k] + sizes[i] <= cap and bins[k] not in bins[:k]:
+                bins[k] += sizes[i]
+                go(i + 1, bins)
+                bins[k] -= sizes[i]
+        go(i + 1, [*bins, sizes[i]])
+
+    go(0, [])
+    return best[0]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_bound_and_best_fit(seed):
+    r = random.Random(seed)
+    for _ in range(60):
+        cap = r.choice([10, 12, 30])
+        sizes = sorted((r.randint(1, cap) for _ in range(r.randint(1, 9))), reverse=True)
+        bins, offsets, fill = best_fit_decreasing(sizes, cap)
+        assert max(fill) <= cap and sum(fill) == sum(sizes)
+        assert lower_bound(np.array(sizes), cap) <= optimum(sizes, cap) <= len(fill)
+
+
+def test_empty(spark):
+    assert pack_documents(frame(spark, rows()).limit(0), PATH).count() == 0
