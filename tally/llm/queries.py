@@ -11,12 +11,17 @@ from .exact_dedup import exact_classes
 from .mixing import mixture
 from .packing import pack_documents
 from .sharding import shuffle_to_shards
+from .simhash import simhash_components
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(_docs(spark, sf_dir), words=4, max_bits=4)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(_docs(spark, sf_dir))
 
@@ -44,6 +49,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
     "op3_sharding": op3_sharding,
     "op8_exact_dedup": op8_exact_dedup,
