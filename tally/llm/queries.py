@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_classes
 from .mixing import mixture
+from .nbsvm import quality_scores
 from .packing import pack_documents
+from .quality_rules import quality_rules
 from .sharding import shuffle_to_shards
 from .simhash import simhash_components
+from .toxicity import toxicity_scores
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +37,31 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                                               "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _held_out(modulus: int, rest: int) -> Column:
+    """Whether a row is held out, by the CRC-32 of its id as text."""
+    return F.coalesce(F.crc32(F.encode(F.col("id").cast("string"), "utf-8")) % modulus == rest, F.lit(False))
+
+
+def _classified(scores: DataFrame, modulus: int, rest: int) -> DataFrame:
+    return scores.withColumnRenamed("doc_id", "id").select(
+        F.col("id").alias("doc_id"), _held_out(modulus, rest).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return _classified(quality_scores(_docs(spark, sf_dir), labels, ~_held_out(3, 1)), 3, 1)
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return _classified(toxicity_scores(_docs(spark, sf_dir), labels, ~_held_out(5, 0)), 5, 0)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_classes(_docs(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -52,6 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
     "op3_sharding": op3_sharding,
+    "op4_quality": op4_quality,
+    "op5_quality_rules": op5_quality_rules,
+    "op7_toxicity": op7_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_packing": op9_packing,
 }
