@@ -61,6 +61,8 @@ def indicators(text: str | None) -> np.ndarray:
     twice = sum(map(bytes.__eq__, words, words[1:]))
     flags = [twice > 0, 10 * twice > n, lines > 0, lines > 3, *(100 * repeated > k * n for k in (0, 5, 10, 20, 35, 50, 70))]
     shapes = (1 << HASH_BITS) + np.flatnonzero(flags)
+    if len(found) > 1:
+        found = [np.unique(np.concatenate(found))]
     return np.concatenate([*found, shapes]).astype(np.int64)
 
 

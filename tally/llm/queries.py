@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_classes
+from .lm_scoring import lm_scores
 from .mixing import mixture
 from .nbsvm import quality_scores
 from .packing import pack_documents
@@ -57,6 +58,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = lm_scores(_docs(spark, sf_dir))
+    return scores.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"),
+                         F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return _classified(toxicity_scores(_docs(spark, sf_dir), labels, ~_held_out(5, 0)), 5, 0)
@@ -82,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_quality": op4_quality,
     "op5_quality_rules": op5_quality_rules,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_toxicity": op7_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_packing": op9_packing,

@@ -7,7 +7,9 @@ from tally.llm import nbsvm, toxicity
 from tally.llm.nbsvm import dual_coordinate_descent, indicators, quality_scores
 from tally.llm.toxicity import Lexicon, best_cut, fold, toxicity_scores
 
-TRAIN = F.crc32(F.encode(F.col("id").cast("string"), "utf-8")) % 3 != 1
+
+def train():
+    return F.crc32(F.encode(F.col("id").cast("string"), "utf-8")) % 3 != 1
 
 
 def test_dual_coordinate_descent_reaches_the_optimum():
@@ -71,27 +73,27 @@ def accuracy(scores, truth):
 def test_quality(spark):
     rows, quality, _ = corpus()
     lab = spark.createDataFrame([*quality, (1, 0), (1, 1), (None, 0)], "doc_id long, quality int")
-    out = quality_scores(frame(spark, rows), lab, TRAIN).collect()
+    out = quality_scores(frame(spark, rows), lab, train()).collect()
     assert len(out) == len(rows) and all(0 <= r.score <= 1 for r in out)
     assert accuracy(out, dict(quality)) >= 0.98
-    again = quality_scores(frame(spark, rows).repartition(2), lab, TRAIN).collect()
+    again = quality_scores(frame(spark, rows).repartition(2), lab, train()).collect()
     assert sorted((str(r.doc_id), round(r.score, 9)) for r in out) == sorted((str(r.doc_id), round(r.score, 9)) for r in again)
-    one = quality_scores(frame(spark, rows), lab.filter("quality = 1"), TRAIN).first()
-    none = quality_scores(frame(spark, rows), lab.limit(0), TRAIN).first()
+    one = quality_scores(frame(spark, rows), lab.filter("quality = 1"), train()).first()
+    none = quality_scores(frame(spark, rows), lab.limit(0), train()).first()
     assert one.score > 0.5 and none.score == 0.5
-    assert quality_scores(frame(spark, rows).limit(0), lab, TRAIN).count() == 0
+    assert quality_scores(frame(spark, rows).limit(0), lab, train()).count() == 0
 
 
 def test_toxicity(spark, monkeypatch):
     rows, _, toxic = corpus()
     monkeypatch.setattr(toxicity, "MIN_CLEAN_PHRASES", 2)
     lab = spark.createDataFrame(toxic, "doc_id long, toxic int")
-    out = toxicity_scores(frame(spark, rows), lab, TRAIN).collect()
+    out = toxicity_scores(frame(spark, rows), lab, train()).collect()
     assert len(out) == len(rows) and all(0 <= r.score <= 1 for r in out)
     assert accuracy(out, dict(toxic)) >= 0.95
     assert [r.score for r in out if r.doc_id == 5000] == [0.0]
-    assert toxicity_scores(frame(spark, rows), lab.limit(0), TRAIN).count() == len(rows)
-    assert toxicity_scores(frame(spark, rows).limit(0), lab, TRAIN).count() == 0
+    assert toxicity_scores(frame(spark, rows), lab.limit(0), train()).count() == len(rows)
+    assert toxicity_scores(frame(spark, rows).limit(0), lab, train()).count() == 0
 
 
 def test_folding_and_exceptions(monkeypatch):

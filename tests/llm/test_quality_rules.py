@@ -38,8 +38,8 @@ def test_base_stats():
 
 def corpus():
     r = random.Random(2)
-    good = lambda: " ".join(r.choice(["river", "stone", "walk", "light", "of"]) for _ in range(80))
-    junk = lambda: " ".join(r.choice(["q%%%", "z$$$", "x&&&", "v###"]) for _ in range(80))
+    good = lambda: " ".join(r.choice(["river", "stone", "walk"]) + str(r.randrange(60)) for _ in range(900))
+    junk = lambda: " ".join(r.choice("qzxv") + str(r.randrange(60)) + r.choice(["%%%", "$$$", "&&&"]) for _ in range(900))
     rows = [(i, good() if i % 3 else junk()) for i in range(90)]
     labels = [(i, int(i % 3 > 0)) for i in range(0, 60)] + [(61, 1), (61, 0), (None, 1)]
     return rows + [(None, good()), (None, None), (5, ""), (1000, "river " * 40_000)], labels
