@@ -1,0 +1,56 @@
+from collections import Counter, defaultdict
+
+import corpus_pipeline
+from tests_llm_helpers import groups, near, normal, plain_fingerprint, words
+
+
+def test_each_stage_on_its_own_input(spark, tmp_path):
+    """Every stage against brute force over what its predecessor kept."""
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs.collect()
+        out = stage(spark, docs, sf_dir)
+        assert name == "packing" or out.columns == docs.columns
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        seen[name] = before, docs.collect()
+    before, after = seen["quality_rules"]
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    kept = {r.doc_id for r in after}
+    long = [r for r in before if len(words(r.text)) >= 50]
+    assert kept <= {r.doc_id for r in long}
+    assert all(r.doc_id in kept for r in long if labels.get(r.doc_id) == 1)
+    assert not any(labels.get(i) == 0 for i in kept)
+    before, after = seen["exact_dedup"]
+    least = {}
+    for r in before:
+        least[normal(r.text)] = min(r.doc_id, least.get(normal(r.text), r.doc_id))
+    assert sorted(r.doc_id for r in after) == sorted(least.values())
+    before, after = seen["simhash_dedup"]
+    fps = {r.doc_id: plain_fingerprint(r.text) for r in before}
+    root = groups(set(fps.values()), near(fps.values(), 4))
+    best = {}
+    for i, f in fps.items():
+        best[root[f]] = min(i, best.get(root[f], i))
+    assert sorted(r.doc_id for r in after) == sorted(best.values())
+    before, after = seen["mixing"]
+    size = {r.doc_id: len(words(r.text)) for r in before}
+    copies = Counter(r.doc_id for r in after)
+    assert set(copies) <= set(size) and max(copies.values()) <= 2
+    assert abs(sum(size[i] * n for i, n in copies.items()) - 1.5 * sum(size.values())) < 10 * max(size.values())
+    before, after = seen["packing"]
+    pieces, fill = defaultdict(list), Counter()
+    for r in after:
+        pieces[r.doc_id].append(r.piece)
+        fill[r.sequence_id] += r.length
+    assert max(fill.values()) <= 4096
+    copies = Counter(r.doc_id for r in before)
+    assert all(Counter(p) == Counter({k: copies[i] for k in range(max(p) + 1)}) for i, p in pieces.items())
+    assert set(pieces) == set(copies)
+
+
+def test_run(spark):
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert out.count() > 0 and "sequence_id" in out.columns

@@ -1,42 +1,15 @@
 import random
-import re
 
 import numpy as np
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 from tally.llm import simhash
 from tally.llm.common import Scratch
 from tally.llm.components import components
-from tally.llm.simhash import block_bits, fingerprint, links, simhash_components, simhash_dedup, trie_pairs
-
-
-def plain_fingerprint(text, words=4):
-    t = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
-    w = re.findall(r"[^\x20\x09-\x0D]+", t)
-    if not w:
-        return 0
-    h = [xxhash.xxh64_intdigest(" ".join(w[i:i + words]).encode(), 42) for i in range(max(1, len(w) - words + 1))]
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
-
-def groups(nodes, linked):
-    label = {n: n for n in nodes}
+from tests_llm_helpers import groups, near, plain_fingerprint
 
-    def root(x):
-        while label[x] != x:
-            x = label[x]
-        return x
-
-    for a, b in linked:
-        label[max(root(a), root(b))] = min(root(a), root(b))
-    return {n: root(n) for n in nodes}
-
-
-def near(fps, k):
-    fps = sorted(set(fps))
-    return [(a, b) for i, a in enumerate(fps) for b in fps[i + 1:] if (a ^ b).bit_count() <= k]
+from tally.llm.simhash import block_bits, fingerprint, links, simhash_components, simhash_dedup, trie_pairs
 
 
 def points(seed, n=400):
