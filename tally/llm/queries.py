@@ -13,6 +13,7 @@ from .mixing import mixture
 from .nbsvm import quality_scores
 from .packing import pack_documents
 from .quality_rules import quality_rules
+from .secret_scan import scan_corpus
 from .sharding import shuffle_to_shards
 from .simhash import simhash_components
 from .toxicity import toxicity_scores
@@ -83,6 +84,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_docs(spark, sf_dir), tokenizer_path(), 4096)
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings by document and position; the digest stands for the secret."""
+    found = scan_corpus(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return found.select("doc_id", "start", F.length("candidate").alias("length"), F.sha2("candidate", 256).alias("sha256"),
+                        F.round("probability", 6).alias("probability"), "is_secret")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
@@ -93,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_packing": op9_packing,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
