@@ -140,5 +140,17 @@ def to_json_record(*cols) -> Column:
 
 
 def parse_rule_request(js) -> Column:
-    """JSON rule request -> struct; malformed input -> NULL struct."""
-    return F.from_json(_c(js), RULE_REQUEST, {"mode": "PERMISSIVE"})
+    """JSON rule request -> struct. A missing or null field reads as its
+    zero value; malformed input, anything but an object, and a field of the
+    wrong type (text for a number, a fraction for an integer) give NULL."""
+    doc = F.try_parse_json(_c(js))
+    kind = lambda f: F.coalesce(F.schema_of_variant(F.try_variant_get(doc, f"$.{f}", "variant")), F.lit("VOID"))
+    zero = {"string": ("STRING", ""), "bigint": ("BIGINT", 0), "int": ("BIGINT", 0)}
+    fields, fits = [], F.schema_of_variant(doc).startswith("OBJECT")
+    for f in RULE_REQUEST.fields:
+        kind_name = f.dataType.simpleString()
+        want, empty = zero[kind_name]
+        fits = fits & kind(f.name).isin(want, "VOID")
+        value = F.try_variant_get(doc, f"$.{f.name}", kind_name)
+        fields.append(F.coalesce(value, F.lit(empty).cast(f.dataType)).alias(f.name))
+    return F.when(fits, F.struct(*fields))

@@ -12,7 +12,7 @@ M7  dry run                           -> J1 without A6
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordinal import global_ordinal
@@ -42,15 +42,17 @@ def processing_order(reverse_rows: bool) -> Column:
 
 def first_processed(rows: DataFrame, key: list[str], reverse_rows: bool = True) -> DataFrame:
     """Keep only the first processed row of each key."""
-    rest = [c for c in rows.columns if c not in key]
-    return (rows.groupBy(*key)
-            .agg(F.min_by(F.struct(*rest), processing_order(reverse_rows)).alias("_r"))
-            .select(*key, *[F.col(f"_r.{c}").alias(c) for c in rest]))
+    # the key columns come from the chosen row as well: under a collation the
+    # grouping value may be the text of any row of the group
+    return (rows.groupBy(*[F.col(k).alias(f"_key_{k}") for k in key])
+            .agg(F.min_by(F.struct(*rows.columns), processing_order(reverse_rows)).alias("_r"))
+            .select("_r.*"))
 
 
-# Largest incoming key set broadcast to probe the stored keys (rows; about
-# 10 MB of keys, shipped to every executor).
+# Largest incoming key set broadcast to probe the stored keys: rows, and bytes
+# of their text columns (counted by the importer).
 MAX_BROADCAST_KEYS = 250_000
+MAX_BROADCAST_BYTES = 32 << 20
 
 
 def stored_hits(incoming: DataFrame, existing: DataFrame, key: list[str],
@@ -58,11 +60,12 @@ def stored_hits(incoming: DataFrame, existing: DataFrame, key: list[str],
     """Stored keys that an incoming row also has. With a counted incoming
     size below MAX_BROADCAST_KEYS the incoming keys are broadcast and the
     stored side is only scanned (map-side semi join, no shuffle of stored
-    data); the result has at most ``incoming_rows`` rows."""
+    data). The result is distinct, so it has at most ``incoming_rows`` rows
+    however many copies of a key are stored."""
     keys = incoming.select(*key)
     if incoming_rows is not None and incoming_rows <= MAX_BROADCAST_KEYS:
         keys = F.broadcast(keys)
-    return existing.select(*key).join(keys, key, "left_semi")
+    return existing.select(*key).join(keys, key, "left_semi").distinct()
 
 
 def new_rows(incoming: DataFrame, existing: DataFrame, key: list[str],
@@ -115,6 +118,16 @@ def file_counts(parsed: DataFrame, inserted: DataFrame,
             .withColumn("new_entry_num", F.coalesce(F.col("new_entry_num"), F.lit(0)).cast("long")))
 
 
+def file_facts(files: DataFrame, parsed: DataFrame, inserted: DataFrame) -> DataFrame:
+    """A2/A3 from the run's file list (src_path, src_file, file_rank): parsed
+    and inserted rows of every file, those without a data row included."""
+    p = parsed.groupBy("src_path").agg(F.count(F.lit(1)).alias("parsed_entry_num"))
+    i = inserted.groupBy("src_path").agg(F.count(F.lit(1)).alias("new_entry_num"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    return (files.join(p, "src_path", "left").join(i, "src_path", "left")
+            .select("src_path", "src_file", "file_rank", zero("parsed_entry_num"), zero("new_entry_num")))
+
+
 def latest_by(df: DataFrame, group: list[str], order: str, cols: list[str]) -> DataFrame:
     """The row with the largest ``order`` per group (max_by, partial
     aggregation; no per-group sort)."""
@@ -126,10 +139,15 @@ def latest_by(df: DataFrame, group: list[str], order: str, cols: list[str]) -> D
 def ledger_history_delta(counts: DataFrame, history: DataFrame) -> DataFrame:
     """M5: a history row is appended for a file when its last recorded run
     (by src_file, any job label) had a different parsed count, or when there
-    is no last run."""
+    is no last run. Files of one run that share a name follow each other in
+    rank order: the one before is the last run of the next."""
     last = latest_by(history, ["src_file"], "id", ["parsed_entry_num"]) \
         .withColumnRenamed("parsed_entry_num", "last_parsed")
-    return (counts.join(last, "src_file", "left")
+    joined = counts.join(last, "src_file", "left")
+    if "file_rank" in counts.columns:  # a window per file name, over the files of a run
+        before = F.lag("parsed_entry_num").over(Window.partitionBy("src_file").orderBy("file_rank"))
+        joined = joined.withColumn("last_parsed", F.coalesce(before, F.col("last_parsed")))
+    return (joined
             .filter(F.col("last_parsed").isNull()
                     | (F.col("last_parsed") != F.col("parsed_entry_num"))))
 

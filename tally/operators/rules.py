@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.parse import TRANSIT_CATEGORY, exact_flag, is_transit
+from ..functions.parse import TRANSIT_CATEGORY, contains, exact_flag, is_transit
 
 FIELDS = ("name", "m_category")
 MAX_ARRAY_RULES = 512
@@ -49,9 +49,12 @@ def check_rules(rules: DataFrame, on_invalid: str = "abort") -> DataFrame:
         return v.filter("valid").drop("valid")
     if on_invalid != "abort":
         raise ValueError(f"unknown on_invalid {on_invalid!r}")
-    bad = [r["id"] for r in v.filter(~F.col("valid")).select("id").limit(20).collect()]
-    if bad:
-        raise InvalidRuleError(f"unknown field name in rules {bad}")
+    bad = v.filter(~F.col("valid"))
+    n = bad.count()
+    if n:
+        first = [r["id"] for r in bad.select("id").orderBy("id").limit(20).collect()]
+        more = f" and {n - len(first)} more" if n > len(first) else ""
+        raise InvalidRuleError(f"unknown field name in {n} rules: {first}{more}")
     return v.drop("valid")
 
 
@@ -79,7 +82,7 @@ def _contains_array(rows: DataFrame, dictionary: DataFrame, field: str, out: str
     arr = (dictionary.filter((F.col("field_name") == field) & ~F.col("exact"))
            .agg(F.sort_array(F.collect_list(F.struct(F.col("rule_id"), F.col("value"), F.col("category_id")))))
            .scalar())  # exactly one row, even with no rules
-    hits = F.filter(F.col(f"_rs_{out}"), lambda r: F.contains(F.col(field), r["value"]))
+    hits = F.filter(F.col(f"_rs_{out}"), lambda r: contains(F.col(field), r["value"]))
     return (rows.withColumn(f"_rs_{out}", arr)
             .withColumn(out, F.try_element_at(hits, F.lit(1))["category_id"])
             .drop(f"_rs_{out}"))

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.parse import day
 from .dedup import latest_by
 
 CHECK, FORWARD, RESET = "check", "forward", "reset"
@@ -24,17 +25,22 @@ CHECK, FORWARD, RESET = "check", "forward", "reset"
 
 def current_status(events: DataFrame) -> DataFrame:
     """Latest event per detail id -> (detail_id, maw_check_date, maw_regist_date, op)."""
-    last = latest_by(events, ["detail_id"], "seq", ["op", "at"])
+    stamp = ["written_at"] if "written_at" in events.columns else []
+    last = latest_by(events, ["detail_id"], "seq", ["op", "at", *stamp])
     return last.select(
         "detail_id", "op",
         F.when(F.col("op").isin(CHECK, FORWARD), F.col("at")).alias("maw_check_date"),
-        F.when(F.col("op") == FORWARD, F.col("at")).alias("maw_regist_date"))
+        F.when(F.col("op") == FORWARD, F.col("at")).alias("maw_regist_date"), *stamp)
 
 
 def with_status(detail: DataFrame, events: DataFrame) -> DataFrame:
-    """Detail rows with their two status dates (NULL when never judged)."""
+    """Detail rows with their two status dates (NULL when never judged);
+    ``updated_at`` (K6) is the time of the last event, if there is one."""
     st = current_status(events).drop("op")
-    return (detail.join(st, detail["id"] == st["detail_id"], "left").drop("detail_id"))
+    out = detail.join(st, detail["id"] == st["detail_id"], "left").drop("detail_id")
+    if "written_at" in st.columns and "updated_at" in out.columns:
+        out = out.withColumn("updated_at", F.coalesce("written_at", "updated_at"))
+    return out.drop("written_at")
 
 
 def pending(detail: DataFrame, events: DataFrame) -> DataFrame:
@@ -100,7 +106,7 @@ def judge_events(classified: DataFrame, at, seq) -> DataFrame:
     return classified.select(
         F.col("id").alias("detail_id"),
         F.when(F.col("category_id").isNotNull(), F.lit(FORWARD)).otherwise(F.lit(CHECK)).alias("op"),
-        F.lit(at).cast("date").alias("at"),
+        day(F.lit(at)).alias("at"),
         F.lit(seq).cast("long").alias("seq"))
 
 
@@ -109,7 +115,7 @@ def reset_events(ids: DataFrame, at, seq, id_col: str = "id") -> DataFrame:
     never join a detail row)."""
     return ids.select(F.col(id_col).cast("long").alias("detail_id"),
                       F.lit(RESET).alias("op"),
-                      F.lit(at).cast("date").alias("at"),
+                      day(F.lit(at)).alias("at"),
                       F.lit(seq).cast("long").alias("seq"))
 
 

@@ -10,7 +10,6 @@ from .dedup import latest_by
 from .status import status_label
 
 DEFAULT_PAGE_SIZE = 20  # fixed value: API default limit
-PAGE_SIZES = (10, 20, 50)  # fixed values: UI choices
 
 
 def detail_view(detail_with_status: DataFrame) -> DataFrame:
@@ -54,7 +53,7 @@ def detail_page(detail: DataFrame, events: DataFrame, limit: int = DEFAULT_PAGE_
     rows = page(_newest(detail, limit + offset), limit, offset)
     ids = F.broadcast(rows.select(F.col("id").alias("detail_id")))
     st = current_status(events.join(ids, "detail_id", "left_semi"))
-    joined = rows.join(F.broadcast(st.drop("op")), rows["id"] == st["detail_id"], "left").drop("detail_id")
+    joined = rows.join(F.broadcast(st.drop("op", "written_at")), rows["id"] == st["detail_id"], "left").drop("detail_id")
     return detail_view(joined).orderBy(F.col("id").desc())
 
 
@@ -65,7 +64,7 @@ def _newest(detail: DataFrame, need: int) -> DataFrame:
     table; when the range holds fewer rows (gaps), the whole table is used."""
     if need <= 0:
         return detail
-    top = detail.agg(F.max("id")).first()[0]  # from footers (aggregate pushdown)
+    top = detail.agg(F.max("id")).first()[0]  # a scan of the id column alone
     if top is None:
         return detail
     cand = detail.filter(F.col("id") > F.lit(top - need))

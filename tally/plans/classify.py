@@ -1,11 +1,11 @@
 """Pending rows -> classification -> outbox -> status events.
 
-Order of writes makes a retry exactly-once at table level: the batch number
-``seq`` is derived from the status table, the outbox is written first and
-anti-joined on (detail_id, seq), then the status events, then the batch's
-high-water mark. A run that died between the writes re-derives the same
-``seq`` and skips the outbox rows it already wrote; without its mark the
-next run falls back to the previous mark, which only widens the scan.
+Order of writes makes a retry exactly-once at table level: the outbox is
+written first, then the status events, then the batch's high-water mark. A
+run that died between the writes is finished by the next one: outbox records
+without a status event get theirs first (``finish_open_batch``), so the rows
+are no longer pending. Without its mark the next run falls back to the
+previous mark, which only widens the scan.
 
 Pending rows come from the last high-water mark (``status.pending_since``):
 ids above it, plus rows whose latest event is a reset. One writer at a time
@@ -40,10 +40,26 @@ class ClassifyResult:
 def next_batch(store: LedgerStore) -> int:
     """Next batch number: above every status event and every recorded
     classification batch (a batch that judged nothing writes no event but
-    still records its mark). Both maxima come from parquet footers."""
-    ev = S.next_seq(store.read("detail_status")).first()[0]
-    runs = store.read("classify_run").agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0] + 1
-    return max(ev, runs)
+    still records its mark), and above the outbox, so that no reset can take
+    the number of a batch that died after sending."""
+    return max(S.next_seq(store.read(t)).first()[0] for t in ("detail_status", "classify_run", "outbox"))
+
+
+def finish_open_batch(store: LedgerStore, run_date=None) -> None:
+    """A batch that died after writing its outbox left records without a
+    status event. They were sent: their forward events are written now, under
+    the batch's own number, so that each is one judgement. Such records are
+    newer than the last recorded batch; older outbox files are not read."""
+    if not store.exists("outbox"):
+        return
+    last = store.read("classify_run").agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+    sent = store.read("outbox").filter(F.col("seq") > F.lit(last)).select("detail_id", "seq")
+    known = store.read("detail_status").filter(F.col("seq") > F.lit(last)).filter(F.col("op") == S.FORWARD)
+    open_ = stage(sent.join(known, ["detail_id", "seq"], "left_anti"), "open-batch")
+    if not open_.isEmpty():
+        at = run_date if run_date is not None else F.current_date()
+        store.append("detail_status", open_.select("detail_id", F.lit(S.FORWARD).alias("op"),
+                                                   F.lit(at).cast("date").alias("at"), "seq"))
 
 
 def outbox_records(classified: DataFrame, seq, source_tag: str = DEFAULT_SOURCE_TAG) -> DataFrame:
@@ -61,15 +77,16 @@ def outbox_records(classified: DataFrame, seq, source_tag: str = DEFAULT_SOURCE_
 
 
 def outbox_json(outbox: DataFrame) -> DataFrame:
-    """The JSON body of each record (NULL fields omitted)."""
-    return outbox.select("detail_id", "seq", to_json_record(
-        "category_id", "datetime", "price", "from", "type", "memo").alias("body"))
+    """Adds the JSON body of each record (NULL fields omitted)."""
+    return outbox.withColumn("body", to_json_record("category_id", "datetime", "price", "from", "type", "memo"))
 
 
 def classify_pending(spark: SparkSession, store: LedgerStore, *, run_date=None,
                      dry_run: bool = False, strategy: str = "auto",
                      on_invalid: str = "abort", source_tag: str = DEFAULT_SOURCE_TAG) -> ClassifyResult:
     lap(None)
+    if not dry_run:
+        finish_open_batch(store, run_date)
     events = store.read("detail_status")
     seq = next_batch(store)
     runs = store.read("classify_run")
@@ -90,9 +107,7 @@ def classify_pending(spark: SparkSession, store: LedgerStore, *, run_date=None,
     ev = S.judge_events(classified, at, seq)
     if dry_run:
         return ClassifyResult(classified, out, ev, seq)
-    # only a retry of this very batch can collide: read the outbox at seq only
-    prior = store.read("outbox").filter(F.col("seq") == F.lit(seq)).select("detail_id", "seq")
-    store.append("outbox", out.join(prior, ["detail_id", "seq"], "left_anti"))
+    store.append("outbox", out)
     lap("outbox appended")
     store.append("detail_status", ev)
     lap("status appended")
@@ -113,7 +128,7 @@ def patch_details(spark: SparkSession, store: LedgerStore, ids: DataFrame, opera
                   run_date=None) -> int:
     """M2 entry point: only the ``reset`` operation is defined."""
     if operation != RESET_OPERATION:
-        raise ValueError(f"not defined operation: {operation!r}")
+        raise ValueError(f"a detail has no operation {operation!r}")
     return reset_details(spark, store, ids, run_date)
 
 

@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dedup, validate
-from ..operators.ordinal import small_ordinal
-from ..session import lap
-from ..sources.csv_scan import scan_asset_csv, scan_ledger_csv
+from ..operators.ordinal import global_ordinal
+from ..session import lap, stage
+from ..sources.csv_scan import listed_files, run_files, scan_asset_csv, scan_ledger_csv
 from ..sources.store import LedgerStore
 
 
@@ -47,12 +47,24 @@ def _run_facts(typed: DataFrame, policy: str):
     a bad row) and, over the good data rows, the date range and row count.
     The range may include files after the cut, which only widens the probe."""
     good = ~F.col("is_header") & F.col("reject").isNull()
+    text = F.octet_length("name") if "name" in typed.columns else F.lit(0)
     r = typed.agg(F.min(F.when(F.col("reject").isNotNull(), F.col("file_rank"))).alias("cut"),
                   F.min(F.when(good, F.col("date"))).alias("lo"),
                   F.max(F.when(good, F.col("date"))).alias("hi"),
-                  F.count(F.when(good, 1)).alias("n")).first()
+                  F.count(F.when(good, 1)).alias("n"),
+                  F.coalesce(F.sum(F.when(good, text)), F.lit(0)).alias("bytes")).first()
     cut = r["cut"] if policy == "abort" else None
-    return cut, (r["lo"], r["hi"], r["n"])
+    # a row count is a bound for a broadcast only while its text is small too
+    n = r["n"] if r["bytes"] <= dedup.MAX_BROADCAST_BYTES else None
+    return cut, (r["lo"], r["hi"], n)
+
+
+def _imported_files(files: DataFrame, typed: DataFrame, cut: int | None, policy: str) -> DataFrame:
+    """The files of the run that were imported (M9), with or without rows."""
+    if policy == "abort":
+        return files if cut is None else files.filter(F.col("file_rank") < cut)
+    bad = typed.filter(F.col("reject").isNotNull()).select("src_path").distinct()
+    return files.join(bad, "src_path", "left_anti")
 
 
 def _date_window(existing: DataFrame, bounds, partitioned: bool = False) -> DataFrame:
@@ -69,12 +81,12 @@ def _date_window(existing: DataFrame, bounds, partitioned: bool = False) -> Data
 
 
 def _max_id(store: LedgerStore, table: str) -> int:
-    """Largest stored id, read once (parquet footers) so that the returned
-    frames keep their ids after the append."""
+    """Largest stored id (a scan of that one column), read once so that the
+    returned frames keep their ids after the append."""
     return store.read(table).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
 
 
-def _number_and_append(store: LedgerStore, table: str, new: DataFrame, reverse_rows: bool) -> DataFrame:
+def _number_and_append(store: LedgerStore, table: str, new: DataFrame, base: int, reverse_rows: bool) -> DataFrame:
     """K5 + K1: ids after the stored maximum, then append. The new rows are
     cached once: the emptiness check, the range sampling and the ordering
     shuffle all read the cache, and an all-duplicate re-run (the steady
@@ -82,9 +94,9 @@ def _number_and_append(store: LedgerStore, table: str, new: DataFrame, reverse_r
     new = new.persist(StorageLevel.MEMORY_AND_DISK)
     if new.isEmpty():
         lap("no new rows")
-        new.unpersist()
-        return new.withColumn("id", F.lit(None).cast("long"))
-    numbered = dedup.assign_ids(new, _max_id(store, table), reverse_rows=reverse_rows)
+        new.unpersist()  # an empty frame of the same columns: nothing runs again when it is read
+        return store.spark.createDataFrame([], new.schema).withColumn("id", F.lit(None).cast("long"))
+    numbered = dedup.assign_ids(new, base, reverse_rows=reverse_rows)
     lap("ids staged")
     store.append(table, numbered.withColumn("created_at", F.current_timestamp())
                  .withColumn("updated_at", F.current_timestamp()))
@@ -93,11 +105,10 @@ def _number_and_append(store: LedgerStore, table: str, new: DataFrame, reverse_r
     return numbered
 
 
-def _history_rows(store: LedgerStore, delta: DataFrame, job_label: str | None,
-                  n_files: int | None) -> DataFrame:
-    """One row per file of the run (so ``n_files`` bounds it)."""
+def _history_rows(store: LedgerStore, delta: DataFrame, job_label: str | None) -> DataFrame:
+    """At most one row per file of the run, numbered in rank order."""
     base = _max_id(store, "import_history")
-    ordered = small_ordinal(delta, [F.col("file_rank")], "_o", n_files)
+    ordered = global_ordinal(delta, [F.col("file_rank")], "_o")
     return (ordered
             .select((F.lit(base) + F.col("_o") + 1).cast("long").alias("id"),
                     F.lit(job_label).cast("string").alias("job_label"),
@@ -110,12 +121,13 @@ def _history_rows(store: LedgerStore, delta: DataFrame, job_label: str | None,
 def import_ledger(spark: SparkSession, store: LedgerStore, paths, *, job_label: str | None = None,
                   run_date=None, dry_run: bool = False, policy: str = "abort",
                   encoding: str = "utf8", collation: str | None = None, multiline: bool = True,
-                  raw: DataFrame | None = None) -> ImportResult:
-    """M11. ``raw`` may carry an already positioned scan (streaming)."""
+                  raw: DataFrame | None = None, files: DataFrame | None = None) -> ImportResult:
+    """M11. ``raw`` may carry an already positioned scan, with its ``files``
+    (streaming, routed drops)."""
     lap(None)
     scanned = raw if raw is not None else scan_ledger_csv(spark, paths, encoding, multiline=multiline)
+    files = run_files(spark, listed_files(spark, paths)) if files is None else files
     lap("scan planned")
-    n_files = len(paths) if paths else None
     # typed rows are used by several actions; their lineage starts at the
     # drop, whose read-order stamp is stable, so a lost block recomputes to
     # the same rows
@@ -125,17 +137,20 @@ def import_ledger(spark: SparkSession, store: LedgerStore, paths, *, job_label:
         rows, report = validate.accepted(typed, policy, cut)
         key = dedup.LEDGER_KEY
         rows = dedup.keyed(rows, key, collation)
-        stored = _date_window(store.read("detail").select(*key, "ym"), bounds, partitioned=True).select(*key)
+        # rows this run appends are not part of the stored side, also when a frame is read later
+        base = _max_id(store, "detail")
+        known = store.read("detail").filter(F.col("id") <= base).select(*key, "ym")
+        stored = _date_window(known, bounds, partitioned=True).select(*key)
         stored = dedup.keyed(stored, key, collation)
         n_rows = bounds[2]  # bounds the broadcast of incoming keys
         lap("date window")
         inserted = dedup.import_plan(rows, stored, key, reverse_rows=True, dry_run=dry_run, incoming_rows=n_rows)
         duplicates = dedup.duplicate_rows(rows, stored, key, incoming_rows=n_rows)
         if not dry_run:
-            inserted = _number_and_append(store, "detail", inserted, reverse_rows=True)
-        counts = dedup.file_counts(rows, inserted)
+            inserted = _number_and_append(store, "detail", inserted, base, reverse_rows=True)
+        counts = stage(dedup.file_facts(_imported_files(files, typed, cut, policy), rows, inserted), "counts")
         delta = dedup.ledger_history_delta(counts, store.read("import_history"))
-        history = _history_rows(store, delta, job_label, n_files)
+        history = _history_rows(store, delta, job_label)
         if not dry_run:
             store.append("import_history", history)
         lap("history appended")
@@ -149,25 +164,26 @@ def import_ledger(spark: SparkSession, store: LedgerStore, paths, *, job_label:
 def import_assets(spark: SparkSession, store: LedgerStore, paths, *, job_label: str | None = None,
                   run_date=None, dry_run: bool = False, policy: str = "abort", encoding: str = "utf8",
                   collation: str | None = None, multiline: bool = True,
-                  raw: DataFrame | None = None) -> ImportResult:
+                  raw: DataFrame | None = None, files: DataFrame | None = None) -> ImportResult:
     """Same flow keyed by date; first row of a file wins (no reversal);
     history only when a row was inserted (M6). ``run_date`` and
     ``collation`` are accepted for a uniform call and unused (no text key)."""
     scanned = raw if raw is not None else scan_asset_csv(spark, paths, encoding, multiline=multiline)
-    n_files = len(paths) if paths else None
+    files = run_files(spark, listed_files(spark, paths)) if files is None else files
     typed = validate.type_asset(scanned).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         cut, bounds = _run_facts(typed, policy)
         rows, report = validate.accepted(typed, policy, cut)
         key = dedup.ASSET_KEY
-        stored = _date_window(store.read("asset_history").select(*key), bounds)
+        base = _max_id(store, "asset_history")
+        stored = _date_window(store.read("asset_history").filter(F.col("id") <= base).select(*key), bounds)
         n_rows = bounds[2]
         inserted = dedup.import_plan(rows, stored, key, reverse_rows=False, dry_run=dry_run, incoming_rows=n_rows)
         duplicates = dedup.duplicate_rows(rows, stored, key, incoming_rows=n_rows)
         if not dry_run:
-            inserted = _number_and_append(store, "asset_history", inserted, reverse_rows=False)
-        counts = dedup.file_counts(rows, inserted)
-        history = _history_rows(store, dedup.asset_history_delta(counts), job_label, n_files)
+            inserted = _number_and_append(store, "asset_history", inserted, base, reverse_rows=False)
+        counts = stage(dedup.file_facts(_imported_files(files, typed, cut, policy), rows, inserted), "counts")
+        history = _history_rows(store, dedup.asset_history_delta(counts), job_label)
         if not dry_run:
             store.append("import_history", history)
     except BaseException:
@@ -198,35 +214,31 @@ def _import_routed(spark: SparkSession, store: LedgerStore, by_kind: dict[str, l
     policy = kw.get("policy", "abort")
     encoding, multiline = kw.get("encoding", "utf8"), kw.get("multiline", True)
     kinds = [k for k in ("ledger", "asset") if by_kind.get(k)]
-    scans, cut = {}, None
-    if policy == "abort":
+    # one rank over the files of both kinds, so that one cut means the same for both
+    files = run_files(spark, [u for k in kinds for u in listed_files(spark, by_kind[k])])
+    scans, cut, out = {}, None, {}
+    try:
         for kind in kinds:
             scan = scan_ledger_csv if kind == "ledger" else scan_asset_csv
-            typer = validate.type_ledger if kind == "ledger" else validate.type_asset
-            scans[kind] = scan(spark, by_kind[kind], encoding, multiline=multiline) \
-                .persist(StorageLevel.MEMORY_AND_DISK)
-            bad = typer(scans[kind]).filter(F.col("reject").isNotNull()).agg(F.min("src_file")).first()[0]
-            if bad is not None and (cut is None or bad < cut):
-                cut = bad
-    out = {}
-    try:
+            scans[kind] = (scan(spark, by_kind[kind], encoding, multiline=multiline).drop("file_rank")
+                           .join(files.select("src_path", "file_rank"), "src_path").persist(StorageLevel.MEMORY_AND_DISK))
+            if policy == "abort":
+                typer = validate.type_ledger if kind == "ledger" else validate.type_asset
+                bad = typer(scans[kind]).filter(F.col("reject").isNotNull()).agg(F.min("file_rank")).first()[0]
+                cut = min((x for x in (cut, bad) if x is not None), default=None)
         for kind in kinds:
             fn = import_ledger if kind == "ledger" else import_assets
-            paths = by_kind[kind]
-            if kind not in scans:
-                out[kind] = fn(spark, store, paths, **kw)
-                continue
+            own = files.join(run_files(spark, listed_files(spark, by_kind[kind])).select("src_path"), "src_path", "left_semi")
             raw = scans[kind]
             if cut is not None:
-                paths = [p for p in paths if p.rsplit("/", 1)[-1] < cut]
-                raw = raw.filter(F.col("src_file") < F.lit(cut))  # ranks keep their order
-            if paths:
-                out[kind] = fn(spark, store, paths, raw=raw, **{k: v for k, v in kw.items() if k != "raw"})
+                raw, own = raw.filter(F.col("file_rank") < cut), own.filter(F.col("file_rank") < cut)
+            out[kind] = fn(spark, store, by_kind[kind], raw=raw, files=own, **kw)
     finally:
         for scanned in scans.values():
             scanned.unpersist()
     if cut is not None:
-        raise ImportAborted(f"file {cut} has invalid rows; it and later files were not imported")
+        name = files.filter(F.col("file_rank") == cut).first()["src_file"]
+        raise ImportAborted(f"file {name} has invalid rows; it and later files were not imported")
     return out
 
 

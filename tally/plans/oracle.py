@@ -80,8 +80,10 @@ a AS (
 
 _REQUESTS = """
 req AS (
-  SELECT r_regionkey * 2 AS req_order, r_name AS value, CAST(r_regionkey + 500 AS BIGINT) AS category_id
-  FROM region)"""
+  SELECT r_regionkey * 5 AS req_order, r_name AS value, CAST(r_regionkey + 500 AS BIGINT) AS category_id,
+         1 AS exact_match FROM region
+  UNION ALL
+  SELECT r_regionkey * 5 + 2, lower(r_name), CAST(0 AS BIGINT), 0 FROM region)"""
 
 _PAGE_KEYS = """
 k AS (
@@ -138,7 +140,7 @@ FROM (SELECT o_orderkey, raw_date,
     "split_rejects": """
 WITH t AS (
   SELECT o_orderpriority AS src_file, o_orderkey AS row_idx,
-         (o_orderpriority = '5-LOW' AND o_orderstatus = 'P') AS bad
+         (o_orderpriority = '5-LOW' AND (o_orderstatus = 'P' OR o_orderkey % 97 = 5)) AS bad
   FROM orders),
 r AS (
   SELECT src_file, dense_rank() OVER (ORDER BY src_file) - 1 AS file_rank,
@@ -221,10 +223,11 @@ SELECT id, date, name, price FROM od WHERE maw_check_date IS NULL""",
     "apply_status": """
 WITH ev AS (
   SELECT CAST(user_id AS BIGINT) AS detail_id,
-         CASE event_type WHEN 'view' THEN 'check' WHEN 'purchase' THEN 'forward' WHEN 'error' THEN 'reset' END AS op,
+         CASE WHEN event_type IN ('view', 'click') THEN 'check' WHEN event_type IN ('purchase', 'signup') THEN 'forward'
+              WHEN event_type = 'error' THEN 'reset' END AS op,
          CAST(ts AS DATE) AS at_day, event_id AS seq
   FROM events),
-last AS (SELECT detail_id, arg_max(op, seq) AS op, arg_max(at_day, seq) AS at_day FROM ev WHERE op IS NOT NULL GROUP BY detail_id)
+last AS (SELECT detail_id, arg_max(op, seq) AS op, arg_max(at_day, seq) AS at_day FROM ev GROUP BY detail_id)
 SELECT detail_id, op,
        CASE WHEN op IN ('check', 'forward') THEN at_day END AS maw_check_date,
        CASE WHEN op = 'forward' THEN at_day END AS maw_regist_date,
@@ -271,7 +274,7 @@ FROM rules WHERE id = 42""",
     "rule_add": f"""
 WITH {_RULES_SQL}, {_REQUESTS}
 SELECT CAST((SELECT max(id) FROM rules) + row_number() OVER (ORDER BY req_order) AS BIGINT) AS id,
-       'name' AS field_name, value, CAST(1 AS INTEGER) AS exact_match, category_id
+       'name' AS field_name, value, CAST(exact_match AS INTEGER) AS exact_match, category_id
 FROM req""",
     "rule_delete": f"""
 WITH {_RULES_SQL}
@@ -379,3 +382,40 @@ SELECT o.o_orderkey AS id, CAST(o.o_orderdate AS DATE) AS date, CAST(floor(o.o_t
 FROM orders o LEFT JOIN last l ON l.detail_id = o.o_orderkey
 WHERE l.op IS NULL OR l.op = 'reset'""",
 })
+
+_LEDGER_TEXT = """
+t AS (
+  SELECT CAST(o_orderdate AS DATE) AS date, o_orderpriority || ' ' || o_orderstatus AS name,
+         CAST(floor(o_totalprice / 1000) * 1000 AS BIGINT) AS price, o_orderkey,
+         substr(o_orderpriority, 1, 1) AS p, year(o_orderdate) AS yr
+  FROM orders)"""
+
+ORACLE_SQL.update({
+    "dedup_collated": f"""
+SELECT date, CASE WHEN event_id % 3 = 0 THEN upper(name) || ' '
+                  WHEN event_id % 3 = 1 THEN upper(substr(name, 1, 1)) || substr(name, 2) ELSE name END AS name,
+       price, event_id, user_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY date, name, price ORDER BY user_id, event_id DESC) AS rn
+  FROM ({_EV_LEDGER})) WHERE rn = 1""",
+    "import_history_e2e": f"""
+WITH {_LEDGER_TEXT},
+files AS (
+  SELECT yr, count(*) AS parsed, count(DISTINCT (date, name, price)) AS added FROM t GROUP BY yr
+  UNION ALL SELECT 1990, 0, 0 UNION ALL SELECT 1991, 0, 0),
+runs AS (
+  SELECT 1 AS run, 'first' AS job_label, yr, parsed, added FROM files
+  UNION ALL SELECT 2, 'second', yr, parsed, 0 FROM files),
+seen AS (SELECT *, lag(parsed) OVER (ORDER BY run, yr) AS last FROM runs)
+SELECT row_number() OVER (ORDER BY run, yr) AS id, job_label, parsed AS parsed_entry_num,
+       CAST(added AS BIGINT) AS new_entry_num, 'cf 1+2.csv' AS src_file
+FROM seen WHERE last IS NULL OR last <> parsed""",
+    "import_duplicates_e2e": f"""
+WITH {_LEDGER_TEXT}
+SELECT date, name, price, CAST(o_orderkey AS VARCHAR) AS source_id FROM t WHERE yr < 1996""",
+    "import_rejects_e2e": f"""
+WITH {_LEDGER_TEXT},
+bad AS (SELECT DISTINCT p FROM t WHERE p IN ('2', '3', '5') AND o_orderkey % 500 = 0),
+s AS (SELECT *, row_number() OVER (PARTITION BY date, name, price ORDER BY o_orderkey DESC) AS rn
+      FROM t WHERE p NOT IN (SELECT p FROM bad))
+SELECT date, name, price, CAST(o_orderkey AS VARCHAR) AS source_id FROM s WHERE rn = 1""",
+})

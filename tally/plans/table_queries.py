@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parse as P
+from ..schemas import CORRUPT
 from ..operators import dedup, rules as R, status as S, validate, views
 from ..operators.ordinal import global_ordinal, rank_within, small_ordinal
 
@@ -201,14 +202,15 @@ def q_split_rejects(spark, sf_dir):
     d = F.col("o_orderdate")
     raw_date = F.when((F.col("o_orderpriority") == "5-LOW") & (F.col("o_orderstatus") == "P"),
                       F.date_format(d, "MM/dd")).otherwise(F.date_format(d, "yyyy/MM/dd"))
-    date = P.ledger_date(raw_date)
-    price = P.unsigned_price(F.concat(F.lit("-"), F.format_number(F.floor("o_totalprice"), 0)))
-    typed = _files_ranked(o.select(
+    ragged = (F.col("o_orderpriority") == "5-LOW") & (F.col("o_orderkey") % 97 == 5)
+    raw = _files_ranked(o.select(
         F.col("o_orderpriority").alias("src_file"), F.col("o_orderpriority").alias("src_path"),
-        F.col("o_orderkey").alias("row_idx"), F.lit(False).alias("is_header"),
-        F.when(date.isNull(), F.lit("date")).when(price.isNull(), F.lit("price")).alias("reject")),
-        "src_file")
-    _, report = validate.apply_policy(typed, "abort")
+        F.col("o_orderkey").alias("row_idx"), F.lit(1).alias("n_file_rows"),
+        F.lit("1").alias("calc_flag"), raw_date.alias("raw_date"), F.col("o_orderpriority").alias("name"),
+        F.concat(F.lit("-"), F.format_number(F.floor("o_totalprice"), 0)).alias("raw_price"),
+        *[F.lit("").alias(c) for c in ("fin_ins", "l_category", "m_category", "source_id")],
+        F.when(ragged, F.lit("a,b")).alias(CORRUPT)), "src_file")
+    _, report = validate.apply_policy(validate.type_ledger(raw, "2024-01-01"), "abort")
     return report.select("src_file", "file_rank", "parsed_rows", "rejected_rows", "first_bad_row", "imported")
 
 
@@ -312,9 +314,7 @@ def q_outbox(spark, sf_dir):
     from .classify import outbox_records, outbox_json
     rows = _part_rows(spark, sf_dir)
     c = R.classify(rows, _derived_rules(spark, sf_dir), row_id="id", on_invalid="skip")
-    out = outbox_records(c, 1, "ledger-importer")
-    body = outbox_json(out)
-    return out.join(body, ["detail_id", "seq"]).select(
+    return outbox_json(outbox_records(c, 1, "ledger-importer")).select(
         "detail_id", "seq", "category_id", "datetime", "price", "from", "type", "memo", "body")
 
 
@@ -325,11 +325,11 @@ def q_pending_rows(spark, sf_dir):
 
 def q_apply_status(spark, sf_dir):
     ev = _t(spark, sf_dir, "events")
-    op = (F.when(F.col("event_type") == "view", F.lit("check"))
-          .when(F.col("event_type") == "purchase", F.lit("forward"))
+    op = (F.when(F.col("event_type").isin("view", "click"), F.lit("check"))
+          .when(F.col("event_type").isin("purchase", "signup"), F.lit("forward"))
           .when(F.col("event_type") == "error", F.lit("reset")))
     events = ev.select(F.col("user_id").cast("long").alias("detail_id"), op.alias("op"),
-                       F.to_date("ts").alias("at"), F.col("event_id").alias("seq")).filter(F.col("op").isNotNull())
+                       F.to_date("ts").alias("at"), F.col("event_id").alias("seq"))
     st = S.current_status(events)
     return st.select("detail_id", "op", "maw_check_date", "maw_regist_date",
                      S.status_label().alias("status"))
@@ -355,9 +355,8 @@ def q_page_count(spark, sf_dir):
 
 def q_latest_run_by_job(spark, sf_dir):
     h = _history_from_events(_t(spark, sf_dir, "events"))
-    last = dedup.latest_by(h, ["job_label"], "id", ["id", "parsed_entry_num", "new_entry_num", "updated_at"])
-    return last.select("job_label", F.col("id").alias("run_id"), "parsed_entry_num", "new_entry_num",
-                       _epoch_ntz(F.col("updated_at")).alias("updated_at_epoch"))
+    # the table's stamps have no zone; the history's are instants
+    return views.latest_run_by_job(h.withColumn("updated_at", F.timestamp_seconds(_epoch_ntz(F.col("updated_at")))))
 
 
 def q_latest_run_by_file(spark, sf_dir):
@@ -388,22 +387,25 @@ def q_rule_lookup(spark, sf_dir):
 
 
 def _region_requests(spark, sf_dir) -> DataFrame:
-    """Rule requests as JSON text derived from ``region``; one per region,
-    plus a malformed body per region that must be rejected."""
+    """Rule requests as JSON text derived from ``region``: one per region,
+    one without category and flag (zero values), and three per region that
+    must be refused: malformed, text for a number, a number for text."""
     r = _t(spark, sf_dir, "region")
     good = F.format_string('{"fieldName":"name","value":"%s","categoryId":%d,"exactMatch":1}',
                            F.col("r_name"), F.col("r_regionkey") + 500)
-    bad = F.format_string('{"fieldName":"name","value":"%s"', F.col("r_name"))
-    return r.select(F.col("r_regionkey").alias("req_order"), F.explode(F.array(
-        F.struct(F.lit(0).alias("k"), good.alias("body")),
-        F.struct(F.lit(1).alias("k"), bad.alias("body")))).alias("b")).select(
-        (F.col("req_order") * 2 + F.col("b.k")).alias("req_order"), F.col("b.body").alias("body"))
+    bodies = [good, F.format_string('{"fieldName":"name","value":"%s"', F.col("r_name")),
+              F.format_string('{"fieldName":"name","value":"%s"}', F.lower("r_name")),
+              F.format_string('{"fieldName":"name","value":"%s","categoryId":1,"exactMatch":"yes"}', F.col("r_name")),
+              F.format_string('{"fieldName":"name","value":%d,"categoryId":1,"exactMatch":1}', F.col("r_regionkey"))]
+    return r.select(F.col("r_regionkey").alias("req_order"), F.explode(F.array(*[
+        F.struct(F.lit(k).alias("k"), b.alias("body")) for k, b in enumerate(bodies)])).alias("b")).select(
+        (F.col("req_order") * 5 + F.col("b.k")).alias("req_order"), F.col("b.body").alias("body"))
 
 
 def q_rule_add(spark, sf_dir):
     rules = _derived_rules(spark, sf_dir)
     req = _region_requests(spark, sf_dir).select("req_order", P.parse_rule_request("body").alias("r"))
-    ok = req.filter(F.col("r.fieldName").isNotNull() & F.col("r.categoryId").isNotNull()).select("req_order", "r.*")
+    ok = req.filter(F.col("r").isNotNull()).select("req_order", "r.*")
     snapshot = S.add_rules(rules, ok, order_col="req_order")
     return (snapshot.join(rules.select("id"), "id", "left_anti")
             .select("id", "field_name", "value", "exact_match", "category_id"))
@@ -555,7 +557,7 @@ def q_stream_latest(spark, sf_dir):
     day, reduced by a streaming max_by per job label."""
     from ..schemas import IMPORT_HISTORY
     from ..session import staging_path
-    from ..streaming.jobs import stream_latest_runs
+    from ..streaming.jobs import read_latest_runs, stream_latest_runs
     h = _history_from_events(_t(spark, sf_dir, "events"))
     h = h.select(*[(F.col(f.name) if f.name in h.columns else F.lit(None)).cast(f.dataType).alias(f.name)
                    for f in IMPORT_HISTORY.fields], F.to_date("updated_at").alias("day"))
@@ -564,8 +566,8 @@ def q_stream_latest(spark, sf_dir):
     h.withColumn("updated_at", F.col("updated_at")).write.partitionBy("day").parquet(landing)
     q = stream_latest_runs(spark, landing, out, staging_path(spark, "gauge-ckpt"))
     q.awaitTermination()
-    return spark.read.parquet(out).select("job_label", F.col("id").alias("run_id"),
-                                          "parsed_entry_num", "new_entry_num")
+    return read_latest_runs(spark, out).select("job_label", F.col("id").alias("run_id"),
+                                               "parsed_entry_num", "new_entry_num")
 
 
 QUERIES.update({
@@ -707,3 +709,103 @@ QUERIES.update({
     "detail_status_view": q_detail_status_view,
     "pending_incremental": q_pending_incremental,
 })
+
+
+def q_dedup_collated(spark, sf_dir):
+    """A6 under a case- and trailing-blank-insensitive key: whole rows, with
+    the name as the chosen row spells it."""
+    rows = _events_as_ledger(_t(spark, sf_dir, "events"))
+    name = (F.when(F.col("event_id") % 3 == 0, F.concat(F.upper("name"), F.lit(" ")))
+            .when(F.col("event_id") % 3 == 1, F.initcap("name")).otherwise(F.col("name")))
+    keyed = dedup.keyed(rows.withColumn("name", name), dedup.LEDGER_KEY, "UNICODE_CI_AI_RTRIM")
+    out = dedup.first_processed(keyed, dedup.LEDGER_KEY, reverse_rows=True)
+    return out.select("date", F.col("name").cast("string").alias("name"), "price", "event_id", "user_id")
+
+
+def _rename_files(spark, landing: str, name: str) -> None:
+    """The one CSV file of each folder below ``landing`` becomes ``name``."""
+    from ..sources.store import _fs, list_dirs
+    fs, _ = _fs(spark, landing)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for d in list_dirs(spark, landing):
+        for st in fs.listStatus(path(f"{landing}/{d}")):
+            if st.getPath().getName().endswith(".csv"):
+                fs.rename(st.getPath(), path(f"{landing}/{d}/{name}"))
+
+
+def _write_bytes(spark, path: str, text: str) -> None:
+    from ..sources.store import _fs
+    fs, p = _fs(spark, path)
+    out = fs.create(p)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def q_import_history_e2e(spark, sf_dir):
+    """Run folders ``yr=<year>`` that all hold
+    ``cf 1+2.csv`` (one from orders each, one with a header only, one empty),
+    imported twice. History rows follow the files in order."""
+    from ..session import staging_path
+    from ..sources.store import LedgerStore
+    from .importer import import_ledger
+    landing = staging_path(spark, "history-csv")
+    text = _orders_ledger_text(_t(spark, sf_dir, "orders"))
+    # sort key order inside a file does not matter for counts; years are the files
+    _write_ledger_csv(text, landing, ["yr"])
+    _rename_files(spark, landing, "cf 1+2.csv")
+    _write_bytes(spark, f"{landing}/yr=1990/cf 1+2.csv", ",".join(LEDGER_HEADER) + "\n")
+    _write_bytes(spark, f"{landing}/yr=1991/cf 1+2.csv", "")
+    store = LedgerStore(spark, staging_path(spark, "store"))
+    for label in ("first", "second"):
+        import_ledger(spark, store, [f"{landing}/yr=*/*.csv"], job_label=label, run_date="2024-01-01")
+    return store.read("import_history").select("id", "job_label", "parsed_entry_num", "new_entry_num", "src_file")
+
+
+def q_import_duplicates_e2e(spark, sf_dir):
+    """The duplicates frame of a second import that overlaps the
+    first: orders before 1996 are stored, then all are imported."""
+    from ..session import staging_path
+    from ..sources.store import LedgerStore
+    from .importer import import_ledger
+    landing = staging_path(spark, "overlap-csv")
+    _write_ledger_csv(_orders_ledger_text(_t(spark, sf_dir, "orders")), landing, ["yr"])
+    store = LedgerStore(spark, staging_path(spark, "store"))
+    import_ledger(spark, store, [f"{landing}/yr=199[0-5]/*.csv"], run_date="2024-01-01")
+    res = import_ledger(spark, store, [f"{landing}/*/*.csv"], run_date="2024-01-01")
+    return res.duplicates.select("date", "name", "price", "source_id")
+
+
+def q_import_rejects_e2e(spark, sf_dir):
+    """S3, F2, M9: one ledger file per order priority, written as lines: 1 has
+    its header in the middle, 2 a quote inside a bare field, 3 a record with a
+    column too many, 4 nothing wrong, 5 a line of blanks. Bad files are held
+    back whole."""
+    from ..session import staging_path
+    from ..sources.store import LedgerStore
+    from .importer import import_ledger
+    o = _t(spark, sf_dir, "orders")
+    t = _orders_ledger_text(o).withColumn("p", F.substring("p", 1, 1))
+    cols = ["calc", "raw_date", "name", "raw_price", "fin_ins", "l_cat", "m_cat", "memo", "transfer", "sid"]
+    quoted = [F.concat(F.lit('"'), F.col(c), F.lit('"')) for c in cols]
+    line = F.concat_ws(",", *quoted)
+    odd = F.col("row_key") % 500 == 0
+    broken = F.concat_ws(",", *quoted[:2], F.lit('a"b'), *quoted[3:])
+    text = t.select("p", "row_key", F.when(odd & (F.col("p") == "2"), broken)
+                    .when(odd & (F.col("p") == "3"), F.concat(line, F.lit(",x")))
+                    .when(odd & (F.col("p") == "5"), F.lit("   ")).otherwise(line).alias("value"))
+    header = t.filter(F.col("p") == "1").groupBy("p").agg(F.max("row_key").alias("row_key")).select(
+        "p", (F.col("row_key") / 2).cast("long").alias("row_key"), F.lit(",".join(LEDGER_HEADER)).alias("value"))
+    landing = staging_path(spark, "rejects-csv")
+    (text.unionByName(header).repartition("p").sortWithinPartitions("p", "row_key").select("p", "value")
+     .write.partitionBy("p").text(landing))
+    store = LedgerStore(spark, staging_path(spark, "store"))
+    res = import_ledger(spark, store, [f"{landing}/*/*.txt"], run_date="2024-01-01", policy="quarantine")
+    return res.inserted.select("date", "name", "price", "source_id")
+
+
+QUERIES.update({
+    "dedup_collated": q_dedup_collated,
+    "import_history_e2e": q_import_history_e2e,
+    "import_duplicates_e2e": q_import_duplicates_e2e,
+    "import_rejects_e2e": q_import_rejects_e2e,
+})

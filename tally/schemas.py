@@ -48,6 +48,7 @@ DETAIL_STATUS = T.StructType([
     T.StructField("op", T.StringType(), False),       # check | forward | reset
     T.StructField("at", T.DateType(), False),
     T.StructField("seq", T.LongType(), False),        # batch number, not clock
+    T.StructField("written_at", T.TimestampType(), True),
 ])
 
 EXTRACT_RULE = T.StructType([

@@ -20,11 +20,13 @@ more than one split of rows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.parse import basename
 from ..schemas import ASSET_CSV, CORRUPT, LEDGER_CSV
-from ..operators.ordinal import SMALL_TABLE_ROWS, global_ordinal
 
 # Accepted charset names (fixed values): case-insensitive.
 ENCODINGS = {"utf8": "UTF-8", "sjis": "Shift_JIS"}
@@ -41,11 +43,16 @@ def resolve_encoding(name: str | None) -> str:
     return ENCODINGS[key]
 
 
+def require_charset(spark: SparkSession, charset: str) -> None:
+    """Spark 4 refuses legacy charsets unless ``ENGINE_CONF`` is applied; the
+    caller's session is not changed here."""
+    if charset != "UTF-8" and spark.conf.get("spark.sql.legacy.javaCharsets", "false") != "true":
+        raise ValueError(f"{charset} needs spark.sql.legacy.javaCharsets=true (see tally.session.ENGINE_CONF)")
+
+
 def _reader(spark: SparkSession, schema, encoding: str, multiline: bool = True):
     charset = resolve_encoding(encoding)
-    if charset != "UTF-8":
-        # Spark 4 refuses legacy charsets unless this is on
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    require_charset(spark, charset)
     return (spark.read.schema(schema)
             .option("multiLine", "true" if multiline else "false")
             .option("quote", '"').option("escape", '"')
@@ -66,65 +73,116 @@ def read_raw(spark: SparkSession, paths: list[str] | str, schema,
     return with_file_meta(_reader(spark, schema, encoding, multiline).csv(paths))
 
 
+def plain_path(path):
+    """File paths as one form: ``file:/x`` and ``file:///x`` are the same."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
+def file_name(path):
+    """Basename of a file URI, decoded. A ``+`` in a URI path is a plus."""
+    return F.url_decode(F.replace(basename(path), F.lit("+"), F.lit("%2B")))
+
+
 def with_file_meta(df: DataFrame) -> DataFrame:
     """File columns of a CSV scan (batch or one micro-batch of a stream)."""
-    return df.select("*",
-                     F.col("_metadata.file_path").alias("src_path"),
-                     F.col("_metadata.file_name").alias("src_file"),
+    return df.select("*", F.col("_metadata.file_path").alias("_uri"),
                      F.col("_metadata.file_block_start").alias("_block"),
                      F.monotonically_increasing_id().alias("_mid"))
 
 
-def position_rows(raw: DataFrame, n_files: int | None = None,
+def run_files(spark: SparkSession, uris: list[str]) -> DataFrame:
+    """The files of a run: src_path (URI), src_file (decoded name) and
+    file_rank in name order. Files without a record are in it too. ``uris``
+    is the listing Spark's planner already holds on the driver."""
+    import urllib.parse
+    rows = [(re.sub("^file:/+", "file:/", u), urllib.parse.unquote(u.rsplit("/", 1)[-1])) for u in uris]
+    rows = sorted(set(rows), key=lambda r: (r[1], r[0]))
+    return spark.createDataFrame([(p, n, i) for i, (p, n) in enumerate(rows)],
+                                 "src_path string, src_file string, file_rank long")
+
+
+def position_rows(raw: DataFrame, files: DataFrame, n_files: int,
                   max_broadcast_splits: int = MAX_BROADCAST_SPLITS,
                   splits_bounded: bool = True) -> DataFrame:
-    """Add file_rank, row_idx, n_file_rows to a scan of ``with_file_meta``.
-
-    ``n_files`` (from the file listing) bounds the per-split table; without
-    it the join is left to AQE, which broadcasts only a measured-small side."""
-    splits = (raw.select("src_path", "src_file", "_block", "_mid")
-              .groupBy("src_path", "src_file", "_block")
+    """Add src_path, src_file, file_rank, row_idx, n_file_rows to a scan of
+    ``with_file_meta``. Ranks come from ``files``; the windows run per file
+    over its splits, never over all files.
+
+    ``n_files`` (from the file listing) bounds the per-split table when a
+    file is one split; otherwise the join is left to AQE, which broadcasts
+    only a measured-small side."""
+    raw = raw.withColumn("src_path", plain_path(F.col("_uri"))).drop("_uri")
+    splits = (raw.select("src_path", "_block", "_mid")
+              .groupBy("src_path", "_block")
               .agg(F.min("_mid").alias("_base"), F.count(F.lit(1)).alias("_n")))
     per_file = Window.partitionBy("src_path").orderBy("_block")
     prefix = F.coalesce(F.sum("_n").over(per_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     total = F.sum("_n").over(Window.partitionBy("src_path"))
-    if n_files is not None and n_files <= SMALL_TABLE_ROWS:
-        # one row per split, bounded by the listing: number the files in one
-        # task; the per-file windows then need no further exchange
-        rank = F.dense_rank().over(Window.orderBy("src_file", "src_path")) - 1
-        splits = (splits.withColumn("file_rank", rank)
-                  .select("src_path", "src_file", "_block", "_base", "file_rank",
-                          prefix.alias("_off"), total.alias("n_file_rows")))
-    else:
-        splits = splits.select("src_path", "src_file", "_block", "_base",
-                               prefix.alias("_off"), total.alias("n_file_rows"))
-        files = global_ordinal(splits.select("src_file", "src_path").distinct(),
-                               [F.col("src_file"), F.col("src_path")], "file_rank")
-        splits = splits.join(files, ["src_file", "src_path"])
-    if splits_bounded and n_files is not None and n_files <= max_broadcast_splits:
+    splits = splits.select("src_path", "_block", "_base", prefix.alias("_off"), total.alias("n_file_rows"))
+    small = n_files <= max_broadcast_splits
+    splits = splits.join(F.broadcast(files) if small else files, "src_path")
+    if splits_bounded and small:
         splits = F.broadcast(splits)
-    return (raw.join(splits, ["src_path", "src_file", "_block"])
+    return (raw.join(splits, ["src_path", "_block"])
             .withColumn("row_idx", F.col("_off") + F.col("_mid") - F.col("_base"))
             .drop("_block", "_mid", "_base", "_off"))
 
 
+# A field in quotes, up to its separator; what is left of a text without
+# these holds a quote only where the quoting is broken.
+_QUOTED_FIELD = r'(?m)(?<=^|,)"[^"]*+(?:""[^"]*+)*+"(?=,|\r?$)'
+
+
+def broken_files(spark: SparkSession, paths: list[str], multiline: bool = True) -> DataFrame:
+    """src_path of the files that a strict reader refuses although Spark's
+    reader accepts them: a quote inside a bare field or text behind a closing
+    quote. Without ``multiline`` the check is by line, and a line of blanks
+    only (one record of one field, which the split reader skips) counts too.
+    A file is read as one text only in ``multiline`` mode, where it is the
+    unit of the CSV reader as well."""
+    text = spark.read.option("wholetext", "true" if multiline else "false").text(paths)
+    broken = F.contains(F.regexp_replace("value", _QUOTED_FIELD, ""), F.lit('"'))
+    if not multiline:
+        broken = broken | F.col("value").rlike(r"^[ \t]+\r?$")
+    return (text.select("value", F.col("_metadata.file_path").alias("_uri")).filter(broken)
+            .select(plain_path(F.col("_uri")).alias("src_path")).distinct())
+
+
+def flag_broken(rows: DataFrame, broken: DataFrame) -> DataFrame:
+    """Mark the first record of each broken file as corrupt, so that the file
+    is refused like any other with a bad record."""
+    marks = broken.withColumn("_broken", F.lit(True))
+    out = rows.join(marks, "src_path", "left")
+    first = F.col("_broken") & (F.col("row_idx") == 0)
+    return out.withColumn(CORRUPT, F.when(first, F.coalesce(F.col(CORRUPT), F.lit('"'))).otherwise(F.col(CORRUPT))) \
+        .drop("_broken")
+
+
 def scan_positioned(spark: SparkSession, paths: list[str] | str, schema,
                     encoding: str = "utf8", staged: bool = False, multiline: bool = True,
-                    max_broadcast_splits: int = MAX_BROADCAST_SPLITS) -> DataFrame:
+                    max_broadcast_splits: int = MAX_BROADCAST_SPLITS, strict: bool = True) -> DataFrame:
     """Scan + positions. The read-order stamp is the same in every scan of
     unchanged files (same splits, same record order), so by default the CSV
     is parsed twice (per-split counts, then rows), which measured cheaper than
     a written copy. With ``staged`` the raw records and their stamp are
     written once (parquet, shared checkpoint folder) instead, for drops whose
-    files may change while the job runs."""
+    files may change while the job runs. ``strict`` refuses files with broken
+    quoting (one more pass over the text)."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
     raw = read_raw(spark, paths, schema, encoding, multiline)
-    n_files = len(raw.inputFiles())  # already listed for planning
+    uris = raw.inputFiles()  # already listed for planning
     if staged:
         from ..session import stage
         raw = stage(raw, "scan")
     # multiLine CSV is never split, so splits == files and the listing bounds
     # the per-split table; split files leave its size to AQE
-    return position_rows(raw, n_files, max_broadcast_splits, splits_bounded=multiline)
+    rows = position_rows(raw, run_files(spark, uris), len(uris), max_broadcast_splits, splits_bounded=multiline)
+    return flag_broken(rows, broken_files(spark, paths, multiline)) if strict else rows
+
+
+def listed_files(spark: SparkSession, paths: list[str] | str) -> list[str]:
+    """URIs of all files of a drop, those without a record too."""
+    return spark.read.schema(LEDGER_CSV).csv([paths] if isinstance(paths, str) else list(paths)).inputFiles()
 
 
 def scan_ledger_csv(spark: SparkSession, paths, encoding: str = "utf8", staged: bool = False,

@@ -11,8 +11,10 @@ events (see ``operators.status``):
 * ``import_history``, ``asset_history``, ``outbox``, ``classify_run``
                      append-only.
 
-Every write is one Spark job per table; a failed job leaves no partial
-snapshot behind because readers list only committed files.
+Every write is one Spark job per table. Rule snapshots are read only once
+their ``_SUCCESS`` exists. An append is as atomic as the file system's commit
+protocol: on object stores without atomic rename, a reader beside a running
+append may see part of it (see README, open items).
 """
 
 from __future__ import annotations
@@ -86,6 +88,8 @@ class LedgerStore:
         schema, parts = TABLES[name]
         if "ym" in parts and "ym" not in df.columns:
             df = df.withColumn("ym", month_key(F.col("date")))
+        if name == "detail_status" and "written_at" not in df.columns:
+            df = df.withColumn("written_at", F.current_timestamp())
         out = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
         if parts:
             # each task gets a contiguous (partition, id) slice: few files per

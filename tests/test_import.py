@@ -14,18 +14,18 @@ from tally.sources.store import LedgerStore
 
 HEADER = '"計算対象","日付","内容","金額（円）","保有金融機関","大項目","中項目","メモ","振替","ID"\n'
 CF = (HEADER
-      + '"1","2024/08/22","APPLE COM BILL","-1080","三井住友カード","通信費","その他通信費","","0","a1"\n'
-      + '"1","2024/08/01","ローソン","-534","三井住友カード","食費","食料品","","0","a2"\n'
-      + '"1","2024/08/01","Ａｍａｚｏｎ　Ｍａｒｋｅｔ　Ｐｌａｃｅ","-448","JCBカード","未分類","未分類","","0","a3"\n')
+      + '"1","2024/08/19","GREEN MARKET 12","-2310","青空カード","通信費","その他通信費","","0","a1"\n'
+      + '"1","2024/08/03","みどり商店","-761","青空カード","食費","食料品","","0","a2"\n'
+      + '"1","2024/08/03","Ｂｌｕｅ　Ｓｈｏｐ　Ｔｅｎ","-915","白鳥カード","未分類","未分類","","0","a3"\n')
 CF_OLD_FORM = ("計算対象,日付,内容,金額（円）,保有金融機関,大項目,中項目,メモ,振替,削除\n"
-               ",06/10(水),マクドナルド,-600,三井住友カード,食費,外食,,,\n"
-               ',06/10(水),PAYPAL,"-6,107",三井住友カード,その他,雑費,,,\n')
-CF_NO_HEADER = (",2024/07/19,はま寿司,-1705,三井住友カード,食費,外食,,,\n"
-                ",2024/07/16,ローソン,-291,三井住友カード,食費,食料品,,,\n")
+               ",06/10(水),ひので食堂,-820,青空カード,食費,外食,,,\n"
+               ',06/10(水),KAZE PAY,"-7,204",青空カード,その他,雑費,,,\n')
+CF_NO_HEADER = (",2024/07/19,うみ寿司,-1933,青空カード,食費,外食,,,\n"
+                ",2024/07/12,みどり商店,-347,青空カード,食費,食料品,,,\n")
 ASSET = ("日付,合計,預金・現金・暗号資産,株式(現物),投資信託,ポイント,詳細\n"
-         '2025-08-02,"5,000,000","3,500,000",0,"1,400,000","100,000",テスト詳細\n'
-         '2025-08-01,"4,800,000","3,200,000",0,"1,500,000","100,000",テスト詳細\n'
-         '2025-05月末,"6,000,000","3,500,000",0,"1,400,000","100,000",月末\n')
+         '2025-08-02,"5,600,000","3,500,000",0,"1,400,000","100,000",おためし\n'
+         '2025-08-01,"4,700,000","3,100,000",0,"1,500,000","100,000",おためし\n'
+         '2025-05月末,"6,300,000","3,500,000",0,"1,400,000","100,000",月末\n')
 
 
 def typed_rows(spark, paths, encoding="utf8"):
@@ -36,9 +36,9 @@ def test_cf_fixture(spark, workdir):
     p = write(f"{workdir}/cf.csv", CF)
     rows = typed_rows(spark, [p]).filter("NOT is_header").orderBy("row_idx").collect()
     got = [(r.yyyymm_id, r.date, r.name, r.price, r.reject) for r in rows]
-    assert got == [(3, dt.date(2024, 8, 22), "APPLE COM BILL", 1080, None),
-                   (2, dt.date(2024, 8, 1), "ローソン", 534, None),
-                   (1, dt.date(2024, 8, 1), "Ａｍａｚｏｎ　Ｍａｒｋｅｔ　Ｐｌａｃｅ", 448, None)]
+    assert got == [(3, dt.date(2024, 8, 19), "GREEN MARKET 12", 2310, None),
+                   (2, dt.date(2024, 8, 3), "みどり商店", 761, None),
+                   (1, dt.date(2024, 8, 3), "Ｂｌｕｅ　Ｓｈｏｐ　Ｔｅｎ", 915, None)]
 
 
 def test_old_date_form_rejects_file(spark, workdir):
@@ -51,7 +51,7 @@ def test_old_date_form_rejects_file(spark, workdir):
 def test_encodings(spark, workdir, enc, codec):
     p = write(f"{workdir}/cf.csv", CF_NO_HEADER, codec)
     rows = typed_rows(spark, [p], enc).orderBy("row_idx").collect()
-    assert [(r.name, r.price, r.yyyymm_id) for r in rows] == [("はま寿司", 1705, 2), ("ローソン", 291, 1)]
+    assert [(r.name, r.price, r.yyyymm_id) for r in rows] == [("うみ寿司", 1933, 2), ("みどり商店", 347, 1)]
 
 
 def test_bad_encoding_name():
@@ -90,9 +90,9 @@ def test_asset_scan(spark, workdir):
     p = write(f"{workdir}/asset_history.csv", ASSET)
     rows = validate.type_asset(scan_asset_csv(spark, [p])).filter("NOT is_header").orderBy("row_idx").collect()
     assert [(r.date, r.total_amount, r.cash_deposit_crypto, r.stocks, r.investment_trusts, r.points) for r in rows] == [
-        (dt.date(2025, 8, 2), 5000000, 3500000, 0, 1400000, 100000),
-        (dt.date(2025, 8, 1), 4800000, 3200000, 0, 1500000, 100000),
-        (dt.date(2025, 5, 31), 6000000, 3500000, 0, 1400000, 100000)]
+        (dt.date(2025, 8, 2), 5600000, 3500000, 0, 1400000, 100000),
+        (dt.date(2025, 8, 1), 4700000, 3100000, 0, 1500000, 100000),
+        (dt.date(2025, 5, 31), 6300000, 3500000, 0, 1400000, 100000)]
 
 
 def test_asset_arity_and_bad_date(spark, workdir):
@@ -110,7 +110,7 @@ def test_import_twice_is_idempotent(spark, workdir):
     p = write(f"{workdir}/in/cf.csv", CF)
     r1 = import_ledger(spark, store, [p], job_label="job", run_date="2024-08-23")
     assert [(d.id, d.yyyymm_id, d.name) for d in _details(store)] == [
-        (1, 1, "Ａｍａｚｏｎ　Ｍａｒｋｅｔ　Ｐｌａｃｅ"), (2, 2, "ローソン"), (3, 3, "APPLE COM BILL")]
+        (1, 1, "Ｂｌｕｅ　Ｓｈｏｐ　Ｔｅｎ"), (2, 2, "みどり商店"), (3, 3, "GREEN MARKET 12")]
     c1 = r1.counts.collect()
     assert [(c.src_file, c.parsed_entry_num, c.new_entry_num) for c in c1] == [("cf.csv", 3, 3)]
     assert store.read("import_history").count() == 1
@@ -149,7 +149,7 @@ def test_abort_policy_keeps_earlier_files(spark, workdir):
     later = write(f"{workdir}/in/c_cf.csv", ",2024/07/10,Q,-5,i,l,m,,,\n")
     with pytest.raises(ImportAborted):
         import_ledger(spark, store, [good, bad, later], job_label="j")
-    assert sorted(d.name for d in _details(store)) == ["はま寿司", "ローソン"]
+    assert sorted(d.name for d in _details(store)) == ["うみ寿司", "みどり商店"]
 
 
 def test_quarantine_policy(spark, workdir):
@@ -158,7 +158,7 @@ def test_quarantine_policy(spark, workdir):
     bad = write(f"{workdir}/in/b_cf_lastmonth.csv", CF_OLD_FORM)
     later = write(f"{workdir}/in/c_cf.csv", ",2024/07/10,Q,-5,i,l,m,,,\n")
     res = import_ledger(spark, store, [good, bad, later], policy="quarantine")
-    assert sorted(d.name for d in _details(store)) == ["Q", "はま寿司", "ローソン"]
+    assert sorted(d.name for d in _details(store)) == ["Q", "うみ寿司", "みどり商店"]
     assert res.rejects.count() == 2
 
 
@@ -180,7 +180,7 @@ def test_asset_import_first_row_wins_and_history_only_on_insert(spark, workdir):
     import_assets(spark, store, [p], job_label="a")
     rows = store.read("asset_history").orderBy("id").collect()
     assert [(r.id, r.date, r.total_amount) for r in rows] == [
-        (1, dt.date(2025, 8, 2), 5000000), (2, dt.date(2025, 8, 1), 4800000), (3, dt.date(2025, 5, 31), 6000000)]
+        (1, dt.date(2025, 8, 2), 5600000), (2, dt.date(2025, 8, 1), 4700000), (3, dt.date(2025, 5, 31), 6300000)]
     import_assets(spark, store, [p], job_label="a")
     assert store.read("import_history").count() == 1  # nothing inserted the second time
 
@@ -269,7 +269,7 @@ def test_drop_abort_spans_kinds_in_name_order(spark, workdir):
     write(f"{d}/c_cf.csv", ",2024/07/10,LATE,-5,i,l,m,,,\n")           # after: not imported
     with pytest.raises(ImportAborted):
         import_drop(spark, store, d, job_label="j")
-    assert sorted(r.name for r in store.read("detail").collect()) == ["はま寿司", "ローソン"]
+    assert sorted(r.name for r in store.read("detail").collect()) == ["うみ寿司", "みどり商店"]
     assert store.read("asset_history").count() == 0
 
 
@@ -279,3 +279,94 @@ def test_staged_scan_equals_unstaged(spark, workdir):
     a = scan_ledger_csv(spark, [p]).select(*cols).orderBy("row_idx").collect()
     b = scan_ledger_csv(spark, [p], staged=True).select(*cols).orderBy("row_idx").collect()
     assert a == b and len(a) == 4
+
+
+ROW = ",2024/07/{:02d},{},-1,i,l,m,,,\n"
+
+
+def history(store):
+    return [(r.src_file, r.parsed_entry_num, r.new_entry_num) for r in store.read("import_history").orderBy("id").collect()]
+
+
+def test_files_without_rows_have_history(spark, workdir):
+    store = LedgerStore(spark, f"{workdir}/store")
+    p = write(f"{workdir}/in/cf.csv", HEADER)
+    import_ledger(spark, store, [p], job_label="j")
+    assert history(store) == [("cf.csv", 0, 0)]
+    p2 = write(f"{workdir}/in2/cf.csv", ROW.format(1, "A"))
+    import_ledger(spark, store, [p2])
+    p3 = write(f"{workdir}/in3/cf.csv", "")
+    res = import_ledger(spark, store, [p3])
+    assert history(store) == [("cf.csv", 0, 0), ("cf.csv", 1, 1), ("cf.csv", 0, 0)]
+    assert [(r.parsed_entry_num, r.new_entry_num) for r in res.counts.collect()] == [(0, 0)]
+
+
+def test_equal_names_in_one_run_follow_each_other(spark, workdir):
+    store = LedgerStore(spark, f"{workdir}/store")
+    paths = [write(f"{workdir}/run={k}/cf.csv", "".join(ROW.format(k, n) for n in names))
+             for k, names in ((1, "AB"), (2, "CD"), (3, "E"))]
+    import_ledger(spark, store, paths)
+    assert history(store) == [("cf.csv", 2, 2), ("cf.csv", 1, 1)]
+
+
+def test_duplicates_frame_after_a_real_import(spark, workdir):
+    store = LedgerStore(spark, f"{workdir}/store")
+    import_ledger(spark, store, [write(f"{workdir}/a/cf.csv", ROW.format(1, "A"))])
+    res = import_ledger(spark, store, [write(f"{workdir}/b/cf.csv", ROW.format(1, "A") + ROW.format(1, "B"))])
+    assert [r.name for r in res.duplicates.collect()] == ["A"] and [r.name for r in res.inserted.collect()] == ["B"]
+    again = import_ledger(spark, store, [f"{workdir}/b/cf.csv"])
+    assert again.inserted.count() == 0 and again.duplicates.count() == 2
+
+
+def test_routed_abort_cuts_by_path_not_by_name(spark, workdir):
+    from tally.plans.importer import _import_routed
+    good = write(f"{workdir}/run=1/cf.csv", ROW.format(1, "A"))
+    bad = write(f"{workdir}/run=2/cf.csv", ",2024/07/32,X,-1,i,l,m,,,\n")
+    for n, call in (("routed", lambda s: _import_routed(spark, s, {"ledger": [good, bad], "asset": []})),
+                    ("direct", lambda s: import_ledger(spark, s, [good, bad]))):
+        store = LedgerStore(spark, f"{workdir}/store-{n}")
+        with pytest.raises(ImportAborted):
+            call(store)
+        assert [r.name for r in store.read("detail").collect()] == ["A"], n
+
+
+def test_file_names_are_stored_as_they_are(spark, workdir):
+    store = LedgerStore(spark, f"{workdir}/store")
+    names = ["資産 1_cf.csv", "a+b_cf.csv", "c%20d_cf.csv"]
+    paths = [write(f"{workdir}/in/{n}", ROW.format(i + 1, f"N{i}")) for i, n in enumerate(names)]
+    import_ledger(spark, store, [f"{workdir}/in"] if len(paths) else [])
+    assert sorted(r.src_file for r in store.read("detail").collect()) == sorted(names)
+    assert sorted(h[0] for h in history(store)) == sorted(names)
+
+
+@pytest.mark.parametrize("line", [',2024/07/01,a"b,-1,i,l,m,,,\n', ',2024/07/01,"x"y,-1,i,l,m,,,\n', "   \n"])
+@pytest.mark.parametrize("multiline", [True, False])
+def test_broken_lines_hold_the_file_back(spark, workdir, line, multiline):
+    store = LedgerStore(spark, f"{workdir}/store")
+    paths = [write(f"{workdir}/a_cf.csv", ROW.format(1, "A") + line + ROW.format(2, "B")),
+             write(f"{workdir}/b_cf.csv", ROW.format(3, '"C, ""q"""') + "\n" + ROW.format(4, "D"))]
+    res = import_ledger(spark, store, paths, policy="quarantine", multiline=multiline)
+    assert sorted(r.name for r in store.read("detail").collect()) == ['C, "q"', "D"]
+    assert {r.src_file: r.imported for r in res.report.collect()} == {"a_cf.csv": False, "b_cf.csv": True}
+
+
+def test_collated_dedup_keeps_one_whole_row(spark):
+    from tally.operators import dedup
+    rows = spark.createDataFrame([(dt.date(2024, 1, 1), "APPLE ", 1, 0, 0, "iX"), (dt.date(2024, 1, 1), "apple", 1, 0, 1, "iY")],
+                                 "date date, name string, price long, file_rank long, row_idx long, fin_ins string")
+    out = dedup.first_processed(dedup.keyed(rows, dedup.LEDGER_KEY, "UNICODE_CI_AI_RTRIM"), dedup.LEDGER_KEY).collect()
+    assert [(r.name, r.fin_ins) for r in out] == [("apple", "iY")]
+
+
+def test_stored_copies_of_a_key_are_broadcast_once(spark):
+    from tally.operators import dedup
+    one = spark.createDataFrame([(dt.date(2024, 1, 1), "A", 1)], "date date, name string, price long")
+    stored = one.crossJoin(spark.range(1000)).drop("id")
+    assert dedup.stored_hits(one, stored, dedup.LEDGER_KEY, 1).count() == 1
+
+
+def test_positions_need_no_window_over_all_splits(spark, workdir):
+    p = write(f"{workdir}/f_cf.csv", "".join(ROW.format(1, f"n{i}") for i in range(50)))
+    for multiline in (True, False):
+        plan = scan_ledger_csv(spark, [p], multiline=multiline)._jdf.queryExecution().executedPlan().toString()
+        assert "SinglePartition" not in plan

@@ -67,7 +67,11 @@ def test_contains_empty_needle(spark):
 
 def test_rule_request_json(spark):
     df = spark.createDataFrame([('{"fieldName":"name","value":"WASABI","categoryId":230,"exactMatch":0}',),
-                                ('{"fieldName":',)], "js string")
+                                ('{"fieldName":',), ('{"fieldName":"name","value":"x"}',),
+                                ('{"fieldName":"name","value":"x","categoryId":1,"exactMatch":"yes"}',),
+                                ('{"fieldName":"name","value":5,"categoryId":1}',), ('{"categoryId":1.5}',), ("[1]",),
+                                ('{"value":null,"categoryId":7}',), (None,)], "js string")
     rows = df.select(P.parse_rule_request("js").alias("r")).collect()
     assert rows[0].r.value == "WASABI" and rows[0].r.categoryId == 230
-    assert rows[1].r is None or rows[1].r.fieldName is None
+    assert tuple(rows[2].r) == ("name", "x", 0, 0) and tuple(rows[7].r) == ("", "", 7, 0)
+    assert all(rows[i].r is None for i in (1, 3, 4, 5, 6, 8))

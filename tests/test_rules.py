@@ -123,6 +123,37 @@ def test_outbox_retry_is_exactly_once(spark, workdir):
     assert store.read("outbox").count() == 2
 
 
+def test_reset_after_a_dead_batch_sends_nothing_twice(spark, workdir):
+    """A batch dies after its outbox; another row is reset; the retry runs."""
+    store = _seed(spark, workdir)
+    store.append("outbox", classify_pending(spark, store, run_date="2024-07-21", dry_run=True).outbox)
+    rid = store.read("detail").filter(F.col("name") == "のっとふぁうんど").select("id")
+    assert reset_details(spark, store, rid, run_date="2024-07-21") == 2
+    classify_pending(spark, store, run_date="2024-07-22")
+    sent = store.read("outbox").groupBy("detail_id").count().collect()
+    assert sorted(r["count"] for r in sent) == [1, 1]
+    assert S.pending(store.read("detail"), store.read("detail_status")).count() == 0
+    # a reset of a sent row is a new judgement
+    first = store.read("outbox").agg(F.min("detail_id").alias("id"))
+    reset_details(spark, store, first, run_date="2024-07-23")
+    classify_pending(spark, store, run_date="2024-07-24")
+    assert store.read("outbox").count() == 3
+
+
+def test_updated_at_follows_the_status(spark, workdir):
+    store = _seed(spark, workdir)
+    before = {r.id: r.updated_at for r in store.read("detail").collect()}
+    classify_pending(spark, store, run_date="2024-07-21")
+    after = S.with_status(store.read("detail"), store.read("detail_status")).collect()
+    assert all(r.updated_at > before[r.id] for r in after)
+
+
+def test_many_bad_rules_are_counted(spark):
+    rules = rules_df(spark, [(i, "memo", "x", 1, 1) for i in range(1, 31)])
+    with pytest.raises(R.InvalidRuleError, match="30 rules.*and 10 more"):
+        R.check_rules(rules)
+
+
 def test_status_views(spark, workdir):
     store = _seed(spark, workdir)
     classify_pending(spark, store, run_date="2024-07-21")

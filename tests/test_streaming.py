@@ -3,7 +3,7 @@
 from conftest import write
 from tally.plans.importer import import_ledger
 from tally.sources.store import LedgerStore
-from tally.streaming.jobs import stream_import, stream_latest_runs
+from tally.streaming.jobs import read_latest_runs, stream_import, stream_latest_runs
 
 
 def test_asset_stream_resumes(spark, workdir):
@@ -29,7 +29,7 @@ def test_gauges_follow_history(spark, workdir):
                                                                 ",2024/07/20,B,-2,i,l,m,,,\n")], job_label="j2")
     out, ckpt = f"{workdir}/gauges", f"{workdir}/gckpt"
     stream_latest_runs(spark, store.path("import_history"), out, ckpt).awaitTermination()
-    got = {r.job_label: (r.parsed_entry_num, r.new_entry_num) for r in spark.read.parquet(out).collect()}
+    got = {r.job_label: (r.parsed_entry_num, r.new_entry_num) for r in read_latest_runs(spark, out).collect()}
     assert got == {"j1": (1, 1), "j2": (2, 1)}
 
 
