@@ -14,10 +14,12 @@ Substring rules have two exact strategies:
   one row) and each ledger row runs ``filter(rules, r -> contains(...))``.
   No shuffle; cost per row grows with the number of substring rules, so it
   is used only up to ``max_array_rules``.
-* ``join``: for every distinct rule length L, each row emits its substrings of
-  length L; they are equi-joined to the rules on (L, value) and the lowest
-  rule id per row is kept with min_by (partial aggregation). Cost grows with
-  text length, not with the number of rules.
+* ``join``: the distinct texts of both fields are matched first. For every
+  distinct rule length L, each text emits its substrings of length L; they
+  are equi-joined to the rules on (field, L, value) and the lowest rule id per
+  text is kept with min_by (partial aggregation). Cost grows with the length
+  of distinct texts, not with the number of rules. Exact rules join the same
+  distinct texts, so the rows are joined once per field.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parse import TRANSIT_CATEGORY, contains, exact_flag, is_transit
+from ..session import stage
 
 FIELDS = ("name", "m_category")
 MAX_ARRAY_RULES = 512
@@ -88,35 +91,37 @@ def _contains_array(rows: DataFrame, dictionary: DataFrame, field: str, out: str
             .drop(f"_rs_{out}"))
 
 
-def _contains_join(rows: DataFrame, dictionary: DataFrame, field: str, out: str, row_id: str) -> DataFrame:
-    part = (dictionary.filter((F.col("field_name") == field) & ~F.col("exact"))
-            .select(F.col("rule_id"), F.col("value"), F.col("category_id"),
-                    F.length("value").alias("_len")))
-    # empty value matches every row: the lowest such rule is one scalar
-    empty = part.filter(F.col("_len") == 0)
-    e_cat = empty.agg(F.min_by(F.col("category_id"), F.col("rule_id"))).scalar()
-    e_id = empty.agg(F.min("rule_id")).scalar()
-    nonempty = part.filter(F.col("_len") > 0)
-    # distinct rule lengths: at most the longest rule value, one scalar array
-    lengths = nonempty.agg(F.sort_array(F.collect_set("_len"))).scalar()
-    cand = (rows.select(F.col(row_id).alias("_rid"), F.col(field).alias("_t"))
-            .withColumn("_lens", lengths)
-            .select("_rid", "_t", F.explode("_lens").alias("_len"))
-            .filter(F.length("_t") >= F.col("_len"))
-            .withColumn("_i", F.explode(F.sequence(F.lit(1), F.length("_t") - F.col("_len") + 1)))
-            .select("_rid", "_len", F.expr("substring(_t, _i, _len)").alias("value")))
-    hits = (cand.join(nonempty, ["_len", "value"])
-            .groupBy("_rid").agg(F.min_by(F.struct("rule_id", "category_id"), F.col("rule_id")).alias("_h")))
-    # keep the lower id of a substring hit and an empty-value rule
-    best = (hits.select("_rid", F.col("_h.rule_id").alias("_hid"), F.col("_h.category_id").alias("_hc"))
-            .withColumn("_eid", e_id).withColumn("_ec", e_cat)
-            .select(F.col("_rid"),
-                    F.when(F.col("_eid").isNotNull() & (F.col("_eid") < F.col("_hid")), F.col("_ec"))
-                    .otherwise(F.col("_hc")).alias(out)))
-    return (rows.join(best, rows[row_id] == best["_rid"], "left").drop("_rid")
-            .withColumn("_ec", e_cat)
-            .withColumn(out, F.coalesce(F.col(out), F.col("_ec")))
-            .drop("_ec"))
+def _match_texts(rows: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(field, text, exact_category, contains_category) of every distinct text
+    of both fields that some rule matches. Substrings of the distinct texts,
+    one explode for both fields, meet the rules in one equi-join."""
+    texts = (rows.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in FIELDS]))
+                         .alias("t")).select("t.*").distinct())
+    exact = dictionary.filter("exact").select(F.col("field_name").alias("field"), F.col("value").alias("text"),
+                                              F.col("category_id").alias("exact_category"))
+    part = dictionary.filter(~F.col("exact")).select(F.col("field_name").alias("field"), "value", "rule_id", "category_id",
+                                                     F.length("value").alias("len"))
+    # distinct lengths by field: at most the longest rule value each, one scalar array
+    lengths = part.agg(F.collect_set(F.struct("field", "len"))).scalar()
+    own = F.filter("lengths", lambda x: (x["field"] == F.col("field")) & (x["len"] <= F.length("text")))
+    pieces = (texts.withColumn("lengths", lengths).select("field", "text", F.explode(own).alias("l"))
+              .select("field", "text", F.col("l.len").alias("len"))
+              .withColumn("i", F.explode(F.sequence(F.lit(1), F.length("text") - F.col("len") + 1)))
+              .select("field", "text", "len", F.expr("substring(text, i, len)").alias("value")))
+    hits = (pieces.join(part, ["field", "len", "value"]).groupBy("field", "text")
+            .agg(F.min_by("category_id", "rule_id").alias("contains_category")))
+    return (texts.join(exact, ["field", "text"], "left").join(hits, ["field", "text"], "left")
+            .filter(F.col("exact_category").isNotNull() | F.col("contains_category").isNotNull()))
+
+
+def _join_matches(rows: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Join strategy: the matched texts come back with one join per field."""
+    matched = stage(_match_texts(rows, dictionary), "matched")
+    for field, exact, part in (("name", "_c1", "_c2"), ("m_category", "_c3", "_c4")):
+        m = matched.filter(F.col("field") == field).select(F.col("text").alias("_t"), F.col("exact_category").alias(exact),
+                                                           F.col("contains_category").alias(part))
+        rows = rows.join(m, rows[field] == m["_t"], "left").drop("_t")
+    return rows
 
 
 def classify(rows: DataFrame, rules: DataFrame, row_id: str = "id",
@@ -127,19 +132,19 @@ def classify(rows: DataFrame, rules: DataFrame, row_id: str = "id",
     ``rows`` needs ``name``, ``m_category``, ``fin_ins`` and a unique
     ``row_id``. ``rules`` has the extract_rule columns."""
     checked = check_rules(rules, on_invalid)
-    dictionary = rule_dictionary(checked)  # small: one row per distinct rule
+    dictionary = stage(rule_dictionary(checked), "rules")  # written once, read by every branch
     if strategy == "auto":
         n_partial = dictionary.filter(~F.col("exact")).count()  # small table
         strategy = "array" if n_partial <= max_array_rules else "join"
     out = rows.withColumn("name", F.coalesce(F.col("name"), F.lit(""))) \
               .withColumn("m_category", F.coalesce(F.col("m_category"), F.lit("")))
-    out = _exact_match(out, dictionary, "name", "_c1")
-    out = _exact_match(out, dictionary, "m_category", "_c3")
-    for field, o in (("name", "_c2"), ("m_category", "_c4")):
-        if strategy == "array":
-            out = _contains_array(out, dictionary, field, o)
-        else:
-            out = _contains_join(out, dictionary, field, o, row_id)
+    if strategy == "array":
+        out = _exact_match(out, dictionary, "name", "_c1")
+        out = _exact_match(out, dictionary, "m_category", "_c3")
+        out = _contains_array(out, dictionary, "name", "_c2")
+        out = _contains_array(out, dictionary, "m_category", "_c4")
+    else:
+        out = _join_matches(out, dictionary)
     transit = is_transit(F.col("name"), F.col("fin_ins")) if with_transit else F.lit(False)
     matched: Column = (F.when(F.col("_c1").isNotNull(), F.lit("name_exact"))
                        .when(F.col("_c2").isNotNull(), F.lit("name_contains"))
