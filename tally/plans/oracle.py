@@ -419,3 +419,18 @@ s AS (SELECT *, row_number() OVER (PARTITION BY date, name, price ORDER BY o_ord
       FROM t WHERE p NOT IN (SELECT p FROM bad))
 SELECT date, name, price, CAST(o_orderkey AS VARCHAR) AS source_id FROM s WHERE rn = 1""",
 })
+
+_STORED = f"""
+WITH {_LEDGER_TEXT}
+SELECT DISTINCT 'ledger' AS kind, date, name, price AS amount FROM t
+UNION ALL
+SELECT 'asset', CAST(o_orderdate AS DATE), '', CAST(sum(floor(o_totalprice)) AS BIGINT) FROM orders GROUP BY ALL"""
+
+ORACLE_SQL.update({
+    "import_sjis_e2e": f"""
+WITH {_LEDGER_TEXT},
+s AS (SELECT date, '表示　ソ能 ' || translate(name[-1], 'FOP', '済未待') AS name, price, o_orderkey FROM t)
+SELECT date, name, price, CAST(max(o_orderkey) AS VARCHAR) AS source_id FROM s GROUP BY date, name, price""",
+    "stream_drops_e2e": _STORED,
+    "import_prefix_e2e": _STORED,
+})

@@ -491,14 +491,15 @@ QUERIES = {
 LEDGER_HEADER = ["計算対象", "日付", "内容", "金額（円）", "保有金融機関", "大項目", "中項目", "メモ", "振替", "ID"]
 
 
-def _write_ledger_csv(df: DataFrame, path: str, parts: list[str]) -> None:
+def _write_ledger_csv(df: DataFrame, path: str, parts: list[str], encoding: str = "UTF-8") -> None:
     """Ledger CSV files (every field quoted, with the header row), one per
     value of ``parts``, rows in ``row_key`` order."""
     (df.repartition(*parts).sortWithinPartitions(*parts, "row_key")
      .select(*parts, *[F.col(c).alias(h) for c, h in zip(
          ["calc", "raw_date", "name", "raw_price", "fin_ins", "l_cat", "m_cat", "memo", "transfer", "sid"],
          LEDGER_HEADER)])
-     .write.option("header", "true").option("quoteAll", "true").partitionBy(*parts).csv(path))
+     .write.option("header", "true").option("quoteAll", "true").option("encoding", encoding)
+     .partitionBy(*parts).csv(path))
 
 
 def _orders_ledger_text(o: DataFrame) -> DataFrame:
@@ -633,7 +634,21 @@ def q_import_assets_e2e(spark, sf_dir):
     from ..sources.manifest import list_csv
     from ..sources.store import LedgerStore
     from .importer import import_assets
-    a = _assets(spark, sf_dir)
+    landing = staging_path(spark, "assets-csv")
+    _write_asset_csv(_assets(spark, sf_dir), landing)
+    store = LedgerStore(spark, staging_path(spark, "store"))
+    paths = [r.path for r in list_csv(spark, landing, recursive=True).select("path").collect()]
+    import_assets(spark, store, paths, job_label="assets")
+    newest = sorted(paths)[-1]
+    import_assets(spark, store, [newest], job_label="assets")  # all dates known: no insert, no history
+    hist = store.read("import_history").agg(F.count(F.lit(1))).scalar()
+    return store.read("asset_history").select(
+        "date", "total_amount", "cash_deposit_crypto", "stocks", "investment_trusts", "points",
+        hist.alias("history_rows"))
+
+
+def _write_asset_csv(a: DataFrame, landing: str) -> None:
+    """Asset CSV files of daily totals, one per year."""
     month_end = F.last_day("date") == F.col("date")
     raw_date = F.when(month_end, F.concat(F.date_format("date", "yyyy-MM"), F.lit(P.MONTH_END_SUFFIX))) \
         .otherwise(F.date_format("date", "yyyy-MM-dd"))
@@ -644,18 +659,8 @@ def q_import_assets_e2e(spark, sf_dir):
                     F.lit("0").alias(ASSET_HEADER[3]),
                     fmt(F.col("total_amount") - F.floor(F.col("total_amount") / 2)).alias(ASSET_HEADER[4]),
                     F.col("points").cast("string").alias(ASSET_HEADER[5]), F.lit("orders").alias(ASSET_HEADER[6]))
-    landing = staging_path(spark, "assets-csv")
     (text.repartition("yr").sortWithinPartitions("yr", "row_key").drop("row_key")
      .write.option("header", "true").option("quoteAll", "true").partitionBy("yr").csv(landing))
-    store = LedgerStore(spark, staging_path(spark, "store"))
-    paths = [r.path for r in list_csv(spark, landing, recursive=True).select("path").collect()]
-    import_assets(spark, store, paths, job_label="assets")
-    newest = sorted(paths)[-1]
-    import_assets(spark, store, [newest], job_label="assets")  # all dates known: no insert, no history
-    hist = store.read("import_history").agg(F.count(F.lit(1))).scalar()
-    return store.read("asset_history").select(
-        "date", "total_amount", "cash_deposit_crypto", "stocks", "investment_trusts", "points",
-        hist.alias("history_rows"))
 
 
 QUERIES.update({
@@ -723,14 +728,15 @@ def q_dedup_collated(spark, sf_dir):
 
 
 def _rename_files(spark, landing: str, name: str) -> None:
-    """The one CSV file of each folder below ``landing`` becomes ``name``."""
+    """The one CSV file of each folder below ``landing`` becomes ``name``,
+    with the folder's partition value for ``{}``."""
     from ..sources.store import _fs, list_dirs
     fs, _ = _fs(spark, landing)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     for d in list_dirs(spark, landing):
         for st in fs.listStatus(path(f"{landing}/{d}")):
             if st.getPath().getName().endswith(".csv"):
-                fs.rename(st.getPath(), path(f"{landing}/{d}/{name}"))
+                fs.rename(st.getPath(), path(f"{landing}/{d}/{name.format(d.split('=')[-1])}"))
 
 
 def _write_bytes(spark, path: str, text: str) -> None:
@@ -809,3 +815,68 @@ QUERIES.update({
     "import_duplicates_e2e": q_import_duplicates_e2e,
     "import_rejects_e2e": q_import_rejects_e2e,
 })
+
+
+def q_import_sjis_e2e(spark, sf_dir):
+    """Shift_JIS ledger files, one per year, with Japanese names."""
+    from ..session import staging_path
+    from ..sources.store import LedgerStore
+    from .importer import import_ledger
+    o = _t(spark, sf_dir, "orders")
+    text = _orders_ledger_text(o).withColumn("name", F.concat(
+        F.lit("表示　ソ能 "), F.translate(F.element_at(F.split("name", " "), -1), "FOP", "済未待")))
+    landing = staging_path(spark, "sjis-csv")
+    _write_ledger_csv(text, landing, ["yr"], "Shift_JIS")
+    store = LedgerStore(spark, staging_path(spark, "store"))
+    res = import_ledger(spark, store, [f"{landing}/*/*.csv"], run_date="2024-01-01", encoding="sjis")
+    return res.inserted.select("date", "name", "price", "source_id")
+
+
+def _mixed_drop(spark, sf_dir, landing: str) -> None:
+    """Ledger and asset files of the orders by year, in one folder per kind and year."""
+    _write_ledger_csv(_orders_ledger_text(_t(spark, sf_dir, "orders")), f"{landing}/ledger", ["yr"])
+    _rename_files(spark, f"{landing}/ledger", "{}_cf.csv")
+    _write_asset_csv(_assets(spark, sf_dir), f"{landing}/asset")
+    _rename_files(spark, f"{landing}/asset", "{}_asset_history.csv")
+
+
+def _stored(store) -> DataFrame:
+    return (store.read("detail").select(F.lit("ledger").alias("kind"), "date", "name", F.col("price").alias("amount"))
+            .unionByName(store.read("asset_history").select(F.lit("asset").alias("kind"), "date", F.lit("").alias("name"),
+                                                            F.col("total_amount").alias("amount"))))
+
+
+def q_stream_drops_e2e(spark, sf_dir):
+    """ST1 over a mixed landing folder: routed by name in micro-batches of
+    five files."""
+    from ..session import staging_path
+    from ..sources.store import LedgerStore
+    from ..streaming.jobs import stream_drops
+    landing = staging_path(spark, "mixed-csv")
+    _mixed_drop(spark, sf_dir, landing)
+    store = LedgerStore(spark, staging_path(spark, "store"))
+    stream_drops(spark, store, landing, staging_path(spark, "stream-ckpt"), max_files=5, run_date="2024-01-01").awaitTermination()
+    return _stored(store)
+
+
+def q_import_prefix_e2e(spark, sf_dir):
+    """The same files below a prefix, and an archive folder with
+    equal basenames, which the later keys replace."""
+    from ..session import staging_path
+    from ..sources.store import LedgerStore
+    from .importer import import_prefix
+    prefix = staging_path(spark, "prefix-csv")
+    _mixed_drop(spark, sf_dir, prefix)
+    old = _orders_ledger_text(_t(spark, sf_dir, "orders")).withColumn("name", F.concat(F.lit("old "), F.col("name")))
+    _write_ledger_csv(old, f"{prefix}/archive", ["yr"])
+    _rename_files(spark, f"{prefix}/archive", "{}_cf.csv")
+    store = LedgerStore(spark, staging_path(spark, "store"))
+    import_prefix(spark, store, prefix, run_date="2024-01-01")
+    return _stored(store)
+
+
+QUERIES.update({
+    "import_sjis_e2e": q_import_sjis_e2e,
+    "stream_drops_e2e": q_stream_drops_e2e,
+    "import_prefix_e2e": q_import_prefix_e2e,
+})
