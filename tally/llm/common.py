@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import os
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,32 @@ SPACE = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS = 400_000
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application: their
+    machines need not have it installed. The archive (source files only) lies
+    in the shared checkpoint folder."""
+    sc, top = spark.sparkContext, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if sc.applicationId in _SHIPPED or not os.path.isdir(top):  # already imported from such an archive
+        return
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for folder, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(top)))
+    target = os.path.join(checkpoint_dir(spark), "llm", f"code-{uuid.uuid4().hex}", "tally.zip")
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(data.getvalue()))
+    out.close()
+    sc.addPyFile(target)
+    _SHIPPED.add(sc.applicationId)
+
+
 class Scratch:
     """Tables written once under the shared checkpoint folder.
 
@@ -27,6 +55,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        ship_code(spark)
         self.spark = spark
         self.base = os.path.join(checkpoint_dir(spark), "llm", f"{name}-{uuid.uuid4().hex}")
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, small
+from .common import Scratch, ship_code, small
 from .quality_rules import base_stats
 
 HASH_BITS = 18
@@ -119,6 +119,8 @@ def sampled(rows: DataFrame, n_rows: int, wanted: int) -> DataFrame:
 def _counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
     """Indicator counts of both classes over all training rows, and the
     number of rows of each; at most SIZE + 1 rows reach the driver."""
+    ship_code(rows.sparkSession)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, SIZE + 1), np.int64)
         for batch in batches:

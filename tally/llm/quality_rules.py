@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, small
+from .common import packed, ship_code, small
 
 NGRAM = 4
 HASH_BITS = 16
@@ -86,6 +86,7 @@ def base_stats(text: str | None) -> tuple[int, int, int, int, int]:
 
 def log_ratios(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> np.ndarray:
     """log p_target - log p_raw of each bucket, from all documents."""
+    ship_code(docs.sparkSession)
     good = (labels.groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").alias("low")).filter("low = 1")
             .filter("id is not null").select("id", F.lit(1).alias("good")))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
