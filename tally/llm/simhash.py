@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, packed
+from .common import Scratch, packed, ship_code, small
 from .components import components
 
 #: Fingerprints of a unit that are traversed at once, about.
@@ -68,6 +68,7 @@ def fingerprint(text: str | None, words: int) -> int:
 
 def fingerprints(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """(id, fp): the fingerprint as a signed long of the same bits."""
+    ship_code(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,19 +260,32 @@ def simhash_components(docs: DataFrame, words: int = 4, max_bits: int = 4, id_co
 def simhash_dedup(docs: DataFrame, words: int = 4, max_bits: int = 4, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
     """The rows that stay, one of each component: that with the smallest id,
-    of several such (or of null ids only) the smallest by fingerprint and text
-    length, then by all columns."""
+    of several such (or of null ids only) the smallest text hash, then the
+    smallest by all columns. The rows that go are few and narrow (id and text
+    hash), so whole rows are neither written nor shuffled while their number
+    allows a broadcast."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    stamped = scratch.write(packed(docs, id=F.col(id_col), text=F.col(text_col).cast("string"))
-                            .select("row", "text", "id", F.monotonically_increasing_id().alias("uid")), "docs")
-    pairs = stamped.select(F.struct("uid", "id").alias("key"), "text")
-    rows = scratch.write(fingerprints(pairs, words, "key", "text").select("id.uid", "id.id", "fp"), "rows")
+    text = F.col(text_col).cast("string")
+    md5 = F.md5(F.coalesce(text, F.lit("")))
+    keyed = docs.select(F.struct(F.col(id_col).alias("id"), md5.alias("h")).alias("key"), text.alias("text"))
+    rows = scratch.write(fingerprints(keyed, words, "key", "text").select("id.id", "id.h", "fp"), "rows")
     per_fp = scratch.write(rows.groupBy("fp").agg(
-        F.min(F.struct(F.col("id").isNull().alias("null"), "id", "uid")).alias("least"),
-        F.count(F.lit(1)).alias("n")), "distinct")
+        F.min(F.struct(F.col("id").isNull().alias("null"), "id", "h")).alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
     labels = components(links(per_fp.select("fp"), max_bits), scratch)
     stays = (per_fp.join(labels, per_fp.fp == labels.node, "left")
-             .groupBy(F.coalesce("label", "fp").alias("root")).agg(F.min("least").alias("least"))
-             .select(F.col("least.uid").alias("uid")))
-    stays = scratch.write(stays, "stays")
-    return stamped.join(stays, "uid", "left_semi").select("row.*")
+             .groupBy(F.coalesce("label", "fp").alias("root")).agg(F.min("least").alias("least")).select("least.id", "least.h"))
+    same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["h"] == b["h"])
+    per_key = rows.groupBy("id", "h").agg(F.count(F.lit(1)).alias("n"))
+    per_key = scratch.write(per_key.alias("a").join(stays.withColumn("stays", F.lit(True)).alias("b"), (
+        F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.h") == F.col("b.h"))), "left")
+        .select("a.id", "a.h", "a.n", "b.stays").filter("stays is null or n > 1"), "not-plain")
+    gone, twice = per_key.filter("stays is null").select("id", "h"), per_key.filter("stays").select("id", "h")
+    n_gone, n_twice = gone.count(), twice.count()
+    gone, twice = small(gone, n_gone), small(twice, n_twice)
+    full = packed(docs, id=F.col(id_col), h=md5)
+    kept = full.join(gone, same(full, gone), "left_anti")
+    if not n_twice:
+        return kept.select("row.*")
+    once = kept.join(twice, same(kept, twice), "left_anti").select("row.*")
+    again = kept.join(twice, same(kept, twice), "left_semi").groupBy("id", "h").agg(F.min("row").alias("row"))
+    return once.union(again.select("row.*"))
