@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, ship_code
 
 #: Rows that one partition packs, about.
 PART_ITEMS = 20_000
@@ -51,7 +51,7 @@ class WordIds(dict):
     def learn(self, words: set[bytes]) -> None:
         """Encode the words not yet known, joined by blanks, in one call."""
         self.rare = {}
-        new = [w for w in words if w not in self]
+        new = list(words.difference(self))
         if not new:
             return
         texts = [w.decode() for w in new]
@@ -90,6 +90,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, id_
                  text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece: id, ``piece``, ``start``, ``length``, ``ids_crc32``
     and, if wanted, the ids themselves (binary, little-endian 32-bit)."""
+    ship_code(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = f"id {rows.schema['id'].dataType.simpleString()}, piece int, start long, length int, ids_crc32 long"
     schema += ", ids binary" if with_ids else ""
@@ -102,15 +103,13 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, id_
                 part = batch.slice(lo, 500)
                 index, out = [], []
                 texts = [(t or "").encode() for t in part.column(1).to_pylist()]
+                ready = None  # the words of all texts, unless they are too many to hold
                 if sum(map(len, texts)) <= 8 * BLOCK:
-                    words.learn(set().union(*(t.split() for t in texts)))
-                    ready = True
-                else:
-                    ready = False
+                    ready = [t.split() for t in texts]
+                    words.learn(set().union(*ready))
                 for i, text in enumerate(texts):
                     rest, piece = b"", 0
-                    for block in blocks(text):
-                        own = block.split()
+                    for own in [ready[i]] if ready else map(bytes.split, blocks(text)):
                         if not ready:
                             words.learn(set(own))
                         rest += b"".join(map(words.__getitem__, own))
