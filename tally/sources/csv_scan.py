@@ -138,14 +138,36 @@ def broken_files(spark: SparkSession, paths: list[str], multiline: bool = True)
     reader accepts them: a quote inside a bare field or text behind a closing
     quote. Without ``multiline`` the check is by line, and a line of blanks
     only (one record of one field, which the split reader skips) counts too.
-    A file is read as one text only in ``multiline`` mode, where it is the
-    unit of the CSV reader as well."""
-    text = spark.read.option("wholetext", "true" if multiline else "false").text(paths)
-    broken = F.contains(F.regexp_replace("value", _QUOTED_FIELD, ""), F.lit('"'))
+
+    With it, text is read by line too, so a large file is read by many tasks.
+    A line begins inside quotes if an odd number of quotes lies before it in
+    the file; it is checked with the quotes that its neighbours hold added. A
+    file with an odd number of quotes is broken. Only files that have a line
+    with an odd number need the lines' order, which comes from per-split
+    sums."""
+    strict = lambda v: F.contains(F.regexp_replace(v, _QUOTED_FIELD, ""), F.lit('"'))
+    text = spark.read.text(paths).select("value", plain_path(F.col("_metadata.file_path")).alias("src_path"),
+                                         F.col("_metadata.file_block_start").alias("_block"),
+                                         F.monotonically_increasing_id().alias("_mid"))
     if not multiline:
-        broken = broken | F.col("value").rlike(r"^[ \t]+\r?$")
-    return (text.select("value", F.col("_metadata.file_path").alias("_uri")).filter(broken)
-            .select(plain_path(F.col("_uri")).alias("src_path")).distinct())
+        return text.filter(strict(F.col("value")) | F.col("value").rlike(r"^[ \t]+\r?$")).select("src_path").distinct()
+    odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2
+    closed = lambda ends: F.when(ends, F.lit('"')).otherwise(F.lit(""))
+    lines = text.select("src_path", "_block", "_mid", odd.cast("long").alias("_odd"),
+                        strict(F.concat("value", closed(odd == 1))).alias("_bad"),
+                        strict(F.concat(F.lit('"'), "value", closed(odd == 0))).alias("_bad_inside"))
+    facts = lines.groupBy("src_path").agg(F.sum("_odd").alias("_odds"), F.max("_bad").alias("_bad"))
+    plain = facts.filter((F.col("_odds") % 2 == 1) | ((F.col("_odds") == 0) & F.col("_bad"))).select("src_path")
+    across = facts.filter((F.col("_odds") > 0) & (F.col("_odds") % 2 == 0)).select("src_path")
+    rows = lines.join(across, "src_path", "left_semi").filter((F.col("_odd") == 1) | F.col("_bad") | F.col("_bad_inside"))
+    before = lambda w: F.coalesce(F.sum("_odd").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = (rows.groupBy("src_path", "_block").agg(F.sum("_odd").alias("_odd"))
+              .select("src_path", "_block", before(Window.partitionBy("src_path").orderBy("_block")).alias("_off")))
+    placed = rows.withColumn("_before", before(Window.partitionBy("src_path", "_block").orderBy("_mid")))
+    inside = (F.col("_before") + F.col("_off")) % 2 == 1
+    return (placed.join(splits, ["src_path", "_block"])
+            .filter(F.when(inside, F.col("_bad_inside")).otherwise(F.col("_bad"))).select("src_path")
+            .unionByName(plain).distinct())
 
 
 def flag_broken(rows: DataFrame, broken: DataFrame) -> DataFrame:

@@ -370,3 +370,23 @@ def test_positions_need_no_window_over_all_splits(spark, workdir):
     for multiline in (True, False):
         plan = scan_ledger_csv(spark, [p], multiline=multiline)._jdf.queryExecution().executedPlan().toString()
         assert "SinglePartition" not in plan
+
+
+def test_strict_check_reads_a_quoted_file_in_many_tasks(spark, workdir):
+    """Quoted newlines do not make a file one text: its lines are read by
+    several tasks, with the same files refused."""
+    from tally.sources.csv_scan import broken_files
+    body = "".join(f'"a{i}","say ""{i}""\n\n"",\n, and on",x\n' for i in range(2000))
+    texts = {"good": body, "empty": "", "bare": body + 'x,a"b"c,y\n' + body, "behind": body + '"a"x,"b"\n' + body, "open": body + '"a,b\n',
+             "inside": body + '"a\nb"c,"d\ne"\n' + body, "plain": "a,b\n" * 2000, "crlf": body.replace("\n", "\r\n")}
+    paths = [write(f"{workdir}/strict/{k}.csv", v) for k, v in texts.items()]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        found = broken_files(spark, paths)
+        plan = found._jdf.queryExecution().toString()
+        got = {r.src_path.rsplit("/", 1)[-1][:-4] for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {"bare", "behind", "open", "inside"}
+    assert "file_block_start" in plan  # the unit of work is a block, not a file
