@@ -8,15 +8,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_classes
+from .fill_in_middle import fill_in_middle, restored
 from .lm_scoring import lm_scores
 from .mixing import mixture
 from .nbsvm import quality_scores
 from .packing import pack_documents
 from .quality_rules import quality_rules
 from .secret_scan import scan_corpus
+from .sentence_pieces import decode_pieces, encode_pieces
 from .sharding import shuffle_to_shards
 from .simhash import simhash_components
 from .toxicity import toxicity_scores
+from .whitening import whitened_components
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +94,34 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.round("probability", 6).alias("probability"), "is_secret")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests stand for the output and for the text rebuilt from it."""
+    out = fill_in_middle(_docs(spark, sf_dir), unit="line", seed=7, fim_rate=100, spm_rate=50)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                      F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def piece_model_path() -> str:
+    """Model file of the piece query."""
+    import public_tokenizers
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests stand for ids, decoded text and the pieces' first bytes;
+    ``spanned_bytes``: the source bytes that the spans cover."""
+    path = piece_model_path()
+    coded = decode_pieces(encode_pieces(_docs(spark, sf_dir), path), path)
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+                        F.element_at("begins", -1).cast("long").alias("spanned_bytes"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_components(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=32)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
@@ -102,6 +133,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_packing": op9_packing,
     "op10_secret_scan": op10_secret_scan,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_sentence_pieces": op12_sentence_pieces,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -129,4 +163,20 @@ WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+',
      g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY norm)
 SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n.norm) AS text_sha256
 FROM n JOIN g USING (norm)""",
+    "op11_fill_in_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+     u AS (SELECT doc_id, text, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS lines,
+                  ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+     c AS (SELECT *, len(lines)::BIGINT AS n, least(h1 % (len(lines) + 1), h2 % (len(lines) + 1)) AS a,
+                  greatest(h1 % (len(lines) + 1), h2 % (len(lines) + 1)) AS b,
+                  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain'
+                       WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+     p AS (SELECT *, array_to_string(lines[1:a], '') AS prefix, array_to_string(lines[a + 1:b], '') AS middle,
+                  array_to_string(lines[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p""",
 }
