@@ -15,7 +15,7 @@ from .nbsvm import quality_scores
 from .packing import pack_documents
 from .quality_rules import quality_rules
 from .secret_scan import scan_corpus
-from .sentence_pieces import decode_pieces, encode_pieces
+from .sentence_pieces import encode_pieces
 from .sharding import shuffle_to_shards
 from .simhash import simhash_components
 from .toxicity import toxicity_scores
@@ -112,7 +112,7 @@ def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests stand for ids, decoded text and the pieces' first bytes;
     ``spanned_bytes``: the source bytes that the spans cover."""
     path = piece_model_path()
-    coded = decode_pieces(encode_pieces(_docs(spark, sf_dir), path), path)
+    coded = encode_pieces(_docs(spark, sf_dir), path, with_text=True)
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
                         F.element_at("begins", -1).cast("long").alias("spanned_bytes"))

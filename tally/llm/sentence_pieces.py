@@ -6,7 +6,7 @@
    the source byte it came from. Blanks become the model's blank mark.
 2. Normalised text is cut into words where no merge of the vocabulary can
    reach across: before a run of blank marks that follows other text, and
-   around characters that no longer piece holds. Words a worker has not met
+   around ASCII characters that no piece of two or more holds. Words a worker has not met
    are merged in one call by the library on a copy of the model whose
    normaliser does nothing; their ids are kept in two generations of a memo.
 3. Piece lengths summed along the ids give each piece's place in the
@@ -28,21 +28,23 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship_code
 
-#: Words that one generation of a worker's memo holds.
-MEMO_WORDS = 400_000
+#: Words that one generation of a worker's memo holds, about.
+MEMO_WORDS = 100_000
 #: Characters of a normalised text that are cut into words at a time.
 BLOCK = 1 << 20
-#: Bytes of texts whose unknown words are merged in one call.
-CALL = 8 << 20
+#: Characters of texts whose unknown words are merged in one call.
+CALL = 1 << 20
 
 # Fixed values of the model format: blank mark, piece types.
 BLANK = "▁"
@@ -183,26 +185,27 @@ class PieceModel:
     def _by_map(self, data: bytes) -> tuple[str, np.ndarray]:
         mark = BLANK.encode() if self.escape else b" "
         out, align, after_blank = [], [], self.squeeze
+        parts = list(self._parts(data))
+        if self.squeeze:  # blanks before the text
+            parts = parts[next((i for i, p in enumerate(parts) if p[2] != b" "), len(parts)):]
+        if not parts:
+            return "", np.zeros(1, np.int64)
         body = []
-        for start, end, new, same in self._parts(data):
-            if self.squeeze:
-                while after_blank and new.startswith(b" "):
-                    new, same = new[1:], False
+        for start, end, new, same in parts:
+            while self.squeeze and after_blank and new.startswith(b" "):
+                new, same = new[1:], False
             if new:
                 body.append((start, end, new, same))
-                after_blank = self.squeeze and new.endswith(b" ")
-        if not body:
-            return "", np.zeros(1, np.int64)
-        begin = body[0][0]
+                after_blank = new.endswith(b" ")
         if self.dummy_prefix and not self.suffix:
             out.append(mark)
-            align += [begin] * len(mark)
+            align += [parts[0][0]] * len(mark)
         for start, _, new, same in body:
             for i, byte in enumerate(new):
                 own = mark if byte == 0x20 else bytes([byte])
                 out.append(own)
                 align += [start + i if same else start] * len(own)
-        value, last = b"".join(out), body[-1][1]
+        value, last = b"".join(out), parts[-1][1]
         if self.squeeze:
             while value.endswith(mark):
                 value, last = value[:-len(mark)], align[len(value) - len(mark)]
@@ -237,7 +240,7 @@ class PieceModel:
                 self.memo[w] = self.old[w]
         new = [w for w in new if w not in self.memo]
         for w, ids in zip(new, self.merges.encode(new, num_threads=1), strict=True):
-            self.memo[w] = np.array(ids, "<u4").tobytes()
+            self.memo[w] = array("I", ids).tobytes()
 
     def _ids(self, words: list[str]) -> bytes:
         return b"".join(map(self.memo.__getitem__, words))
@@ -246,7 +249,7 @@ class PieceModel:
         """Ids (little-endian 32-bit, begin and end ids included) and the
         source bytes at which pieces begin, and one more for the last end."""
         normal = [self.normalise(t) for t in texts]
-        if sum(len(t) for t, _ in normal) <= CALL:
+        if sum(len(t) for t, _ in normal) <= 2 * CALL:
             ready = [[w for block in self._blocks(t) for w in block] for t, _ in normal]
             self.learn(set().union(*ready))
             found = [self._ids(words) for words in ready]
@@ -267,7 +270,7 @@ class PieceModel:
 
     def decode(self, ids: list[bytes]) -> list[str]:
         """The library's text of each list of ids."""
-        return self.whole.decode([np.frombuffer(i, "<u4").tolist() for i in ids])
+        return [self.whole.decode(np.frombuffer(i, "<u4").tolist()) for i in ids]
 
 
 _MODELS: dict[str, PieceModel] = {}
@@ -278,7 +281,7 @@ def _model(path: str) -> PieceModel:
 
 
 def _runs(sizes: list[int]) -> Iterator[tuple[int, int]]:
-    """Bounds of runs of rows of about CALL bytes, one row at least."""
+    """Bounds of runs of rows of at most CALL characters or bytes, or one row."""
     lo = held = 0
     for i, size in enumerate(sizes):
         if i > lo and held + size > CALL:
@@ -289,27 +292,32 @@ def _runs(sizes: list[int]) -> Iterator[tuple[int, int]]:
         yield lo, len(sizes)
 
 
-def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text",
+                  with_text: bool = False) -> DataFrame:
     """One row per document: id, ``ids`` (binary, little-endian 32-bit) and
     ``begins`` (array of source bytes, one per id and one for the last end:
-    piece i spans begins[i] to begins[i + 1])."""
+    piece i spans begins[i] to begins[i + 1]). ``with_text`` adds ``decoded``,
+    as ``decode_pieces`` would, without a second worker beside the first."""
     ship_code(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(model_path)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for lo, hi in _runs([len(t) for t in texts]):
-                ids, places = zip(*model.encode(texts[lo:hi]), strict=True)
+            column = batch.column("text")
+            for lo, hi in _runs(pc.fill_null(pc.utf8_length(column), 0).to_pylist()):
+                texts = [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
+                ids, places = zip(*model.encode(texts), strict=True)
                 offsets = np.concatenate([[0], np.cumsum([len(p) for p in places])])
                 begins = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()),
                                                   pa.array(np.concatenate(places), pa.int32()))
+                decoded = [pa.array(model.decode(list(ids)), pa.string())] if with_text else []
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(lo, hi - lo), pa.array(ids, pa.binary()), begins],
-                    names=["id", "ids", "begins"])
+                    [batch.column("id").slice(lo, hi - lo), pa.array(ids, pa.binary()), begins, *decoded],
+                    names=["id", "ids", "begins", *["decoded" for _ in decoded]])
 
     schema = f"id {rows.schema['id'].dataType.simpleString()}, ids binary, begins array<int>"
+    schema += ", decoded string" if with_text else ""
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
@@ -321,11 +329,10 @@ def decode_pieces(coded: DataFrame, model_path: str, ids_col: str = "ids", out_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(model_path)
         for batch in batches:
-            ids = [i or b"" for i in batch.column(ids_col).to_pylist()]
-            for lo, hi in _runs([len(i) for i in ids]):
+            for lo, hi in _runs(pc.fill_null(pc.binary_length(batch.column(ids_col)), 0).to_pylist()):
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.decode(ids[lo:hi]), pa.string())],
-                                                 names=[*rest, out_col])
+                decoded = model.decode([i or b"" for i in part.column(ids_col).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(decoded, pa.string())], names=[*rest, out_col])
 
     rows = coded.select(*rest)
     return rows.mapInArrow(run, rows.schema.simpleString()[len("struct<"):-1] + f",{out_col}:string")
