@@ -227,7 +227,7 @@ def fit_whitening(df: DataFrame, vec_col: str = "embedding", scale: int = 64, sh
             for lo in range(0, len(batch), 2000):
                 _, x = _whole(batch.slice(lo, 2000), d, scale, shift)
                 sums += x.sum(axis=0)
-                moments.add(x.astype(float))
+                moments.add((x - shift).astype(float))  # nearer to 0: less rounding, the same products
         if moments.n:
             yield pa.RecordBatch.from_pylist([{"n": moments.n, "sums": sums.tolist(), "mean": moments.mean.tolist(),
                                                "products": moments.products[at].tolist()}])

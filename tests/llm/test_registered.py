@@ -31,7 +31,7 @@ def test_twins(spark, name):
 
 
 def test_every_query_is_registered():
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
 
 
 def test_op1(spark, docs):
@@ -113,3 +113,28 @@ def test_op10(spark):
         assert hashlib.sha256(text.encode()).hexdigest() == r.sha256
         assert not (r.is_secret and text.isdigit())
     assert tokens and tokens <= {(r.doc_id, r.start) for r in rows if r.is_secret}
+
+
+def test_op12(spark, docs):
+    import hashlib
+
+    import numpy as np
+    import sentencepiece
+    from tally.llm.queries import piece_model_path
+    sp = sentencepiece.SentencePieceProcessor(model_file=piece_model_path())
+    rows = {r.doc_id: r for r in QUERIES["op12_sentence_pieces"](spark, SF).collect()}
+    assert set(rows) == set(docs)
+    for i, d in docs.items():
+        ids = sp.encode(d.text or "", add_bos=True, add_eos=True)
+        r = rows[i]
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
+        assert r.spanned_bytes == len((d.text or "").encode())
+
+
+def test_op13(spark):
+    from test_whitening import brute, check
+    own = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+    rows = QUERIES["op13_whitening"](spark, SF).collect()
+    check(rows, brute(own, 32))
+    assert rows[0].identity_error < 1e-4
