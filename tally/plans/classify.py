@@ -42,7 +42,7 @@ def next_batch(store: LedgerStore) -> int:
     classification batch (a batch that judged nothing writes no event but
     still records its mark), and above the outbox, so that no reset can take
     the number of a batch that died after sending."""
-    return max(S.next_seq(store.read(t)).first()[0] for t in ("detail_status", "classify_run", "outbox"))
+    return max(store.top(t) for t in ("detail_status", "classify_run", "outbox")) + 1
 
 
 def finish_open_batch(store: LedgerStore, run_date=None) -> None:
@@ -52,7 +52,9 @@ def finish_open_batch(store: LedgerStore, run_date=None) -> None:
     newer than the last recorded batch; older outbox files are not read."""
     if not store.exists("outbox"):
         return
-    last = store.read("classify_run").agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+    last = store.top("classify_run")
+    if store.top("outbox") <= last:
+        return
     sent = store.read("outbox").filter(F.col("seq") > F.lit(last)).select("detail_id", "seq")
     known = store.read("detail_status").filter(F.col("seq") > F.lit(last)).filter(F.col("op") == S.FORWARD)
     open_ = stage(sent.join(known, ["detail_id", "seq"], "left_anti"), "open-batch")
@@ -94,7 +96,7 @@ def classify_pending(spark: SparkSession, store: LedgerStore, *, run_date=None,
         if store.exists("classify_run") else None
     hwm, mark_seq = (mark["hwm"], mark["seq"]) if mark is not None else (None, None)
     detail = store.read("detail")
-    snap_max = detail.agg(F.max("id")).first()[0]  # the snapshot this batch judges
+    snap_max = store.top("detail") or None  # the snapshot this batch judges
     if snap_max is not None:
         detail = detail.filter(F.col("id") <= F.lit(snap_max))
     pend = S.pending_since(detail, events, hwm, mark_seq)

@@ -3,21 +3,26 @@
 One DataFrame job per table for all files of the run (the source probes the
 database once per row). Flow for the ledger:
 
-    scan (S3) -> positions + types (F1-F3, C1, C2, W1), cached for the run
+    scan (S3) -> positions + types (F1-F3, C1, C2, W1), written once
     -> policy (M9) -> first processed per key (A6)
     -> |> stored keys of the same months (J1) -> ids (K5, staged) -> append (K1)
     -> per-file counts (A2, A3) -> conditional history (M5) -> append (K2)
+    -> commit
 
-The ordered new rows are written once (parquet) to the shared checkpoint
-folder before ids are attached, so a lost executor re-reads them instead of
-recomputing the dedup with a different row order.
+A run is visible as a whole or not at all: detail, asset rows and history
+appear with its commit (``sources.store``). A run that dies leaves nothing to
+see; its retry, under the same ``run_id`` or a new one, starts from the state
+before it. A committed ``run_id`` is not run again.
+
+Typed rows and ordered new rows are written to the shared checkpoint folder,
+nothing is cached: a lost executor re-reads them, and the returned frames read
+them instead of parsing the drop again.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +30,7 @@ from ..operators import dedup, validate
 from ..operators.ordinal import global_ordinal
 from ..session import lap, stage
 from ..sources.csv_scan import listed_files, run_files, scan_asset_csv, scan_ledger_csv
-from ..sources.store import LedgerStore
+from ..sources.store import LedgerStore, Run
 
 
 class ImportAborted(RuntimeError):
@@ -35,15 +40,31 @@ class ImportAborted(RuntimeError):
 @dataclass
 class ImportResult:
     inserted: DataFrame        # rows appended (or, dry run, that would be)
-    duplicates: DataFrame      # rows skipped as already stored (J3)
-    counts: DataFrame          # per file parsed / new counts (A2, A3)
+    duplicates: DataFrame | None  # rows skipped as already stored (J3)
+    counts: DataFrame | None   # per file parsed / new counts (A2, A3)
     history: DataFrame         # history rows written (M5 / M6)
-    report: DataFrame          # per file validity (M9)
-    rejects: DataFrame         # the bad records themselves
+    report: DataFrame | None   # per file validity (M9)
+    rejects: DataFrame | None  # the bad records themselves
+    replayed: bool = False     # the run was committed before: only its stored rows are given
+
+
+@dataclass(frozen=True)
+class Kind:
+    """What sets ledger and asset imports apart."""
+    name: str
+    table: str
+    key: list[str]
+    reverse_rows: bool
+    months: bool
+
+
+LEDGER = Kind("ledger", "detail", dedup.LEDGER_KEY, True, True)
+ASSET = Kind("asset", "asset_history", dedup.ASSET_KEY, False, False)
+KINDS = {"ledger": LEDGER, "asset": ASSET}
 
 
 def _run_facts(typed: DataFrame, policy: str):
-    """One aggregate over the cached run rows: the abort cut (first file with
+    """One aggregate over the run's typed rows: the abort cut (first file with
     a bad row) and, over the good data rows, the date range and row count.
     The range may include files after the cut, which only widens the probe."""
     good = ~F.col("is_header") & F.col("reject").isNull()
@@ -80,34 +101,25 @@ def _date_window(existing: DataFrame, bounds, partitioned: bool = False) -> Data
     return existing.filter(cond)
 
 
-def _max_id(store: LedgerStore, table: str) -> int:
-    """Largest stored id (a scan of that one column), read once so that the
-    returned frames keep their ids after the append."""
-    return store.read(table).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-
-
-def _number_and_append(store: LedgerStore, table: str, new: DataFrame, base: int, reverse_rows: bool) -> DataFrame:
+def _append_numbered(run: Run, table: str, new: DataFrame, base: int, reverse_rows: bool) -> DataFrame:
     """K5 + K1: ids after the stored maximum, then append. The new rows are
-    cached once: the emptiness check, the range sampling and the ordering
-    shuffle all read the cache, and an all-duplicate re-run (the steady
-    state of overlapping exports) stops after the check."""
-    new = new.persist(StorageLevel.MEMORY_AND_DISK)
+    written once: the emptiness check, the range sampling and the ordering
+    shuffle read the copy, and an all-duplicate re-run (the steady state of
+    overlapping exports) stops after the check."""
+    new = stage(new, "new")
+    lap("new rows staged")
     if new.isEmpty():
-        lap("no new rows")
-        new.unpersist()  # an empty frame of the same columns: nothing runs again when it is read
-        return store.spark.createDataFrame([], new.schema).withColumn("id", F.lit(None).cast("long"))
+        return new.withColumn("id", F.lit(None).cast("long"))
     numbered = dedup.assign_ids(new, base, reverse_rows=reverse_rows)
     lap("ids staged")
-    store.append(table, numbered.withColumn("created_at", F.current_timestamp())
-                 .withColumn("updated_at", F.current_timestamp()))
+    run.append(table, numbered.withColumn("created_at", F.current_timestamp())
+               .withColumn("updated_at", F.current_timestamp()))
     lap(f"{table} appended")
-    new.unpersist()  # the numbered rows read the staged copy from here on
     return numbered
 
 
-def _history_rows(store: LedgerStore, delta: DataFrame, job_label: str | None) -> DataFrame:
+def _history_rows(base: int, delta: DataFrame, job_label: str | None) -> DataFrame:
     """At most one row per file of the run, numbered in rank order."""
-    base = _max_id(store, "import_history")
     ordered = global_ordinal(delta, [F.col("file_rank")], "_o")
     return (ordered
             .select((F.lit(base) + F.col("_o") + 1).cast("long").alias("id"),
@@ -118,139 +130,115 @@ def _history_rows(store: LedgerStore, delta: DataFrame, job_label: str | None) -
                     F.current_timestamp().alias("updated_at")))
 
 
-def import_ledger(spark: SparkSession, store: LedgerStore, paths, *, job_label: str | None = None,
-                  run_date=None, dry_run: bool = False, policy: str = "abort",
-                  encoding: str = "utf8", collation: str | None = None, multiline: bool = True,
-                  raw: DataFrame | None = None, files: DataFrame | None = None) -> ImportResult:
-    """M11. ``raw`` may carry an already positioned scan, with its ``files``
-    (streaming, routed drops)."""
-    lap(None)
-    scanned = raw if raw is not None else scan_ledger_csv(spark, paths, encoding, multiline=multiline)
-    files = run_files(spark, listed_files(spark, paths)) if files is None else files
-    lap("scan planned")
-    # typed rows are used by several actions; their lineage starts at the
-    # drop, whose read-order stamp is stable, so a lost block recomputes to
-    # the same rows
-    typed = validate.type_ledger(scanned, run_date).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        cut, bounds = _run_facts(typed, policy)
-        rows, report = validate.accepted(typed, policy, cut)
-        key = dedup.LEDGER_KEY
-        rows = dedup.keyed(rows, key, collation)
-        # rows this run appends are not part of the stored side, also when a frame is read later
-        base = _max_id(store, "detail")
-        known = store.read("detail").filter(F.col("id") <= base).select(*key, "ym")
-        stored = _date_window(known, bounds, partitioned=True).select(*key)
-        stored = dedup.keyed(stored, key, collation)
-        n_rows = bounds[2]  # bounds the broadcast of incoming keys
-        lap("date window")
-        inserted = dedup.import_plan(rows, stored, key, reverse_rows=True, dry_run=dry_run, incoming_rows=n_rows)
-        duplicates = dedup.duplicate_rows(rows, stored, key, incoming_rows=n_rows)
-        if not dry_run:
-            inserted = _number_and_append(store, "detail", inserted, base, reverse_rows=True)
-        counts = stage(dedup.file_facts(_imported_files(files, typed, cut, policy), rows, inserted), "counts")
-        delta = dedup.ledger_history_delta(counts, store.read("import_history"))
-        history = _history_rows(store, delta, job_label)
-        if not dry_run:
-            store.append("import_history", history)
-        lap("history appended")
-    except BaseException:
-        typed.unpersist()  # released on failure too
-        raise
-    _finish(typed, cut, policy)
-    return ImportResult(inserted, duplicates, counts, history, report, validate.rejects(typed))
+def _typed_rows(spark: SparkSession, kind: Kind, paths, files: DataFrame, *, run_date=None, encoding: str = "utf8",
+                multiline: bool = True) -> DataFrame:
+    """Scanned and typed rows of a drop, written once."""
+    if kind is LEDGER:
+        rows = validate.type_ledger(scan_ledger_csv(spark, paths, encoding, multiline, files), run_date)
+    else:
+        rows = validate.type_asset(scan_asset_csv(spark, paths, encoding, multiline, files))
+    lap(f"{kind.name} lines staged")
+    out = stage(rows, "typed")
+    lap(f"{kind.name} typed")
+    return out
 
 
-def import_assets(spark: SparkSession, store: LedgerStore, paths, *, job_label: str | None = None,
-                  run_date=None, dry_run: bool = False, policy: str = "abort", encoding: str = "utf8",
-                  collation: str | None = None, multiline: bool = True,
-                  raw: DataFrame | None = None, files: DataFrame | None = None) -> ImportResult:
-    """Same flow keyed by date; first row of a file wins (no reversal);
-    history only when a row was inserted (M6). ``run_date`` and
-    ``collation`` are accepted for a uniform call and unused (no text key)."""
-    scanned = raw if raw is not None else scan_asset_csv(spark, paths, encoding, multiline=multiline)
-    files = run_files(spark, listed_files(spark, paths)) if files is None else files
-    typed = validate.type_asset(scanned).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        cut, bounds = _run_facts(typed, policy)
-        rows, report = validate.accepted(typed, policy, cut)
-        key = dedup.ASSET_KEY
-        base = _max_id(store, "asset_history")
-        stored = _date_window(store.read("asset_history").filter(F.col("id") <= base).select(*key), bounds)
-        n_rows = bounds[2]
-        inserted = dedup.import_plan(rows, stored, key, reverse_rows=False, dry_run=dry_run, incoming_rows=n_rows)
-        duplicates = dedup.duplicate_rows(rows, stored, key, incoming_rows=n_rows)
-        if not dry_run:
-            inserted = _number_and_append(store, "asset_history", inserted, base, reverse_rows=False)
-        counts = stage(dedup.file_facts(_imported_files(files, typed, cut, policy), rows, inserted), "counts")
-        history = _history_rows(store, dedup.asset_history_delta(counts), job_label)
-        if not dry_run:
-            store.append("import_history", history)
-    except BaseException:
-        typed.unpersist()  # released on failure too
-        raise
-    _finish(typed, cut, policy)
+def _import_typed(store: LedgerStore, run: Run, kind: Kind, typed: DataFrame, files: DataFrame, cut: int | None, bounds,
+                  *, job_label: str | None = None, dry_run: bool = False, policy: str = "abort",
+                  collation: str | None = None) -> ImportResult:
+    """The import of one kind's typed rows into ``run``, not yet committed."""
+    rows, report = validate.accepted(typed, policy, cut)
+    key, n_rows = kind.key, bounds[2]  # the count bounds the broadcast of incoming keys
+    if kind is LEDGER:  # the asset key holds no text
+        rows = dedup.keyed(rows, key, collation)
+    # only committed runs are read, so the rows of this one are not part of the stored side
+    known = store.read(kind.table).select(*key, *(["ym"] if kind.months else []))
+    stored = _date_window(known, bounds, partitioned=kind.months).select(*key)
+    if kind is LEDGER:
+        stored = dedup.keyed(stored, key, collation)
+    inserted = dedup.import_plan(rows, stored, key, reverse_rows=kind.reverse_rows, dry_run=dry_run, incoming_rows=n_rows)
+    duplicates = dedup.duplicate_rows(rows, stored, key, incoming_rows=n_rows)
+    if not dry_run:
+        inserted = _append_numbered(run, kind.table, inserted, run.top(kind.table), kind.reverse_rows)
+    counts = stage(dedup.file_facts(_imported_files(files, typed, cut, policy), rows, inserted), "counts")
+    delta = dedup.ledger_history_delta(counts, store.read("import_history")) if kind is LEDGER \
+        else dedup.asset_history_delta(counts)
+    history = _history_rows(run.top("import_history"), delta, job_label)
+    if not dry_run:
+        run.append("import_history", history)
+    lap("history appended")
     return ImportResult(inserted, duplicates, counts, history, report, validate.rejects(typed))
 
 
-def _finish(typed: DataFrame, cut: int | None, policy: str) -> None:
-    """Release the cached rows (the returned frames recompute from the drop)
-    and raise when the abort policy cut the run short."""
-    name = None
-    if policy == "abort" and cut is not None:
-        name = typed.filter(F.col("file_rank") == cut).select("src_file").first()[0]
-    typed.unpersist()
-    if name is not None:
-        raise ImportAborted(f"file {name} has invalid rows; it and later files were not imported")
+def _replayed(store: LedgerStore, run_id: str, table: str) -> ImportResult:
+    return ImportResult(store.read_run(table, run_id), None, None, store.read_run("import_history", run_id), None, None, True)
 
 
-def _import_routed(spark: SparkSession, store: LedgerStore, by_kind: dict[str, list[str]],
-                   **kw) -> dict[str, ImportResult]:
-    """Import routed files of both kinds as one run. Under ``abort`` the
-    files are one sequence in name order, whatever their kind: the first
-    file with a bad row (ledger or asset) stops the run, and only files
-    named before it are imported. Each kind is scanned once; the typed check
-    and the import read the same cached scan."""
-    policy = kw.get("policy", "abort")
-    encoding, multiline = kw.get("encoding", "utf8"), kw.get("multiline", True)
-    kinds = [k for k in ("ledger", "asset") if by_kind.get(k)]
+def _import_kinds(spark: SparkSession, store: LedgerStore, by_kind: dict[str, list[str]], *, run_id: str | None = None,
+                  job_label: str | None = None, run_date=None, dry_run: bool = False, policy: str = "abort",
+                  encoding: str = "utf8", collation: str | None = None,
+                  multiline: bool = True) -> dict[str, ImportResult]:
+    """Import files of one or both kinds as one run with one commit. Under
+    ``abort`` the files are one sequence in name order, whatever their kind:
+    the first file with a bad row (ledger or asset) stops the run, and only
+    files named before it are imported."""
+    kinds = [KINDS[k] for k in ("ledger", "asset") if by_kind.get(k)]
+    if run_id is not None and store.committed(run_id):
+        return {k.name: _replayed(store, run_id, k.table) for k in kinds}
+    lap(None)
+    listed = {k.name: listed_files(spark, by_kind[k.name]) for k in kinds}
     # one rank over the files of both kinds, so that one cut means the same for both
-    files = run_files(spark, [u for k in kinds for u in listed_files(spark, by_kind[k])])
-    scans, cut, out = {}, None, {}
-    try:
-        for kind in kinds:
-            scan = scan_ledger_csv if kind == "ledger" else scan_asset_csv
-            scans[kind] = (scan(spark, by_kind[kind], encoding, multiline=multiline).drop("file_rank")
-                           .join(files.select("src_path", "file_rank"), "src_path").persist(StorageLevel.MEMORY_AND_DISK))
-            if policy == "abort":
-                typer = validate.type_ledger if kind == "ledger" else validate.type_asset
-                bad = typer(scans[kind]).filter(F.col("reject").isNotNull()).agg(F.min("file_rank")).first()[0]
-                cut = min((x for x in (cut, bad) if x is not None), default=None)
-        for kind in kinds:
-            fn = import_ledger if kind == "ledger" else import_assets
-            own = files.join(run_files(spark, listed_files(spark, by_kind[kind])).select("src_path"), "src_path", "left_semi")
-            raw = scans[kind]
-            if cut is not None:
-                raw, own = raw.filter(F.col("file_rank") < cut), own.filter(F.col("file_rank") < cut)
-            out[kind] = fn(spark, store, by_kind[kind], raw=raw, files=own, **kw)
-    finally:
-        for scanned in scans.values():
-            scanned.unpersist()
+    files = run_files(spark, [u for uris in listed.values() for u in uris])
+    typed = {k.name: _typed_rows(spark, k, by_kind[k.name], files, run_date=run_date, encoding=encoding, multiline=multiline)
+             for k in kinds}
+    facts = {k.name: _run_facts(typed[k.name], policy) for k in kinds}
+    lap("run facts")
+    cut = min((f[0] for f in facts.values() if f[0] is not None), default=None)
+    # a run cut short is not the run that was asked for: its retry must do the rest
+    run, out = store.begin(run_id if cut is None else None), {}
+    for k in kinds:
+        own = files
+        if len(kinds) > 1:
+            own = files.join(run_files(spark, listed[k.name]).select("src_path"), "src_path", "left_semi")
+        out[k.name] = _import_typed(store, run.under(k.name), k, typed[k.name], own, cut, facts[k.name][1],
+                                    job_label=job_label, dry_run=dry_run, policy=policy, collation=collation)
+    if not dry_run and kinds:
+        run.commit()
+        lap("committed")
     if cut is not None:
         name = files.filter(F.col("file_rank") == cut).first()["src_file"]
         raise ImportAborted(f"file {name} has invalid rows; it and later files were not imported")
     return out
 
 
+def _paths(paths) -> list[str]:
+    return [paths] if isinstance(paths, str) else list(paths)
+
+
+def import_ledger(spark: SparkSession, store: LedgerStore, paths, **kw) -> ImportResult:
+    """M11. Options: ``job_label``, ``run_date``, ``dry_run``, ``policy``
+    (``abort`` | ``quarantine``), ``encoding``, ``collation``, ``multiline``
+    and ``run_id`` (a retry under the id of a dead run replaces what it left;
+    a committed run is not run again)."""
+    return _import_kinds(spark, store, {"ledger": _paths(paths)}, **kw)["ledger"]
+
+
+def import_assets(spark: SparkSession, store: LedgerStore, paths, **kw) -> ImportResult:
+    """Same flow keyed by date; first row of a file wins (no reversal);
+    history only when a row was inserted (M6). ``run_date`` and ``collation``
+    are accepted for a uniform call and unused (no text key)."""
+    return _import_kinds(spark, store, {"asset": _paths(paths)}, **kw)["asset"]
+
+
 def import_drop(spark: SparkSession, store: LedgerStore, folder: str, **kw) -> dict[str, ImportResult]:
     """S1 + S2 + U1: list ``folder``, route files by name and import each
-    kind with one job over all its files (see ``_import_routed``)."""
+    kind with one job over all its files (see ``_import_kinds``)."""
     from ..sources.manifest import list_csv, route
     routed = route(list_csv(spark, folder))
     # the file list is the run's manifest (one row per file)
     by_kind = {kind: [r.path for r in routed.filter(F.col("kind") == kind).select("path").collect()]
                for kind in ("ledger", "asset")}
-    return _import_routed(spark, store, by_kind, **kw)
+    return _import_kinds(spark, store, by_kind, **kw)
 
 
 def import_prefix(spark: SparkSession, store: LedgerStore, prefix: str, **kw) -> dict[str, ImportResult]:
@@ -265,4 +253,4 @@ def import_prefix(spark: SparkSession, store: LedgerStore, prefix: str, **kw) ->
     routed = route(survivors.withColumnRenamed("key", "path"), name_col="basename")
     by_kind = {kind: [r.path for r in routed.filter(F.col("kind") == kind).select("path").collect()]
                for kind in ("ledger", "asset")}
-    return _import_routed(spark, store, by_kind, **kw)
+    return _import_kinds(spark, store, by_kind, **kw)

@@ -9,10 +9,11 @@ from pyspark.sql import SparkSession
 
 # Settings that change results, not only speed:
 #  - javaCharsets: Spark 4 refuses Shift_JIS for CSV unless the legacy charset
-#    table is enabled.
+#    table is enabled, and stops at malformed text instead of replacing it.
 #  - session time zone: ledger dates are calendar days in the exporter's zone.
 ENGINE_CONF = {
     "spark.sql.legacy.javaCharsets": "true",
+    "spark.sql.legacy.codingErrorAction": "true",
     "spark.sql.session.timeZone": "Asia/Tokyo",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -80,7 +81,7 @@ def stage(df, name: str = "stage"):
     spark = df.sparkSession
     path = staging_path(spark, name)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 _T0 = [0.0]

@@ -9,29 +9,43 @@ Each output row carries
 * ``row_idx``    0-based position of the record in its file, header included,
 * ``n_file_rows``  records in the file, header included.
 
-Positions come from per-split counts, not from a window over a whole file:
-``monotonically_increasing_id`` numbers the records of one scan task in read
-order, so a record's position is (records of earlier splits of the same file)
-+ (its number - the first number of its split). The per-split table has one
-row per input split and is broadcast when the manifest shows few files;
-otherwise it is joined with a shuffle on (file, split), where no key holds
-more than one split of rows.
+Files are read as lines, so a file of any size is cut into splits that many
+tasks read, quoted newlines or not:
+
+1. One pass over the text stamps each line with what its task has read before
+   it - lines, odd lines (an odd number of quotes), record starts - under both
+   assumptions about the quotes in front of the split, and whether its quoting
+   is broken if it begins outside or inside quotes. The lines are written once.
+2. Sums per split, and a prefix sum over the splits of each file (the split
+   table: one row per input split), tell whether a split begins inside quotes,
+   how many records come before it, and which files have broken quoting.
+3. A line outside quotes with closed quotes is a record. Only the lines of
+   records that span several lines meet in a shuffle, keyed by their record.
+4. ``from_csv`` splits each record into its fields.
+
+A file with broken quoting (a quote inside a bare field, text behind a closing
+quote, an open quote at its end) is refused as the source's reader does: it
+yields one corrupt record. A line ends at a line feed; a carriage return in
+front of it is dropped, also inside quotes. Empty lines outside quotes are no
+records.
 """
 
 from __future__ import annotations
 
 import re
+import urllib.parse
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.parse import basename
 from ..schemas import ASSET_CSV, CORRUPT, LEDGER_CSV
+from ..session import stage
 
 # Accepted charset names (fixed values): case-insensitive.
 ENCODINGS = {"utf8": "UTF-8", "sjis": "Shift_JIS"}
 
-# Largest per-split table that is broadcast (rows = input splits).
+# Largest counted split table that is broadcast (rows = input splits).
 MAX_BROADCAST_SPLITS = 200_000
 
 
@@ -44,33 +58,11 @@ def resolve_encoding(name: str | None) -> str:
 
 
 def require_charset(spark: SparkSession, charset: str) -> None:
-    """Spark 4 refuses legacy charsets unless ``ENGINE_CONF`` is applied; the
-    caller's session is not changed here."""
-    if charset != "UTF-8" and spark.conf.get("spark.sql.legacy.javaCharsets", "false") != "true":
-        raise ValueError(f"{charset} needs spark.sql.legacy.javaCharsets=true (see tally.session.ENGINE_CONF)")
-
-
-def _reader(spark: SparkSession, schema, encoding: str, multiline: bool = True):
-    charset = resolve_encoding(encoding)
-    require_charset(spark, charset)
-    return (spark.read.schema(schema)
-            .option("multiLine", "true" if multiline else "false")
-            .option("quote", '"').option("escape", '"')
-            .option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", CORRUPT)
-            .option("encoding", charset))
-
-
-def read_raw(spark: SparkSession, paths: list[str] | str, schema,
-             encoding: str = "utf8", multiline: bool = True) -> DataFrame:
-    """The bare scan: positional strings + ``_corrupt`` + file metadata.
-
-    ``multiline`` (default) follows RFC-4180 quoted newlines; Spark then reads
-    each file in one task. For drops without quoted newlines,
-    ``multiline=False`` lets Spark split a large file into blocks read by
-    many tasks; positions stay exact through the per-split offsets."""
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    return with_file_meta(_reader(spark, schema, encoding, multiline).csv(paths))
+    """Spark 4 refuses legacy charsets, and stops at a malformed character,
+    unless ``ENGINE_CONF`` is applied; the caller's session is not changed here."""
+    for conf in ("spark.sql.legacy.javaCharsets", "spark.sql.legacy.codingErrorAction"):
+        if charset != "UTF-8" and spark.conf.get(conf, "false") != "true":
+            raise ValueError(f"{charset} needs {conf}=true (see tally.session.ENGINE_CONF)")
 
 
 def plain_path(path):
@@ -83,137 +75,144 @@ def file_name(path):
     return F.url_decode(F.replace(basename(path), F.lit("+"), F.lit("%2B")))
 
 
-def with_file_meta(df: DataFrame) -> DataFrame:
-    """File columns of a CSV scan (batch or one micro-batch of a stream)."""
-    return df.select("*", F.col("_metadata.file_path").alias("_uri"),
-                     F.col("_metadata.file_block_start").alias("_block"),
-                     F.monotonically_increasing_id().alias("_mid"))
-
-
 def run_files(spark: SparkSession, uris: list[str]) -> DataFrame:
     """The files of a run: src_path (URI), src_file (decoded name) and
     file_rank in name order. Files without a record are in it too. ``uris``
     is the listing Spark's planner already holds on the driver."""
-    import urllib.parse
     rows = [(re.sub("^file:/+", "file:/", u), urllib.parse.unquote(u.rsplit("/", 1)[-1])) for u in uris]
     rows = sorted(set(rows), key=lambda r: (r[1], r[0]))
     return spark.createDataFrame([(p, n, i) for i, (p, n) in enumerate(rows)],
                                  "src_path string, src_file string, file_rank long")
 
 
-def position_rows(raw: DataFrame, files: DataFrame, n_files: int,
-                  max_broadcast_splits: int = MAX_BROADCAST_SPLITS,
-                  splits_bounded: bool = True) -> DataFrame:
-    """Add src_path, src_file, file_rank, row_idx, n_file_rows to a scan of
-    ``with_file_meta``. Ranks come from ``files``; the windows run per file
-    over its splits, never over all files.
-
-    ``n_files`` (from the file listing) bounds the per-split table when a
-    file is one split; otherwise the join is left to AQE, which broadcasts
-    only a measured-small side."""
-    raw = raw.withColumn("src_path", plain_path(F.col("_uri"))).drop("_uri")
-    splits = (raw.select("src_path", "_block", "_mid")
-              .groupBy("src_path", "_block")
-              .agg(F.min("_mid").alias("_base"), F.count(F.lit(1)).alias("_n")))
-    per_file = Window.partitionBy("src_path").orderBy("_block")
-    prefix = F.coalesce(F.sum("_n").over(per_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("_n").over(Window.partitionBy("src_path"))
-    splits = splits.select("src_path", "_block", "_base", prefix.alias("_off"), total.alias("n_file_rows"))
-    small = n_files <= max_broadcast_splits
-    splits = splits.join(F.broadcast(files) if small else files, "src_path")
-    if splits_bounded and small:
-        splits = F.broadcast(splits)
-    return (raw.join(splits, ["src_path", "_block"])
-            .withColumn("row_idx", F.col("_off") + F.col("_mid") - F.col("_base"))
-            .drop("_block", "_mid", "_base", "_off"))
-
-
-# A field in quotes, up to its separator; what is left of a text without
-# these holds a quote only where the quoting is broken.
-_QUOTED_FIELD = r'(?m)(?<=^|,)"[^"]*+(?:""[^"]*+)*+"(?=,|\r?$)'
-
-
-def broken_files(spark: SparkSession, paths: list[str], multiline: bool = True) -> DataFrame:
-    """src_path of the files that a strict reader refuses although Spark's
-    reader accepts them: a quote inside a bare field or text behind a closing
-    quote. Without ``multiline`` the check is by line, and a line of blanks
-    only (one record of one field, which the split reader skips) counts too.
-
-    With it, text is read by line too, so a large file is read by many tasks.
-    A line begins inside quotes if an odd number of quotes lies before it in
-    the file; it is checked with the quotes that its neighbours hold added. A
-    file with an odd number of quotes is broken. Only files that have a line
-    with an odd number need the lines' order, which comes from per-split
-    sums."""
-    strict = lambda v: F.contains(F.regexp_replace(v, _QUOTED_FIELD, ""), F.lit('"'))
-    text = spark.read.text(paths).select("value", plain_path(F.col("_metadata.file_path")).alias("src_path"),
-                                         F.col("_metadata.file_block_start").alias("_block"),
-                                         F.monotonically_increasing_id().alias("_mid"))
-    if not multiline:
-        return text.filter(strict(F.col("value")) | F.col("value").rlike(r"^[ \t]+\r?$")).select("src_path").distinct()
-    odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2
-    closed = lambda ends: F.when(ends, F.lit('"')).otherwise(F.lit(""))
-    lines = text.select("src_path", "_block", "_mid", odd.cast("long").alias("_odd"),
-                        strict(F.concat("value", closed(odd == 1))).alias("_bad"),
-                        strict(F.concat(F.lit('"'), "value", closed(odd == 0))).alias("_bad_inside"))
-    facts = lines.groupBy("src_path").agg(F.sum("_odd").alias("_odds"), F.max("_bad").alias("_bad"))
-    plain = facts.filter((F.col("_odds") % 2 == 1) | ((F.col("_odds") == 0) & F.col("_bad"))).select("src_path")
-    across = facts.filter((F.col("_odds") > 0) & (F.col("_odds") % 2 == 0)).select("src_path")
-    rows = lines.join(across, "src_path", "left_semi").filter((F.col("_odd") == 1) | F.col("_bad") | F.col("_bad_inside"))
-    before = lambda w: F.coalesce(F.sum("_odd").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    splits = (rows.groupBy("src_path", "_block").agg(F.sum("_odd").alias("_odd"))
-              .select("src_path", "_block", before(Window.partitionBy("src_path").orderBy("_block")).alias("_off")))
-    placed = rows.withColumn("_before", before(Window.partitionBy("src_path", "_block").orderBy("_mid")))
-    inside = (F.col("_before") + F.col("_off")) % 2 == 1
-    return (placed.join(splits, ["src_path", "_block"])
-            .filter(F.when(inside, F.col("_bad_inside")).otherwise(F.col("_bad"))).select("src_path")
-            .unionByName(plain).distinct())
-
-
-def flag_broken(rows: DataFrame, broken: DataFrame) -> DataFrame:
-    """Mark the first record of each broken file as corrupt, so that the file
-    is refused like any other with a bad record."""
-    marks = broken.withColumn("_broken", F.lit(True))
-    out = rows.join(marks, "src_path", "left")
-    first = F.col("_broken") & (F.col("row_idx") == 0)
-    return out.withColumn(CORRUPT, F.when(first, F.coalesce(F.col(CORRUPT), F.lit('"'))).otherwise(F.col(CORRUPT))) \
-        .drop("_broken")
-
-
-def scan_positioned(spark: SparkSession, paths: list[str] | str, schema,
-                    encoding: str = "utf8", staged: bool = False, multiline: bool = True,
-                    max_broadcast_splits: int = MAX_BROADCAST_SPLITS, strict: bool = True) -> DataFrame:
-    """Scan + positions. The read-order stamp is the same in every scan of
-    unchanged files (same splits, same record order), so by default the CSV
-    is parsed twice (per-split counts, then rows), which measured cheaper than
-    a written copy. With ``staged`` the raw records and their stamp are
-    written once (parquet, shared checkpoint folder) instead, for drops whose
-    files may change while the job runs. ``strict`` refuses files with broken
-    quoting (one more pass over the text)."""
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    raw = read_raw(spark, paths, schema, encoding, multiline)
-    uris = raw.inputFiles()  # already listed for planning
-    if staged:
-        from ..session import stage
-        raw = stage(raw, "scan")
-    # multiLine CSV is never split, so splits == files and the listing bounds
-    # the per-split table; split files leave its size to AQE
-    rows = position_rows(raw, run_files(spark, uris), len(uris), max_broadcast_splits, splits_bounded=multiline)
-    return flag_broken(rows, broken_files(spark, paths, multiline)) if strict else rows
+def read_text(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """The lines of the files as Spark reads them (bytes, not decoded)."""
+    return spark.read.option("lineSep", "\n").text([paths] if isinstance(paths, str) else list(paths))
 
 
 def listed_files(spark: SparkSession, paths: list[str] | str) -> list[str]:
     """URIs of all files of a drop, those without a record too."""
-    return spark.read.schema(LEDGER_CSV).csv([paths] if isinstance(paths, str) else list(paths)).inputFiles()
-
-
-def scan_ledger_csv(spark: SparkSession, paths, encoding: str = "utf8", staged: bool = False,
-                    multiline: bool = True) -> DataFrame:
+    return read_text(spark, paths).inputFiles()
+
+
+# A field: quoted, up to its closing quote or (open) the end of the line, or
+# bare. A line that begins outside quotes is fields between commas; one that
+# begins inside goes on to the closing quote first. Parity of the quotes is
+# checked apart, so a line with closed quotes has no open field.
+_FIELD = r'(?:"[^"]*+(?:""[^"]*+)*+(?:"|\z)|[^",]*+)'
+_OUTSIDE = rf"\A{_FIELD}(?:,{_FIELD})*+\z"
+_INSIDE = rf'\A[^"]*+(?:""[^"]*+)*+(?:"(?:,{_FIELD})*+)?\z'
+
+
+_LOCAL_MASK = (1 << 33) - 1  # monotonically_increasing_id keeps the record number in the low 33 bits
+
+
+def _count() -> Column:
+    """Number of rows of this task that were evaluated here before."""
+    return F.monotonically_increasing_id().bitwiseAND(F.lit(_LOCAL_MASK))
+
+
+def _earlier(flag: Column) -> Column:
+    """Rows of this task before this one for which ``flag`` holds. Each branch
+    counts the rows that take it; ``_at`` counts all."""
+    return F.when(flag, _count()).otherwise(F.col("_at") - _count())
+
+
+def stamped_lines(text: DataFrame, charset: str) -> DataFrame:
+    """Step 1: lines of ``read_text`` with their stamps. ``_even`` and ``_odd``
+    are the assumptions that a line before which the task has read an even
+    (odd) number of odd lines begins outside quotes."""
+    value = F.col("value") if charset == "UTF-8" else F.decode(F.col("value").cast("binary"), charset)
+    lines = text.select(
+        F.when(value.endswith("\r"), F.regexp_replace(value, r"\r\z", "")).otherwise(value).alias("value"),
+        plain_path(F.col("_metadata.file_path")).alias("src_path"),
+        F.col("_metadata.file_block_start").alias("_block"), _count().alias("_at"))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    lines = lines.select("*", (quotes > 0).alias("_quoted"), (quotes % 2).alias("_odd_line"))
+    lines = lines.select("*", _earlier(F.col("_odd_line") == 1).alias("_odds"))
+    begins = lambda parity: (F.col("_odds") % 2 == parity) & (F.col("value") != "")
+    return lines.select(
+        "src_path", "_block", "_at", "value", "_odd_line", "_odds",
+        _earlier(begins(0)).alias("_before_even"), begins(0).alias("_starts_even"),
+        _earlier(begins(1)).alias("_before_odd"), begins(1).alias("_starts_odd"),
+        (F.col("_quoted") & ~F.col("value").rlike(_OUTSIDE)).alias("_bad"),
+        (F.col("_quoted") & ~F.col("value").rlike(_INSIDE)).alias("_bad_inside"))
+
+
+def split_table(lines: DataFrame, files: DataFrame, multiline: bool = True) -> DataFrame:
+    """Step 2: one row per split that holds a line. Without ``multiline`` a
+    quote left open at the end of a line is broken quoting."""
+    even = F.col("_odds") % 2 == 0
+    count = lambda c: F.sum(F.col(c).cast("long"))
+    s = lines.groupBy("src_path", "_block").agg(
+        F.min("_odds").alias("_odds0"), count("_odd_line").alias("_n_odd"),
+        F.min("_before_even").alias("_even0"), count("_starts_even").alias("_n_even"),
+        F.min("_before_odd").alias("_odd0"), count("_starts_odd").alias("_n_odd_starts"),
+        F.max(F.when(even, F.col("_bad")).otherwise(F.col("_bad_inside"))).alias("_bad_even"),
+        F.max(F.when(even, F.col("_bad_inside")).otherwise(F.col("_bad"))).alias("_bad_odd"))
+    per_file, all_splits = Window.partitionBy("src_path").orderBy("_block"), Window.partitionBy("src_path")
+    before = lambda c: F.coalesce(F.sum(c).over(per_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    s = s.withColumn("_as_even", F.pmod(before("_n_odd") - F.col("_odds0"), F.lit(2)) == 0)
+    own = lambda a, b: F.when(F.col("_as_even"), F.col(a)).otherwise(F.col(b))
+    s = s.withColumn("_n", own("_n_even", "_n_odd_starts")).withColumn("_b", own("_bad_even", "_bad_odd"))
+    odd = F.sum("_n_odd").over(all_splits)
+    broken = F.max("_b").over(all_splits) | ((odd % 2 == 1) if multiline else (odd > 0))
+    s = s.select("src_path", "_block", "_as_even", own("_even0", "_odd0").alias("_base"), before("_n").alias("_off"),
+                 F.sum("_n").over(all_splits).alias("n_file_rows"), broken.alias("_broken"),
+                 (F.row_number().over(per_file) == 1).alias("_first"), "_n_odd")
+    return s.join(files, "src_path")
+
+
+def records(lines: DataFrame, splits: DataFrame, n_splits: int, spans: bool) -> DataFrame:
+    """Step 3: the records of all files that are not broken, as text, with
+    their positions. ``spans``: whether any file has records of several lines."""
+    facts = splits.filter(~F.col("_broken")).drop("_broken", "_first", "_n_odd")
+    own = lines.join(F.broadcast(facts) if n_splits <= MAX_BROADCAST_SPLITS else facts, ["src_path", "_block"])
+    begins_inside = (F.col("_odds") % 2 == 1) == F.col("_as_even")
+    begun = F.when(F.col("_as_even"), F.col("_before_even")).otherwise(F.col("_before_odd"))
+    starts = ~begins_inside & (F.col("value") != "")
+    at = (F.col("_off") + begun - F.col("_base") - F.when(starts, 0).otherwise(1)).alias("row_idx")
+    facts_of = ["src_path", "src_file", "file_rank", "n_file_rows"]
+    alone = own.filter(starts & (F.col("_odd_line") == 0)).select("value", *facts_of, at)
+    if not spans:
+        return alone
+    parts = own.filter(begins_inside | (F.col("_odd_line") == 1)).select("value", "_block", "_at", *facts_of, at)
+    whole = (parts.groupBy(*facts_of, "row_idx")  # the lines of one record
+             .agg(F.array_sort(F.collect_list(F.struct("_block", "_at", "value"))).alias("_lines"))
+             .select(F.array_join(F.col("_lines.value"), "\n").alias("value"), *facts_of, "row_idx"))
+    return alone.unionByName(whole)
+
+
+def scan_positioned(spark: SparkSession, paths: list[str] | str, schema, encoding: str = "utf8",
+                    multiline: bool = True, files: DataFrame | None = None) -> DataFrame:
+    """Fields as strings, ``_corrupt`` and the positions. The lines are written
+    once (shared checkpoint folder), so a lost executor reads the same stamps
+    again. ``files`` may rank the files among others of the run."""
+    charset = resolve_encoding(encoding)
+    require_charset(spark, charset)
+    text = read_text(spark, paths)
+    files = run_files(spark, text.inputFiles()) if files is None else files  # already listed for planning
+    lines = stage(stamped_lines(text, charset), "lines")
+    splits = stage(split_table(lines, files, multiline), "splits")
+    n_splits, odd = splits.agg(F.count(F.lit(1)), F.max("_n_odd")).first()
+    rows = records(lines, splits, n_splits, bool(odd))
+    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    ddl = ", ".join(f"{f.name} string" for f in schema.fields)
+    positions = ["src_path", "src_file", "file_rank", "row_idx", "n_file_rows"]
+    good = rows.select(F.from_csv("value", ddl, options).alias("_r"), *positions).select("_r.*", *positions)
+    refused = splits.filter(F.col("_broken") & F.col("_first")).withColumn("row_idx", F.lit(0).cast("long")).select(
+        *[F.lit(None).cast("string").alias(f.name) for f in schema.fields if f.name != CORRUPT],
+        F.lit('"').alias(CORRUPT), *positions)
+    return good.unionByName(refused)
+
+
+def scan_ledger_csv(spark: SparkSession, paths, encoding: str = "utf8", multiline: bool = True,
+                    files: DataFrame | None = None) -> DataFrame:
     """S3: 10 positional string columns + ``_corrupt`` + positions."""
-    return scan_positioned(spark, paths, LEDGER_CSV, encoding, staged, multiline)
+    return scan_positioned(spark, paths, LEDGER_CSV, encoding, multiline, files)
 
 
-def scan_asset_csv(spark: SparkSession, paths, encoding: str = "utf8", staged: bool = False,
-                   multiline: bool = True) -> DataFrame:
+def scan_asset_csv(spark: SparkSession, paths, encoding: str = "utf8", multiline: bool = True,
+                   files: DataFrame | None = None) -> DataFrame:
     """7 positional string columns + ``_corrupt`` + positions."""
-    return scan_positioned(spark, paths, ASSET_CSV, encoding, staged, multiline)
+    return scan_positioned(spark, paths, ASSET_CSV, encoding, multiline, files)

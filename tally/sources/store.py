@@ -11,17 +11,23 @@ events (see ``operators.status``):
 * ``import_history``, ``asset_history``, ``outbox``, ``classify_run``
                      append-only.
 
-Every write is one Spark job per table. Rule snapshots are read only once
-their ``_SUCCESS`` exists. An append is as atomic as the file system's commit
-protocol: on object stores without atomic rename, a reader beside a running
-append may see part of it (see README, open items).
+Rows are written in runs. A run writes each table into a folder of its own
+(``<table>/run=<id>~<part>/``) and becomes visible, all tables at once, when
+its marker appears: ``_commits/<number>~<id>``, one rename. ``read`` lists the
+folders of committed runs only, so what a dead run left is never seen, and a
+retry under the same id overwrites it. A marker holds, for each table, the
+rows and the largest id of the store so far: counts and maxima need no scan.
+Rule snapshots are read only once their ``_SUCCESS`` exists. One writer at a
+time; a second one fails at its marker's number and nothing of it is seen.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -65,24 +71,33 @@ def list_dirs(spark: SparkSession, path: str) -> list[str]:
     return [st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory()]
 
 
-class LedgerStore:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark = spark
-        self.root = root.rstrip("/")
+#: The column whose largest value a commit marker records.
+TOP_COLUMN = {"detail_status": "seq", "outbox": "seq", "classify_run": "seq"}
 
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
 
-    def _committed(self, path: str) -> bool:
-        return path_exists(self.spark, f"{path}/_SUCCESS") or (
-            path_exists(self.spark, path) and bool(list_dirs(self.spark, path)))
+class WriteConflict(RuntimeError):
+    """Another run committed in between; nothing of this run is visible."""
 
-    def read(self, name: str) -> DataFrame:
-        schema, _ = TABLES[name]
-        p = self.path(name)
-        if not self._committed(p):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(p)
+
+class Run:
+    """One run's writes to a store, invisible until ``commit``."""
+
+    def __init__(self, store: LedgerStore, run_id: str, part: str = ""):
+        if not run_id or any(c in run_id for c in "~/="):
+            raise ValueError(f"bad run id {run_id!r}")
+        self.store, self.run_id, self.part = store, run_id, part
+        self.number, self.stats = store._last_commit()
+
+    def under(self, part: str) -> Run:
+        """The same run writing to folders of another part."""
+        other = Run.__new__(Run)
+        other.store, other.run_id, other.part = self.store, self.run_id, part
+        other.number, other.stats = self.number, self.stats
+        return other
+
+    def top(self, name: str) -> int:
+        """Largest id (or batch number) of a table, this run's rows included."""
+        return self.stats.get(name, {}).get("top") or 0
 
     def append(self, name: str, df: DataFrame) -> None:
         schema, parts = TABLES[name]
@@ -95,10 +110,105 @@ class LedgerStore:
             # each task gets a contiguous (partition, id) slice: few files per
             # month, and a hot month is still cut across several tasks
             out = out.repartitionByRange(*[F.col(p) for p in parts], F.col("id"))
-        w = out.write.mode("append")
+        facts = Observation()
+        out = out.observe(facts, F.count(F.lit(1)).alias("rows"), F.max(TOP_COLUMN.get(name, "id")).alias("top"))
+        w = out.write.mode("overwrite")  # what a dead run of this id left goes
         if parts:
             w = w.partitionBy(*parts)
-        w.parquet(self.path(name))
+        w.parquet(f"{self.store.path(name)}/run={self.run_id}~{self.part}")
+        found, known = facts.get, self.stats.get(name, {})
+        self.stats[name] = {"rows": known.get("rows", 0) + found["rows"],
+                            "top": max((t for t in (known.get("top"), found["top"]) if t is not None), default=None)}
+
+    def commit(self) -> None:
+        """Make all writes of the run visible at once."""
+        folder = f"{self.store.root}/_commits"
+        fs, tmp = _fs(self.store.spark, f"{folder}/.{uuid.uuid4().hex}")
+        out = fs.create(tmp)
+        out.write(bytearray(json.dumps(self.stats).encode()))
+        out.close()
+        _, marker = _fs(self.store.spark, f"{folder}/{self.number + 1:020d}~{self.run_id}")
+        if self.store._last_commit()[0] != self.number or not fs.rename(tmp, marker):
+            fs.delete(tmp, False)
+            raise WriteConflict(f"run {self.run_id} is not the next after commit {self.number}")
+
+
+class LedgerStore:
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark = spark
+        self.root = root.rstrip("/")
+
+    def path(self, name: str) -> str:
+        return f"{self.root}/{name}"
+
+    # -- runs --------------------------------------------------------------
+    def _markers(self) -> list[str]:
+        fs, p = _fs(self.spark, f"{self.root}/_commits")
+        names = [st.getPath().getName() for st in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(n for n in names if not n.startswith((".", "_")))
+
+    def _last_commit(self) -> tuple[int, dict]:
+        """Number of the newest commit and the store's facts at it."""
+        markers = self._markers()
+        if not markers:
+            return 0, {}
+        fs, p = _fs(self.spark, f"{self.root}/_commits/{markers[-1]}")
+        size = fs.getFileStatus(p).getLen()
+        source = fs.open(p)
+        data = bytes(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(source, size))
+        source.close()
+        return int(markers[-1].split("~")[0]), json.loads(data)
+
+    def committed(self, run_id: str) -> bool:
+        return any(m.split("~", 1)[1] == run_id for m in self._markers())
+
+    def begin(self, run_id: str | None = None) -> Run:
+        """A run to write in; the id is a fresh one unless the caller retries."""
+        if run_id is not None and self.committed(run_id):
+            raise ValueError(f"run {run_id} is committed")
+        return Run(self, run_id or uuid.uuid4().hex)
+
+    def folders(self, name: str, run_id: str | None = None) -> list[str]:
+        """Committed run folders of a table (of one run, if given)."""
+        done = {m.split("~", 1)[1] for m in self._markers()}
+        own = {d: d[4:].split("~")[0] for d in list_dirs(self.spark, self.path(name)) if d.startswith("run=")}
+        return sorted(d for d, r in own.items() if r in done and run_id in (None, r))
+
+    def abandoned(self) -> list[str]:
+        """Ids of runs that wrote rows but never committed."""
+        done = {m.split("~", 1)[1] for m in self._markers()}
+        left = {d[4:].split("~")[0] for name in TABLES for d in list_dirs(self.spark, self.path(name))
+                if d.startswith("run=")}
+        return sorted(left - done)
+
+    def _files(self, name: str, folders: list[str]) -> DataFrame:
+        schema, _ = TABLES[name]
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        df = self.spark.read.schema(schema).option("basePath", self.path(name)) \
+            .parquet(*[f"{self.path(name)}/{d}" for d in folders])
+        return df.select(*schema.fieldNames())
+
+    def read(self, name: str) -> DataFrame:
+        return self._files(name, self.folders(name))
+
+    def read_run(self, name: str, run_id: str) -> DataFrame:
+        """The rows that one committed run wrote."""
+        return self._files(name, self.folders(name, run_id))
+
+    def top(self, name: str) -> int:
+        """Largest id (batch number) of a table, from the newest marker."""
+        return self._last_commit()[1].get(name, {}).get("top") or 0
+
+    def rows(self, name: str) -> int:
+        """Rows of a table (A1), from the newest marker."""
+        return self._last_commit()[1].get(name, {}).get("rows", 0)
+
+    def append(self, name: str, df: DataFrame) -> None:
+        """A run of one write."""
+        run = self.begin()
+        run.append(name, df)
+        run.commit()
 
     # -- rule snapshots ---------------------------------------------------
     def rule_versions(self) -> list[int]:
@@ -141,4 +251,4 @@ class LedgerStore:
         return names + [prefix + "extract_rule", prefix + "detail_current"]
 
     def exists(self, name: str) -> bool:
-        return os.path.basename(name) in TABLES and self._committed(self.path(name))
+        return os.path.basename(name) in TABLES and bool(self.folders(name))

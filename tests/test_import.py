@@ -273,14 +273,6 @@ def test_drop_abort_spans_kinds_in_name_order(spark, workdir):
     assert store.read("asset_history").count() == 0
 
 
-def test_staged_scan_equals_unstaged(spark, workdir):
-    p = write(f"{workdir}/cf.csv", CF)
-    cols = ["file_rank", "row_idx", "n_file_rows", "name", "raw_price"]
-    a = scan_ledger_csv(spark, [p]).select(*cols).orderBy("row_idx").collect()
-    b = scan_ledger_csv(spark, [p], staged=True).select(*cols).orderBy("row_idx").collect()
-    assert a == b and len(a) == 4
-
-
 ROW = ",2024/07/{:02d},{},-1,i,l,m,,,\n"
 
 
@@ -319,10 +311,10 @@ def test_duplicates_frame_after_a_real_import(spark, workdir):
 
 
 def test_routed_abort_cuts_by_path_not_by_name(spark, workdir):
-    from tally.plans.importer import _import_routed
+    from tally.plans.importer import _import_kinds
     good = write(f"{workdir}/run=1/cf.csv", ROW.format(1, "A"))
     bad = write(f"{workdir}/run=2/cf.csv", ",2024/07/32,X,-1,i,l,m,,,\n")
-    for n, call in (("routed", lambda s: _import_routed(spark, s, {"ledger": [good, bad], "asset": []})),
+    for n, call in (("kinds", lambda s: _import_kinds(spark, s, {"ledger": [good, bad], "asset": []})),
                     ("direct", lambda s: import_ledger(spark, s, [good, bad]))):
         store = LedgerStore(spark, f"{workdir}/store-{n}")
         with pytest.raises(ImportAborted):
@@ -372,21 +364,122 @@ def test_positions_need_no_window_over_all_splits(spark, workdir):
         assert "SinglePartition" not in plan
 
 
-def test_strict_check_reads_a_quoted_file_in_many_tasks(spark, workdir):
-    """Quoted newlines do not make a file one text: its lines are read by
-    several tasks, with the same files refused."""
-    from tally.sources.csv_scan import broken_files
-    body = "".join(f'"a{i}","say ""{i}""\n\n"",\n, and on",x\n' for i in range(2000))
-    texts = {"good": body, "empty": "", "bare": body + 'x,a"b"c,y\n' + body, "behind": body + '"a"x,"b"\n' + body, "open": body + '"a,b\n',
-             "inside": body + '"a\nb"c,"d\ne"\n' + body, "plain": "a,b\n" * 2000, "crlf": body.replace("\n", "\r\n")}
-    paths = [write(f"{workdir}/strict/{k}.csv", v) for k, v in texts.items()]
+def strict_reader(text):
+    """Records of a file as a plain strict reader gives them; None if it
+    refuses the file."""
+    lines = [line[:-1] if line.endswith("\r") else line for line in text.split("\n")]
+    if not lines[-1]:
+        lines.pop()
+    out, at = [], 0
+    while at < len(lines):
+        record, at = lines[at], at + 1
+        if not record:
+            continue
+        while record.count('"') % 2:
+            if at == len(lines):
+                return None
+            record, at = record + "\n" + lines[at], at + 1
+        fields, p = [], 0
+        while True:
+            if record[p:p + 1] == '"':
+                q = p + 1
+                while record[q] != '"' or record[q + 1:q + 2] == '"':
+                    q += 2 if record[q] == '"' else 1
+                    if q >= len(record):
+                        return None
+                fields.append(record[p + 1:q].replace('""', '"'))
+                p = q + 1
+                if record[p:p + 1] not in ("", ","):
+                    return None
+            else:
+                q = record.find(",", p) if "," in record[p:] else len(record)
+                if '"' in record[p:q]:
+                    return None
+                fields.append(record[p:q])
+                p = q
+            if p >= len(record):
+                break
+            p += 1
+        out.append(fields)
+    return out
+
+
+@pytest.fixture()
+def tiny_splits(spark):
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
-    try:
-        found = broken_files(spark, paths)
-        plan = found._jdf.queryExecution().toString()
-        got = {r.src_path.rsplit("/", 1)[-1][:-4] for r in found.collect()}
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
-    assert got == {"bare", "behind", "open", "inside"}
-    assert "file_block_start" in plan  # the unit of work is a block, not a file
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def check_scan(spark, workdir, texts):
+    from tally.schemas import LEDGER_CSV_COLS
+    paths = [write(f"{workdir}/drop/{k}", v) for k, v in texts.items()]
+    got = {}
+    for r in scan_ledger_csv(spark, paths).collect():
+        got.setdefault(r.src_file, []).append(r)
+    for name, text in texts.items():
+        want, own = strict_reader(text), sorted(got.get(name, []), key=lambda r: r.row_idx)
+        if want is None:
+            assert [(r.row_idx, r._corrupt) for r in own] == [(0, '"')], name
+            continue
+        assert [r.row_idx for r in own] == list(range(len(want))), name
+        for r, fields in zip(own, want, strict=True):
+            assert r.n_file_rows == len(want) and (r._corrupt is None) == (len(fields) == 10), (name, fields)
+            if len(fields) == 10:
+                assert [r[c] or "" for c in LEDGER_CSV_COLS] == fields, name
+    return paths
+
+
+def test_records_over_many_splits_equal_a_strict_reader(spark, workdir, tiny_splits):
+    """Quoted newlines, closing and open quotes, CRLF and empty lines at any
+    place of files that are cut into splits of 4 KB."""
+    import random
+    rng = random.Random(1)
+
+    def field():
+        if rng.random() < 0.3:
+            return '"' + "".join(rng.choice(["a", '""', "\n", "\r\n", ",", " ", "漢", "\n\n"]) for _ in range(rng.randrange(8))) + '"'
+        return "".join(rng.choice("ab é0") for _ in range(rng.randrange(5)))
+
+    texts = {}
+    for k in range(12):
+        body = "".join(",".join(field() for _ in range(10 if rng.random() < 0.97 else 9)) + rng.choice(["\n", "\r\n", "\n\n"])
+                       for _ in range(rng.choice([0, 1, 60, 200])))
+        if k % 6 == 5:
+            body = body[:len(body) // 2] + rng.choice(['"', 'x"y', '"a"b,']) + body[len(body) // 2:]
+        texts[f"f{k:02d}_cf.csv"] = body
+    texts["long_cf.csv"] = ',2024/01/01,"' + "x,\n" * 5000 + '",-1,x,a,b,,,\n' + "".join(ROW.format(1, f"n{i}") for i in range(10))
+    texts["last_cf.csv"] = ROW.format(1, "A") + ',2024/07/02,"no\nend",-1,i,l,m,,,'
+    paths = check_scan(spark, workdir, texts)
+    from tally.sources.csv_scan import read_text
+    assert read_text(spark, [p for p in paths if "long" in p]).rdd.getNumPartitions() >= 3
+
+
+def test_strict_quoting_over_many_splits(spark, workdir, tiny_splits):
+    body = "".join(f'"a{i}","say ""{i}""\n\n"",\n, and on",x,,,,,,,\n' for i in range(700))
+    check_scan(spark, workdir, {
+        "good": body, "empty": "", "bare": body + 'x,a"b"c,y\n' + body, "behind": body + '"a"x,"b"\n' + body,
+        "open": body + '"a,b\n', "inside": body + '"a\nb"c,"d\ne"\n' + body, "plain": "a,b\n" * 2000,
+        "crlf": body.replace("\n", "\r\n")})
+
+
+def test_malformed_shift_jis_is_replaced(spark, workdir):
+    p = f"{workdir}/cf.csv"
+    with open(p, "wb") as f:
+        f.write(",2024/07/01,ソ".encode("shift_jis") + b"\x81\xff" + ",-1,i,l,m,,,\n".encode())
+    (row,) = scan_ledger_csv(spark, [p], "sjis").collect()
+    assert row.name.startswith("ソ�") and row._corrupt is None
+
+
+def plans_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scan_is_one_text_pass_without_a_shuffle_of_lines(spark, workdir):
+    p = write(f"{workdir}/cf.csv", "".join(ROW.format(1, f"n{i}") for i in range(50)))
+    plan = plans_of(scan_ledger_csv(spark, [p]))
+    assert "FileScan text" not in plan and "Exchange hashpartitioning" not in plan  # the lines were written once
+    p2 = write(f"{workdir}/cf2.csv", ROW.format(1, '"a\nb"'))
+    plan = plans_of(scan_ledger_csv(spark, [p2]))
+    assert plan.count("Exchange hashpartitioning") == 1  # lines of records that span several, by record
