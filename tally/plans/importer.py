@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dedup, validate
-from ..operators.ordinal import global_ordinal
+from ..operators.ordinal import small_ordinal
 from ..session import lap, stage
-from ..sources.csv_scan import listed_files, run_files, scan_asset_csv, scan_ledger_csv
+from ..sources.csv_scan import read_text, run_files, scan_asset_csv, scan_ledger_csv
 from ..sources.store import LedgerStore, Run
 
 
@@ -118,9 +118,10 @@ def _append_numbered(run: Run, table: str, new: DataFrame, base: int, reverse_ro
     return numbered
 
 
-def _history_rows(base: int, delta: DataFrame, job_label: str | None) -> DataFrame:
-    """At most one row per file of the run, numbered in rank order."""
-    ordered = global_ordinal(delta, [F.col("file_rank")], "_o")
+def _history_rows(base: int, delta: DataFrame, job_label: str | None, n_files: int) -> DataFrame:
+    """At most one row per file of the run (the listing bounds them), numbered
+    in rank order."""
+    ordered = small_ordinal(delta, [F.col("file_rank")], "_o", n_files)
     return (ordered
             .select((F.lit(base) + F.col("_o") + 1).cast("long").alias("id"),
                     F.lit(job_label).cast("string").alias("job_label"),
@@ -143,8 +144,8 @@ def _typed_rows(spark: SparkSession, kind: Kind, paths, files: DataFrame, *, run
     return out
 
 
-def _import_typed(store: LedgerStore, run: Run, kind: Kind, typed: DataFrame, files: DataFrame, cut: int | None, bounds,
-                  *, job_label: str | None = None, dry_run: bool = False, policy: str = "abort",
+def _import_typed(store: LedgerStore, run: Run, kind: Kind, typed: DataFrame, files: DataFrame, n_files: int,
+                  cut: int | None, bounds, *, job_label: str | None = None, dry_run: bool = False, policy: str = "abort",
                   collation: str | None = None) -> ImportResult:
     """The import of one kind's typed rows into ``run``, not yet committed."""
     rows, report = validate.accepted(typed, policy, cut)
@@ -163,7 +164,8 @@ def _import_typed(store: LedgerStore, run: Run, kind: Kind, typed: DataFrame, fi
     counts = stage(dedup.file_facts(_imported_files(files, typed, cut, policy), rows, inserted), "counts")
     delta = dedup.ledger_history_delta(counts, store.read("import_history")) if kind is LEDGER \
         else dedup.asset_history_delta(counts)
-    history = _history_rows(run.top("import_history"), delta, job_label)
+    lap("counts staged")
+    history = stage(_history_rows(run.top("import_history"), delta, job_label, n_files), "history")
     if not dry_run:
         run.append("import_history", history)
     lap("history appended")
@@ -186,10 +188,12 @@ def _import_kinds(spark: SparkSession, store: LedgerStore, by_kind: dict[str, li
     if run_id is not None and store.committed(run_id):
         return {k.name: _replayed(store, run_id, k.table) for k in kinds}
     lap(None)
-    listed = {k.name: listed_files(spark, by_kind[k.name]) for k in kinds}
+    texts = {k.name: read_text(spark, by_kind[k.name]) for k in kinds}
+    listed = {k: text.inputFiles() for k, text in texts.items()}
     # one rank over the files of both kinds, so that one cut means the same for both
     files = run_files(spark, [u for uris in listed.values() for u in uris])
-    typed = {k.name: _typed_rows(spark, k, by_kind[k.name], files, run_date=run_date, encoding=encoding, multiline=multiline)
+    lap("files listed")
+    typed = {k.name: _typed_rows(spark, k, texts[k.name], files, run_date=run_date, encoding=encoding, multiline=multiline)
              for k in kinds}
     facts = {k.name: _run_facts(typed[k.name], policy) for k in kinds}
     lap("run facts")
@@ -200,7 +204,7 @@ def _import_kinds(spark: SparkSession, store: LedgerStore, by_kind: dict[str, li
         own = files
         if len(kinds) > 1:
             own = files.join(run_files(spark, listed[k.name]).select("src_path"), "src_path", "left_semi")
-        out[k.name] = _import_typed(store, run.under(k.name), k, typed[k.name], own, cut, facts[k.name][1],
+        out[k.name] = _import_typed(store, run.under(k.name), k, typed[k.name], own, len(listed[k.name]), cut, facts[k.name][1],
                                     job_label=job_label, dry_run=dry_run, policy=policy, collation=collation)
     if not dry_run and kinds:
         run.commit()

@@ -298,19 +298,6 @@ FROM (SELECT o_orderkey,
 
 
 ORACLE_SQL.update({
-    "import_files_e2e": """
-WITH t AS (
-  SELECT CAST(o_orderdate AS DATE) AS date, o_orderpriority || ' ' || o_orderstatus AS name,
-         CAST(floor(o_totalprice / 1000) * 1000 AS BIGINT) AS price, o_orderkey,
-         o_orderpriority AS p, strftime(o_orderdate, '%Y') AS yr
-  FROM orders),
-f AS (
-  SELECT *, row_number() OVER (PARTITION BY p, yr ORDER BY o_orderkey) AS row_idx,
-         count(*) OVER (PARTITION BY p, yr) + 1 AS n
-  FROM t),
-s AS (SELECT *, row_number() OVER (PARTITION BY date, name, price ORDER BY row_idx DESC) AS rn FROM f)
-SELECT date, name, price, CAST(n - row_idx AS INTEGER) AS yyyymm_id, CAST(o_orderkey AS VARCHAR) AS source_id
-FROM s WHERE rn = 1""",
     "stream_import": """
 SELECT DISTINCT CAST(ts AS DATE) AS date, event_type AS name, CAST(floor(value) AS BIGINT) AS price
 FROM events""",
@@ -387,7 +374,9 @@ _LEDGER_TEXT = """
 t AS (
   SELECT CAST(o_orderdate AS DATE) AS date, o_orderpriority || ' ' || o_orderstatus AS name,
          CAST(floor(o_totalprice / 1000) * 1000 AS BIGINT) AS price, o_orderkey,
-         substr(o_orderpriority, 1, 1) AS p, year(o_orderdate) AS yr
+         substr(o_orderpriority, 1, 1) AS p, year(o_orderdate) AS yr,
+         CAST((CAST(o_orderdate AS DATE) - DATE '1970-01-01') * 31 + floor(o_totalprice / 1000) AS BIGINT)
+           % (SELECT max(o_orderkey) // 1000000 + 1 FROM orders) AS b
   FROM orders)"""
 
 ORACLE_SQL.update({
@@ -400,13 +389,13 @@ SELECT date, CASE WHEN event_id % 3 = 0 THEN upper(name) || ' '
     "import_history_e2e": f"""
 WITH {_LEDGER_TEXT},
 files AS (
-  SELECT yr, count(*) AS parsed, count(DISTINCT (date, name, price)) AS added FROM t GROUP BY yr
-  UNION ALL SELECT 1990, 0, 0 UNION ALL SELECT 1991, 0, 0),
+  SELECT yr, b, count(*) AS parsed, count(DISTINCT (date, name, price)) AS added FROM t GROUP BY yr, b
+  UNION ALL SELECT 1990, 0, 0, 0 UNION ALL SELECT 1991, 0, 0, 0),
 runs AS (
-  SELECT 1 AS run, 'first' AS job_label, yr, parsed, added FROM files
-  UNION ALL SELECT 2, 'second', yr, parsed, 0 FROM files),
-seen AS (SELECT *, lag(parsed) OVER (ORDER BY run, yr) AS last FROM runs)
-SELECT row_number() OVER (ORDER BY run, yr) AS id, job_label, parsed AS parsed_entry_num,
+  SELECT 1 AS run, 'first' AS job_label, yr, b, parsed, added FROM files
+  UNION ALL SELECT 2, 'second', yr, b, parsed, 0 FROM files),
+seen AS (SELECT *, lag(parsed) OVER (ORDER BY run, yr, b) AS last FROM runs)
+SELECT row_number() OVER (ORDER BY run, yr, b) AS id, job_label, parsed AS parsed_entry_num,
        CAST(added AS BIGINT) AS new_entry_num, 'cf 1+2.csv' AS src_file
 FROM seen WHERE last IS NULL OR last <> parsed""",
     "import_duplicates_e2e": f"""
@@ -414,9 +403,9 @@ WITH {_LEDGER_TEXT}
 SELECT date, name, price, CAST(o_orderkey AS VARCHAR) AS source_id FROM t WHERE yr < 1996""",
     "import_rejects_e2e": f"""
 WITH {_LEDGER_TEXT},
-bad AS (SELECT DISTINCT p FROM t WHERE p IN ('2', '3', '5') AND o_orderkey % 500 = 0),
+bad AS (SELECT DISTINCT p, b FROM t WHERE p IN ('2', '3', '5') AND o_orderkey % 500 = 0),
 s AS (SELECT *, row_number() OVER (PARTITION BY date, name, price ORDER BY o_orderkey DESC) AS rn
-      FROM t WHERE p NOT IN (SELECT p FROM bad))
+      FROM t WHERE (p, b) NOT IN (SELECT p, b FROM bad))
 SELECT date, name, price, CAST(o_orderkey AS VARCHAR) AS source_id FROM s WHERE rn = 1""",
 })
 
@@ -434,3 +423,45 @@ SELECT date, name, price, CAST(max(o_orderkey) AS VARCHAR) AS source_id FROM s G
     "stream_drops_e2e": _STORED,
     "import_prefix_e2e": _STORED,
 })
+
+_ONE_RUN = f"""
+WITH {_LEDGER_TEXT},
+files AS (
+  SELECT format('{{}}-{{:06d}}_cf.csv', yr, b) AS src_file, count(*) AS parsed, count(DISTINCT (date, name, price)) AS added
+  FROM t GROUP BY yr, b)"""
+
+ORACLE_SQL.update({
+    "import_files_e2e": f"""
+WITH {_LEDGER_TEXT},
+f AS (SELECT *, row_number() OVER (PARTITION BY p, yr, b ORDER BY o_orderkey) AS row_idx,
+             count(*) OVER (PARTITION BY p, yr, b) + 1 AS n FROM t),
+s AS (SELECT *, row_number() OVER (PARTITION BY date, name, price ORDER BY row_idx DESC) AS rn FROM f)
+SELECT date, name, price, CAST(n - row_idx AS INTEGER) AS yyyymm_id, CAST(o_orderkey AS VARCHAR) AS source_id
+FROM s WHERE rn = 1""",
+    "import_split_e2e": f"""
+WITH {_LEDGER_TEXT},
+s AS (SELECT *, count(*) OVER (PARTITION BY b) - row_number() OVER (PARTITION BY b ORDER BY o_orderkey) + 1 AS yyyymm_id,
+             row_number() OVER (PARTITION BY date, name, price ORDER BY o_orderkey DESC) AS rn FROM t)
+SELECT date, 'say "' || name || '",' || chr(10) || chr(10) || '"twice"' AS name, price,
+       CAST(yyyymm_id AS INTEGER) AS yyyymm_id, CAST(o_orderkey AS VARCHAR) AS source_id
+FROM s WHERE rn = 1""",
+    "import_retry_e2e": f"""{_ONE_RUN}
+SELECT row_number() OVER (ORDER BY src_file) AS id, 'retry' AS job_label, src_file, parsed AS parsed_entry_num,
+       added AS new_entry_num, CAST(sum(added) OVER () AS BIGINT) AS stored_rows, CAST(sum(added) OVER () AS BIGINT) AS max_id
+FROM files""",
+    "stream_replay_e2e": f"""{_ONE_RUN},
+f AS (SELECT * FROM files UNION ALL SELECT '1991-000000_cf.csv', 0, 0)
+SELECT row_number() OVER (ORDER BY src_file) AS id, 'stream' AS job_label, src_file, parsed AS parsed_entry_num,
+       added AS new_entry_num, CAST(sum(added) OVER () AS BIGINT) AS stored_rows, CAST(sum(added) OVER () AS BIGINT) AS max_id
+FROM f""",
+    "import_stamps_e2e": f"""
+WITH {_LEDGER_TEXT}, s AS (SELECT DISTINCT date, name, price FROM t)
+SELECT count(*) AS stored_rows, count(*) AS created_rows, count(*) AS updated_rows, count(*) AS equal_rows,
+       CAST(2 AS BIGINT) AS run_stamps, CAST(1 AS BIGINT) AS first_stamps FROM s""",
+    "import_collated_e2e": f"""
+WITH {_LEDGER_TEXT},
+s AS (SELECT *, row_number() OVER (PARTITION BY date, name, price ORDER BY o_orderkey DESC) AS rn FROM t)
+SELECT CASE WHEN yr < 1996 THEN 'duplicate' ELSE 'inserted' END AS kind, date, lower(name) || ' ' AS name, price,
+       CAST(o_orderkey AS VARCHAR) AS source_id
+FROM s WHERE yr < 1996 OR rn = 1""",
+})

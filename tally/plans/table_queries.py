@@ -493,18 +493,28 @@ LEDGER_HEADER = ["計算対象", "日付", "内容", "金額（円）", "保有
 
 def _write_ledger_csv(df: DataFrame, path: str, parts: list[str], encoding: str = "UTF-8") -> None:
     """Ledger CSV files (every field quoted, with the header row), one per
-    value of ``parts``, rows in ``row_key`` order."""
+    value of ``parts`` and bucket ``b``, rows in ``row_key`` order."""
+    parts = [*parts, "b"]
     (df.repartition(*parts).sortWithinPartitions(*parts, "row_key")
      .select(*parts, *[F.col(c).alias(h) for c, h in zip(
          ["calc", "raw_date", "name", "raw_price", "fin_ins", "l_cat", "m_cat", "memo", "transfer", "sid"],
          LEDGER_HEADER)])
-     .write.option("header", "true").option("quoteAll", "true").option("encoding", encoding)
+     .write.option("header", "true").option("quoteAll", "true").option("escape", '"').option("encoding", encoding)
+     .option("ignoreTrailingWhiteSpace", "false")
      .partitionBy(*parts).csv(path))
 
 
+# Order keys for each bucket of the CSV files, so that files do not grow with
+# the table. Rows with equal dedup keys share a bucket.
+BUCKET_KEYS = 1_000_000
+
+
 def _orders_ledger_text(o: DataFrame) -> DataFrame:
     price = F.floor(F.col("o_totalprice") / 1000) * 1000
+    buckets = int(o.agg(F.max("o_orderkey")).first()[0]) // BUCKET_KEYS + 1
+    bucket = (F.unix_date(F.to_date("o_orderdate")) * 31 + F.floor(F.col("o_totalprice") / 1000)) % buckets
     return o.select(
+        F.format_string("%06d", bucket.cast("long")).alias("b"),
         F.col("o_orderpriority").alias("p"), F.date_format("o_orderdate", "yyyy").alias("yr"),
         F.col("o_orderkey").alias("row_key"), F.lit("1").alias("calc"),
         F.date_format("o_orderdate", "yyyy/MM/dd").alias("raw_date"),
@@ -539,6 +549,7 @@ def q_stream_import(spark, sf_dir):
     ev = _t(spark, sf_dir, "events")
     text = ev.select(
         F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("event_id").alias("row_key"),
+        F.floor(F.col("event_id") / BUCKET_KEYS).alias("b"),
         F.lit("1").alias("calc"), F.date_format("ts", "yyyy/MM/dd").alias("raw_date"),
         F.col("event_type").alias("name"),
         F.concat(F.lit("-"), F.format_number(F.floor("value"), 0)).alias("raw_price"),
@@ -728,15 +739,21 @@ def q_dedup_collated(spark, sf_dir):
 
 
 def _rename_files(spark, landing: str, name: str) -> None:
-    """The one CSV file of each folder below ``landing`` becomes ``name``,
-    with the folder's partition value for ``{}``."""
+    """The one CSV file of each partition folder below ``landing`` becomes
+    ``name``, with the folder's partition values for ``{}``."""
     from ..sources.store import _fs, list_dirs
     fs, _ = _fs(spark, landing)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    for d in list_dirs(spark, landing):
-        for st in fs.listStatus(path(f"{landing}/{d}")):
+
+    def visit(folder: str, values: list[str]) -> None:
+        for d in list_dirs(spark, folder):
+            if "=" in d:
+                visit(f"{folder}/{d}", [*values, d.split("=")[-1]])
+        for st in fs.listStatus(path(folder)):
             if st.getPath().getName().endswith(".csv"):
-                fs.rename(st.getPath(), path(f"{landing}/{d}/{name.format(d.split('=')[-1])}"))
+                fs.rename(st.getPath(), path(f"{folder}/{name.format('-'.join(values))}"))
+
+    visit(landing, [])
 
 
 def _write_bytes(spark, path: str, text: str) -> None:
@@ -748,7 +765,7 @@ def _write_bytes(spark, path: str, text: str) -> None:
 
 
 def q_import_history_e2e(spark, sf_dir):
-    """Run folders ``yr=<year>`` that all hold
+    """Run folders ``yr=<year>/b=<bucket>`` that all hold
     ``cf 1+2.csv`` (one from orders each, one with a header only, one empty),
     imported twice. History rows follow the files in order."""
     from ..session import staging_path
@@ -759,11 +776,11 @@ def q_import_history_e2e(spark, sf_dir):
     # sort key order inside a file does not matter for counts; years are the files
     _write_ledger_csv(text, landing, ["yr"])
     _rename_files(spark, landing, "cf 1+2.csv")
-    _write_bytes(spark, f"{landing}/yr=1990/cf 1+2.csv", ",".join(LEDGER_HEADER) + "\n")
-    _write_bytes(spark, f"{landing}/yr=1991/cf 1+2.csv", "")
+    _write_bytes(spark, f"{landing}/yr=1990/b=000000/cf 1+2.csv", ",".join(LEDGER_HEADER) + "\n")
+    _write_bytes(spark, f"{landing}/yr=1991/b=000000/cf 1+2.csv", "")
     store = LedgerStore(spark, staging_path(spark, "store"))
     for label in ("first", "second"):
-        import_ledger(spark, store, [f"{landing}/yr=*/*.csv"], job_label=label, run_date="2024-01-01")
+        import_ledger(spark, store, [f"{landing}/yr=*/b=*/*.csv"], job_label=label, run_date="2024-01-01")
     return store.read("import_history").select("id", "job_label", "parsed_entry_num", "new_entry_num", "src_file")
 
 
@@ -776,13 +793,13 @@ def q_import_duplicates_e2e(spark, sf_dir):
     landing = staging_path(spark, "overlap-csv")
     _write_ledger_csv(_orders_ledger_text(_t(spark, sf_dir, "orders")), landing, ["yr"])
     store = LedgerStore(spark, staging_path(spark, "store"))
-    import_ledger(spark, store, [f"{landing}/yr=199[0-5]/*.csv"], run_date="2024-01-01")
-    res = import_ledger(spark, store, [f"{landing}/*/*.csv"], run_date="2024-01-01")
+    import_ledger(spark, store, [f"{landing}/yr=199[0-5]/*/*.csv"], run_date="2024-01-01")
+    res = import_ledger(spark, store, [f"{landing}/*/*/*.csv"], run_date="2024-01-01")
     return res.duplicates.select("date", "name", "price", "source_id")
 
 
 def q_import_rejects_e2e(spark, sf_dir):
-    """S3, F2, M9: one ledger file per order priority, written as lines: 1 has
+    """S3, F2, M9: one ledger file per order priority and bucket, written as lines: 1 has
     its header in the middle, 2 a quote inside a bare field, 3 a record with a
     column too many, 4 nothing wrong, 5 a line of blanks. Bad files are held
     back whole."""
@@ -796,16 +813,16 @@ def q_import_rejects_e2e(spark, sf_dir):
     line = F.concat_ws(",", *quoted)
     odd = F.col("row_key") % 500 == 0
     broken = F.concat_ws(",", *quoted[:2], F.lit('a"b'), *quoted[3:])
-    text = t.select("p", "row_key", F.when(odd & (F.col("p") == "2"), broken)
+    text = t.select("p", "b", "row_key", F.when(odd & (F.col("p") == "2"), broken)
                     .when(odd & (F.col("p") == "3"), F.concat(line, F.lit(",x")))
                     .when(odd & (F.col("p") == "5"), F.lit("   ")).otherwise(line).alias("value"))
-    header = t.filter(F.col("p") == "1").groupBy("p").agg(F.max("row_key").alias("row_key")).select(
-        "p", (F.col("row_key") / 2).cast("long").alias("row_key"), F.lit(",".join(LEDGER_HEADER)).alias("value"))
+    header = t.filter(F.col("p") == "1").groupBy("p", "b").agg(F.max("row_key").alias("row_key")).select(
+        "p", "b", (F.col("row_key") / 2).cast("long").alias("row_key"), F.lit(",".join(LEDGER_HEADER)).alias("value"))
     landing = staging_path(spark, "rejects-csv")
-    (text.unionByName(header).repartition("p").sortWithinPartitions("p", "row_key").select("p", "value")
-     .write.partitionBy("p").text(landing))
+    (text.unionByName(header).repartition("p", "b").sortWithinPartitions("p", "b", "row_key").select("p", "b", "value")
+     .write.partitionBy("p", "b").text(landing))
     store = LedgerStore(spark, staging_path(spark, "store"))
-    res = import_ledger(spark, store, [f"{landing}/*/*.txt"], run_date="2024-01-01", policy="quarantine")
+    res = import_ledger(spark, store, [f"{landing}/*/*/*.txt"], run_date="2024-01-01", policy="quarantine")
     return res.inserted.select("date", "name", "price", "source_id")
 
 
@@ -828,7 +845,7 @@ def q_import_sjis_e2e(spark, sf_dir):
     landing = staging_path(spark, "sjis-csv")
     _write_ledger_csv(text, landing, ["yr"], "Shift_JIS")
     store = LedgerStore(spark, staging_path(spark, "store"))
-    res = import_ledger(spark, store, [f"{landing}/*/*.csv"], run_date="2024-01-01", encoding="sjis")
+    res = import_ledger(spark, store, [f"{landing}/*/*/*.csv"], run_date="2024-01-01", encoding="sjis")
     return res.inserted.select("date", "name", "price", "source_id")
 
 
@@ -880,3 +897,123 @@ QUERIES.update({
     "stream_drops_e2e": q_stream_drops_e2e,
     "import_prefix_e2e": q_import_prefix_e2e,
 })
+
+
+def q_import_split_e2e(spark, sf_dir):
+    """Ledger files (one per bucket) with quoted newlines, quotes
+    and commas in every record, read in splits of 64 KB."""
+    from ..session import staging_path
+    from ..sources.store import LedgerStore
+    from .importer import import_ledger
+    text = _orders_ledger_text(_t(spark, sf_dir, "orders"))
+    text = text.withColumn("name", F.concat(F.lit('say "'), F.col("name"), F.lit('",\n\n"twice"'))) \
+        .withColumn("memo", F.when(F.col("row_key") % 3 == 0, F.lit("a\n\n,b\n")).otherwise(F.lit('"')))
+    landing = staging_path(spark, "split-csv")
+    _write_ledger_csv(text, landing, [])
+    store, size = LedgerStore(spark, staging_path(spark, "store")), "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "64k")
+    try:
+        res = import_ledger(spark, store, [f"{landing}/*/*.csv"], run_date="2024-01-01")
+    finally:
+        spark.conf.set(size, before)
+    return res.inserted.select("date", "name", "price", "yyyymm_id", "source_id")
+
+
+def q_import_retry_e2e(spark, sf_dir):
+    """A run died after its detail rows (twice as many as
+    there are files for) and before its history; its retry, and one more under
+    the same id, leave what one clean run leaves."""
+    from ..session import staging_path
+    from ..sources.store import LedgerStore
+    from .importer import import_ledger
+    landing = staging_path(spark, "retry-csv")
+    _write_ledger_csv(_orders_ledger_text(_t(spark, sf_dir, "orders")), landing, ["yr"])
+    _rename_files(spark, landing, "{}_cf.csv")
+    store = LedgerStore(spark, staging_path(spark, "store"))
+    events = _events_detail(spark, sf_dir)
+    dead = store.begin("drop-7").under("ledger")
+    dead.append("detail", events.unionByName(events))  # never committed
+    for _ in range(2):
+        import_ledger(spark, store, [f"{landing}/*/*/*.csv"], run_id="drop-7", job_label="retry", run_date="2024-01-01")
+    facts = store.read("detail").agg(F.count(F.lit(1)).alias("stored_rows"), F.max("id").alias("max_id"))
+    return store.read("import_history").select("id", "job_label", "src_file", "parsed_entry_num", "new_entry_num") \
+        .crossJoin(F.broadcast(facts))  # one row
+
+
+def _forget_last_epoch(spark, checkpoint: str) -> None:
+    """Leave a stream's checkpoint as if it had died before its last epoch's
+    commit: the epoch is run again."""
+    from ..sources.store import _fs
+    fs, p = _fs(spark, f"{checkpoint}/commits")
+    epochs = [st.getPath().getName() for st in fs.listStatus(p)]
+    last = max(int(e) for e in epochs if e.isdigit())
+    fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits/{last}"), False)
+
+
+def q_stream_replay_e2e(spark, sf_dir):
+    """ST1: ledger files by year, and one without a byte, in one micro-batch
+    that Spark runs a second time. Rows and history are those of one run."""
+    from ..session import staging_path
+    from ..sources.store import LedgerStore
+    from ..streaming.jobs import stream_import
+    landing, checkpoint = staging_path(spark, "replay-csv"), staging_path(spark, "stream-ckpt")
+    _write_ledger_csv(_orders_ledger_text(_t(spark, sf_dir, "orders")), landing, ["yr"])
+    _rename_files(spark, landing, "{}_cf.csv")
+    _write_bytes(spark, f"{landing}/yr=1991/b=000000/1991-000000_cf.csv", "")
+    store = LedgerStore(spark, staging_path(spark, "store"))
+    for turn in range(2):
+        if turn:
+            _forget_last_epoch(spark, checkpoint)
+        stream_import(spark, store, landing, checkpoint, job_label="stream", run_date="2024-01-01").awaitTermination()
+    facts = store.read("detail").agg(F.count(F.lit(1)).alias("stored_rows"), F.max("id").alias("max_id"))
+    return store.read("import_history").select("id", "job_label", "src_file", "parsed_entry_num", "new_entry_num") \
+        .crossJoin(F.broadcast(facts))  # one row
+
+
+def q_import_stamps_e2e(spark, sf_dir):
+    """K6: audit stamps of two imports: each appended row has both, equal to
+    each other, and the rows of one run share them."""
+    from ..session import staging_path
+    from ..sources.store import LedgerStore
+    from .importer import import_ledger
+    landing = staging_path(spark, "stamps-csv")
+    _write_ledger_csv(_orders_ledger_text(_t(spark, sf_dir, "orders")), landing, ["yr"])
+    store = LedgerStore(spark, staging_path(spark, "store"))
+    import_ledger(spark, store, [f"{landing}/yr=199[0-5]/*/*.csv"], run_date="2024-01-01")
+    import_ledger(spark, store, [f"{landing}/*/*/*.csv"], run_date="2024-01-01")
+    own = store.read("detail")
+    return own.agg(F.count(F.lit(1)).alias("stored_rows"), F.count("created_at").alias("created_rows"),
+                   F.count("updated_at").alias("updated_rows"),
+                   F.count(F.when(F.col("created_at") == F.col("updated_at"), 1)).alias("equal_rows"),
+                   F.count_distinct("created_at").alias("run_stamps"),
+                   F.count_distinct(F.when(F.year("date") < 1996, F.col("created_at"))).alias("first_stamps"))
+
+
+def q_import_collated_e2e(spark, sf_dir):
+    """J1, J3 under a collation: orders before 1996 are stored, then all are
+    imported with names in small letters and a blank behind; rows whose key
+    differs only so are duplicates."""
+    from ..session import staging_path
+    from ..sources.store import LedgerStore
+    from .importer import import_ledger
+    text = _orders_ledger_text(_t(spark, sf_dir, "orders"))
+    stored, again = staging_path(spark, "collated-csv"), staging_path(spark, "collated-csv")
+    _write_ledger_csv(text.filter(F.col("yr") < "1996"), stored, ["yr"])
+    _write_ledger_csv(text.withColumn("name", F.concat(F.lower("name"), F.lit(" "))), again, ["yr"])
+    store = LedgerStore(spark, staging_path(spark, "store"))
+    import_ledger(spark, store, [f"{stored}/*/*/*.csv"], run_date="2024-01-01")
+    res = import_ledger(spark, store, [f"{again}/*/*/*.csv"], run_date="2024-01-01", collation="UNICODE_CI_AI_RTRIM")
+    both = res.duplicates.select(F.lit("duplicate").alias("kind"), "date", F.col("name").cast("string").alias("name"),
+                                 "price", "source_id")
+    return both.unionByName(res.inserted.select(F.lit("inserted").alias("kind"), "date",
+                                                F.col("name").cast("string").alias("name"), "price", "source_id"))
+
+
+QUERIES.update({
+    "import_split_e2e": q_import_split_e2e,
+    "import_retry_e2e": q_import_retry_e2e,
+    "stream_replay_e2e": q_stream_replay_e2e,
+    "import_stamps_e2e": q_import_stamps_e2e,
+    "import_collated_e2e": q_import_collated_e2e,
+})

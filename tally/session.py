@@ -74,13 +74,18 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "staging", f"{name}-{uuid.uuid4().hex}")
 
 
+# Task output goes straight to its place: such a folder is read only after the
+# whole write has ended, so nobody can see part of it.
+DIRECT_COMMIT = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+
+
 def stage(df, name: str = "stage"):
     """Write ``df`` once as parquet under the shared checkpoint folder and
     read it back: lineage is cut, a lost executor re-reads the files instead
     of recomputing, and later reads prune columns."""
     spark = df.sparkSession
     path = staging_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**DIRECT_COMMIT).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

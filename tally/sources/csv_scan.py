@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from ..functions.parse import basename
 from ..schemas import ASSET_CSV, CORRUPT, LEDGER_CSV
-from ..session import stage
+from ..session import lap, stage
 
 # Accepted charset names (fixed values): case-insensitive.
 ENCODINGS = {"utf8": "UTF-8", "sjis": "Shift_JIS"}
@@ -90,11 +90,6 @@ def read_text(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     return spark.read.option("lineSep", "\n").text([paths] if isinstance(paths, str) else list(paths))
 
 
-def listed_files(spark: SparkSession, paths: list[str] | str) -> list[str]:
-    """URIs of all files of a drop, those without a record too."""
-    return read_text(spark, paths).inputFiles()
-
-
 # A field: quoted, up to its closing quote or (open) the end of the line, or
 # bare. A line that begins outside quotes is fields between commas; one that
 # begins inside goes on to the closing quote first. Parity of the quotes is
@@ -183,17 +178,20 @@ def records(lines: DataFrame, splits: DataFrame, n_splits: int, spans: bool) ->
     return alone.unionByName(whole)
 
 
-def scan_positioned(spark: SparkSession, paths: list[str] | str, schema, encoding: str = "utf8",
+def scan_positioned(spark: SparkSession, paths: list[str] | str | DataFrame, schema, encoding: str = "utf8",
                     multiline: bool = True, files: DataFrame | None = None) -> DataFrame:
     """Fields as strings, ``_corrupt`` and the positions. The lines are written
     once (shared checkpoint folder), so a lost executor reads the same stamps
-    again. ``files`` may rank the files among others of the run."""
+    again. ``paths`` may be a ``read_text`` frame, already listed; ``files``
+    may rank the files among others of the run."""
     charset = resolve_encoding(encoding)
     require_charset(spark, charset)
-    text = read_text(spark, paths)
+    text = paths if isinstance(paths, DataFrame) else read_text(spark, paths)
     files = run_files(spark, text.inputFiles()) if files is None else files  # already listed for planning
     lines = stage(stamped_lines(text, charset), "lines")
+    lap("lines staged")
     splits = stage(split_table(lines, files, multiline), "splits")
+    lap("splits staged")
     n_splits, odd = splits.agg(F.count(F.lit(1)), F.max("_n_odd")).first()
     rows = records(lines, splits, n_splits, bool(odd))
     options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..session import DIRECT_COMMIT
 
 TABLES = {
     "detail": (schemas.DETAIL, ["ym"]),
@@ -112,7 +113,7 @@ class Run:
             out = out.repartitionByRange(*[F.col(p) for p in parts], F.col("id"))
         facts = Observation()
         out = out.observe(facts, F.count(F.lit(1)).alias("rows"), F.max(TOP_COLUMN.get(name, "id")).alias("top"))
-        w = out.write.mode("overwrite")  # what a dead run of this id left goes
+        w = out.write.mode("overwrite").options(**DIRECT_COMMIT)  # what a dead run of this id left goes
         if parts:
             w = w.partitionBy(*parts)
         w.parquet(f"{self.store.path(name)}/run={self.run_id}~{self.part}")

@@ -45,3 +45,47 @@ def test_mixed_drop_stream_routes_by_name(spark, workdir):
     write(f"{landing}/run=2/cf.csv", ",2024/07/19,A,-1,i,l,m,,,\n,2024/07/20,B,-2,i,l,m,,,\n")
     stream_drops(spark, store, landing, ckpt, job_label="d").awaitTermination()
     assert sorted(r.name for r in store.read("detail").collect()) == ["A", "B"]
+
+
+def test_files_without_a_byte_have_history_in_a_stream(spark, workdir):
+    store = LedgerStore(spark, f"{workdir}/store")
+    landing, ckpt = f"{workdir}/landing", f"{workdir}/ckpt"
+    write(f"{landing}/run=1/a b_cf.csv", "")
+    write(f"{landing}/run=1/c_cf.csv", ",2024/07/19,A,-1,i,l,m,,,\n")
+    for k in range(2, 14):  # past a compaction of the file log
+        stream_import(spark, store, landing, ckpt, job_label="s").awaitTermination()
+        write(f"{landing}/run={k}/d{k:02d}_cf.csv", "")
+    stream_import(spark, store, landing, ckpt, job_label="s").awaitTermination()
+    got = [(r.id, r.src_file, r.parsed_entry_num) for r in store.read("import_history").orderBy("id").collect()]
+    assert got == [(1, "a b_cf.csv", 0), (2, "c_cf.csv", 1)] + [(k + 1, f"d{k:02d}_cf.csv", 0) for k in range(2, 14)]
+
+
+def test_a_replayed_epoch_changes_nothing(spark, workdir):
+    from tally.plans.table_queries import _forget_last_epoch
+    store = LedgerStore(spark, f"{workdir}/store")
+    landing, ckpt = f"{workdir}/landing", f"{workdir}/ckpt"
+    write(f"{landing}/run=1/cf.csv", ",2024/07/19,A,-1,i,l,m,,,\n")
+    stream_import(spark, store, landing, ckpt, job_label="s").awaitTermination()
+    write(f"{landing}/run=2/cf.csv", ",2024/07/19,A,-1,i,l,m,,,\n,2024/07/20,B,-1,i,l,m,,,\n")
+    stream_import(spark, store, landing, ckpt, job_label="s").awaitTermination()
+    before = [sorted(map(str, store.read(t).collect())) for t in ("detail", "import_history")], len(store._markers())
+    _forget_last_epoch(spark, ckpt)
+    stream_import(spark, store, landing, ckpt, job_label="s").awaitTermination()
+    assert ([sorted(map(str, store.read(t).collect())) for t in ("detail", "import_history")], len(store._markers())) == before
+    assert before[1] == 2
+
+
+def test_an_aborted_epoch_is_tried_again(spark, workdir):
+    import pytest
+    store = LedgerStore(spark, f"{workdir}/store")
+    landing, ckpt = f"{workdir}/landing", f"{workdir}/ckpt"
+    write(f"{landing}/run=1/a_cf.csv", ",2024/07/19,A,-1,i,l,m,,,\n")
+    bad = write(f"{landing}/run=1/b_cf.csv", ",2024/07/32,X,-1,i,l,m,,,\n")
+    write(f"{landing}/run=1/c_cf.csv", ",2024/07/21,C,-1,i,l,m,,,\n")
+    with pytest.raises(Exception, match="invalid rows"):
+        stream_import(spark, store, landing, ckpt).awaitTermination()
+    assert [r.name for r in store.read("detail").collect()] == ["A"]
+    write(bad, ",2024/07/20,B,-1,i,l,m,,,\n")  # mended in place
+    stream_import(spark, store, landing, ckpt).awaitTermination()
+    rows = store.read("detail").orderBy("id").collect()
+    assert [(r.id, r.name) for r in rows] == [(1, "A"), (2, "B"), (3, "C")]
