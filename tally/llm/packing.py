@@ -2,7 +2,8 @@
 
 1. Documents become token ids and an end id; longer ones than a sequence are
    cut into full pieces and a last one. Ids depend only on the text between
-   white space, so each worker keeps the ids of words it has met.
+   white space, so each worker keeps the ids of words it has met, and looks
+   up each distinct word of some megabytes of text once.
 2. Pieces are dealt by hash to partitions of about ``PART_ITEMS`` rows. Each
    packs its own by best-fit decreasing and proves a lower bound for its bins
    by dual feasible functions. A partition whose bins equal its bound is
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,57 +35,92 @@ from .common import Scratch, ship_code
 
 #: Rows that one partition packs, about.
 PART_ITEMS = 20_000
-#: Words whose ids a worker keeps; words met later are kept for a batch only.
-CACHE_WORDS = 800_000
+#: Words whose ids one generation of a worker's memo holds, about.
+MEMO_WORDS = 400_000
 #: Bytes of a text that are split into words at a time.
 BLOCK = 1 << 20
+#: Bytes of texts whose words are looked up together.
+CALL = 8 * BLOCK
 END_ID = 1
 
 
-class WordIds(dict):
-    """Words (UTF-8) to their token ids (little-endian 32-bit)."""
+class WordIds:
+    """Token ids of words, in two generations of a memo: words of the older
+    one are taken over when they are met again, the others go."""
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
-        self.tokenizer, self.rare = Tokenizer.from_file(path), {}
-
-    def learn(self, words: set[bytes]) -> None:
-        """Encode the words not yet known, joined by blanks, in one call."""
-        self.rare = {}
-        new = list(words.difference(self))
-        if not new:
-            return
-        texts = [w.decode() for w in new]
-        found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-        begins = np.cumsum([0] + [len(t) + 1 for t in texts])
-        at = np.searchsorted(begins, np.array([x for x, _ in found.offsets], dtype=np.int64), side="right") - 1
-        ids, cuts = np.array(found.ids, dtype="<u4"), np.searchsorted(at, np.arange(len(new) + 1))
-        data = ids.tobytes()
-        known = {w: data[4 * a:4 * b] for w, a, b in zip(new, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)}
-        if len(self) + len(known) <= CACHE_WORDS:
-            self.update(known)
-        else:
-            self.rare = known
-
-    def __missing__(self, word: bytes) -> bytes:
-        return self.rare[word]
+        self.tokenizer, self.memo, self.old = Tokenizer.from_file(path), {"": b""}, {}
+
+    def learn(self, words: list[str]) -> list[bytes]:
+        """Ids (little-endian 32-bit) of distinct words; those not yet known
+        are encoded joined by blanks, in one call."""
+        if len(self.memo) > MEMO_WORDS:
+            self.memo, self.old = {"": b""}, self.memo
+        found = list(map(self.memo.get, words))
+        new = []
+        for i, ids in enumerate(found):
+            if ids is None:
+                known = self.old.get(words[i])
+                if known is None:
+                    new.append(i)
+                else:
+                    found[i] = self.memo[words[i]] = known
+        if new:
+            texts = [words[i] for i in new]
+            coded = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            begins = np.cumsum([0] + [len(t) + 1 for t in texts])
+            at = np.searchsorted(begins, np.array([x for x, _ in coded.offsets], dtype=np.int64), side="right") - 1
+            cuts = (4 * np.searchsorted(at, np.arange(len(new) + 1))).tolist()
+            data = np.array(coded.ids, dtype="<u4").tobytes()
+            for i, word, lo, hi in zip(new, texts, cuts[:-1], cuts[1:], strict=True):
+                found[i] = self.memo[word] = data[lo:hi]
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one behind the other, and where each begins. Each
+        distinct word is looked up once; ids are gathered by its places."""
+        words = pc.ascii_split_whitespace(texts)
+        coded = words.flatten().dictionary_encode()
+        own = self.learn(coded.dictionary.to_pylist())
+        table = np.frombuffer(b"".join(own), "<u4")
+        size = np.array([len(i) // 4 for i in own], dtype=np.int64)
+        begin = np.concatenate([[0], np.cumsum(size)])
+        word = coded.indices.to_numpy(zero_copy_only=False)
+        count = size[word] if len(word) else np.zeros(0, np.int64)
+        ends = np.concatenate([[0], np.cumsum(count)])
+        ids = table[np.repeat(begin[word] - ends[:-1], count) + np.arange(ends[-1])] if ends[-1] else table[:0]
+        rows = np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))])
+        return ids, ends[rows]
 
 
 _IDS: dict[str, WordIds] = {}
 
+_BLANKS = (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")
+
 
 def blocks(data: bytes) -> Iterator[bytes]:
     """Pieces of ``data`` of about BLOCK bytes, cut at ASCII white space."""
-    while len(data) > BLOCK:
-        head = data[:BLOCK]
-        cut = max(head.rfind(c) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+    at = 0
+    while len(data) - at > BLOCK:
+        cut = max(data.rfind(c, at, at + BLOCK) for c in _BLANKS)
         if cut < 0:  # a longer word: up to its end
-            ends = [e for e in (data.find(c, BLOCK) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) if e >= 0]
-            cut = min(ends, default=len(data))
-        yield data[:cut]
-        data = data[cut + 1:]
-    yield data
+            cut = min((e for e in (data.find(c, at + BLOCK) for c in _BLANKS) if e >= 0), default=len(data))
+        yield data[at:cut]
+        at = cut + 1
+    yield data[at:]
+
+
+def _calls(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of rows of at most CALL bytes, or one row."""
+    lo = held = 0
+    for i, size in enumerate(sizes):
+        if i > lo and held + size > CALL:
+            yield lo, i
+            lo, held = i, 0
+        held += size
+    if lo < len(sizes):
+        yield lo, len(sizes)
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, id_col: str = "doc_id",
@@ -94,39 +131,30 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, id_
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = f"id {rows.schema['id'].dataType.simpleString()}, piece int, start long, length int, ids_crc32 long"
     schema += ", ids binary" if with_ids else ""
-    width, end = 4 * capacity, END_ID.to_bytes(4, "little")
+    end = END_ID.to_bytes(4, "little")
+
+    def coded(words: WordIds, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text."""
+        if len(texts) > 1 or len(texts[0].as_buffer()) <= CALL:
+            ids, begins = words.encode(texts)
+            data, cuts = ids.tobytes(), (4 * begins).tolist()
+            yield from (data[lo:hi] for lo, hi in zip(cuts[:-1], cuts[1:], strict=True))
+        else:
+            yield b"".join(words.encode(pa.array([b], pa.binary()).cast(pa.string()))[0].tobytes()
+                           for b in blocks(texts[0].as_buffer().to_pybytes()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _IDS.get(tokenizer_path) or _IDS.setdefault(tokenizer_path, WordIds(tokenizer_path))
         for batch in batches:
-            for lo in range(0, len(batch), 500):
-                part = batch.slice(lo, 500)
+            column = pc.fill_null(batch.column("text").cast(pa.string()), "")
+            for lo, hi in _calls(pc.binary_length(column).to_pylist()):
                 index, out = [], []
-                texts = [(t or "").encode() for t in part.column(1).to_pylist()]
-                ready = None  # the words of all texts, unless they are too many to hold
-                if sum(map(len, texts)) <= 8 * BLOCK:
-                    ready = [t.split() for t in texts]
-                    words.learn(set().union(*ready))
-                for i, text in enumerate(texts):
-                    rest, piece = b"", 0
-                    for own in [ready[i]] if ready else map(bytes.split, blocks(text)):
-                        if not ready:
-                            words.learn(set(own))
-                        rest += b"".join(map(words.__getitem__, own))
-                        full = len(rest) // width * width
-                        if full == len(rest):
-                            full = max(0, full - width)  # the end id may still follow
-                        for at in range(0, full, width):
-                            out.append((piece, rest[at:at + width]))
-                            index.append(i)
-                            piece += 1
-                        rest = rest[full:]
-                    rest += end
-                    for at in range(0, len(rest), width):
-                        out.append((piece, rest[at:at + width]))
+                for i, ids in enumerate(coded(words, column.slice(lo, hi - lo)), lo):
+                    ids += end
+                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                         index.append(i)
-                        piece += 1
-                data = [part.column(0).take(pa.array(index, pa.int64())), pa.array([p for p, _ in out], pa.int32()),
+                        out.append((piece, ids[at:at + 4 * capacity]))
+                data = [batch.column("id").take(pa.array(index, pa.int64())), pa.array([p for p, _ in out], pa.int32()),
                         pa.array([p * capacity for p, _ in out], pa.int64()),
                         pa.array([len(b) // 4 for _, b in out], pa.int32()),
                         pa.array([zlib.crc32(b) for _, b in out], pa.int64())]

@@ -3,6 +3,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -58,12 +59,27 @@ def test_blocks_and_small_cache(monkeypatch):
     monkeypatch.setattr(packing, "BLOCK", 16)
     text = "one two\tthree " + "y" * 40 + "\nfour" + " " * 30 + "z"
     assert [w for b in packing.blocks(text.encode()) for w in b.split()] == text.encode().split()
-    monkeypatch.setattr(packing, "CACHE_WORDS", 2)
+    monkeypatch.setattr(packing, "MEMO_WORDS", 2)
     tok, words = Tokenizer.from_file(PATH), packing.WordIds(PATH)
-    for ws in (["a", "b"], ["c", " "], ["a", "d", *WORDS]):
-        words.learn({w.encode() for w in ws})
-        for w in ws:
-            assert words[w.encode()] == np.array(tok.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    plain = lambda w: np.array(tok.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    for ws in (["a", "b"], ["c", "\u3000"], ["", "a", "d", *WORDS], ["b", "a"], ["c"], ["d", "e"], ["a"]):
+        assert words.learn(ws) == [plain(w) for w in ws]
+    assert len(words.memo) < 5 and len(words.old) < 5 + len(WORDS)
+
+
+def test_texts_together_and_in_blocks(spark, monkeypatch):
+    tok = Tokenizer.from_file(PATH)
+    texts = ["", "  a  b\n", None, "x" * 50, "Ünï cödé " * 9, "\t", "one two three four five " * 8, "a\u3000b\xa0c"]
+    plain = lambda t: np.array(tok.encode(t or "", add_special_tokens=False).ids + [1], dtype="<u4").tobytes()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(1)
+    for call, block in ((8 << 20, 1 << 20), (20, 16)):  # each worker reads the module anew: set before it starts
+        monkeypatch.setattr(packing, "CALL", call)
+        monkeypatch.setattr(packing, "BLOCK", block)
+        words = packing.WordIds(PATH)
+        whole, begins = words.encode(pa.array([t or "" for t in texts]))
+        assert [whole[a:b].tobytes() + b"\1\0\0\0" for a, b in zip(begins[:-1], begins[1:], strict=True)] == [plain(t) for t in texts]
+    got = {r.id: r.ids for r in packing.token_pieces(df, PATH, 4096, with_ids=True).collect()}
+    assert got == {i: plain(t) for i, t in enumerate(texts)}
 
 
 def optimum(sizes, cap):
