@@ -23,26 +23,55 @@ from .dedup import latest_by
 CHECK, FORWARD, RESET = "check", "forward", "reset"
 
 
-def current_status(events: DataFrame) -> DataFrame:
-    """Latest event per detail id -> (detail_id, maw_check_date, maw_regist_date, op)."""
-    stamp = ["written_at"] if "written_at" in events.columns else []
-    last = latest_by(events, ["detail_id"], "seq", ["op", "at", *stamp])
+def _dates(last: DataFrame) -> DataFrame:
+    """(detail_id, op, maw_check_date, maw_regist_date) of latest events."""
+    stamp = ["written_at"] if "written_at" in last.columns else []
     return last.select(
         "detail_id", "op",
         F.when(F.col("op").isin(CHECK, FORWARD), F.col("at")).alias("maw_check_date"),
         F.when(F.col("op") == FORWARD, F.col("at")).alias("maw_regist_date"), *stamp)
 
 
-def with_status(detail: DataFrame, events: DataFrame) -> DataFrame:
-    """Detail rows with their two status dates (NULL when never judged);
-    ``updated_at`` (K6) is the time of the last event, if there is one."""
-    st = current_status(events).drop("op")
+def latest_events(events: DataFrame) -> DataFrame:
+    stamp = ["written_at"] if "written_at" in events.columns else []
+    return latest_by(events, ["detail_id"], "seq", ["op", "at", "seq", *stamp])
+
+
+def current_status(events: DataFrame) -> DataFrame:
+    """Latest event per detail id -> (detail_id, maw_check_date, maw_regist_date, op)."""
+    return _dates(latest_events(events))
+
+
+# Largest counted tail whose ids are broadcast to the base (8 bytes each).
+MAX_BROADCAST_TAIL = 1_000_000
+
+
+def merged_state(base: DataFrame, tail: DataFrame, n_tail: int) -> DataFrame:
+    """Latest event per id from a base (one row per id) and the events after
+    it. The tail alone is aggregated; base rows it replaces are dropped by an
+    anti join, without a shuffle of the base while the tail is small."""
+    last = latest_events(tail)
+    ids = last.select("detail_id")
+    ids = F.broadcast(ids) if n_tail <= MAX_BROADCAST_TAIL else ids
+    return base.join(ids, "detail_id", "left_anti").unionByName(last)
+
+
+def with_state(detail: DataFrame, state: DataFrame) -> DataFrame:
+    """Detail rows with their two status dates (NULL when never judged),
+    from one event per id; ``updated_at`` (K6) is the time of the last event,
+    if there is one."""
+    st = _dates(state).drop("op")
     out = detail.join(st, detail["id"] == st["detail_id"], "left").drop("detail_id")
     if "written_at" in st.columns and "updated_at" in out.columns:
         out = out.withColumn("updated_at", F.coalesce("written_at", "updated_at"))
     return out.drop("written_at")
 
 
+def with_status(detail: DataFrame, events: DataFrame) -> DataFrame:
+    """``with_state`` from any number of events per id."""
+    return with_state(detail, latest_events(events))
+
+
 def pending(detail: DataFrame, events: DataFrame) -> DataFrame:
     """Rows not yet judged (no event, or the latest event is a reset).
     Only the ids of judged rows cross the shuffle."""

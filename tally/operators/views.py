@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,6 +73,52 @@ def _newest(detail: DataFrame, need: int) -> DataFrame:
     return cand if cand.count() >= need else detail
 
 
+def mark_range(marks: list, limit: int, offset: int) -> tuple[int, int, int] | None:
+    """(id above which, id up to which, rows to skip) of a page of the newest
+    rows, from marks [id, rows up to it]. Between two marks without holes the
+    ids follow from arithmetic; otherwise the range goes from mark to mark.
+    None if the page is empty."""
+    total = marks[-1][1] if marks else 0
+    last, first = total - offset, max(total - offset - limit, 0)  # ranks from below: first < rank <= last
+    if last <= 0 or limit <= 0:
+        return None
+
+    def around(rank: int) -> tuple[list, list]:
+        i = bisect.bisect_left(marks, rank, key=lambda m: m[1])
+        return marks[i - 1] if i else [None, 0], marks[i]
+
+    below, above = around(last)
+    dense = below[0] is not None and above[0] - below[0] == above[1] - below[1]
+    upto, skip = (above[0] - (above[1] - last), 0) if dense else (above[0], above[1] - last)
+    if first == 0:
+        return (marks[0][0] - marks[0][1], upto, skip) if marks[0][1] == 0 else (-(1 << 62), upto, skip)
+    below, above = around(first)
+    dense = below[0] is not None and above[0] - below[0] == above[1] - below[1]
+    if dense or above[1] == first:
+        return above[0] - (above[1] - first), upto, skip
+    return below[0] if below[0] is not None else -(1 << 62), upto, skip
+
+
+def stored_page(store, limit: int = DEFAULT_PAGE_SIZE, offset: int = 0) -> DataFrame:
+    """T1 + F9 over a store: a page at any depth reads one id range of
+    ``detail``, and of the status base, found from the marks in the newest
+    commit; nothing is counted and no maximum is looked up. With no marks (ids
+    that do not ascend from run to run) it is ``detail_page``."""
+    from .status import with_state
+    if limit < 0 or offset < 0:
+        raise ValueError("limit and offset must be >= 0")
+    marks, detail = store.marks("detail"), store.read("detail")
+    if marks is None:
+        return detail_page(detail, store.status(), limit, offset)
+    found = mark_range(marks, limit, offset)
+    if found is None:
+        return detail_view(with_state(detail.limit(0), store.status().limit(0)))
+    above, upto, skip = found
+    rows = page(detail.filter((F.col("id") > above) & (F.col("id") <= upto)), limit, skip)
+    state = store.status().filter((F.col("detail_id") > above) & (F.col("detail_id") <= upto))
+    return detail_view(with_state(F.broadcast(rows), state)).orderBy(F.col("id").desc())
+
+
 def page_offset(page_no: int, per_page: int, total_pages: int | None = None) -> int:
     """Page p (1-based, clamped to [1, total_pages]) -> offset (p-1)*per_page."""
     if total_pages is not None:

@@ -37,6 +37,10 @@ class ClassifyResult:
     seq: int
 
 
+# Status events after the base that make a classification write the next base.
+COMPACT_EVENTS = 1_000_000
+
+
 def next_batch(store: LedgerStore) -> int:
     """Next batch number: above every status event and every recorded
     classification batch (a batch that judged nothing writes no event but
@@ -120,6 +124,7 @@ def classify_pending(spark: SparkSession, store: LedgerStore, *, run_date=None,
         F.lit(snap_max if snap_max is not None else hwm).cast("long").alias("hwm"),
         "judged", "forwarded", F.lit(at).cast("date").alias("at")))
     lap("mark appended")
+    store.compact_status(least_tail=COMPACT_EVENTS)
     return ClassifyResult(classified, out, ev, seq)
 
 

@@ -26,11 +26,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dedup, validate
-from ..operators.ordinal import small_ordinal
+from ..operators import dedup, key_index, validate
+from ..operators.ordinal import global_ordinal, small_ordinal
 from ..session import lap, stage
 from ..sources.csv_scan import read_text, run_files, scan_asset_csv, scan_ledger_csv
-from ..sources.store import LedgerStore, Run
+from ..sources.store import LedgerStore, Run, month_key
 
 
 class ImportAborted(RuntimeError):
@@ -144,9 +144,36 @@ def _typed_rows(spark: SparkSession, kind: Kind, paths, files: DataFrame, *, run
     return out
 
 
+def _by_index(store: LedgerStore, kind: Kind, rows: DataFrame, known: DataFrame, dry_run: bool,
+              bound: int) -> tuple[DataFrame, DataFrame]:
+    """J1 / J3 for a drop with more keys than are broadcast: the key index
+    tells which may be stored, and only these are looked up exactly, in their
+    months. Stored rows that cannot match are dropped in the scan; none is
+    read where no key may be stored."""
+    key = kind.key
+    keys = rows.select(*key, month_key(F.col("date")).alias("ym"))
+    maybe = stage(key_index.possible_hits(keys, store.key_index(kind.table), key), "maybe")
+    facts = maybe.groupBy("ym").agg(F.count(F.lit(1)), F.sum(F.octet_length("name"))).collect()  # a row for each month
+    n, size = sum(r[1] for r in facts), sum(r[2] for r in facts)
+    lap("index probed")
+    if not n:
+        hits = maybe.select(*key)
+    else:
+        own = known.filter(F.col("ym").isin([r[0] for r in facts])).select(*key)
+        if n <= bound and size <= dedup.MAX_BROADCAST_BYTES:
+            hits = dedup.stored_hits(maybe, own, key, n)
+        else:
+            hits = key_index.sifted(own, maybe, n, key).join(maybe.select(*key), key, "left_semi").distinct()
+        hits = stage(hits, "hits")
+        lap("stored keys looked up")
+    hits = F.broadcast(hits) if n <= bound and size <= dedup.MAX_BROADCAST_BYTES else hits
+    new = rows if dry_run else dedup.first_processed(rows, key, kind.reverse_rows)
+    return new.join(hits, key, "left_anti"), rows.join(hits, key, "left_semi")
+
+
 def _import_typed(store: LedgerStore, run: Run, kind: Kind, typed: DataFrame, files: DataFrame, n_files: int,
                   cut: int | None, bounds, *, job_label: str | None = None, dry_run: bool = False, policy: str = "abort",
-                  collation: str | None = None) -> ImportResult:
+                  collation: str | None = None, index_above: int = dedup.MAX_BROADCAST_KEYS) -> ImportResult:
     """The import of one kind's typed rows into ``run``, not yet committed."""
     rows, report = validate.accepted(typed, policy, cut)
     key, n_rows = kind.key, bounds[2]  # the count bounds the broadcast of incoming keys
@@ -157,8 +184,11 @@ def _import_typed(store: LedgerStore, run: Run, kind: Kind, typed: DataFrame, fi
     stored = _date_window(known, bounds, partitioned=kind.months).select(*key)
     if kind is LEDGER:
         stored = dedup.keyed(stored, key, collation)
-    inserted = dedup.import_plan(rows, stored, key, reverse_rows=kind.reverse_rows, dry_run=dry_run, incoming_rows=n_rows)
-    duplicates = dedup.duplicate_rows(rows, stored, key, incoming_rows=n_rows)
+    if kind.months and not collation and (n_rows is None or n_rows > index_above):
+        inserted, duplicates = _by_index(store, kind, rows, known, dry_run, index_above)
+    else:
+        inserted = dedup.import_plan(rows, stored, key, reverse_rows=kind.reverse_rows, dry_run=dry_run, incoming_rows=n_rows)
+        duplicates = dedup.duplicate_rows(rows, stored, key, incoming_rows=n_rows)
     if not dry_run:
         inserted = _append_numbered(run, kind.table, inserted, run.top(kind.table), kind.reverse_rows)
     counts = stage(dedup.file_facts(_imported_files(files, typed, cut, policy), rows, inserted), "counts")
@@ -178,8 +208,8 @@ def _replayed(store: LedgerStore, run_id: str, table: str) -> ImportResult:
 
 def _import_kinds(spark: SparkSession, store: LedgerStore, by_kind: dict[str, list[str]], *, run_id: str | None = None,
                   job_label: str | None = None, run_date=None, dry_run: bool = False, policy: str = "abort",
-                  encoding: str = "utf8", collation: str | None = None,
-                  multiline: bool = True) -> dict[str, ImportResult]:
+                  encoding: str = "utf8", collation: str | None = None, multiline: bool = True,
+                  index_above: int = dedup.MAX_BROADCAST_KEYS) -> dict[str, ImportResult]:
     """Import files of one or both kinds as one run with one commit. Under
     ``abort`` the files are one sequence in name order, whatever their kind:
     the first file with a bad row (ledger or asset) stops the run, and only
@@ -205,7 +235,8 @@ def _import_kinds(spark: SparkSession, store: LedgerStore, by_kind: dict[str, li
         if len(kinds) > 1:
             own = files.join(run_files(spark, listed[k.name]).select("src_path"), "src_path", "left_semi")
         out[k.name] = _import_typed(store, run.under(k.name), k, typed[k.name], own, len(listed[k.name]), cut, facts[k.name][1],
-                                    job_label=job_label, dry_run=dry_run, policy=policy, collation=collation)
+                                    job_label=job_label, dry_run=dry_run, policy=policy, collation=collation,
+                                    index_above=index_above)
     if not dry_run and kinds:
         run.commit()
         lap("committed")
@@ -221,8 +252,8 @@ def _paths(paths) -> list[str]:
 
 def import_ledger(spark: SparkSession, store: LedgerStore, paths, **kw) -> ImportResult:
     """M11. Options: ``job_label``, ``run_date``, ``dry_run``, ``policy``
-    (``abort`` | ``quarantine``), ``encoding``, ``collation``, ``multiline``
-    and ``run_id`` (a retry under the id of a dead run replaces what it left;
+    (``abort`` | ``quarantine``), ``encoding``, ``collation``, ``multiline``,
+    ``index_above`` (rows beyond which the key index is probed) and ``run_id`` (a retry under the id of a dead run replaces what it left;
     a committed run is not run again)."""
     return _import_kinds(spark, store, {"ledger": _paths(paths)}, **kw)["ledger"]
 
@@ -234,15 +265,37 @@ def import_assets(spark: SparkSession, store: LedgerStore, paths, **kw) -> Impor
     return _import_kinds(spark, store, {"asset": _paths(paths)}, **kw)["asset"]
 
 
+# Files of one run at most: bounds the paths, per-file tables and ranks that the
+# driver holds for it.
+MAX_RUN_FILES = 10_000
+
+
+def _import_manifest(spark: SparkSession, store: LedgerStore, routed: DataFrame, name_col: str, *,
+                     max_files: int = MAX_RUN_FILES, run_id: str | None = None, **kw) -> dict[str, ImportResult]:
+    """Import a routed manifest (path, kind, name) in runs of at most
+    ``max_files`` files in name order, each with its own commit. With a
+    ``run_id``, a later call under it goes on behind the runs that are
+    committed. A drop of one run gives that run's results; of several, the
+    last run's."""
+    manifest = global_ordinal(routed.select("path", "kind", F.col(name_col).alias("_name")),
+                              [F.col("_name"), F.col("path")], "_rank")  # written once
+    n = manifest.count()
+    ids = [run_id] if n <= max_files else [run_id and f"{run_id}.{k}" for k in range(-(-n // max_files))]
+    out: dict[str, ImportResult] = {}
+    for k, own_id in enumerate(ids):
+        if len(ids) > 1 and own_id is not None and store.committed(own_id):
+            continue
+        own = manifest.filter(F.col("_rank").between(k * max_files, (k + 1) * max_files - 1)).select("path", "kind").collect()
+        by_kind = {kind: [r.path for r in own if r.kind == kind] for kind in KINDS}
+        out.update(_import_kinds(spark, store, by_kind, run_id=own_id, **kw))
+    return out
+
+
 def import_drop(spark: SparkSession, store: LedgerStore, folder: str, **kw) -> dict[str, ImportResult]:
-    """S1 + S2 + U1: list ``folder``, route files by name and import each
-    kind with one job over all its files (see ``_import_kinds``)."""
+    """S1 + S2 + U1: list ``folder``, route files by name and import both
+    kinds together, in runs of bounded size (see ``_import_manifest``)."""
     from ..sources.manifest import list_csv, route
-    routed = route(list_csv(spark, folder))
-    # the file list is the run's manifest (one row per file)
-    by_kind = {kind: [r.path for r in routed.filter(F.col("kind") == kind).select("path").collect()]
-               for kind in ("ledger", "asset")}
-    return _import_kinds(spark, store, by_kind, **kw)
+    return _import_manifest(spark, store, route(list_csv(spark, folder)), "file_name", **kw)
 
 
 def import_prefix(spark: SparkSession, store: LedgerStore, prefix: str, **kw) -> dict[str, ImportResult]:
@@ -254,7 +307,4 @@ def import_prefix(spark: SparkSession, store: LedgerStore, prefix: str, **kw) ->
     from ..sources.store import qualify
     keys = list_csv(spark, prefix, recursive=True).select(F.col("path").alias("key"))
     survivors = flatten_by_basename(keys, qualify(spark, prefix) + "/")
-    routed = route(survivors.withColumnRenamed("key", "path"), name_col="basename")
-    by_kind = {kind: [r.path for r in routed.filter(F.col("kind") == kind).select("path").collect()]
-               for kind in ("ledger", "asset")}
-    return _import_kinds(spark, store, by_kind, **kw)
+    return _import_manifest(spark, store, route(survivors.withColumnRenamed("key", "path"), name_col="basename"), "basename", **kw)

@@ -465,3 +465,36 @@ SELECT CASE WHEN yr < 1996 THEN 'duplicate' ELSE 'inserted' END AS kind, date, l
        CAST(o_orderkey AS VARCHAR) AS source_id
 FROM s WHERE yr < 1996 OR rn = 1""",
 })
+
+ORACLE_SQL["import_index_e2e"] = f"""
+WITH {_LEDGER_TEXT},
+s AS (SELECT *, row_number() OVER (PARTITION BY date, name, price ORDER BY o_orderkey DESC) AS rn FROM t)
+SELECT CASE WHEN yr < 1997 THEN 'duplicate' ELSE 'inserted' END AS kind, date, name, price,
+       CAST(o_orderkey AS VARCHAR) AS source_id
+FROM s WHERE yr < 1997 OR rn = 1"""
+ORACLE_SQL.update({
+    "status_base_view": ORACLE_SQL["detail_status_view"],
+    "ledger_page_deep": f"""
+WITH {_STATUS_EVENTS},
+o AS (SELECT *, count(*) OVER () AS n FROM orders WHERE o_orderkey % 7 <> 3),
+s AS (SELECT o.o_orderkey AS id, CAST(o.o_orderdate AS DATE) AS d, o.o_orderpriority AS name,
+             CAST(floor(o.o_totalprice) AS BIGINT) AS price, n,
+             CASE WHEN l.op IN ('check', 'forward') THEN l.at_day END AS judged,
+             CASE WHEN l.op = 'forward' THEN l.at_day END AS sent,
+             row_number() OVER (ORDER BY o.o_orderkey DESC) AS rn
+      FROM o LEFT JOIN last l ON l.detail_id = o.o_orderkey)
+SELECT id, d AS "useDate", name, price, d AS "registDate", judged AS "importJudgeDate", sent AS "importDate", n AS stored_rows
+FROM s WHERE rn > n * 3 // 4 AND rn <= n * 3 // 4 + 50""",
+    "stream_latest_update": f"""
+WITH {_HISTORY}, m AS (SELECT max(id) // 2 AS half FROM h),
+late AS (SELECT count(DISTINCT job_label) AS c FROM h, m WHERE id > half),
+early AS (SELECT count(DISTINCT job_label) AS c FROM h, m
+          WHERE id <= half AND job_label NOT IN (SELECT job_label FROM h, m WHERE id > half))
+SELECT job_label, max(id) AS run_id, arg_max(parsed_entry_num, id) AS parsed_entry_num,
+       arg_max(new_entry_num, id) AS new_entry_num, CAST((SELECT late.c + early.c FROM late, early) AS BIGINT) AS changes
+FROM h GROUP BY job_label""",
+    "import_manifest_e2e": f"""
+WITH r AS ({_STORED}), {_LEDGER_TEXT},
+f AS (SELECT count(DISTINCT (yr, b)) + count(DISTINCT yr) AS n FROM t)
+SELECT kind, date, name, amount, CAST((SELECT ceil(n / 4.0) FROM f) AS BIGINT) AS runs FROM r""",
+})

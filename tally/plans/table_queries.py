@@ -1010,10 +1010,116 @@ def q_import_collated_e2e(spark, sf_dir):
                                                 F.col("name").cast("string").alias("name"), "price", "source_id"))
 
 
+def q_import_index_e2e(spark, sf_dir):
+    """J1-J3, F5 through the key index: orders before 1996, and before 1997,
+    are stored, then all are imported; keys beyond a thousand go by the index."""
+    from ..session import staging_path
+    from ..sources.store import LedgerStore
+    from .importer import import_ledger
+    landing = staging_path(spark, "index-csv")
+    _write_ledger_csv(_orders_ledger_text(_t(spark, sf_dir, "orders")), landing, ["yr"])
+    store = LedgerStore(spark, staging_path(spark, "store"))
+    for years in ("199[0-5]", "199[0-6]", "*"):
+        res = import_ledger(spark, store, [f"{landing}/yr={years}/*/*.csv"], run_date="2024-01-01", index_above=1000)
+    return res.duplicates.select(F.lit("duplicate").alias("kind"), "date", "name", "price", "source_id").unionByName(
+        res.inserted.select(F.lit("inserted").alias("kind"), "date", "name", "price", "source_id"))
+
+
 QUERIES.update({
+    "import_index_e2e": q_import_index_e2e,
     "import_split_e2e": q_import_split_e2e,
     "import_retry_e2e": q_import_retry_e2e,
     "stream_replay_e2e": q_stream_replay_e2e,
     "import_stamps_e2e": q_import_stamps_e2e,
     "import_collated_e2e": q_import_collated_e2e,
 })
+
+
+def q_status_base_view(spark, sf_dir):
+    """J6, F12, M1, M2 from a status base and the events after it: batch 1 is
+    compacted, batch 2 (resets) is merged into the next base, batch 3 is the
+    tail. Orders are stored once, their status read with them."""
+    from ..session import staging_path
+    from ..sources.store import LedgerStore
+    store, events = LedgerStore(spark, staging_path(spark, "store")), _orders_status_events(spark, sf_dir, _half_max_order(spark, sf_dir))
+    for seq in (1, 2, 3):
+        store.append("detail_status", events.filter(F.col("seq") == seq))
+        if seq < 3:
+            store.compact_status()
+    detail = _orders_detail(spark, sf_dir).drop("maw_check_date", "maw_regist_date")
+    return S.with_state(detail, store.status()).select("id", "maw_check_date", "maw_regist_date", S.status_label().alias("status"))
+
+
+def q_ledger_page_deep(spark, sf_dir):
+    """T1, A1, A7 over a store whose ids have holes (every seventh order is
+    missing): a page of 50 rows three quarters down, by the page marks, and
+    the row count of the newest commit."""
+    from ..session import staging_path
+    from ..sources.store import LedgerStore
+    store, half = LedgerStore(spark, staging_path(spark, "store")), _half_max_order(spark, sf_dir)
+    rows = _orders_ledger_rows(spark, sf_dir).filter(F.col("id") % 7 != 3)
+    store.append("detail", rows.filter(F.col("id") <= half))
+    store.append("detail", rows.filter(F.col("id") > half))
+    events = _orders_status_events(spark, sf_dir, half)
+    store.append("detail_status", events.filter(F.col("seq") == 1))
+    store.compact_status()
+    store.append("detail_status", events.filter(F.col("seq") > 1))
+    n = store.rows("detail")
+    return views.stored_page(store, 50, n * 3 // 4).withColumn("stored_rows", F.lit(n).cast("long"))
+
+
+def _orders_ledger_rows(spark, sf_dir) -> DataFrame:
+    """orders -> rows of the stored ledger, ids = order keys."""
+    d = F.to_date("o_orderdate")
+    return _t(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), F.lit(1).alias("yyyymm_id"), d.alias("date"), F.col("o_orderpriority").alias("name"),
+        F.floor("o_totalprice").cast("long").alias("price"), F.lit("card").alias("fin_ins"), F.lit("").alias("l_category"),
+        F.lit("").alias("m_category"), d.alias("regist_date"), F.lit("").alias("raw_date"), F.lit("").alias("raw_price"),
+        F.lit("orders").alias("src_file"), F.lit(None).cast("timestamp").alias("created_at"),
+        F.lit(None).cast("timestamp").alias("updated_at"))
+
+
+def q_stream_latest_update(spark, sf_dir):
+    """ST2: the run history of ``stream_latest`` in two parts, the later runs
+    landing first: the lower ids that come late change no gauge. ``changes``
+    counts the rows published in all, one for each changed label."""
+    from ..schemas import IMPORT_HISTORY
+    from ..session import staging_path
+    from ..streaming.jobs import read_latest_runs, stream_latest_runs
+    h = _history_from_events(_t(spark, sf_dir, "events"))
+    h = h.select(*[(F.col(f.name) if f.name in h.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                   for f in IMPORT_HISTORY.fields if f.name != "updated_at"], F.lit(None).cast("timestamp").alias("updated_at"))
+    landing, out, ckpt = (staging_path(spark, n) for n in ("history", "gauges", "gauge-ckpt"))
+    top = h.agg(F.max("id")).first()[0]
+    for part in (F.col("id") > top // 2, F.col("id") <= top // 2):
+        h.filter(part).write.mode("append").parquet(landing)
+        stream_latest_runs(spark, landing, out, ckpt).awaitTermination()
+    changes = spark.read.option("basePath", out).parquet(f"{out}/v=*").agg(F.count("id").alias("changes"))
+    return read_latest_runs(spark, out).select("job_label", F.col("id").alias("run_id"), "parsed_entry_num",
+                                               "new_entry_num").crossJoin(F.broadcast(changes))  # one row
+
+
+def q_import_manifest_e2e(spark, sf_dir):
+    """Ledger and asset files below a prefix in runs of four files.
+    The first four files were imported as the drop's first run before the call
+    that imports the whole drop, which goes on behind it."""
+    from ..session import staging_path
+    from ..sources.store import LedgerStore
+    from ..sources.manifest import list_csv
+    from .importer import _import_kinds, import_prefix
+    prefix = staging_path(spark, "manifest-csv")
+    _mixed_drop(spark, sf_dir, prefix)
+    store = LedgerStore(spark, staging_path(spark, "store"))
+    first = sorted((r.file_name, r.path) for r in list_csv(spark, prefix, recursive=True).collect())[:4]
+    by_kind = {kind: [p for n, p in first if ("asset" in n) == (kind == "asset")] for kind in ("ledger", "asset")}
+    _import_kinds(spark, store, by_kind, run_date="2024-01-01", run_id="drop.0")
+    import_prefix(spark, store, prefix, run_date="2024-01-01", run_id="drop", max_files=4)
+    return _stored(store).withColumn("runs", F.lit(len(store._markers())).cast("long"))
+
+
+QUERIES.update({
+    "status_base_view": q_status_base_view,
+    "ledger_page_deep": q_ledger_page_deep,
+    "stream_latest_update": q_stream_latest_update,
+    "import_manifest_e2e": q_import_manifest_e2e,
+})

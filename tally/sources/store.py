@@ -17,6 +17,8 @@ its marker appears: ``_commits/<number>~<id>``, one rename. ``read`` lists the
 folders of committed runs only, so what a dead run left is never seen, and a
 retry under the same id overwrites it. A marker holds, for each table, the
 rows and the largest id of the store so far: counts and maxima need no scan.
+``detail_keys`` holds the key index of each run's ledger rows, and
+``status_base`` the current status as of an earlier commit.
 Rule snapshots are read only once their ``_SUCCESS`` exists. One writer at a
 time; a second one fails at its marker's number and nothing of it is seen.
 """
@@ -31,6 +33,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..operators import key_index
+from ..operators.dedup import LEDGER_KEY
 from ..session import DIRECT_COMMIT
 
 TABLES = {
@@ -72,10 +76,16 @@ def list_dirs(spark: SparkSession, path: str) -> list[str]:
     return [st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory()]
 
 
+#: Tables with a key index, and their keys.
+INDEXED = {"detail": LEDGER_KEY}
 #: The column whose largest value a commit marker records.
 TOP_COLUMN = {"detail_status": "seq", "outbox": "seq", "classify_run": "seq"}
 
 
+#: Page marks of a run with holes; a marker holds at most four times as many.
+MARKS = 500
+
+
 class WriteConflict(RuntimeError):
     """Another run committed in between; nothing of this run is visible."""
 
@@ -112,14 +122,55 @@ class Run:
             # month, and a hot month is still cut across several tasks
             out = out.repartitionByRange(*[F.col(p) for p in parts], F.col("id"))
         facts = Observation()
-        out = out.observe(facts, F.count(F.lit(1)).alias("rows"), F.max(TOP_COLUMN.get(name, "id")).alias("top"))
+        number = TOP_COLUMN.get(name, "id")
+        out = out.observe(facts, F.count(F.lit(1)).alias("rows"), F.min(number).alias("least"), F.max(number).alias("top"))
         w = out.write.mode("overwrite").options(**DIRECT_COMMIT)  # what a dead run of this id left goes
         if parts:
             w = w.partitionBy(*parts)
         w.parquet(f"{self.store.path(name)}/run={self.run_id}~{self.part}")
         found, known = facts.get, self.stats.get(name, {})
-        self.stats[name] = {"rows": known.get("rows", 0) + found["rows"],
+        self.stats[name] = {"rows": known.get("rows", 0) + found["rows"], "months": known.get("months", {}),
                             "top": max((t for t in (known.get("top"), found["top"]) if t is not None), default=None)}
+        if name in INDEXED and found["rows"]:
+            self._append_index(name)
+            self.stats[name]["marks"] = self._marks(name, known.get("marks", []), found)
+
+    def _marks(self, name: str, marks: list | None, found: dict) -> list | None:
+        """Page marks: [id, rows up to it] in ascending order, for every run
+        and, where a run's ids have holes, for up to MARKS ranges of it. None
+        once a run's ids do not all lie above those before it."""
+        before = marks[-1] if marks else [None, 0]
+        if marks is None or (before[0] is not None and found["least"] <= before[0]):
+            return None
+        if found["top"] - found["least"] + 1 == found["rows"]:
+            if before[0] is None or found["least"] > before[0] + 1:  # a gap between runs is a range without rows
+                marks = [*marks, [found["least"] - 1, before[1]]]
+            marks = [*marks, [found["top"], before[1] + found["rows"]]]
+        else:
+            width = max((found["top"] - found["least"] + MARKS) // MARKS, 1)
+            own = self.store._files(name, [f"run={self.run_id}~{self.part}"])
+            part = F.floor((F.col("id") - found["least"]) / width)
+            n, marks = before[1], [*marks, [found["least"] - 1, before[1]]]
+            for _, rows, top in sorted(own.groupBy(part).agg(F.count(F.lit(1)), F.max("id")).collect()):  # MARKS rows at most
+                n += rows
+                marks.append([top, n])
+        while len(marks) > 4 * MARKS:  # every second one, and the last
+            marks = [m for i, m in enumerate(marks) if i % 2 or i == len(marks) - 1]
+        return marks
+
+    def _append_index(self, name: str) -> None:
+        """Index the keys just written (see ``operators.key_index``). Months
+        and their row counts so far are part of the marker."""
+        folder = f"run={self.run_id}~{self.part}"
+        own = self.store._files(name, [folder]).select(*INDEXED[name], "ym")
+        months = dict(self.stats[name]["months"])
+        grown = {r[0]: r[1] for r in own.groupBy("ym").count().collect()}  # a row for each month
+        for ym, n in grown.items():
+            months[str(ym)] = months.get(str(ym), 0) + n
+        self.stats[name]["months"] = months
+        levels = {ym: key_index.level(months[str(ym)]) for ym in grown}
+        index = key_index.index_rows(own, INDEXED[name], levels)
+        index.write.mode("overwrite").options(**DIRECT_COMMIT).parquet(f"{self.store.path(name)}_keys/{folder}")
 
     def commit(self) -> None:
         """Make all writes of the run visible at once."""
@@ -160,8 +211,12 @@ class LedgerStore:
         source.close()
         return int(markers[-1].split("~")[0]), json.loads(data)
 
+    def _commits(self) -> dict[str, int]:
+        """Run id -> number of its commit."""
+        return {m.split("~", 1)[1]: int(m.split("~", 1)[0]) for m in self._markers()}
+
     def committed(self, run_id: str) -> bool:
-        return any(m.split("~", 1)[1] == run_id for m in self._markers())
+        return run_id in self._commits()
 
     def begin(self, run_id: str | None = None) -> Run:
         """A run to write in; the id is a fresh one unless the caller retries."""
@@ -169,18 +224,18 @@ class LedgerStore:
             raise ValueError(f"run {run_id} is committed")
         return Run(self, run_id or uuid.uuid4().hex)
 
-    def folders(self, name: str, run_id: str | None = None) -> list[str]:
-        """Committed run folders of a table (of one run, if given)."""
-        done = {m.split("~", 1)[1] for m in self._markers()}
+    def folders(self, name: str, run_id: str | None = None, after: int = 0) -> list[str]:
+        """Committed run folders of a table: of one run, or of the commits
+        after a number, if given."""
+        done = self._commits()
         own = {d: d[4:].split("~")[0] for d in list_dirs(self.spark, self.path(name)) if d.startswith("run=")}
-        return sorted(d for d, r in own.items() if r in done and run_id in (None, r))
+        return sorted(d for d, r in own.items() if done.get(r, 0) > after and run_id in (None, r))
 
     def abandoned(self) -> list[str]:
         """Ids of runs that wrote rows but never committed."""
-        done = {m.split("~", 1)[1] for m in self._markers()}
         left = {d[4:].split("~")[0] for name in TABLES for d in list_dirs(self.spark, self.path(name))
                 if d.startswith("run=")}
-        return sorted(left - done)
+        return sorted(left - set(self._commits()))
 
     def _files(self, name: str, folders: list[str]) -> DataFrame:
         schema, _ = TABLES[name]
@@ -197,6 +252,13 @@ class LedgerStore:
         """The rows that one committed run wrote."""
         return self._files(name, self.folders(name, run_id))
 
+    def key_index(self, name: str) -> DataFrame:
+        """Key index of the committed rows of a table."""
+        folders = self.folders(name)
+        if not folders:
+            return self.spark.createDataFrame([], key_index.KEY_INDEX)
+        return self.spark.read.schema(key_index.KEY_INDEX).parquet(*[f"{self.path(name)}_keys/{d}" for d in folders])
+
     def top(self, name: str) -> int:
         """Largest id (batch number) of a table, from the newest marker."""
         return self._last_commit()[1].get(name, {}).get("top") or 0
@@ -205,6 +267,46 @@ class LedgerStore:
         """Rows of a table (A1), from the newest marker."""
         return self._last_commit()[1].get(name, {}).get("rows", 0)
 
+    def marks(self, name: str) -> list | None:
+        """Page marks of a table (see ``views.stored_page``)."""
+        return self._last_commit()[1].get(name, {}).get("marks", [])
+
+    # -- status base + tail --------------------------------------------------
+    def status_parts(self) -> tuple[DataFrame, DataFrame, int]:
+        """The status base (one latest event per id, in files cut by id range),
+        the events committed after it, and their number. Older events are
+        neither listed nor read."""
+        stats = self._last_commit()[1]
+        base = stats.get("status_base")
+        tail = self._files("detail_status", self.folders("detail_status", after=base["commit"] if base else 0))
+        n_tail = self.rows("detail_status") - (base["events"] if base else 0)
+        if base is None:
+            return self.spark.createDataFrame([], schemas.DETAIL_STATUS), tail, n_tail
+        return self.spark.read.schema(schemas.DETAIL_STATUS).parquet(f"{self.root}/status_base/{base['folder']}"), tail, n_tail
+
+    def status(self) -> DataFrame:
+        """The latest event of each id, from base and tail."""
+        from ..operators.status import merged_state
+        return merged_state(*self.status_parts())
+
+    def compact_status(self, least_tail: int = 0) -> bool:
+        """Write the next status base, if the tail has ``least_tail`` events and
+        as many as the base has rows (so an event is rewritten a logarithmic
+        number of times). One commit swaps it in."""
+        stats = self._last_commit()[1]
+        base, n_tail = stats.get("status_base", {}), self.status_parts()[2]
+        if not n_tail or (least_tail and n_tail < max(least_tail, base.get("rows", 0))):
+            return False
+        run, facts = self.begin(), Observation()
+        state = self.status().select(*schemas.DETAIL_STATUS.fieldNames())
+        (state.repartitionByRange("detail_id").sortWithinPartitions("detail_id")
+         .observe(facts, F.count(F.lit(1)).alias("rows"))
+         .write.options(**DIRECT_COMMIT).parquet(f"{self.root}/status_base/{run.run_id}"))
+        run.stats["status_base"] = {"folder": run.run_id, "commit": run.number + 1, "rows": facts.get["rows"],
+                                    "events": stats["detail_status"]["rows"]}
+        run.commit()
+        return True
+
     def append(self, name: str, df: DataFrame) -> None:
         """A run of one write."""
         run = self.begin()
@@ -241,13 +343,13 @@ class LedgerStore:
         """Temp views for ``spark.sql``: every table, the latest rule snapshot
         as ``extract_rule``, and ``detail_current`` (rows with their two status
         dates, the shape of the original ledger table)."""
-        from ..operators.status import with_status
+        from ..operators.status import with_state
         names = []
         for name in TABLES:
             self.read(name).createOrReplaceTempView(prefix + name)
             names.append(prefix + name)
         self.rules().createOrReplaceTempView(prefix + "extract_rule")
-        with_status(self.read("detail"), self.read("detail_status")) \
+        with_state(self.read("detail"), self.status()) \
             .createOrReplaceTempView(prefix + "detail_current")
         return names + [prefix + "extract_rule", prefix + "detail_current"]
 
