@@ -21,6 +21,7 @@ other than id and text are never read.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -37,6 +38,10 @@ from .common import Scratch, ship_code
 PART_ITEMS = 20_000
 #: Words whose ids one generation of a worker's memo holds, about.
 MEMO_WORDS = 400_000
+#: Marks behind a word that are a token, or tokens, of their own.
+STOPS = ".,;:!?"
+#: Words that are encoded as one text.
+JOINED = 128
 #: Bytes of a text that are split into words at a time.
 BLOCK = 1 << 20
 #: Bytes of texts whose words are looked up together.
@@ -49,12 +54,15 @@ class WordIds:
     one are taken over when they are met again, the others go."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
         self.tokenizer, self.memo, self.old = Tokenizer.from_file(path), {"": b""}, {}
+        size, mark = self.tokenizer.get_vocab_size(), getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.last = np.array([bool(mark) and self.tokenizer.id_to_token(i).endswith(mark) for i in range(size)])
 
     def learn(self, words: list[str]) -> list[bytes]:
         """Ids (little-endian 32-bit) of distinct words; those not yet known
-        are encoded joined by blanks, in one call."""
+        are encoded joined by blanks."""
         if len(self.memo) > MEMO_WORDS:
             self.memo, self.old = {"": b""}, self.memo
         found = list(map(self.memo.get, words))
@@ -66,17 +74,38 @@ class WordIds:
                     new.append(i)
                 else:
                     found[i] = self.memo[words[i]] = known
-        if new:
-            texts = [words[i] for i in new]
-            coded = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-            begins = np.cumsum([0] + [len(t) + 1 for t in texts])
-            at = np.searchsorted(begins, np.array([x for x, _ in coded.offsets], dtype=np.int64), side="right") - 1
-            cuts = (4 * np.searchsorted(at, np.arange(len(new) + 1))).tolist()
-            data = np.array(coded.ids, dtype="<u4").tobytes()
-            for i, word, lo, hi in zip(new, texts, cuts[:-1], cuts[1:], strict=True):
-                found[i] = self.memo[word] = data[lo:hi]
+        for part, cuts, data in self._encoded(words, new):
+            for i, lo, hi in zip(part, cuts[:-1], cuts[1:], strict=True):
+                found[i] = self.memo[words[i]] = data[lo:hi]
         return found
 
+    def _encoded(self, words: list[str], new: list[int]) -> Iterator[tuple[list[int], list[int], bytes]]:
+        """(places of words, their cuts, ids) of groups of words. A word of
+        letters has one token marked as the end of a word, at least, and one
+        with a stop behind it two: if a group has no more marks than that,
+        they are the cuts. Other words (and letters that normalisation takes
+        apart) are cut by the offsets of their tokens."""
+        simple, rest = [], []
+        for i in new:
+            w = words[i]
+            n = 1 if w.isalpha() else 2 if w[-1] in STOPS and w[:-1].isalpha() else 0
+            (simple if n else rest).append((i, n) if n else i)
+        groups = [simple[k:k + JOINED] for k in range(0, len(simple), JOINED)]
+        joined = [" ".join([words[i] for i, _ in g]) for g in groups]
+        for group, coded in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            ids, own = np.array(coded.ids, dtype="<u4"), [i for i, _ in group]
+            ends, marks = np.flatnonzero(self.last[ids]), np.cumsum([n for _, n in group])
+            if len(ends) == marks[-1]:
+                yield own, [0, *(4 * ends[marks - 1] + 4).tolist()], ids.tobytes()
+            else:
+                rest += own
+        for k in range(0, len(rest), JOINED):
+            group = rest[k:k + JOINED]
+            coded = self.tokenizer.encode(" ".join([words[i] for i in group]), add_special_tokens=False)
+            begins = np.cumsum([0] + [len(words[i]) + 1 for i in group])
+            at = np.searchsorted(begins, np.array([x for x, _ in coded.offsets], dtype=np.int64), side="right") - 1
+            yield group, (4 * np.searchsorted(at, np.arange(len(group) + 1))).tolist(), np.array(coded.ids, dtype="<u4").tobytes()
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one behind the other, and where each begins. Each
         distinct word is looked up once; ids are gathered by its places."""

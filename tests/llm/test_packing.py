@@ -62,9 +62,12 @@ def test_blocks_and_small_cache(monkeypatch):
     monkeypatch.setattr(packing, "MEMO_WORDS", 2)
     tok, words = Tokenizer.from_file(PATH), packing.WordIds(PATH)
     plain = lambda w: np.array(tok.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    letters = ["İstanbul", "straße", "ﬁn", "ǅ", "ʼn", "가각", "e" * 90, "ª", "x.", "İ,", "no!", "日本;", "ΑΣ.", ".", "a.b.", "it's.", "ﬀ:"]
+    assert words.learn(letters) == [plain(w) for w in letters]
+    assert words.learn([w + w for w in letters]) == [plain(w + w) for w in letters]
     for ws in (["a", "b"], ["c", "\u3000"], ["", "a", "d", *WORDS], ["b", "a"], ["c"], ["d", "e"], ["a"]):
         assert words.learn(ws) == [plain(w) for w in ws]
-    assert len(words.memo) < 5 and len(words.old) < 5 + len(WORDS)
+    assert len(words.memo) < 5 and len(words.old) < 9 + len(WORDS)
 
 
 def test_texts_together_and_in_blocks(spark, monkeypatch):
