@@ -1,7 +1,7 @@
 """LM scoring: stupid backoff over words, computed with joins.
 
 score(w2 | w1) = c(w1 w2) / c(w1) if the pair was counted at least
-``MIN_PAIRS`` times, else ALPHA * c(w2) / N; a document's score is the sum of
+``min_pairs`` times, else ALPHA * c(w2) / N; a document's score is the sum of
 the logarithms, its first word scored by c(w1) / N.
 
 * Every distinct word and every distinct pair is counted as itself, by 63-bit
@@ -9,144 +9,221 @@ the logarithms, its first word scored by c(w1) / N.
   corpus. The ``SHORT_IDS`` most frequent words get a short id in place of
   their hash: that only shortens rows, no count depends on it.
 * Pair counts over all documents are a table partitioned by the pair, built
-  from partial sums; the counts of its words come from joins.
-* Each document is exploded into its distinct pairs with multiplicity and
-  joined to that table; a pair's gain over its backoff score is a column of
-  the table. The backoff scores need word counts only: those of words with a
-  short id are summed while exploding, any other word is a row that is joined
-  to its count. All are summed per document.
+  from partial sums. Each document is exploded into its distinct pairs with
+  multiplicity and joined to that table; the rows are summed per document.
+* With ``min_pairs`` 1 (the default) no pair of the corpus is unseen, so a
+  score is the sum of log c(w1 w2) less the sum of log c(w1), and pairs
+  counted once add log 1 = 0: the joined table needs no row for them, and the
+  result is that of all pairs. With more, the table holds the gain of a pair
+  over its backoff score, for which it is joined to the word counts.
+* Word counts enter per document: those of words with a short id are summed
+  while exploding, any other word is a row that is joined to its count.
 * Two aids of fixed size keep rows out of that join and change no score. Gains
   of the ``FREQUENT_PAIRS`` most frequent pairs are added while exploding. A
   bitmap of the hashes of all rows of the table tells which pairs and words
-  are not in it (their gain is 0); a row it cannot tell is joined.
+  are not in it (their gain is 0); a row it cannot tell is joined. On a corpus
+  whose table far exceeds the bitmap, more rows are joined.
 * A frequent pair has a row per document that holds it; the join is a plain
   one, so skewed partitions are split.
-* ``VOCABULARY_BITS``, unset by default, is for callers that want an unknown
-  word: words with a relative frequency below 2^-VOCABULARY_BITS, or below
-  ``MIN_WORDS`` occurrences, then count as one.
 
 Edge cases: null and wordless texts have no words and score 0; repeated rows
-are documents of their own; very long texts are counted in blocks of words; an
-empty table gives no rows; other columns are not read.
+are documents of their own; very long texts are counted in blocks that repeat
+the last word of the block before as context; an empty table gives no rows;
+other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Unset: all words are kept apart.
-VOCABULARY_BITS: int | None = None
-MIN_WORDS, MIN_PAIRS, ALPHA = 2, 2, 0.4
+ALPHA = 0.4
 #: Words with a short id, at most.
 SHORT_IDS = 1 << 18
-#: Distinct words a task counts before it hands its partial counts on.
-FLUSH_WORDS = 300_000
-#: Rows of a task's output batch, about.
-BATCH_ROWS = 200_000
+#: Bytes of text that are counted together (at most 2^21 words, see _PLACE).
+CALL = 1 << 22
 #: Pairs whose gains are broadcast, at most, and bits of the bitmap (2^27: 16 MB).
 FREQUENT_PAIRS = 1 << 18
 FILTER_BITS = 27
 #: First key of the rows of single words; second key where both words of a
 #: pair have short ids, which are then packed in the first.
 SINGLE, PACKED, SHIFT = 1 << 62, 1 << 61, 20
+_PLACE = 21  # bits of a word's place among the distinct words of a call
 
 
-def _hash(word: bytes) -> int:
+@dataclass
+class Words:
+    """The words of some texts: hashes of the distinct ones, the place of each
+    word among them, its text, whether the next word is of the same text, and
+    for each text its row, whether no word of the row comes before, its length."""
+    hashes: np.ndarray
+    at: np.ndarray
+    text: np.ndarray
+    next_is_own: np.ndarray
+    row: np.ndarray
+    first_block: np.ndarray
+    size: np.ndarray
+
+
+def _hash(words: list[bytes]) -> np.ndarray:
     """Below zero, so that no short id is a hash."""
     from xxhash import xxh64_intdigest
-    return -1 - (xxh64_intdigest(word) >> 1)
+    return np.fromiter((-1 - (xxh64_intdigest(w) >> 1) for w in words), np.int64, len(words))
+
+
+def _blocks(data: bytes) -> Iterator[tuple[bool, bytes]]:
+    """A long text in blocks of about CALL bytes, each with the last word of
+    the ones before it in front; whether there was none."""
+    carry = b""
+    at = 0
+    while at < len(data):
+        end = at + CALL
+        while end < len(data) and not data[end:end + 1].isspace():
+            end += 1
+        words = data[at:end]
+        yield not carry, carry + b" " + words if carry else words
+        last = words.rsplit(None, 1)
+        carry = last[-1].strip() if last else carry
+        at = end
+
+
+def _calls(texts: pa.Array) -> Iterator[tuple[list[int], list[bool], pa.Array]]:
+    """(rows, whether no word of the row comes before, texts) of about CALL bytes."""
+    sizes = pc.binary_length(texts).to_pylist()
+    lo = held = 0
+    for i, size in enumerate([*sizes, CALL + 1]):
+        if i > lo and held + size > CALL:
+            yield list(range(lo, i)), [True] * (i - lo), texts.slice(lo, i - lo)
+            lo, held = i, 0
+        if i < len(sizes) and size > CALL:
+            for first, block in _blocks(texts[i].as_buffer().to_pybytes()):
+                yield [i], [first], pa.array([block], pa.binary()).cast(pa.string())
+            lo, held = i + 1, 0
+        else:
+            held += size
+
+
+def _words(column: pa.Array) -> Iterator[Words]:
+    """The words of a column of texts, call by call."""
+    for row, first, texts in _calls(pc.fill_null(column.cast(pa.string()), "")):
+        split = pc.ascii_split_whitespace(texts)
+        flat = split.flatten()
+        text = np.repeat(np.arange(len(texts)), split.value_lengths().to_numpy(zero_copy_only=False))
+        real = pc.not_equal(flat, "")
+        coded = flat.filter(real).dictionary_encode()
+        text = text[real.to_numpy(zero_copy_only=False)]
+        next_is_own = np.zeros(len(text), bool)
+        next_is_own[:-1] = text[1:] == text[:-1]
+        yield Words(_hash(coded.dictionary.cast(pa.binary()).to_pylist()), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64),
+                    text, next_is_own, np.array(row), np.array(first), np.bincount(text, minlength=len(texts)))
 
 
 def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
     """(word, n): 63-bit hash of a word and its count over all documents."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def batch() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(map(_hash, seen), pa.int64(), size=len(seen)),
-                                               pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
         for b in batches:
-            for text in b.column(0):
-                seen.update((text.as_py() or "").encode().split())
-                if len(seen) > FLUSH_WORDS:
-                    yield batch()
-                    seen.clear()
-        yield batch()
+            for w in _words(b.column(0)):
+                repeated = w.at[_starts(w) & ~w.first_block[w.text]]  # context of a later block
+                n = np.bincount(w.at, minlength=len(w.hashes)) - np.bincount(repeated, minlength=len(w.hashes))
+                yield pa.RecordBatch.from_arrays([pa.array(w.hashes), pa.array(n)], names=["word", "n"])
 
     return (docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "word long, n long")
             .groupBy("word").agg(F.sum("n").alias("n")))
 
 
-class Vocabulary(dict):
-    """Words to codes: the short id of a word, else its hash, or 0 where other
-    words are unknown. Keeps the codes of words it met."""
+def _starts(w: Words) -> np.ndarray:
+    """Which words are the first of their text."""
+    out = np.ones(len(w.at), bool)
+    out[1:] = ~w.next_is_own[:-1]
+    return out
 
-    def __init__(self, ids: dict[int, int], unknown: bool):
-        super().__init__()
-        self.ids, self.unknown = ids, unknown
 
-    def __missing__(self, word: bytes) -> int:
-        h = _hash(word)
-        found = self.ids.get(h, 0 if self.unknown else h)
-        if len(self) < 1_000_000:
-            self[word] = found
-        return found
+def count_of_top(rows: DataFrame, column: str, most: int) -> int:
+    """The least power of two so that at most ``most`` rows count as many."""
+    above, least = 0, 63
+    by_power = dict(rows.groupBy(F.floor(F.log2(column)).cast("int")).count().collect())  # 63 rows at most
+    while least and above + by_power.get(least - 1, 0) <= most:
+        least -= 1
+        above += by_power.get(least, 0)
+    return 1 << least
+
+
+@dataclass
+class Short:
+    """Words with short ids (1 and up, in the order of hashes), and N."""
+    hashes: np.ndarray
+    counts: np.ndarray
+    least: int
+    total: int
+
+    def codes(self, hashes: np.ndarray) -> np.ndarray:
+        """The short id of each word, or its hash."""
+        if not len(self.hashes):
+            return hashes
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at + 1, hashes)
+
+
+def short_ids(words: DataFrame) -> Short:
+    least = count_of_top(words, "n", SHORT_IDS)
+    kept = words.filter(F.col("n") >= least).toArrow()  # at most SHORT_IDS rows
+    hashes, counts = (kept.column(c).to_numpy() for c in ("word", "n"))
+    order = np.argsort(hashes)
+    return Short(hashes[order], counts[order], least, words.agg(F.sum("n")).first()[0] or 0)
+
+
+def _pairs_of(w: Words, short: Short) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, k1, k2, times) of the distinct pairs of each text."""
+    j = np.flatnonzero(w.next_is_own)
+    key, times = np.unique((w.text[j] << 2 * _PLACE) | (w.at[j] << _PLACE) | w.at[j + 1], return_counts=True)
+    codes, place = short.codes(w.hashes), (1 << _PLACE) - 1
+    first, second = codes[key >> _PLACE & place], codes[key & place]
+    both = (first >= 0) & (second >= 0)
+    return key >> 2 * _PLACE, np.where(both, first << SHIFT | second, first), np.where(both, PACKED, second), times
+
+
+def pair_counts(docs: DataFrame, short: Short, text_col: str) -> DataFrame:
+    """(k1, k2, c): the count of each distinct pair over all documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(short)
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for w in _words(b.column(0)):
+                w.text[:] = 0  # no need to keep the texts apart: sums over a whole call
+                _, k1, k2, times = _pairs_of(w, shared.value)
+                yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(times)], names=["k1", "k2", "x"])
 
-def count_of_top(rows: DataFrame, column: str, most: int) -> int:
-    """The least count so that at most ``most`` rows have it or more."""
-    above = 0  # from the counts of counts: about sqrt(2 N) rows at most
-    for n, times in sorted(map(tuple, rows.groupBy(column).count().collect()), reverse=True):
-        above += times
-        if above > most:
-            return int(n) + 1
-    return 1
-
-
-def vocabulary(words: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """(hashes, counts by short id, N). Id 0 is the unknown word, of count 0
-    unless VOCABULARY_BITS is set."""
-    total = words.agg(F.sum("n")).first()[0] or 0
-    if VOCABULARY_BITS is None:
-        kept = words.filter(F.col("n") >= count_of_top(words, "n", SHORT_IDS))
-    else:
-        kept = words.filter((F.col("n") >= MIN_WORDS) & (F.col("n") * (1 << VOCABULARY_BITS) >= total))
-    kept = kept.toPandas().sort_values(["n", "word"], ascending=[False, True])  # at most 2^18 rows
-    counts = kept["n"].to_numpy(dtype=np.int64)
-    rest = 0 if VOCABULARY_BITS is None else total - counts.sum()
-    return kept["word"].to_numpy(dtype=np.int64), np.concatenate([[rest], counts]), total
-
-
-def coded_counts(words: DataFrame, hashes: np.ndarray, counts: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """(w, n) of the words with short ids, and of the others by hash."""
-    spark = words.sparkSession
-    short = spark.createDataFrame(pa.table({"w": pa.array(np.arange(len(counts))), "n": pa.array(counts)}))
-    known = spark.createDataFrame(pa.table({"word": pa.array(hashes)}))
-    others = words.join(F.broadcast(known), "word", "left_anti").select(F.col("word").alias("w"), "n")
-    return short, others.limit(0) if VOCABULARY_BITS is not None else others
-
-
-def pair_gains(seen: DataFrame, short: DataFrame, others: DataFrame, total: int) -> DataFrame:
-    """(k1, k2, gain) of counted pairs (k1, k2, c), and of the single words
-    without a short id that occur more than once (of one, the logarithm is 0)."""
-    packed, both = F.col("k2") == PACKED, short.unionByName(others)
-    named = lambda counts, i: counts.select(F.col("w").alias(f"w{i}"), F.col("n").alias(f"n{i}"))
-    gain = (F.log("c") - F.log("n1") - F.log("n2") - math.log(ALPHA) + math.log(max(1, total))).alias("gain")
-    two = (seen.filter(packed).withColumn("w1", F.shiftright("k1", SHIFT)).withColumn("w2", F.col("k1").bitwiseAND(F.lit((1 << SHIFT) - 1)))
-           .join(F.broadcast(named(short, 1)), "w1").join(F.broadcast(named(short, 2)), "w2").select("k1", "k2", gain))
-    long = (seen.filter(~packed).withColumn("w1", F.col("k1")).withColumn("w2", F.col("k2"))
-            .join(named(both, 1), "w1").join(named(both, 2), "w2").select("k1", "k2", gain))
-    singles = others.filter("n > 1").select(F.lit(SINGLE).alias("k1"), F.col("w").alias("k2"), F.log("n").alias("gain"))
-    return two.unionByName(long).unionByName(singles)
+    return (docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "k1 long, k2 long, x long")
+            .groupBy("k1", "k2").agg(F.sum("x").alias("c")))
+
+
+def pair_gains(seen: DataFrame, words: DataFrame, short: Short, min_pairs: int) -> DataFrame:
+    """(k1, k2, gain, c) of the pairs that add to a score."""
+    if min_pairs <= 1:
+        return seen.filter("c > 1").select("k1", "k2", F.log("c").alias("gain"), "c")
+    shared = words.sparkSession.sparkContext.broadcast(short)
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            codes = shared.value.codes(b.column(0).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(codes), b.column(1)], names=["w", "n"])
+
+    coded, packed = words.select("word", "n").mapInArrow(code, "w long, n long"), F.col("k2") == PACKED
+    w1 = F.when(packed, F.shiftright("k1", SHIFT)).otherwise(F.col("k1"))
+    w2 = F.when(packed, F.col("k1").bitwiseAND(F.lit((1 << SHIFT) - 1))).otherwise(F.col("k2"))
+    named = lambda i: coded.select(F.col("w").alias(f"w{i}"), F.col("n").alias(f"n{i}"))
+    gain = F.log("c") - F.log("n1") - F.log("n2") - math.log(ALPHA) + math.log(max(1, short.total))
+    return (seen.filter(F.col("c") >= min_pairs).select("*", w1.alias("w1"), w2.alias("w2"))
+            .join(named(1), "w1").join(named(2), "w2").select("k1", "k2", gain.alias("gain"), "c"))
 
 
 def _slots(k1: np.ndarray, k2: np.ndarray, bits: int) -> np.ndarray:
@@ -168,96 +245,96 @@ def key_filter(keys: DataFrame) -> np.ndarray:
     blocks = (keys.select("k1", "k2").mapInArrow(slots, "slot long")
               .groupBy(F.shiftright("slot", 15).alias("block")).agg(F.bitmap_construct_agg(F.col("slot") % (1 << 15)).alias("bits")))
     out = np.zeros(1 << size - 3, np.uint8)
-    for block, bits in blocks.collect():  # of fixed size
+    for block, bits in blocks.toLocalIterator():  # of fixed size, a partition at a time
         out[block << 12:(block + 1) << 12] = np.frombuffer(bits, np.uint8)
     return out
 
 
-def pairs(docs: DataFrame, hashes: np.ndarray, counts: np.ndarray, total: int, id_col: str, text_col: str,
-          aids: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> DataFrame:
-    """(uid, k1, k2, x, id): the times ``x`` a document has the pair with keys
-    ``k1 k2``. With ``aids`` (keys and gains of frequent pairs, bitmap), only
-    pairs that may be in the table and are not frequent; the times it has a
-    single word without a short id (``k1`` = SINGLE); and two rows with its
-    own figures (``k2`` null): the sum of its other scores (``k1`` even, with
-    the id), and the number of words (``k1`` odd)."""
+@dataclass
+class Aids:
+    """Keys and gains of frequent pairs, by key, and the bitmap of the table."""
+    keys: np.ndarray
+    gains: np.ndarray
+    bitmap: np.ndarray
+
+
+def scored_rows(docs: DataFrame, short: Short, aids: Aids, min_pairs: int, id_col: str, text_col: str) -> DataFrame:
+    """(uid, k1, k2, x, id): the times ``x`` a document has a pair that may be
+    in the table and is not frequent; the weight ``x`` of a single word
+    without a short id (``k1`` = SINGLE); and two rows with its own figures
+    (``k2`` null): the sum of its other scores (``k1`` even, with the id), and
+    the number of words (``k1`` odd)."""
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"),
                        F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    logs = np.log(np.maximum(counts, 1))
-    shared, unknown = docs.sparkSession.sparkContext.broadcast((hashes, logs, aids)), VOCABULARY_BITS is not None
+    shared = docs.sparkSession.sparkContext.broadcast((short, aids))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, log_count, aids = shared.value
-        known = Vocabulary(dict(zip(hashed.tolist(), range(1, len(hashed) + 1), strict=True)), unknown)
-        log_alpha, log_total = math.log(ALPHA), math.log(max(1, total))
+        short, aids = shared.value
+        log_alpha, log_total = math.log(ALPHA), math.log(max(1, short.total))
+        logs = np.concatenate([[0.0], np.log(np.maximum(short.counts, 1))])
+        bits = len(aids.bitmap).bit_length() + 2
         for b in batches:
-            uids, firsts, seconds, xs, own = [], [], [], [], []
-            ids = b.column(1)
-
-            def batch(uids=uids, firsts=firsts, seconds=seconds, xs=xs, own=own, ids=ids) -> pa.RecordBatch:
-                second, mark = np.concatenate(seconds), np.concatenate(own)
-                out = pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(uids)), pa.array(np.concatenate(firsts)), pa.array(second, mask=second == SINGLE),
-                     pa.array(np.concatenate(xs)), ids.take(pa.array(mark, mask=mark < 0))], names=["uid", "k1", "k2", "x", "id"])
-                for x in (uids, firsts, seconds, xs, own):
-                    x.clear()
-                return out
-
-            held = 0
-            for i, (uid, text) in enumerate(zip(b.column(0).to_pylist(), b.column(2), strict=True)):
-                words = (text.as_py() or "").encode().split()
-                w, at = np.unique(np.fromiter(map(known.__getitem__, words), np.int64, len(words)), return_inverse=True)
-                key, n = np.unique(at[:-1] * len(w) + at[1:], return_counts=True)
-                first, second = (w[key // len(w)], w[key % len(w)]) if len(w) else (key, key)
-                x, short = n.astype(float), (first >= 0) & (second >= 0)
-                first, second = np.where(short, first << SHIFT | second, first), np.where(short, PACKED, second)
-                mark = np.full(len(x), -1)
-                if aids is not None:
-                    frequent, gains, bitmap = aids
-                    times, long = np.bincount(at, minlength=len(w)).astype(float), w < 0
-                    base = float((log_count[w[~long]] * times[~long]).sum()) - len(words) * log_total
-                    base += max(0, len(words) - 1) * log_alpha
-                    found = np.minimum(np.searchsorted(frequent, first), max(0, len(frequent) - 1))
-                    hit = short & (frequent[found] == first) if len(frequent) else np.zeros(len(x), bool)
-                    base += float((gains[found[hit]] * x[hit]).sum())
-                    first = np.concatenate([first[~hit], np.full(long.sum(), SINGLE)])
-                    second, x = np.concatenate([second[~hit], w[long]]), np.concatenate([x[~hit], times[long]])
-                    slot = _slots(first, second, len(bitmap).bit_length() + 2)
-                    maybe = bitmap[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1
-                    first = np.concatenate([first[maybe], [2 * uid, 2 * uid + 1]])
-                    second, x = np.concatenate([second[maybe], [SINGLE, SINGLE]]), np.concatenate([x[maybe], [base, float(len(words))]])
-                    mark = np.full(len(x), -1)
-                    mark[-2] = i
-                for out, column in zip((uids, firsts, seconds, xs, own), (np.full(len(x), uid), first, second, x, mark), strict=True):
-                    out.append(column)
-                held += len(x)
-                if held > BATCH_ROWS:
-                    yield batch()
-                    held = 0
-            if held:
-                yield batch()
+            uids, ids = b.column(0).to_numpy(), b.column(1)
+            for w in _words(b.column(2)):
+                n, codes = len(w.row), short.codes(w.hashes)
+                starts = _starts(w)
+                opening, repeated = starts & w.first_block[w.text], starts & ~w.first_block[w.text]
+                size = w.size - np.bincount(w.text[repeated], minlength=n)
+                heads = np.bincount(w.text[opening], minlength=n)
+                if min_pairs <= 1:  # less log c(w1) for each pair; the first word by c / N
+                    weight = opening.astype(float) - w.next_is_own
+                    base = -log_total * heads
+                else:  # log c(w) for each word, backed off but for the first
+                    weight = 1.0 - repeated
+                    base = -log_total * size + log_alpha * (size - heads)
+                code = codes[w.at]
+                is_short = code >= 0
+                base = base + np.bincount(w.text[is_short], logs[code[is_short]] * weight[is_short], minlength=n)
+                text, k1, k2, x = _pairs_of(w, short)
+                if len(aids.keys):
+                    at = np.minimum(np.searchsorted(aids.keys, k1), len(aids.keys) - 1)
+                    hit = (k2 == PACKED) & (aids.keys[at] == k1)
+                    base = base + np.bincount(text[hit], aids.gains[at[hit]] * x[hit], minlength=n)
+                    text, k1, k2, x = text[~hit], k1[~hit], k2[~hit], x[~hit]
+                key, inverse = np.unique((w.text[~is_short] << _PLACE) | w.at[~is_short], return_inverse=True)
+                alone = np.bincount(inverse, weight[~is_short], minlength=len(key))
+                key, alone = key[alone != 0], alone[alone != 0]
+                text = np.concatenate([text, key >> _PLACE])
+                k1 = np.concatenate([k1, np.full(len(key), SINGLE)])
+                k2 = np.concatenate([k2, codes[key & (1 << _PLACE) - 1]])
+                x = np.concatenate([x.astype(float), alone])
+                slot = _slots(k1, k2, bits)
+                maybe = aids.bitmap[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1
+                own = uids[w.row]
+                text, none = text[maybe], np.full(n, SINGLE)
+                second = np.concatenate([k2[maybe], none, none])
+                mark = np.concatenate([np.full(len(text), -1), w.row, np.full(n, -1)])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([own[text], own, own])), pa.array(np.concatenate([k1[maybe], 2 * own, 2 * own + 1])),
+                     pa.array(second, mask=second == SINGLE), pa.array(np.concatenate([x[maybe], base, size.astype(float)])),
+                     ids.take(pa.array(mark, mask=mark < 0))], names=["uid", "k1", "k2", "x", "id"])
 
     return rows.mapInArrow(explode, f"uid long, k1 long, k2 long, x double, id {kind}")
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_pairs: int = 1) -> DataFrame:
     """One row per document: id, ``n_words``, ``log_score`` (natural log) and
     ``mean_log_score`` per word (0 without words)."""
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "lm")
+    scratch = Scratch(docs.sparkSession, "lm")
     words = scratch.write(word_counts(docs, text_col), "words")
-    hashes, counts, total = vocabulary(words)
-    short, others = coded_counts(words, hashes, counts)
-    seen = scratch.write(pairs(docs, hashes, counts, total, id_col, text_col)
-                         .groupBy("k1", "k2").agg(F.sum("x").alias("c")).filter(F.col("c") >= MIN_PAIRS), "pairs")
-    packed = seen.filter(F.col("k2") == PACKED)
-    top = packed.filter(F.col("c") >= count_of_top(packed, "c", FREQUENT_PAIRS))
-    top = pair_gains(top, short, others.limit(0), total).toPandas().sort_values("k1")  # at most 2^18 rows
-    table = pair_gains(seen, short, others, total)
-    singles = others.filter("n > 1").select(F.lit(SINGLE).alias("k1"), F.col("w").alias("k2"))
-    aids = (top["k1"].to_numpy(dtype=np.int64), top["gain"].to_numpy(dtype=float),
-            key_filter(seen.select("k1", "k2").unionByName(singles)))
-    joined = (pairs(docs, hashes, counts, total, id_col, text_col, aids)
+    short = short_ids(words)
+    seen = scratch.write(pair_counts(docs, short, text_col).filter(F.col("c") >= max(min_pairs, 2)), "pairs")
+    gains = pair_gains(seen, words, short, min_pairs)
+    table = gains if min_pairs <= 1 else scratch.write(gains, "gains")
+    packed = table.filter(F.col("k2") == PACKED)
+    top = packed.filter(F.col("c") >= count_of_top(packed, "c", FREQUENT_PAIRS)).select("k1", "gain").toArrow()  # so many rows
+    order = np.argsort(top.column("k1").to_numpy())
+    singles = words.filter((F.col("n") < short.least) & (F.col("n") > 1)).select(  # of one, the logarithm is 0
+        F.lit(SINGLE).alias("k1"), F.col("word").alias("k2"), F.log("n").alias("gain"))
+    table = table.select("k1", "k2", "gain").unionByName(singles)
+    aids = Aids(top.column("k1").to_numpy()[order], top.column("gain").to_numpy()[order], key_filter(table))
+    joined = (scored_rows(docs, short, aids, min_pairs, id_col, text_col)
               .join(table, ["k1", "k2"], "left"))  # null keys: a document's own figures
     own, is_words = F.col("k2").isNull(), F.col("k2").isNull() & (F.col("k1") % 2 == 1)
     score = F.when(own & ~is_words, F.col("x")).when(~own, F.col("x") * F.col("gain"))

@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,56 +10,73 @@ from tally.llm import lm_scoring
 from tally.llm.lm_scoring import lm_scores
 
 
-def plain(rows, bits):
+def plain(rows, least):
     texts = [(t or "").encode().split() for _, t in rows]
-    c = Counter(w for t in texts for w in t)
-    total = sum(c.values())
-    keep = {w for w, n in c.items() if n >= 2 and n * (1 << bits) >= total}
-    texts = [[w if w in keep else None for w in t] for t in texts]
     c, two = Counter(w for t in texts for w in t), Counter(p for t in texts for p in zip(t, t[1:]))
-    out = []
+    total, out = sum(c.values()), []
     for (i, _), t in zip(rows, texts):
         s = math.log(c[t[0]] / total) if t else 0.0
         for a, b in zip(t, t[1:]):
-            s += math.log(two[a, b] / c[a]) if two[a, b] >= 2 else math.log(0.4 * c[b] / total)
-        out.append((str(i), len(t), round(s, 4)))
+            s += math.log(two[a, b] / c[a]) if two[a, b] >= least else math.log(0.4 * c[b] / total)
+        out.append((str(i), len(t), s))
     return sorted(out)
 
 
-@pytest.mark.parametrize("bits", [18, 4])
-def test_scores(spark, monkeypatch, bits):
-    monkeypatch.setattr(lm_scoring, "VOCABULARY_BITS", bits)
+def same(docs, rows, least):
+    got = sorted((str(x.doc_id), x.n_words, x.log_score) for x in lm_scores(docs, min_pairs=least).collect())
+    want = plain(rows, least)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want], rel=1e-9, abs=1e-6)
+
+
+@pytest.mark.parametrize("least", [1, 2, 3])
+@pytest.mark.parametrize("short,frequent,bits", [(1 << 18, 1 << 18, 27), (3, 1, 27), (0, 0, 15)])
+def test_scores(spark, monkeypatch, short, frequent, bits, least):
+    """No word or pair is too rare, and the aids change no score."""
+    for name, value in {"SHORT_IDS": short, "FREQUENT_PAIRS": frequent, "FILTER_BITS": bits}.items():
+        monkeypatch.setattr(lm_scoring, name, value)
     r = random.Random(1)
     vocab = ["the", "of", "É", "a.", *(f"w{i}" for i in range(60))]
     rows = [(i, " ".join(r.choices(vocab, k=r.choice([0, 1, 2, 30, 90]), weights=[40, 30, 9, 9] + [1] * 60))) for i in range(80)]
-    rows += [(None, "the of"), (None, None), (3, "same the of"), (3, "same the of"), (500, "the of " * 20_000)]
+    rows += [(None, "the of"), (None, None), (3, "same the of"), (3, "same the of"), (500, "the of " * 20_000),
+             (600, " \n\tonce  only\x0bhere\x0c "), (601, "a　b a　b"), (602, "")]
     docs = (spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("key", F.lit("clash"))
             .withColumn("uid", F.lit(1)).withColumn("x", F.lit(2)))
-    got = sorted((str(x.doc_id), x.n_words, round(x.log_score, 4)) for x in lm_scores(docs).collect())
-    want = plain(rows, bits)
-    assert [g[:2] for g in got] == [w[:2] for w in want]
-    assert all(abs(g[2] - w[2]) < 1e-3 * max(1, abs(w[2])) * 1e-3 + 2e-4 for g, w in zip(got, want))
-    assert lm_scores(docs.limit(0)).count() == 0
+    same(docs, rows, least)
 
 
-@pytest.mark.parametrize("short,frequent,bits", [(1 << 18, 1 << 18, 27), (3, 1, 27), (0, 0, 15)])
-def test_every_word_is_counted_as_itself(spark, monkeypatch, short, frequent, bits):
-    """No word is too rare: with a common word 900,000 times, words of three
-    occurrences were one unknown word."""
-    for name, value in {"SHORT_IDS": short, "FREQUENT_PAIRS": frequent, "FILTER_BITS": bits}.items():
-        monkeypatch.setattr(lm_scoring, name, value)
-    rows = [(i, "the " * 60_000) for i in range(15)] + [(20, "rare pair"), (21, "rare pair the"), (22, "other word the once"),
-                                                        (23, ""), (24, None), (25, "word"), (None, "the rare")]
-    texts = [(t or "").split() for _, t in rows]
-    c, two = Counter(w for t in texts for w in t), Counter(p for t in texts for p in zip(t, t[1:]))
-    total = sum(c.values())
-    want = {}
-    for (i, _), t in zip(rows, texts):
-        s = math.log(c[t[0]] / total) if t else 0.0
-        for a, b in zip(t, t[1:]):
-            s += math.log(two[a, b] / c[a]) if two[a, b] >= lm_scoring.MIN_PAIRS else math.log(0.4 * c[b] / total)
-        want[i] = (len(t), s)
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r.doc_id: (r.n_words, r.log_score) for r in lm_scores(docs).collect()}
-    assert got.keys() == want.keys() and all(got[i][0] == want[i][0] for i in want)
-    assert all(got[i][1] == pytest.approx(want[i][1], rel=1e-6, abs=1e-4) for i in want)
+def test_empty_table(spark):
+    assert lm_scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    (row,) = lm_scores(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect()
+    assert (row.n_words, row.log_score, row.mean_log_score) == (0, 0.0, 0.0)
+
+
+def test_long_texts_in_blocks(monkeypatch):
+    """Blocks of a text give its words once and all its pairs."""
+    r = random.Random(2)
+    texts = [" ".join(r.choices("ab cde fgh i jklmnopqr é stuvwxyz　z".split(" "), k=n)) + r.choice(["", " ", "\n\n"])
+             for n in (0, 3, 50, 400, 1)] + [None, "x" * 300, " " * 200 + "y", "p q"]
+    column = pa.array(texts)
+
+    def facts():
+        words, two = Counter(), Counter()
+        for w in lm_scoring._words(column):
+            starts = lm_scoring._starts(w)
+            for j in range(len(w.at)):
+                row = int(w.row[w.text[j]])
+                if not starts[j] or w.first_block[w.text[j]]:
+                    words[row, int(w.hashes[w.at[j]])] += 1
+                if w.next_is_own[j]:
+                    two[row, int(w.hashes[w.at[j]]), int(w.hashes[w.at[j + 1]])] += 1
+        return words, two
+
+    whole = facts()
+    monkeypatch.setattr(lm_scoring, "CALL", 64)
+    assert facts() == whole
+    assert sum(whole[0].values()) == sum(len((t or "").encode().split()) for t in texts)
+
+
+def test_no_row_of_the_vocabulary_in_the_plan(spark):
+    rows = [(i, f"the w{i} of w{i % 3}") for i in range(50)]
+    plan = lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))._jdf.queryExecution().toString()
+    assert "LocalTableScan" not in plan.split("== Physical Plan ==")[1].split("MapInArrow")[0] and "LeftAnti" not in plan
