@@ -111,9 +111,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, in_training: C
 
 
 def sampled(rows: DataFrame, n_rows: int, wanted: int) -> DataFrame:
-    """About ``wanted`` of the ``n_rows`` rows, by a hash of the id."""
-    share = min(1.0, wanted / max(1, n_rows))
-    return rows.filter(F.shiftrightunsigned(F.xxhash64("id", F.lit(17)), 11) < int(share * (1 << 53)))
+    """About ``wanted`` of the ``n_rows`` rows, by a hash of the id, and never
+    more than twice as many, however often an id is repeated."""
+    share, draw = min(1.0, wanted / max(1, n_rows)), F.shiftrightunsigned(F.xxhash64("id", F.lit(17)), 11)
+    return rows.filter(draw < int(share * (1 << 53))).orderBy(draw, F.xxhash64("text")).limit(2 * wanted)
 
 
 def _counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:

@@ -1,10 +1,10 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick on folded text.
 
-Folding lower-cases, maps look-alike letters of other scripts and digits or
-signs inside words to Latin letters, and turns everything else into single
-blanks, so an entry is found behind any of these disguises. Accents tell words
+Folding lower-cases, maps look-alike letters of other scripts, and digits or
+signs of words that hold a letter, to Latin letters, and turns everything else
+into single blanks (numbers stay numbers), so an entry is found behind any of these disguises. Accents tell words
 of some languages apart, so they stay; the fixed entries, which have none, are
-also sought in the text without accents. An entry is a whole word or the
+also sought in words without their accents. An entry is a whole word or the
 beginning of one.
 
 The lexicon starts from a few fixed entries and learns words and word
@@ -22,7 +22,8 @@ every whole text is scored.
 Edge cases: null and empty texts have level 0, hence score 0; contradicting
 labels of a document drop its label; without labels the fixed entries and a
 default cut remain; repeated rows are scored each; very long texts are folded
-in blocks cut at white space; an empty table gives no rows; labels, lang,
+in blocks cut at white space, each with the word before and behind it, so that
+a score does not depend on where blocks end; an empty table gives no rows; labels, lang,
 source and id are never read for a score, nor are other columns.
 """
 
@@ -31,6 +32,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import pairwise
 
 import numpy as np
@@ -60,16 +62,23 @@ DEFAULT_CUT = 1.0
 BLOCK = 1 << 20
 
 _TRAILING_SIGNS = re.compile(r"[@$!]+(?!\w)")
+_SIGNED = re.compile(r"[^\W_]*[0134578@$!](?:[^\W_]|[@$!])*")
 _GAPS = re.compile(r"[\W_]+")
 _MARKS = re.compile("[̀-ͯ]+")
 
 
+def _letters(token: re.Match) -> str:
+    """Signs as letters in a token that holds a letter."""
+    own = token.group()
+    return own.translate(SIGNS) if any(c.isalpha() for c in own) else own
+
+
 def fold(text: str) -> str:
     """Folded words between single blanks, with a blank at either end."""
     text = text.lower()
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text).translate(LOOKS)
-    text = _TRAILING_SIGNS.sub(" ", text).translate(SIGNS)
+    text = _SIGNED.sub(_letters, _TRAILING_SIGNS.sub(" ", text))
     return f" {_GAPS.sub(' ', text).strip()} "
 
 
@@ -78,14 +87,37 @@ def bare(folded: str) -> str:
     return _MARKS.sub("", unicodedata.normalize("NFKD", folded))
 
 
-def folded_blocks(text: str) -> Iterator[str]:
-    at = 0
-    while at < len(text):
-        end = min(len(text), at + BLOCK)
-        while end < len(text) and not text[end].isspace():
-            end += 1
-        yield fold(text[at:end])
-        at = end
+@dataclass
+class Block:
+    """Folded words of a block between the word before and the word behind
+    it; ``start`` and ``stop`` bound the blanks before its own words."""
+    folded: str
+    start: int
+    stop: int
+    words: int
+
+
+def folded_blocks(text: str) -> Iterator[Block]:
+    """The folded words of a text in blocks; every word is one block's own."""
+    def parts() -> Iterator[str]:
+        at = 0
+        while at < len(text):
+            end = min(len(text), at + BLOCK)
+            while end < len(text) and not text[end].isspace():
+                end += 1
+            own = fold(text[at:end]).strip()
+            if own:
+                yield own
+            at = end
+        yield ""
+
+    left = own = ""
+    for following in parts():
+        if own:
+            head, tail = f" {left}" if left else "", f" {following.split(' ', 1)[0]} " if following else " "
+            yield Block(f"{head} {own}{tail}", len(head), len(head) + len(own) + 1, own.count(" ") + 1)
+            left = own.rsplit(" ", 1)[-1]
+        own = following
 
 
 def terms(word: str) -> list[str]:
@@ -134,15 +166,28 @@ class Lexicon:
     def level(self, text: str | None) -> float:
         """Weight found per 100 words of the whole text."""
         total, words = 0.0, 0
-        for folded in folded_blocks(text or ""):
-            words += folded.count(" ") - 1
-            weight = sum(self.all.found(folded).values())
-            if not folded.isascii():
-                weight = max(weight, sum(self.fixed.found(bare(folded)).values()))
-            total += weight
+        for block in folded_blocks(text or ""):
+            words += block.words
+            found = by_word(block.folded, self.all.found(block.folded))
+            if not block.folded.isascii():
+                plain, own = bare(block.folded), block.folded.split()
+                for word, weight in by_word(plain, self.fixed.found(plain)).items():
+                    if not own[word].isascii():
+                        found[word] = max(weight, found.get(word, 0.0))
+            first = block.folded.count(" ", 0, block.start)
+            total += sum(weight for word, weight in found.items() if first <= word < first + block.words)
         return 100 * total / words if words else 0.0
 
 
+def by_word(folded: str, hits: dict[int, float]) -> dict[int, float]:
+    """Hits by the number of their word (from 0) instead of its place."""
+    out, at, word = {}, 0, 0
+    for start in sorted(hits):
+        word += folded.count(" ", at, start)
+        out[word], at = hits[start], start
+    return out
+
+
 def learn_entries(rows: DataFrame) -> dict[str, float]:
     """Entries from (text, y) rows: candidates are counted by document in each
     task, then summed; those that pass the thresholds reach the driver."""
@@ -152,8 +197,9 @@ def learn_entries(rows: DataFrame) -> dict[str, float]:
         for batch in batches:
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 near: dict[str, str] = {}
-                for folded in folded_blocks(text or ""):
-                    for previous, word in pairwise(["", *folded.split()]):
+                for block in folded_blocks(text or ""):
+                    before_own = block.folded[:block.start].strip()
+                    for previous, word in pairwise([before_own, *block.folded[block.start:block.stop].split()]):
                         for t in terms(word):
                             near.setdefault(t, previous)
                 for t, previous in near.items():
@@ -172,7 +218,7 @@ def learn_entries(rows: DataFrame) -> dict[str, float]:
     n = {r.y: r.n for r in totals}
     found = (rows.select("text", "y").mapInArrow(count, "term string, toxic long, clean long, near long").groupBy("term")
              .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"),
-                  F.approx_count_distinct("near").alias("contexts"))
+                  F.count_distinct("near").alias("contexts"))
              .filter((F.col("toxic") >= MIN_DOCS) & (F.col("contexts") >= MIN_CONTEXTS)
                      & (F.col("toxic") >= MIN_PRECISION * (F.col("toxic") + F.col("clean")))).toPandas())
     odds = np.log((found["toxic"] + 0.5) / (n.get(1, 0) + 1)) - np.log((found["clean"] + 0.5) / (n.get(0, 0) + 1))
@@ -195,11 +241,15 @@ def learn_exceptions(rows: DataFrame, entries: dict[str, float]) -> list[str]:
             out = []
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 own = set()
-                for folded in folded_blocks(text or ""):
+                for block in folded_blocks(text or ""):
+                    folded = block.folded
                     for start in matcher.found(folded):
-                        left, right = folded[:start].rsplit(" ", 1)[-1], folded[start + 1:start + 400].split(" ")
-                        own |= {f"{left} {right[0]}"} if left else set()
-                        own |= {f"{right[0]} {right[1]}"} if len(right) > 1 and right[1] else set()
+                        if not block.start <= start < block.stop:
+                            continue
+                        left, end = folded[folded.rfind(" ", 0, start) + 1:start], folded.find(" ", start + 1)
+                        word, right = folded[start + 1:end], folded[end + 1:max(folded.find(" ", end + 1), end + 1)]
+                        own |= {f"{left} {word}"} if left else set()
+                        own |= {f"{word} {right}"} if right else set()
                 out += [(p, y) for p in own]
             yield pa.RecordBatch.from_pydict({"phrase": [p for p, _ in out], "y": [y for _, y in out]},
                                              schema=pa.schema([("phrase", pa.string()), ("y", pa.int32())]))
