@@ -73,3 +73,114 @@ def test_ordinals_against_brute_force_with_hot_group(spark):
     assert got2 == want2
     small = {r.k: r.o for r in small_ordinal(df, [F.col("v"), F.col("k")], "o", 3000).collect()}
     assert small == want
+
+
+def test_mark_ranges_hold_every_page():
+    """Pages found from marks, with and without holes, against the ids."""
+    random.seed(3)
+    for dense in (True, False):
+        ids, marks, last = [], [], 0
+        for _ in range(30):
+            size = random.randint(1, 9)
+            gap = random.choice([0, 0, 5])
+            own = list(range(last + 1 + gap, last + 1 + gap + size)) if dense else \
+                sorted(random.sample(range(last + 1 + gap, last + 40 + gap), size))
+            if not marks or own[0] > last + 1:
+                marks.append([own[0] - 1, len(ids)])
+            ids += own
+            last = own[-1]
+            marks.append([last, len(ids)])
+        newest = ids[::-1]
+        for limit in (1, 3, 20, 500):
+            for offset in range(0, len(ids) + 3):
+                found = views.mark_range(marks, limit, offset)
+                want = newest[offset:offset + limit]
+                if found is None:
+                    assert want == []
+                    continue
+                above, upto, skip = found
+                inside = [i for i in newest if above < i <= upto]
+                assert inside[skip:skip + limit] == want, (dense, limit, offset)
+                if dense:
+                    assert skip == 0 and len(inside) == len(want)
+                else:
+                    assert len(inside) <= limit + 2 * 9
+    assert views.mark_range([], 5, 0) is None and views.mark_range(marks, 0, 0) is None
+
+
+def _store_rows(spark, ids):
+    from tally.schemas import DETAIL
+    day = dt.date(2024, 1, 1)
+    rows = [(i, 1, day, f"n{i}", i, "", "", "", day, "", "", "f", None, None, 202401) for i in ids]
+    return spark.createDataFrame(rows, DETAIL).drop("ym")
+
+
+def test_stored_pages_read_one_range(spark, workdir):
+    from tally.sources.store import LedgerStore
+    store = LedgerStore(spark, f"{workdir}/store")
+    ids = list(range(1, 41)) + list(range(50, 300, 7)) + list(range(300, 320))
+    for own in (ids[:40], ids[40:76], ids[76:]):
+        store.append("detail", _store_rows(spark, own))
+    store.append("detail_status", _events(spark, [(i, "check", 1) for i in ids[:60]]))
+    store.compact_status()
+    store.append("detail_status", _events(spark, [(ids[5], "reset", 2), (ids[70], "forward", 2)]))
+    judged = set(ids[:60]) - {ids[5]} | {ids[70]}
+    for limit, offset in ((5, 0), (7, 30), (20, 60), (20, 90), (5, 200)):
+        df = views.stored_page(store, limit, offset)
+        got = [(r.id, r.importJudgeDate is not None) for r in df.collect()]
+        assert got == [(i, i in judged) for i in ids[::-1][offset:offset + limit]]
+    plan = views.stored_page(store, 3, 85)._jdf.queryExecution().executedPlan().toString()  # ids 8 to 10 from below
+    assert "GreaterThan(id," in plan and "LessThanOrEqual(id," in plan and "GreaterThan(detail_id," in plan
+    store.append("detail", _store_rows(spark, [45]))  # below the others: no marks any more
+    assert store.marks("detail") is None
+    assert [r.id for r in views.stored_page(store, 2, 55).collect()] == sorted([*ids, 45], reverse=True)[55:57]
+    assert views.stored_page(LedgerStore(spark, f"{workdir}/none")).collect() == []
+
+
+def test_base_and_tail_equal_all_events(spark, workdir):
+    from tally.sources.store import LedgerStore
+    random.seed(5)
+    store, events = LedgerStore(spark, f"{workdir}/store"), []
+    detail = _detail(spark, 60)
+    for seq in range(1, 8):
+        own = [(i, random.choice(["check", "forward", "reset"]), seq) for i in random.sample(range(1, 61), 15)]
+        events += own
+        store.append("detail_status", _events(spark, own))
+        if seq in (2, 3, 6):
+            assert store.compact_status()
+        key = lambda r: (r.id, r.maw_check_date, r.maw_regist_date)
+        got = sorted(map(key, S.with_state(detail, store.status()).collect()), key=str)
+        assert got == sorted(map(key, S.with_status(detail, _events(spark, events)).collect()), key=str)
+    base, tail, n = store.status_parts()
+    assert n == 15 and tail.count() == 15 and base.count() == len({i for i, _, s in events if s <= 6})
+    assert not store.compact_status(least_tail=16) and not store.compact_status(least_tail=15)  # fewer than the base
+    old = [f for f in store.folders("detail_status") if f in str(tail.inputFiles())]
+    assert len(old) == 1  # the tail's folder alone is listed
+
+
+def test_a_drop_in_bounded_runs_goes_on_where_it_died(spark, workdir, monkeypatch):
+    from conftest import write
+    from tally.plans import importer
+    from tally.sources.store import LedgerStore
+    store = LedgerStore(spark, f"{workdir}/store")
+    for k in range(5):
+        write(f"{workdir}/drop/{k}_cf.csv", f",2024/07/{k + 1:02d},N{k},-1,i,l,m,,,\n")
+    write(f"{workdir}/drop/5_cf.csv", "")
+    real, calls = importer._import_kinds, []
+
+    def dies(spark, store, by_kind, **kw):
+        calls.append(kw["run_id"])
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        return real(spark, store, by_kind, **kw)
+
+    monkeypatch.setattr(importer, "_import_kinds", dies)
+    try:
+        importer.import_drop(spark, store, f"{workdir}/drop", run_id="d", max_files=2)
+    except RuntimeError:
+        pass
+    assert [r.name for r in store.read("detail").orderBy("id").collect()] == ["N0", "N1"]
+    importer.import_drop(spark, store, f"{workdir}/drop", run_id="d", max_files=2)
+    assert calls == ["d.0", "d.1", "d.1", "d.2"]
+    assert [(r.id, r.name) for r in store.read("detail").orderBy("id").collect()] == [(k + 1, f"N{k}") for k in range(5)]
+    assert [r.src_file for r in store.read("import_history").orderBy("id").collect()] == [f"{k}_cf.csv" for k in range(6)]

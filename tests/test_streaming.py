@@ -89,3 +89,37 @@ def test_an_aborted_epoch_is_tried_again(spark, workdir):
     stream_import(spark, store, landing, ckpt).awaitTermination()
     rows = store.read("detail").orderBy("id").collect()
     assert [(r.id, r.name) for r in rows] == [(1, "A"), (2, "B"), (3, "C")]
+
+
+def test_gauges_publish_what_changed(spark, workdir):
+    """A trigger with one changed label writes one row; late, lower ids write
+    none; bases keep the reader short, and a replayed epoch changes nothing."""
+    from pyspark.sql import functions as F
+    from tally.plans.table_queries import _forget_last_epoch
+    from tally.schemas import IMPORT_HISTORY
+    src, out, ckpt = f"{workdir}/history", f"{workdir}/gauges", f"{workdir}/gckpt"
+
+    def land(rows):
+        df = spark.createDataFrame(rows, "id long, job_label string, parsed_entry_num long")
+        cols = [(F.col(f.name) if f.name in df.columns else F.lit(1)).cast(f.dataType if f.dataType.simpleString() != "timestamp"
+                else "long").cast(f.dataType).alias(f.name) for f in IMPORT_HISTORY.fields]
+        df.select(*cols).write.mode("append").parquet(src)
+        stream_latest_runs(spark, src, out, ckpt, base_every=3).awaitTermination()
+
+    def published(epoch):
+        return spark.read.parquet(f"{out}/v={epoch}").count()
+
+    land([(1, "a", 10), (2, "b", 20), (3, None, 30), (4, "a", 40)])
+    land([(9, "b", 90)])
+    land([(5, "b", 50), (3, "c", 5)])
+    land([(2, None, 1)])
+    assert [published(e) for e in range(4)] == [3, 1, 1, 0]
+    want = {"a": (4, 40), "b": (9, 90), None: (3, 30), "c": (3, 5)}
+    got = lambda: {r.job_label: (r.id, r.parsed_entry_num) for r in read_latest_runs(spark, out).collect()}
+    assert got() == want
+    land([(20, "c", 200)])
+    _forget_last_epoch(spark, ckpt)
+    stream_latest_runs(spark, src, out, ckpt, base_every=3).awaitTermination()
+    assert published(4) == 1 and got() == want | {"c": (20, 200)}
+    import os
+    assert os.path.isdir(f"{out}/base=2")
