@@ -38,8 +38,13 @@ from pyspark.sql import functions as F
 from .common import Scratch, packed, ship_code, small
 from .components import components
 
-#: Fingerprints of a unit that are traversed at once, about.
-UNIT_ROWS = 4096
+#: Largest unit that is traversed at once; its task holds about 300 bytes a row.
+#: Without hot prefixes that is enough for 8 * 10^9 distinct fingerprints. An
+#: expansion copies each row of a unit to its child node pairs within the
+#: budget: 16 rows after one, 163 after two, 794 after three (k = 4).
+UNIT_ROWS = 1 << 20
+#: Fingerprints of a task that takes several units, about.
+BATCH_ROWS = 8192
 #: Node pairs held at a time while a unit is traversed.
 FRONTIER = 200_000
 #: Shingles hashed before their votes are counted.
@@ -116,7 +121,7 @@ def trie_pairs(values: np.ndarray, starts: np.ndarray, depth: int, budget: int)
             continue
         if level not in ones:
             bit = (values >> np.uint64(63 - level)) & np.uint64(1)
-            ones[level] = np.concatenate([[0], np.cumsum(bit, dtype=np.int64)])
+            ones[level] = np.concatenate([np.zeros(1, np.int32), np.cumsum(bit, dtype=np.int32)])
         one = ones[level]
         a0, a1, b0, b1, e = nodes.T
         a_mid, b_mid = a1 - (one[a1] - one[a0]), b1 - (one[b1] - one[b0])
@@ -208,7 +213,7 @@ def links(fps: DataFrame, max_bits: int) -> DataFrame:
         large, rows = sizes.agg(F.count_if(F.col("n") > UNIT_ROWS), F.coalesce(F.sum("n"), F.lit(0))).first()
         live = units.join(sizes.select(*key, "n"), key)
         fits = (F.col("n") <= UNIT_ROWS) | (F.col("depth") > 60)
-        batches = F.lit(-(-rows // (2 * UNIT_ROWS * len(bounds[1:]))) or 1)
+        batches = F.lit(-(-rows // (BATCH_ROWS * len(bounds[1:]))) or 1)
         found = (live.filter(fits).select(*key, "depth", "spent", "side", "fp")
                  .groupBy("trie", "depth", F.pmod(F.xxhash64("unit"), batches).alias("batch"))
                  .applyInPandas(_edges(max_bits), "u long, v long"))

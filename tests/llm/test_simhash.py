@@ -52,6 +52,33 @@ def test_links_split_units_lose_nothing(spark, monkeypatch):
     assert {n: got.get(n, n) for n in want} == want
 
 
+def test_rows_written_for_random_fingerprints(spark, monkeypatch):
+    """Without hot prefixes nothing is expanded: what is written beside the
+    links is a size row for each unit of two or more. A hot prefix is: its rows
+    are copied 16 times, then up to 163 and 794 times."""
+    r = np.random.default_rng(4)
+    n = 20_000
+    df = spark.createDataFrame([(int(x),) for x in r.integers(-(1 << 63), 1 << 63, n)], "fp long")
+    written = {}
+
+    class Counting(Scratch):
+        def write(self, frame, name):
+            out = super().write(frame, name)
+            written[name] = out.count()
+            return out
+
+    monkeypatch.setattr(simhash, "Scratch", Counting)
+    links(df, 4).collect()
+    assert not [k for k in written if k.startswith("units")] and written["sizes0"] <= 5 * n
+    written.clear()
+    monkeypatch.setattr(simhash, "UNIT_ROWS", 1)
+    same = spark.createDataFrame([(x,) for x in range(40)], "fp long")  # one prefix in all tries but the last
+    links(same, 4).collect()
+    in_large = 4 * 40  # rows of units that are expanded, and their copies at each turn
+    assert written["units1"] == in_large * 16  # nodes that nothing meets go before the next turn
+    assert all(written[f"units{t}"] <= in_large * c for t, c in ((2, 163), (3, 794)))
+
+
 def texts():
     r = random.Random(3)
     word = lambda: r.choice("ab") + str(r.randrange(300))
