@@ -45,7 +45,7 @@ JOINED = 128
 #: Bytes of a text that are split into words at a time.
 BLOCK = 1 << 20
 #: Bytes of texts whose words are looked up together.
-CALL = 8 * BLOCK
+CALL = 2 * BLOCK
 END_ID = 1
 
 
