@@ -3,6 +3,14 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next stage's ``docs``. All but the
 last return the columns of ``documents``.
+
+Edge cases, stage by stage: null, empty and short texts go with the quality
+rules; a null id stays a row of its own (it is the last choice to stay of equal
+or near texts); a null source is a source; repeated rows and ties leave one row
+in the dedup stages, by id, text and then all columns; a document that the mix
+takes twice is two rows, packed each; very long texts are read whole and cut
+into full sequences; an empty table gives an empty result; further columns,
+whatever their names, pass through to the last stage, which returns pieces.
 """
 
 from __future__ import annotations

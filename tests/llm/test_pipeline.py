@@ -1,3 +1,4 @@
+import random
 from collections import Counter, defaultdict
 
 import corpus_pipeline
@@ -54,3 +55,53 @@ def test_each_stage_on_its_own_input(spark, tmp_path):
 def test_run(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and "sequence_id" in out.columns
+
+
+def hostile():
+    r = random.Random(12)
+    word = lambda: r.choice("bcdfghklm") + r.choice("aeiou") + r.choice("lmnrst") + r.choice("aeiou") + r.choice(["", "n", "r"])
+    text = lambda n: " ".join(word() for _ in range(n))
+    rows = [(i, text(r.randint(60, 200)), r.choice([None, "a", "b", "é"])) for i in range(60)]
+    rows += [(i, None, "a") for i in (100, 101, None)] + [(110, "", None), (111, " \n\t", "b"), (112, text(49), "a")]
+    rows += [rows[3], rows[3], (None, rows[4][1], None), (None, text(80), "a"), (None, text(80), "a"), (200, rows[5][1] + "\n", "b")]
+    rows += [(300, " ".join([*rows[6][1].split(), "more"]), "a"), (400, text(60_000), "b"), (7, text(90), "b")]
+    docs = [(i, t, s, n, f"row{n % 3}", n % 2 == 0 or None, [n], 1.5) for n, (i, t, s) in enumerate(rows)]
+    return docs, "doc_id long, text string, source string, n_chars long, key string, fp boolean, row array<int>, uid double"
+
+
+def test_a_hostile_table_through_all_stages(spark, tmp_path):
+    rows, schema = hostile()
+    labels = spark.createDataFrame([(i, int(i % 4 != 0)) for i in range(40)] + [(None, 1), (5, 0), (5, 1), (400, 1)], "doc_id long, quality int")
+    labels.coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
+    empty = spark.createDataFrame([], schema)
+    docs, seen = spark.createDataFrame(rows, schema).repartition(5), {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert name == "packing" or out.schema.simpleString() == docs.schema.simpleString()
+        out.write.parquet(str(tmp_path / name))
+        seen[name] = docs.collect()
+        docs = spark.read.parquet(str(tmp_path / name))
+        empty_out = stage(spark, empty, str(tmp_path))
+        assert empty_out.count() == 0
+        if name != "packing":
+            empty = empty_out
+    kept = seen["exact_dedup"]  # what the quality rules left
+    assert kept and all(len(words(r.text)) >= 50 for r in kept)
+    texts = Counter(normal(r.text) for r in seen["simhash_dedup"])
+    assert set(texts) == {normal(r.text) for r in kept} and set(texts.values()) == {1}
+    by_text = defaultdict(list)
+    for r in kept:
+        by_text[normal(r.text)].append(r.doc_id)
+    for r in seen["simhash_dedup"]:
+        known = [i for i in by_text[normal(r.text)] if i is not None]
+        assert r.doc_id == min(known, default=None)
+    assert {r.text for r in seen["mixing"]} <= {r.text for r in seen["simhash_dedup"]}
+    fps = [plain_fingerprint(r.text) for r in seen["mixing"]]
+    assert not near(fps, 4) and len(set(fps)) == len(fps)
+    mixed = seen["packing"]
+    assert {(r.doc_id, r.text, r.key) for r in mixed} <= {(r.doc_id, r.text, r.key) for r in seen["mixing"]}
+    fill, starts = Counter(), Counter()
+    for r in docs.collect():
+        fill[r.sequence_id] += r.length
+        starts[r.doc_id] += r.piece == 0
+    assert max(fill.values()) <= 4096 and starts == Counter(r.doc_id for r in mixed)
