@@ -14,12 +14,13 @@ Substring rules have two exact strategies:
   one row) and each ledger row runs ``filter(rules, r -> contains(...))``.
   No shuffle; cost per row grows with the number of substring rules, so it
   is used only up to ``max_array_rules``.
-* ``join``: the distinct texts of both fields are matched first. For every
-  distinct rule length L, each text emits its substrings of length L; they
-  are equi-joined to the rules on (field, L, value) and the lowest rule id per
-  text is kept with min_by (partial aggregation). Cost grows with the length
-  of distinct texts, not with the number of rules. Exact rules join the same
-  distinct texts, so the rows are joined once per field.
+* ``join``: the distinct texts of both fields are matched first. Each
+  substring rule is filed under its rarest gram of three characters; a text
+  emits its distinct grams once, meets the rules filed under them, and is
+  verified with ``contains``; the lowest rule id per text is kept with min_by
+  (partial aggregation). What a text emits depends on its length alone, not on
+  the rules' number or lengths. Exact rules join the same distinct texts, so
+  the rows are joined once per field.
 """
 
 from __future__ import annotations
@@ -91,26 +92,53 @@ def _contains_array(rows: DataFrame, dictionary: DataFrame, field: str, out: str
             .drop(f"_rs_{out}"))
 
 
+#: Characters of the grams by which substring rules are filed.
+GRAM = 3
+
+
+def _grams(text: str, sizes: Column) -> Column:
+    """Distinct grams of each size of a text column."""
+    def of_size(n: Column) -> Column:
+        starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.substring(text, i, n))
+    return F.array_distinct(F.flatten(F.transform(sizes, of_size)))
+
+
+def anchors(texts: DataFrame, part: DataFrame, sizes: Column) -> DataFrame:
+    """(field, gram, value, rule_id, category_id): each substring rule under
+    its gram that the fewest texts hold. A rule with a gram that no text holds
+    matches none and is left out. Rules shorter than GRAM are their own gram."""
+    size = F.least(F.length("value"), F.lit(GRAM))
+    own = part.withColumn("grams", _grams("value", F.array(size)))
+    filed = own.select("field", "value", "rule_id", "category_id", F.size("grams").alias("n_grams"), F.explode("grams").alias("gram"))
+    held = (texts.select("field", F.explode(_grams("text", sizes)).alias("gram"))
+            .join(filed.select("field", "gram").distinct(), ["field", "gram"], "left_semi")
+            .groupBy("field", "gram").agg(F.count(F.lit(1)).alias("texts")))
+    best = (filed.join(held, ["field", "gram"]).groupBy("field", "value", "rule_id", "category_id", "n_grams")
+            .agg(F.min_by("gram", F.struct("texts", "gram")).alias("gram"), F.count(F.lit(1)).alias("found")))
+    return best.filter(F.col("found") == F.col("n_grams")).select("field", "gram", "value", "rule_id", "category_id")
+
+
 def _match_texts(rows: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(field, text, exact_category, contains_category) of every distinct text
-    of both fields that some rule matches. Substrings of the distinct texts,
-    one explode for both fields, meet the rules in one equi-join."""
-    texts = (rows.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in FIELDS]))
-                         .alias("t")).select("t.*").distinct())
+    of both fields that some rule matches. A text emits its grams of up to
+    three sizes once, whatever the rules' lengths; those that are some rule's
+    anchor are verified with ``contains``."""
+    texts = stage(rows.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in FIELDS]))
+                              .alias("t")).select("t.*").distinct(), "texts")
     exact = dictionary.filter("exact").select(F.col("field_name").alias("field"), F.col("value").alias("text"),
                                               F.col("category_id").alias("exact_category"))
-    part = dictionary.filter(~F.col("exact")).select(F.col("field_name").alias("field"), "value", "rule_id", "category_id",
-                                                     F.length("value").alias("len"))
-    # distinct lengths by field: at most the longest rule value each, one scalar array
-    lengths = part.agg(F.collect_set(F.struct("field", "len"))).scalar()
-    own = F.filter("lengths", lambda x: (x["field"] == F.col("field")) & (x["len"] <= F.length("text")))
-    pieces = (texts.withColumn("lengths", lengths).select("field", "text", F.explode(own).alias("l"))
-              .select("field", "text", F.col("l.len").alias("len"))
-              .withColumn("i", F.explode(F.sequence(F.lit(1), F.length("text") - F.col("len") + 1)))
-              .select("field", "text", "len", F.expr("substring(text, i, len)").alias("value")))
-    hits = (pieces.join(part, ["field", "len", "value"]).groupBy("field", "text")
-            .agg(F.min_by("category_id", "rule_id").alias("contains_category")))
-    return (texts.join(exact, ["field", "text"], "left").join(hits, ["field", "text"], "left")
+    part = dictionary.filter(~F.col("exact")).select(F.col("field_name").alias("field"), "value", "rule_id", "category_id")
+    sizes = part.filter("value <> ''").agg(F.collect_set(F.least(F.length("value"), F.lit(GRAM)))).scalar()  # three at most
+    texts = texts.withColumn("sizes", sizes)
+    filed = stage(anchors(texts, part.filter("value <> ''"), F.col("sizes")), "anchors")
+    found = (texts.select("field", "text", F.explode(_grams("text", F.col("sizes"))).alias("gram"))
+             .join(filed, ["field", "gram"]).filter(contains(F.col("text"), F.col("value")))
+             .select("field", "text", "rule_id", "category_id"))
+    always = part.filter("value = ''").select("field", "rule_id", "category_id")  # the empty value, one rule a field
+    found = found.unionByName(texts.select("field", "text").join(F.broadcast(always), "field").select(*found.columns))
+    hits = found.groupBy("field", "text").agg(F.min_by("category_id", "rule_id").alias("contains_category"))
+    return (texts.drop("sizes").join(exact, ["field", "text"], "left").join(hits, ["field", "text"], "left")
             .filter(F.col("exact_category").isNotNull() | F.col("contains_category").isNotNull()))
 
 

@@ -206,3 +206,34 @@ def test_auto_switches_to_join_for_many_substring_rules(spark):
     auto = {r.id: r.category_id for r in R.classify(rows, rules).collect()}
     arr = {r.id: r.category_id for r in R.classify(rows, rules, strategy="array").collect()}
     assert auto == arr == {1: 1042, 2: 1700, 3: None, 4: 7}
+
+
+def test_gram_index_equals_contains(spark):
+    """Rules of all lengths, overlapping grams, letters beyond the basic
+    plane, and grams that many texts hold, against plain ``in``."""
+    import random
+    r = random.Random(6)
+    text = lambda n: "".join(r.choice("abcab é漢🙂%_") for _ in range(n))
+    texts = [(i, text(r.randrange(0, 25)), text(r.randrange(0, 6)), "") for i in range(300)]
+    texts += [(900, "aaaaaaaa", "", ""), (901, "", "", ""), (902, None, "abc", "")]
+    values = {(f, text(r.choice([1, 2, 3, 4, 5, 8]))) for f in ("name", "m_category") for _ in range(40)} | {("name", "aaaa"), ("name", "zzz")}
+    rules = [(k + 1, f, v, 0, 1000 + k) for k, (f, v) in enumerate(sorted(values))]
+    rows = spark.createDataFrame(texts, "id long, name string, m_category string, fin_ins string")
+    got = {x.id: x.category_id for x in R.classify(rows, rules_df(spark, rules), strategy="join", with_transit=False).collect()}
+
+    def first(field, value):
+        return min(((i, c) for i, f, v, _, c in rules if f == field and v in (value or "")), default=(0, None))[1]
+
+    assert got == {i: first("name", n) if first("name", n) is not None else first("m_category", m) for i, n, m, _ in texts}
+
+
+def test_grams_do_not_follow_the_rules_lengths(spark):
+    texts = spark.createDataFrame([("name", "abcdefghijklmnopqrstuvwxyz")], "field string, text string")
+    grams = lambda sizes: len(texts.select(R._grams("text", F.array(*[F.lit(s) for s in sizes]))).first()[0])
+    assert grams([3]) == 24 and grams([1, 2, 3]) == 75
+    part = spark.createDataFrame([("name", "abcdefghijkl", 1, 1), ("name", "qrstuv", 2, 2), ("name", "xyz!", 3, 3), ("name", "zz", 4, 4)],
+                                 "field string, value string, rule_id long, category_id long")
+    filed = R.anchors(texts.unionByName(texts.selectExpr("field", "'abcdefgh qrs' AS text")), part, F.array(F.lit(2), F.lit(3))).collect()
+    assert {x.rule_id for x in filed} == {1, 2}  # the others have a gram that no text holds
+    rare = {x.rule_id: x.gram for x in filed}
+    assert rare[1] in {"ghi", "hij", "ijk", "jkl"} and rare[2] in {"rst", "stu", "tuv"}
