@@ -49,8 +49,8 @@ from .common import Scratch
 ALPHA = 0.4
 #: Words with a short id, at most.
 SHORT_IDS = 1 << 18
-#: Bytes of text that are counted together (at most 2^21 words, see _PLACE).
-CALL = 1 << 22
+#: Bytes of text that are counted together (at most 2^20 words, see _PLACE).
+CALL = 1 << 21
 #: Pairs whose gains are broadcast, at most, and bits of the bitmap (2^27: 16 MB).
 FREQUENT_PAIRS = 1 << 18
 FILTER_BITS = 27
