@@ -111,10 +111,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, in_training: C
 
 
 def sampled(rows: DataFrame, n_rows: int, wanted: int) -> DataFrame:
-    """About ``wanted`` of the ``n_rows`` rows, by a hash of the id, and never
-    more than twice as many, however often an id is repeated."""
-    share, draw = min(1.0, wanted / max(1, n_rows)), F.shiftrightunsigned(F.xxhash64("id", F.lit(17)), 11)
-    return rows.filter(draw < int(share * (1 << 53))).orderBy(draw, F.xxhash64("text")).limit(2 * wanted)
+    """About ``wanted`` of the ``n_rows`` rows, by a hash of the id."""
+    share = min(1.0, wanted / max(1, n_rows))
+    return rows.filter(F.shiftrightunsigned(F.xxhash64("id", F.lit(17)), 11) < int(share * (1 << 53)))
+
+
+def bounded(sample: DataFrame, wanted: int) -> DataFrame:
+    """At most twice ``wanted`` rows of a sample, for a task that takes them
+    all, however often an id is repeated."""
+    return sample.orderBy(F.xxhash64("id", F.lit(17)), F.xxhash64("text")).limit(2 * wanted)
 
 
 def _counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
@@ -160,7 +165,7 @@ def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 42) -> np.n
         used = np.flatnonzero(w)
         return pd.DataFrame({"feature": used, "weight": w[used]})
 
-    sample = sampled(rows, n_pos + n_neg, sample_rows).withColumn("task", F.lit(0))  # bounded by sample_rows
+    sample = bounded(sampled(rows, n_pos + n_neg, sample_rows), sample_rows).withColumn("task", F.lit(0))
     model = sample.groupBy("task").applyInPandas(train, "feature long, weight double")
     got = Scratch(rows.sparkSession, "nbsvm").write(model, "weights").toPandas()  # SIZE + 1 rows at most
     weights[got["feature"]] = got["weight"]
