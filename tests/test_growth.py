@@ -1,0 +1,97 @@
+"""Steps whose cost follows the rows of a run: first rows per key, range
+shuffles, split sizes, the probed months, names under a collation."""
+
+import datetime as dt
+import random
+
+from pyspark.sql import functions as F
+
+from conftest import write
+from tally.operators import dedup, ordinal
+from tally.plans import importer
+from tally.plans.importer import import_ledger
+from tally.sources.csv_scan import scan_ledger_csv
+from tally.sources.store import LedgerStore
+
+ROW = ",2024/{:02d}/{:02d},{},-{},i,l,m,,,\n"
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_rows_are_found_without_sorting_whole_rows(spark):
+    random.seed(5)
+    rows = [(dt.date(2024, 1, random.randint(1, 3)), random.choice(["a", "b", None]), random.randint(1, 3), i % 4, i // 4, f"t{i}")
+            for i in range(200)]
+    df = spark.createDataFrame(rows, "date date, name string, price long, file_rank long, row_idx long, memo string")
+    for reverse in (True, False):
+        out = dedup.first_processed(df, dedup.LEDGER_KEY, reverse, unique_positions=True)
+        assert "SortAggregate" not in plan_of(out) and out.columns == df.columns
+        want = {}
+        for r in sorted(rows, key=lambda r: (r[3], -r[4] if reverse else r[4])):
+            want.setdefault(r[:3], r)
+        assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want.values()))
+        assert sorted(dedup.first_processed(df, dedup.LEDGER_KEY, reverse).collect(), key=str) == sorted(out.collect(), key=str)
+
+
+def test_first_rows_of_odd_positions(spark):
+    """Positions that are null, negative, beyond the bounds or shared: one row for each key, the first."""
+    rows = [(1, None, 5, "null rank"), (1, 0, 0, "x"), (2, -3, 1, "low"), (2, -2, 9, "x"), (3, 1 << 30, 1, "x"),
+            (3, 1 << 30, 2, "big rank"), (4, 1, 7, "same"), (4, 1, 7, "same"), (5, 1, None, "null place"), (5, 1, 3, "x"),
+            (None, 2, 1 << 45, "big place"), (None, 2, 4, "x")]
+    df = spark.createDataFrame(rows, "k long, file_rank long, row_idx long, memo string")
+    got = {r.k: r.memo for r in dedup.first_processed(df, ["k"], reverse_rows=True).collect()}
+    assert got == {1: "null rank", 2: "low", 3: "big rank", 4: "same", 5: "null place", None: "big place"}
+    assert dedup.first_processed(df, ["k"], reverse_rows=True).count() == 6
+
+
+def test_small_runs_take_few_range_parts(spark, workdir, monkeypatch):
+    asked, stamped = [], ordinal._stamped
+    monkeypatch.setattr(ordinal, "_stamped", lambda df, order, n: asked.append(n) or stamped(df, order, n))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        store = LedgerStore(spark, f"{workdir}/store")
+        import_ledger(spark, store, [write(f"{workdir}/cf.csv", "".join(ROW.format(1, 1, f"N{i}", i) for i in range(50)))])
+        assert asked == [1] and ordinal.parts_for(spark, 10 ** 9) == 40
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert [r.id for r in store.read("detail").orderBy("id").collect()] == list(range(1, 51))
+
+
+def test_small_splits_hold_for_the_text_alone(spark, workdir, monkeypatch):
+    """Exact positions from many splits in few tasks; the session's split size stays."""
+    from tally.sources import csv_scan
+    text = "".join(ROW.format(1, 1, f'"N{i},""\n\n{"x" * (i % 90)}"', i) for i in range(2000))
+    path, size, files = write(f"{workdir}/cf.csv", text), "spark.sql.files.maxPartitionBytes", []
+    before, stage = spark.conf.get(size), csv_scan.stage
+    monkeypatch.setattr(csv_scan, "stage", lambda df, name: files.append((name, spark.conf.get(size), stage(df, name))) or files[-1][2])
+    got = {r.row_idx: r.name for r in scan_ledger_csv(spark, path, split_bytes=4096).collect()}
+    assert got == {i: f'N{i},"\n\n{"x" * (i % 90)}' for i in range(2000)}
+    assert [(n, s) for n, s, _ in files] == [("lines", "4096"), ("splits", before)] and spark.conf.get(size) == before
+    lines = files[0][2]
+    assert lines.select("_block").distinct().count() > 10 > len(lines.inputFiles())
+
+
+def test_only_the_months_of_a_drop_are_probed(spark, workdir, monkeypatch):
+    store, probed, probe = LedgerStore(spark, f"{workdir}/store"), [], importer.key_index.possible_hits
+    import_ledger(spark, store, [write(f"{workdir}/a/cf.csv", "".join(ROW.format(i % 12 + 1, 1, f"N{i}", i) for i in range(60)))])
+    monkeypatch.setattr(importer.key_index, "possible_hits", lambda keys, index, key: probed.append(index) or probe(keys, index, key))
+    again = "".join(ROW.format(i % 12 + 1, 1, f"N{i}", i) for i in range(60) if i % 12 in (4, 5, 6))
+    new = "".join(ROW.format(i % 3 + 5, 2, f"Z{i}", i) for i in range(45))
+    res = import_ledger(spark, store, [write(f"{workdir}/b/cf.csv", again + new)], index_above=10)
+    assert {r.ym for r in probed[0].select("ym").collect()} == {202405, 202406, 202407}
+    assert res.duplicates.count() == 15 and res.inserted.count() == 45
+
+
+def test_names_are_compared_under_a_collation_once_each(spark, workdir, monkeypatch):
+    keys, first = [], dedup.first_processed
+    monkeypatch.setattr(dedup, "first_processed", lambda rows, key, *a: keys.append([dict(rows.dtypes)[k] for k in key]) or first(rows, key, *a))
+    store = LedgerStore(spark, f"{workdir}/store")
+    import_ledger(spark, store, [write(f"{workdir}/a/cf.csv", "".join(ROW.format(1, 1, n, 5) for n in ("Café", "TEA", "x")))])
+    again = "".join(ROW.format(1, 1, n, 5) for n in ('"CAFE "', "tea", '"New "', "NEW", "y"))
+    res = import_ledger(spark, store, [write(f"{workdir}/b/cf.csv", again)], collation="UNICODE_CI_AI_RTRIM")
+    names = lambda df: sorted(r.n for r in df.select(F.col("name").cast("string").alias("n")).collect())
+    assert names(res.duplicates) == ["CAFE ", "tea"] and names(res.inserted) == ["NEW", "y"]
+    assert keys[-1] == ["date", "string", "bigint"] and "_spelling" not in res.inserted.columns + res.duplicates.columns
