@@ -55,7 +55,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing: a row per piece, with its sequence and place there."""
-    return pack_documents(docs, tokenizer_path(), 4096)
+    return pack_documents(docs, tokenizer_path(), 4096, call=2 << 20)  # its executors hold other stages' memory, too
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -45,7 +45,7 @@ JOINED = 128
 #: Bytes of a text that are split into words at a time.
 BLOCK = 1 << 20
 #: Bytes of texts whose words are looked up together.
-CALL = 2 * BLOCK
+CALL = 4 * BLOCK
 END_ID = 1
 
 
@@ -140,11 +140,11 @@ def blocks(data: bytes) -> Iterator[bytes]:
     yield data[at:]
 
 
-def _calls(sizes: list[int]) -> Iterator[tuple[int, int]]:
-    """Bounds of runs of rows of at most CALL bytes, or one row."""
+def _calls(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of rows of at most ``most`` bytes, or one row."""
     lo = held = 0
     for i, size in enumerate(sizes):
-        if i > lo and held + size > CALL:
+        if i > lo and held + size > most:
             yield lo, i
             lo, held = i, 0
         held += size
@@ -153,9 +153,11 @@ def _calls(sizes: list[int]) -> Iterator[tuple[int, int]]:
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, id_col: str = "doc_id",
-                 text_col: str = "text", with_ids: bool = False) -> DataFrame:
+                 text_col: str = "text", with_ids: bool = False, call: int | None = None) -> DataFrame:
     """One row per piece: id, ``piece``, ``start``, ``length``, ``ids_crc32``
-    and, if wanted, the ids themselves (binary, little-endian 32-bit)."""
+    and, if wanted, the ids themselves (binary, little-endian 32-bit).
+    ``call``: bytes of texts whose words are looked up together, CALL if unset."""
+    most = call or CALL
     ship_code(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = f"id {rows.schema['id'].dataType.simpleString()}, piece int, start long, length int, ids_crc32 long"
@@ -164,7 +166,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, id_
 
     def coded(words: WordIds, texts: pa.Array) -> Iterator[bytes]:
         """Ids of each text."""
-        if len(texts) > 1 or len(texts[0].as_buffer()) <= CALL:
+        if len(texts) > 1 or len(texts[0].as_buffer()) <= most:
             ids, begins = words.encode(texts)
             data, cuts = ids.tobytes(), (4 * begins).tolist()
             yield from (data[lo:hi] for lo, hi in zip(cuts[:-1], cuts[1:], strict=True))
@@ -176,7 +178,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, id_
         words = _IDS.get(tokenizer_path) or _IDS.setdefault(tokenizer_path, WordIds(tokenizer_path))
         for batch in batches:
             column = pc.fill_null(batch.column("text").cast(pa.string()), "")
-            for lo, hi in _calls(pc.binary_length(column).to_pylist()):
+            for lo, hi in _calls(pc.binary_length(column).to_pylist(), most):
                 index, out = [], []
                 for i, ids in enumerate(coded(words, column.slice(lo, hi - lo)), lo):
                     ids += end
@@ -292,10 +294,10 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, id_col: str = "doc_id",
-                   text_col: str = "text", with_ids: bool = False) -> DataFrame:
+                   text_col: str = "text", with_ids: bool = False, call: int | None = None) -> DataFrame:
     """Pieces of all documents with their ``sequence_id`` and ``offset``."""
     scratch = Scratch(docs.sparkSession, "pieces")
-    pieces = scratch.write(token_pieces(docs, tokenizer_path, capacity, id_col, text_col, with_ids)
+    pieces = scratch.write(token_pieces(docs, tokenizer_path, capacity, id_col, text_col, with_ids, call)
                            .withColumn("uid", F.monotonically_increasing_id()), "pieces")
     out = pieces.join(pack(pieces, capacity), "uid")
     return out.select(F.col("id").alias(id_col), "piece", "start", F.col("length").cast("long").alias("length"),

@@ -118,3 +118,12 @@ def test_bound_and_best_fit(seed):
 
 def test_empty(spark):
     assert pack_documents(frame(spark, rows()).limit(0), PATH).count() == 0
+
+
+def test_bytes_of_a_call_change_no_piece(spark):
+    """Words are looked up by the bytes asked for, else by CALL; pieces are the same."""
+    assert packing.CALL == 4 * packing.BLOCK
+    assert list(packing._calls([3, 3, 3, 9, 1], 6)) == [(0, 2), (2, 3), (3, 4), (4, 5)]
+    df = frame(spark, rows())
+    want = sorted(map(str, packing.token_pieces(df, PATH).collect()))
+    assert sorted(map(str, packing.token_pieces(df, PATH, call=64).collect())) == want
