@@ -58,6 +58,8 @@ FILTER_BITS = 27
 #: pair have short ids, which are then packed in the first.
 SINGLE, PACKED, SHIFT = 1 << 62, 1 << 61, 20
 _PLACE = 21  # bits of a word's place among the distinct words of a call
+_PRIMES = [np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
+                                  0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]  # of XXH64
 
 
 @dataclass
@@ -74,10 +76,45 @@ class Words:
     size: np.ndarray
 
 
-def _hash(words: list[bytes]) -> np.ndarray:
-    """Below zero, so that no short id is a hash."""
+def _hash(words: pa.StringArray) -> np.ndarray:
+    """63 bits of the XXH64 (seed 0) of each word, below zero, so that no short
+    id is a hash. Words of under 32 bytes are hashed together, in steps of 8, 4
+    and 1 bytes; others, which XXH64 takes in another way, one by one."""
     from xxhash import xxh64_intdigest
-    return np.fromiter((-1 - (xxh64_intdigest(w) >> 1) for w in words), np.int64, len(words))
+    _, offsets, data = words.buffers()
+    if not len(words):
+        return np.zeros(0, np.int64)
+    ends = np.frombuffer(offsets, np.int32)[words.offset:words.offset + len(words) + 1].astype(np.int64)
+    raw = (data.to_pybytes() if data else b"") + bytes(8)
+    p1, p2, p3, p4, p5 = _PRIMES
+    at, left = ends[:-1].copy(), np.diff(ends)
+    long = np.flatnonzero(left >= 32)
+    h = left.astype(np.uint64) + p5
+    left[long] = 0
+    eights, fours, ones = (np.ndarray(len(raw) - 7, kind, raw, strides=1) for kind in ("<u8", "<u4", "u1"))
+    while (i := np.flatnonzero(left >= 8)).size:
+        h[i] = _turned(h[i] ^ _turned(eights[at[i]] * p2, 31) * p1, 27) * p1 + p4
+        at[i] += 8
+        left[i] -= 8
+    i = np.flatnonzero(left >= 4)
+    h[i] = _turned(h[i] ^ fours[at[i]].astype(np.uint64) * p1, 23) * p2 + p3
+    at[i] += 4
+    left[i] -= 4
+    while (i := np.flatnonzero(left > 0)).size:
+        h[i] = _turned(h[i] ^ ones[at[i]].astype(np.uint64) * p5, 11) * p1
+        at[i] += 1
+        left[i] -= 1
+    h = (h ^ h >> np.uint64(33)) * p2
+    h = (h ^ h >> np.uint64(29)) * p3
+    h ^= h >> np.uint64(32)
+    h[long] = np.fromiter((xxh64_intdigest(raw[a:b]) for a, b in zip(ends[long].tolist(), ends[long + 1].tolist(), strict=True)),
+                          np.uint64, len(long))
+    return -1 - (h >> np.uint64(1)).astype(np.int64)
+
+
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    """Bits turned left."""
+    return x << np.uint64(by) | x >> np.uint64(64 - by)
 
 
 def _blocks(data: bytes) -> Iterator[tuple[bool, bytes]]:
@@ -123,7 +160,7 @@ def _words(column: pa.Array) -> Iterator[Words]:
         text = text[real.to_numpy(zero_copy_only=False)]
         next_is_own = np.zeros(len(text), bool)
         next_is_own[:-1] = text[1:] == text[:-1]
-        yield Words(_hash(coded.dictionary.cast(pa.binary()).to_pylist()), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64),
+        yield Words(_hash(coded.dictionary), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64),
                     text, next_is_own, np.array(row), np.array(first), np.bincount(text, minlength=len(texts)))
 
 

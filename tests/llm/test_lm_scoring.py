@@ -80,3 +80,17 @@ def test_no_row_of_the_vocabulary_in_the_plan(spark):
     rows = [(i, f"the w{i} of w{i % 3}") for i in range(50)]
     plan = lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))._jdf.queryExecution().toString()
     assert "LocalTableScan" not in plan.split("== Physical Plan ==")[1].split("MapInArrow")[0] and "LeftAnti" not in plan
+
+
+def test_words_hashed_together(monkeypatch):
+    """The XXH64 of the library, with no call of it for a word of under 32 bytes."""
+    import xxhash
+    plain, calls = xxhash.xxh64_intdigest, []
+    monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda w: calls.append(bytes(w)) or plain(w))
+    r = random.Random(3)
+    texts = [" ".join("".join(r.choices("abcé　z9😀", k=k)) for k in range(1, 60) for _ in range(5)),
+             None, "x" * 31 + " " + "y" * 32 + " " + "z" * 100_000, "", "é"]
+    words = {w for t in texts for w in (t or "").encode().split()}
+    got = {int(h) for w in lm_scoring._words(pa.array(texts)) for h in w.hashes}
+    assert got == {-1 - (plain(w) >> 1) for w in words}
+    assert sorted(calls) == sorted(w for w in words if len(w) >= 32)
