@@ -13,6 +13,7 @@ from tally.plans.importer import import_ledger
 from tally.sources.csv_scan import scan_ledger_csv
 from tally.sources.store import LedgerStore
 
+MOST_JOBS = 46
 ROW = ",2024/{:02d}/{:02d},{},-{},i,l,m,,,\n"
 
 
@@ -95,3 +96,44 @@ def test_names_are_compared_under_a_collation_once_each(spark, workdir, monkeypa
     names = lambda df: sorted(r.n for r in df.select(F.col("name").cast("string").alias("n")).collect())
     assert names(res.duplicates) == ["CAFE ", "tea"] and names(res.inserted) == ["NEW", "y"]
     assert keys[-1] == ["date", "string", "bigint"] and "_spelling" not in res.inserted.columns + res.duplicates.columns
+
+
+def jobs_of(spark, call):
+    """Jobs that a call starts, those of its threads included."""
+    sc, group = spark.sparkContext, f"jobs-{random.random()}"
+    sc.setJobGroup(group, "counted")
+    try:
+        call()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        sc.setLocalProperty("spark.job.description", None)
+    return len(sc.statusTracker().getJobIdsForGroup(group))
+
+
+def test_a_run_takes_few_jobs(spark, workdir):
+    """What a run has to know is counted as its rows are written, not by jobs of its own."""
+    store = LedgerStore(spark, f"{workdir}/store")
+    first = write(f"{workdir}/a/cf.csv", "".join(ROW.format(i % 12 + 1, 1, f"N{i}", i) for i in range(60)))
+    again = write(f"{workdir}/b/cf.csv", "".join(ROW.format(i % 12 + 1, 1, f"N{i}", i) for i in range(30, 90)))
+    import_ledger(spark, store, [first])
+    assert jobs_of(spark, lambda: import_ledger(spark, store, [again], index_above=10)) <= MOST_JOBS
+    assert store.read("detail").count() == 90
+    got = [(r.parsed_entry_num, r.new_entry_num) for r in store.read("import_history").orderBy("id").collect()]
+    assert got == [(60, 60)]  # the parsed count of the last run of that name did not change
+
+
+def test_an_append_that_dies_beside_the_counts_leaves_nothing(spark, workdir, monkeypatch):
+    store, path = LedgerStore(spark, f"{workdir}/store"), write(f"{workdir}/cf.csv", ROW.format(7, 1, "A", 1))
+
+    def dies(*a):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(importer, "_append_rows", dies)
+        try:
+            import_ledger(spark, store, [path], run_id="r")
+        except RuntimeError as e:
+            assert str(e) == "lost"
+    assert store._markers() == [] and store.read("import_history").isEmpty() and store.abandoned() == ["r"]
+    import_ledger(spark, store, [path], run_id="r")
+    assert store.read("detail").count() == 1 and store.read("import_history").count() == 1
