@@ -3,6 +3,7 @@ shuffles, split sizes, the probed months, names under a collation."""
 
 import datetime as dt
 import random
+import threading
 
 from pyspark.sql import functions as F
 
@@ -122,6 +123,32 @@ def test_a_run_takes_few_jobs(spark, workdir):
     assert got == [(60, 60)]  # the parsed count of the last run of that name did not change
 
 
+def test_the_next_run_is_scanned_while_one_is_imported(spark, workdir, monkeypatch):
+    store, begun, scan, commit, overlapped = LedgerStore(spark, f"{workdir}/store"), [], importer._scan_kinds, importer.Run.commit, []
+    for k in range(5):
+        write(f"{workdir}/drop/{k}_cf.csv", ROW.format(7, k + 1, f"N{k}", k))
+    write(f"{workdir}/drop/9_asset_history.csv", "2025-08-01,5,1,0,1,1,x\n")
+    third = threading.Event()
+
+    def scans(spark, by_kind, **kw):
+        begun.append(sorted(p[-8:] for paths in by_kind.values() for p in paths))
+        if len(begun) == 3:
+            third.set()
+        return scan(spark, by_kind, **kw)
+
+    def commits(run):
+        if run.number == 1:  # the second run: the third is scanned meanwhile
+            overlapped.append(third.wait(60))
+        commit(run)
+
+    monkeypatch.setattr(importer, "_scan_kinds", scans)
+    monkeypatch.setattr(importer.Run, "commit", commits)
+    importer.import_drop(spark, store, f"{workdir}/drop", run_id="d", max_files=2)
+    assert overlapped == [True] and len(begun) == 3 and len(store._markers()) == 3
+    assert [(r.id, r.name) for r in store.read("detail").orderBy("id").collect()] == [(k + 1, f"N{k}") for k in range(5)]
+    assert store.read("asset_history").count() == 1 and store.read("import_history").count() == 6
+
+
 def test_an_append_that_dies_beside_the_counts_leaves_nothing(spark, workdir, monkeypatch):
     store, path = LedgerStore(spark, f"{workdir}/store"), write(f"{workdir}/cf.csv", ROW.format(7, 1, "A", 1))
 
